@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The profiled workflow reads whole tables at stage boundaries and has no
+streams, watermarks or state, so this package adds no streaming operator.
+"""
