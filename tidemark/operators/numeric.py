@@ -7,8 +7,9 @@ interpolation, as pandas); ``approx=True`` switches to ``percentile_approx``,
 whose memory per column is fixed by ``accuracy`` instead of by the number of
 distinct values.
 
-Outlier limits come from the first aggregate through one scalar subquery
-(a single struct), so outliers are counted without a join.
+Outlier limits need the quartiles first: one aggregate pass is collected (one
+row, a fixed number of values per column) and the limits enter the second
+pass as literals, so the percentile work is done once and no join is needed.
 """
 
 from __future__ import annotations
@@ -66,19 +67,33 @@ def _stats(df: DataFrame, fields: Sequence[T.StructField], approx: bool, accurac
     return df.agg(*aggs)
 
 
-def _limits(stats: DataFrame, n: int, factor: float) -> Column:
-    """Scalar subquery: struct(lo0, hi0, lo1, hi1, ...)."""
-    parts = []
-    for i in range(n):
-        q1, q3 = F.col(f"_q{i}")[2], F.col(f"_q{i}")[4]
-        iqr = q3 - q1
-        parts += [(q1 - F.lit(factor) * iqr).alias(f"lo{i}"), (q3 + F.lit(factor) * iqr).alias(f"hi{i}")]
-    return stats.select(F.struct(*parts).alias("lim")).scalar()
+def _collect_stats(df: DataFrame, fields: Sequence[T.StructField], approx: bool, accuracy: int, factor: float):
+    """One pass over the data; the single result row (about 20 numbers per column) is collected.
 
+    Limits then enter the next pass as literals, so the percentile aggregate is
+    computed exactly once.
+    """
+    row = _stats(df, fields, approx, accuracy).first()
+    out = []
+    for i, f in enumerate(fields):
+        q = row[f"_q{i}"]
+        q1, q3 = (q[2], q[4]) if q is not None else (None, None)
+        iqr = q3 - q1 if q1 is not None and q3 is not None else None
+        lo = q1 - factor * iqr if iqr is not None else None
+        hi = q3 + factor * iqr if iqr is not None else None
+        out.append((f, row, i, lo, hi, iqr))
+    return out
+
+
+def _lit(v) -> Column:
+    return F.lit(v).cast("double")
 
-def _is_outlier(f: T.StructField, lo: Column, hi: Column) -> Column:
+
+def _is_outlier(f: T.StructField, lo, hi) -> Column:
     x = _x(f)
-    return ~F.isnan(x) & ((x < lo) | (x > hi))
+    if lo is None or hi is None:
+        return F.lit(False)
+    return ~F.isnan(x) & ((x < _lit(lo)) | (x > _lit(hi)))
 
 
 def numeric_summary(
@@ -90,47 +105,42 @@ def numeric_summary(
 ) -> DataFrame:
     """Per numeric column: counts, moments, percentiles 1..99, IQR, zeros, negatives, infinities, outliers."""
     fields = numeric_fields(df, key)
+    spark = df.sparkSession
     if not fields:
-        return df.sparkSession.createDataFrame([], _SUMMARY_SCHEMA)
-    stats = _stats(df, fields, approx, accuracy)
-    lim = _limits(stats, len(fields), factor)
-    outliers = df.agg(
-        *[
-            F.count_if(_is_outlier(f, lim[f"lo{i}"], lim[f"hi{i}"])).alias(f"_out{i}")
-            for i, f in enumerate(fields)
-        ]
-    )
+        return spark.createDataFrame([], _SUMMARY_SCHEMA)
+    stats = _collect_stats(df, fields, approx, accuracy, factor)
+    rows = []
+    for f, row, i, lo, hi, iqr in stats:
+        q = row[f"_q{i}"] or [None] * len(_PCT_NAMES)
+        rows.append(
+            (
+                i + 1,
+                f.name,
+                row[f"_cnt{i}"],
+                row[f"_nul{i}"],
+                row[f"_mean{i}"],
+                q[3],
+                row[f"_sd{i}"],
+                row[f"_min{i}"],
+                row[f"_max{i}"],
+                *q,
+                iqr,
+                row[f"_zero{i}"],
+                row[f"_neg{i}"],
+                row[f"_inf{i}"],
+            )
+        )
+    long = spark.createDataFrame(rows, "position int, " + _SUMMARY_SCHEMA.rsplit(", iqr_outliers long", 1)[0])
+    outliers = df.agg(*[F.count_if(_is_outlier(f, lo, hi)).alias(f"_out{i}") for f, _, i, lo, hi, _ in stats])
     out_long = outliers.select(
         explode_structs(
             [
                 F.struct(F.lit(f.name).alias("column"), F.col(f"_out{i}").alias("iqr_outliers"))
-                for i, f in enumerate(fields)
+                for f, _, i, _, _, _ in stats
             ]
         )
     )
-    structs = []
-    for i, f in enumerate(fields):
-        q = F.col(f"_q{i}")
-        structs.append(
-            F.struct(
-                F.lit(i + 1).alias("position"),
-                F.lit(f.name).alias("column"),
-                F.col(f"_cnt{i}").alias("count"),
-                F.col(f"_nul{i}").alias("nulls"),
-                F.col(f"_mean{i}").alias("mean"),
-                q[3].alias("median"),
-                F.col(f"_sd{i}").alias("stddev"),
-                F.col(f"_min{i}").alias("min"),
-                F.col(f"_max{i}").alias("max"),
-                *[q[j].alias(name) for j, name in enumerate(_PCT_NAMES)],
-                (q[4] - q[2]).alias("iqr"),
-                F.col(f"_zero{i}").alias("zeros"),
-                F.col(f"_neg{i}").alias("negatives"),
-                F.col(f"_inf{i}").alias("infinities"),
-            )
-        )
-    long = stats.select(explode_structs(structs))
-    # One row per numeric column on the right: a broadcast of proven size.
+    # One row per numeric column on each side: a broadcast of proven size.
     return long.join(F.broadcast(out_long), "column").orderBy("position").drop("position")
 
 
@@ -153,19 +163,18 @@ def numeric_outliers(
     fields = numeric_fields(df, key)
     if not fields:
         return df.sparkSession.createDataFrame([], "column string, value double, lower_limit double, upper_limit double")
-    stats = _stats(df, fields, approx, accuracy)
-    lim = _limits(stats, len(fields), factor)
+    stats = _collect_stats(df, fields, approx, accuracy, factor)
     cells = [
         F.struct(
             F.lit(f.name).alias("column"),
-            _is_outlier(f, lim[f"lo{i}"], lim[f"hi{i}"]).alias("_hit"),
+            _is_outlier(f, lo, hi).alias("_hit"),
             _x(f).alias("value"),
-            lim[f"lo{i}"].alias("lower_limit"),
-            lim[f"hi{i}"].alias("upper_limit"),
+            _lit(lo).alias("lower_limit"),
+            _lit(hi).alias("upper_limit"),
         )
-        for i, f in enumerate(fields)
+        for f, _, i, lo, hi, _ in stats
     ]
     # Rows without any outlier are dropped before the per-cell explode.
-    any_hit = reduce(or_, [_is_outlier(f, lim[f"lo{i}"], lim[f"hi{i}"]) for i, f in enumerate(fields)])
+    any_hit = reduce(or_, [_is_outlier(f, lo, hi) for f, _, i, lo, hi, _ in stats])
     exploded = df.where(any_hit).select(*[qcol(k) for k in keys], explode_structs(cells))
     return exploded.where(F.col("_hit")).select("column", *[qcol(k) for k in keys], "value", "lower_limit", "upper_limit")

@@ -98,50 +98,100 @@ def identifier_candidates(
     min_pattern: float = IDENTIFIER_MIN_PATTERN,
     approx: bool = False,
 ) -> DataFrame:
-    """Columns that look like identifiers by name, or by uniqueness and an id-like pattern."""
+    """Columns that look like identifiers by name, or by uniqueness and an id-like pattern.
+
+    Exact mode reads a (column, text, n) frequency table: one shuffle with
+    map-side combining, and the regexes and lengths run once per distinct text,
+    with the median length weighted by frequency. ``approx=True`` needs no
+    shuffle: HyperLogLog++ distincts and an approximate median in one pass.
+    """
     fields = [f for f in profiled_fields(df, key) if _groupable(f)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], _IDENTIFIER_SCHEMA)
+    spark = df.sparkSession
+    names = spark.createDataFrame(
+        [(i + 1, f.name, identifier_name_match(f.name, terms)) for i, f in enumerate(fields)],
+        "position int, column string, name_match boolean",
+    )
+    nulls = df.agg(*[F.count_if(is_missing(f)).alias(f"_z{i}") for i, f in enumerate(fields)]).select(
+        explode_structs(
+            [F.struct(F.lit(f.name).alias("column"), F.col(f"_z{i}").alias("nulls")) for i, f in enumerate(fields)]
+        )
+    )
+    if approx:
+        stats = _identifier_stats_approx(df, fields)
+    else:
+        texts = df.select(
+            explode_structs([F.struct(F.lit(f.name).alias("column"), as_text(f).alias("v")) for f in fields])
+        ).where(F.col("v").isNotNull())
+        freq = texts.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        ln, n = F.length("v"), F.col("n")
+        stats = freq.groupBy("column").agg(
+            F.sum(n).alias("_nn"),
+            F.count(F.lit(1)).alias("_u"),
+            F.sum(F.when(F.col("v").rlike(DIGITS_ONLY), n).otherwise(0)).alias("_dg"),
+            F.sum(F.when(F.col("v").rlike(ALNUM_ID), n).otherwise(0)).alias("_an"),
+            F.min(ln).alias("min_length"),
+            F.max(ln).alias("max_length"),
+            F.percentile(ln, F.lit(0.5), n).alias("median_length"),
+        )
+    # Every side holds at most one row per column: broadcasts of proven size.
+    joined = names.join(F.broadcast(nulls), "column").join(F.broadcast(stats), "column", "left")
+    nn = F.coalesce(F.col("_nn"), F.lit(0).cast("long"))
+    u = F.coalesce(F.col("_u"), F.lit(0).cast("long"))
+    long = joined.select(
+        "position",
+        "column",
+        "name_match",
+        pct(u, nn).alias("uniqueness_pct"),
+        (nn - u).alias("repeated_values"),
+        "nulls",
+        F.col("min_length").cast("int").alias("min_length"),
+        F.col("max_length").cast("int").alias("max_length"),
+        F.col("median_length").cast("double").alias("median_length"),
+        pct(F.col("_dg"), nn).alias("digits_pct"),
+        pct(F.col("_an"), nn).alias("alnum_pct"),
+        nn.alias("_nn"),
+    )
+    by_content = (
+        (F.col("_nn") > 0)
+        & (F.col("uniqueness_pct") >= min_uniqueness)
+        & (F.greatest("digits_pct", "alnum_pct") >= min_pattern)
+    )
+    return long.where(F.col("name_match") | by_content).orderBy("position").drop("_nn", "position")
+
+
+def _identifier_stats_approx(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     aggs = []
     for i, f in enumerate(fields):
         s = as_text(f)
         ln = F.length(s)
         aggs += [
             F.count(s).alias(f"_nn{i}"),
-            distinct_count(s, approx).alias(f"_u{i}"),
-            F.count_if(is_missing(f)).alias(f"_z{i}"),
+            F.approx_count_distinct(s, 0.01).alias(f"_u{i}"),
             F.count_if(s.rlike(DIGITS_ONLY)).alias(f"_dg{i}"),
             F.count_if(s.rlike(ALNUM_ID)).alias(f"_an{i}"),
             F.min(ln).alias(f"_lmin{i}"),
             F.max(ln).alias(f"_lmax{i}"),
-            F.median(ln).alias(f"_lmed{i}"),
+            F.percentile_approx(ln, F.lit(0.5), F.lit(10000)).alias(f"_lmed{i}"),
         ]
-    if not fields:
-        return df.sparkSession.createDataFrame([], _IDENTIFIER_SCHEMA)
-    agg = df.agg(*aggs)
-    structs = []
-    for i, f in enumerate(fields):
-        nn = F.col(f"_nn{i}")
-        structs.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit(identifier_name_match(f.name, terms)).alias("name_match"),
-                pct(F.col(f"_u{i}"), nn).alias("uniqueness_pct"),
-                (nn - F.col(f"_u{i}")).alias("repeated_values"),
-                F.col(f"_z{i}").alias("nulls"),
-                F.col(f"_lmin{i}").alias("min_length"),
-                F.col(f"_lmax{i}").alias("max_length"),
-                F.col(f"_lmed{i}").cast("double").alias("median_length"),
-                pct(F.col(f"_dg{i}"), nn).alias("digits_pct"),
-                pct(F.col(f"_an{i}"), nn).alias("alnum_pct"),
-                nn.alias("_nn"),
-            )
+    return df.agg(*aggs).select(
+        explode_structs(
+            [
+                F.struct(
+                    F.lit(f.name).alias("column"),
+                    F.col(f"_nn{i}").alias("_nn"),
+                    F.col(f"_u{i}").alias("_u"),
+                    F.col(f"_dg{i}").alias("_dg"),
+                    F.col(f"_an{i}").alias("_an"),
+                    F.col(f"_lmin{i}").alias("min_length"),
+                    F.col(f"_lmax{i}").alias("max_length"),
+                    F.col(f"_lmed{i}").cast("double").alias("median_length"),
+                )
+                for i, f in enumerate(fields)
+            ]
         )
-    long = agg.select(explode_structs(structs))
-    by_content = (
-        (F.col("_nn") > 0)
-        & (F.col("uniqueness_pct") >= min_uniqueness)
-        & (F.greatest("digits_pct", "alnum_pct") >= min_pattern)
     )
-    return long.where(F.col("name_match") | by_content).drop("_nn")
 
 
 _IDENTIFIER_SCHEMA = (
