@@ -647,6 +647,106 @@ def stringify_sql(src: str, all_cols, which) -> str:
     return f"SELECT {cols} FROM {src} AS t"
 
 
+# ---------------------------------------------------------------- tier 2
+def length_of_stay_sql() -> str:
+    h = _hours("fecha_ingreso", "fecha_salida")
+    return f"""SELECT l_orderkey, l_linenumber, l_partkey, fecha_ingreso, fecha_salida, {rnd('h')} AS stay_hours,
+       h >= 12 AS prolonged_stay FROM (SELECT *, {h} AS h FROM {STAY} AS s) AS x"""
+
+
+def classification_sql() -> str:
+    scored = """(SELECT l.quality AS y, 1e0 - 1e0 / (1e0 + CAST(d.n_chars AS DOUBLE) / 1000e0) AS score
+                 FROM labels AS l JOIN documents AS d ON l.doc_id = d.doc_id)"""
+    return f"""WITH s AS {scored},
+c AS (SELECT {cnt('y = 1')} AS positives, {cnt('y = 0')} AS negatives, {cnt('y = 1 AND score >= 0.5')} AS tp,
+             {cnt('y = 0 AND score >= 0.5')} AS fp, {cnt('y = 0 AND score < 0.5')} AS tn, {cnt('y = 1 AND score < 0.5')} AS fn FROM s),
+d AS (SELECT score AS v, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY score),
+r AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pb, coalesce(sum(neg) OVER w, 0) AS nb FROM d
+      WINDOW w AS (ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT sum(neg * (pb + pos * 0.5e0)) AS auc_num,
+             sum(CASE WHEN pos > 0 THEN pos * CAST(pb + pos AS DOUBLE) / (pb + pos + nb + neg) END) AS ap_num FROM r)
+SELECT positives, negatives, tp, fp, tn, fn,
+       {rnd('CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0)')} AS precision, {rnd('CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0)')} AS recall,
+       {rnd('CAST(2 * tp AS DOUBLE) / NULLIF(2 * tp + fp + fn, 0)')} AS f1,
+       {rnd('a.auc_num / NULLIF(CAST(positives * negatives AS DOUBLE), 0)')} AS roc_auc,
+       {rnd('a.ap_num / NULLIF(CAST(positives AS DOUBLE), 0)')} AS pr_auc
+FROM c, a"""
+
+
+def regression_sql() -> str:
+    return f"""SELECT CAST(count(*) AS BIGINT) AS rows, {rnd('avg(abs(t - p))')} AS mae, {rnd('sqrt(avg((t - p) * (t - p)))')} AS rmse,
+       {rnd('1e0 - sum((t - p) * (t - p)) / (var_pop(t) * count(*))')} AS r2
+FROM (SELECT l_extendedprice AS t, l_quantity * 1000e0 AS p FROM lineitem) AS x"""
+
+
+def explore_sql() -> str:
+    g = """(SELECT c_mktsegment, c_nationkey, CAST(count(*) AS BIGINT) AS rows, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd,
+               min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1, 2)"""
+    total = "(SELECT count(*) FROM customer)"
+    return f"""WITH g AS {g}
+SELECT c_mktsegment, c_nationkey, rows, {rnd('m')} AS c_acctbal_mean, {rnd('sd')} AS c_acctbal_stddev, {rnd('lo')} AS c_acctbal_min,
+       {rnd('hi')} AS c_acctbal_max, false AS suppressed, {rnd(pct('rows', total))} AS share_pct FROM g WHERE rows >= 10
+UNION ALL
+SELECT CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(sum(rows) AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+       CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), true, {rnd(pct('sum(rows)', total))} FROM g WHERE rows < 10 HAVING count(*) > 0"""
+
+
+def correlations_sql() -> str:
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    return union([f"SELECT {lit(a)} AS {q('left')}, {lit(b)} AS {q('right')}, {rnd(f'corr({a}, {b})')} AS corr FROM lineitem" for a, b in pairs])
+
+
+def _trim_sql(v: str) -> str:
+    return f"regexp_replace(regexp_replace({v}, '^{WS}+|{WS}+\\z', '', 'g'), '{WS}+', ' ', 'g')"
+
+
+def _cleaned_cols() -> list[str]:
+    tokens = ", ".join(lit(x) for x in TEXT_NULL_TOKENS)
+    out = []
+    for c, t in CENSUS_COLS:
+        if t == "string":
+            tv = _trim_sql(q(c))
+            out.append(f"CASE WHEN upper({fold(tv)}) IN ({tokens}) THEN NULL ELSE {tv} END AS {q(c)}")
+        else:
+            out.append(q(c))
+    return out
+
+
+def clean_sql() -> str:
+    cols = ", ".join(q(c) for c, _ in CENSUS_COLS)
+    sel = ", ".join(rnd(q(c)) + f" AS {q(c)}" if t == "double" else q(c) for c, t in CENSUS_COLS)
+    return f"""SELECT min(o_orderkey) AS o_orderkey, {sel}
+FROM (SELECT o_orderkey, {', '.join(_cleaned_cols())} FROM {CENSUS} AS t) AS c GROUP BY {cols}"""
+
+
+def clean_report_sql() -> str:
+    tokens = ", ".join(lit(x) for x in TEXT_NULL_TOKENS)
+    texts = [c for c, t in CENSUS_COLS if t == "string"]
+    trim_cells = " + ".join(f"CAST(NOT ({_trim_sql(q(c))} IS NOT DISTINCT FROM {q(c)}) AS BIGINT)" for c in texts)
+    null_cells = " + ".join(f"CAST(coalesce(upper({fold(_trim_sql(q(c)))}) IN ({tokens}), false) AS BIGINT)" for c in texts)
+    cols = ", ".join(q(c) for c, _ in CENSUS_COLS)
+    after = f"(SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT {cols} FROM (SELECT {', '.join(_cleaned_cols())} FROM {CENSUS} AS t) AS c) AS d)"
+    base = f"(SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum({trim_cells}) AS BIGINT) AS tc, CAST(sum({null_cells}) AS BIGINT) AS nc FROM {CENSUS} AS t)"
+    return f"""SELECT 1 AS {q('order')}, 'trim_text' AS rule, n AS rows_before, n AS rows_after, tc AS cells_changed FROM {base} AS b
+UNION ALL SELECT 2, 'textual_nulls', n, n, nc FROM {base} AS b
+UNION ALL SELECT 3, 'exact_duplicates', n, {after}, CAST(0 AS BIGINT) FROM {base} AS b"""
+
+
+def infer_types_sql() -> str:
+    return f"""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(id_cliente AS BIGINT) AS id_cliente, estado,
+       {rnd('CAST(valor_total AS DOUBLE)')} AS valor_total, prioridad, constante, vacia, fecha_ingreso,
+       CAST(fecha_salida AS TIMESTAMP) AS fecha_salida FROM {CENSUS} AS t"""
+
+
+TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+               "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def list_members_sql() -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({lit(n)})" for n in TABLE_NAMES) + ") AS v(name)"
+
+
 def oracles() -> dict[str, str]:
     census, cc = CENSUS, CENSUS_COLS
     docs = "(SELECT doc_id, text, lang FROM documents)"
@@ -702,4 +802,14 @@ def oracles() -> dict[str, str]:
         "pending_validations": f"SELECT {q('check')}, status, observation FROM ({summary}) AS s WHERE status <> 'OK'",
         "nullify_markers": nullify_sql(census, CENSUS_ALL),
         "stringify_mixed": stringify_sql(census, CENSUS_ALL, {"id_cliente", "valor_total"}),
+        "length_of_stay": length_of_stay_sql(),
+        "classification_metrics": classification_sql(),
+        "regression_metrics": regression_sql(),
+        "split_leakage": "SELECT CAST(0 AS BIGINT) AS leaking_groups",
+        "explore": explore_sql(),
+        "correlations": correlations_sql(),
+        "clean": clean_sql(),
+        "clean_report": clean_report_sql(),
+        "infer_types": infer_types_sql(),
+        "list_members": list_members_sql(),
     }

@@ -179,3 +179,99 @@ QUERIES: dict[str, Query] = {
     "nullify_markers": _nullify,
     "stringify_mixed": _stringify,
 }
+
+
+# ---------------------------------------------------------------- tier 2 and sources
+from tidemark.operators import metrics as M  # noqa: E402
+from tidemark.operators import outcome as OC  # noqa: E402
+from tidemark.plans import modeling as ML  # noqa: E402
+from tidemark.sources import infer_types, list_members  # noqa: E402
+
+
+def _stay_hours(spark, sf):
+    return rounded(OC.length_of_stay(table(spark, sf, "stay"), "fecha_ingreso", "fecha_salida"))
+
+
+def _scored_docs(spark, sf):
+    # A monotone score of document length; quality labels as the outcome.
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    scored = lab.join(d, "doc_id")
+    return scored.select("doc_id", "quality", (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("n_chars") / F.lit(1000.0))).alias("score"))
+
+
+def _classification(spark, sf):
+    return rounded(M.classification_metrics(_scored_docs(spark, sf), "quality", "score", threshold=0.5))
+
+
+def _regression(spark, sf):
+    s = table(spark, sf, "lineitem").select(
+        F.col("l_extendedprice").alias("target"), (F.col("l_quantity") * F.lit(1000.0)).alias("prediction")
+    )
+    return rounded(M.regression_metrics(s, "target", "prediction"))
+
+
+def _split_report(spark, sf):
+    split = ML.assign_split(table(spark, sf, "stay"), "l_orderkey")
+    return rounded(ML.split_report(split))
+
+
+def _split_leakage(spark, sf):
+    return ML.split_leakage(ML.assign_split(table(spark, sf, "stay"), "l_orderkey"), "l_orderkey")
+
+
+def _explore(spark, sf):
+    return rounded(OC.explore(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"], ["c_acctbal"], k_min=10))
+
+
+def _correlations(spark, sf):
+    return rounded(OC.correlations(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+def _clean(spark, sf):
+    cleaned, _ = OC.clean(_census(spark, sf), CENSUS_KEY)
+    return rounded(cleaned)
+
+
+def _clean_report(spark, sf):
+    _, report = OC.clean(_census(spark, sf), CENSUS_KEY)
+    return report
+
+
+def _data_dictionary(spark, sf):
+    return OC.data_dictionary(_census(spark, sf), CENSUS_KEY)
+
+
+def _infer_types(spark, sf):
+    census = _census(spark, sf)
+    as_text = census.select(*[F.col(c).cast("string").alias(c) for c in census.columns])
+    return rounded(infer_types(as_text))
+
+
+def _members(spark, sf):
+    return list_members(spark, sf)
+
+
+def _baseline(spark, sf):
+    scored = ML.assign_split(_scored_docs(spark, sf), "doc_id")
+    train, valid = scored.where("split = 'train'"), scored.where("split = 'validation'")
+    return rounded(ML.baseline(train, valid, ["score"], "quality"))
+
+
+QUERIES.update(
+    {
+        "length_of_stay": _stay_hours,
+        "classification_metrics": _classification,
+        "regression_metrics": _regression,
+        "split_report": _split_report,
+        "split_leakage": _split_leakage,
+        "explore": _explore,
+        "correlations": _correlations,
+        "clean": _clean,
+        "clean_report": _clean_report,
+        "data_dictionary": _data_dictionary,
+        "infer_types": _infer_types,
+        "list_members": _members,
+        "baseline": _baseline,
+    }
+)
