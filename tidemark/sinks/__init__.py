@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,11 +102,15 @@ def _plain_path(c):
 def evidence_manifest(spark: SparkSession, expected: Sequence[str]) -> DataFrame:
     """expected path, exists, bytes: expected outputs left-joined to the file listing."""
     wanted = spark.createDataFrame([(p,) for p in expected], "path string").select(_plain_path(F.col("path")).alias("path"))
-    roots = sorted({p for p in expected})
-    try:
-        listing = file_listing(spark, roots).select(_plain_path(F.col("path")).alias("file"), "length")
-    except Exception:  # noqa: BLE001 - none of the outputs exist
-        listing = spark.createDataFrame([], "file string, length long")
+    # Each expected output is listed on its own (a bounded number of paths), so a
+    # missing one does not hide the others.
+    listing = spark.createDataFrame([], "file string, length long")
+    for path in sorted(set(expected)):
+        try:
+            found = file_listing(spark, path).select(_plain_path(F.col("path")).alias("file"), "length")
+        except AnalysisException:
+            continue
+        listing = listing.unionByName(found)
     # Spark writes folder outputs, so a file matches an expected path by itself or by its folder.
     candidates = listing.select(
         F.explode(F.array(F.col("file"), F.regexp_extract(F.col("file"), "^(.*)/[^/]+$", 1))).alias("path"),
