@@ -50,37 +50,39 @@ def running_totals(table: DataFrame, order: Column, cols: list[str], ranges: int
 def classification_metrics(
     scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5, ranges: int | None = RANGES
 ) -> DataFrame:
-    """One row: positives, negatives, tp, fp, tn, fn, precision, recall, f1, roc_auc, pr_auc."""
-    y = F.col(label).cast("int")
-    pred = (F.col(score) >= F.lit(threshold)).cast("int")
-    base = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    counts = base.agg(
-        F.count_if(y == 1).alias("positives"),
-        F.count_if(y == 0).alias("negatives"),
-        F.count_if((y == 1) & (pred == 1)).alias("tp"),
-        F.count_if((y == 0) & (pred == 1)).alias("fp"),
-        F.count_if((y == 0) & (pred == 0)).alias("tn"),
-        F.count_if((y == 1) & (pred == 0)).alias("fn"),
-    )
+    """One row: positives, negatives, tp, fp, tn, fn, precision, recall, f1, roc_auc, pr_auc.
+
+    Everything comes from one aggregate over the per-score table: threshold
+    counts are sums over scores above or below the threshold.
+    """
     table = _score_table(scored, label, score)
     desc = running_totals(table, F.col("s").desc(), ["pos", "neg"], ranges)
+    pos, neg = F.col("pos"), F.col("neg")
+    above = F.col("s") >= F.lit(threshold)
+    zero = F.lit(0).cast("long")
     # Positives scored strictly higher than s, and positives/negatives at or above s.
-    tp_at = F.col("pos_before") + F.col("pos")
-    fp_at = F.col("neg_before") + F.col("neg")
-    areas = desc.agg(
-        F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") * F.lit(0.5))).alias("_auc_num"),
-        F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp_at / (tp_at + fp_at))).alias("_ap_num"),
+    tp_at = F.col("pos_before") + pos
+    fp_at = F.col("neg_before") + neg
+    agg = desc.agg(
+        F.coalesce(F.sum(pos), zero).alias("positives"),
+        F.coalesce(F.sum(neg), zero).alias("negatives"),
+        F.coalesce(F.sum(F.when(above, pos)), zero).alias("tp"),
+        F.coalesce(F.sum(F.when(above, neg)), zero).alias("fp"),
+        F.coalesce(F.sum(F.when(~above, neg)), zero).alias("tn"),
+        F.coalesce(F.sum(F.when(~above, pos)), zero).alias("fn"),
+        F.sum(neg * (F.col("pos_before") + pos * F.lit(0.5))).alias("_auc_num"),
+        F.sum(F.when(pos > 0, pos * tp_at / (tp_at + fp_at))).alias("_ap_num"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    precision = F.try_divide(tp, tp + fp)
-    recall = F.try_divide(tp, tp + fn)
-    # Two one-row aggregates side by side: an equi-join on a constant, one row each.
-    one = F.lit(1).alias("_one")
-    both = counts.select("*", one).join(F.broadcast(areas.select("*", one)), "_one")
-    return both.select(
-        *counts.columns,
-        precision.alias("precision"),
-        recall.alias("recall"),
+    return agg.select(
+        "positives",
+        "negatives",
+        "tp",
+        "fp",
+        "tn",
+        "fn",
+        F.try_divide(tp, tp + fp).alias("precision"),
+        F.try_divide(tp, tp + fn).alias("recall"),
         F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"),
         F.try_divide(F.col("_auc_num"), F.col("positives") * F.col("negatives")).alias("roc_auc"),
         F.try_divide(F.col("_ap_num"), F.col("positives")).alias("pr_auc"),

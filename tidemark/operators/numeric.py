@@ -15,6 +15,7 @@ pass as literals, so the percentile work is done once and no join is needed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+import math
 from functools import reduce
 from operator import or_
 
@@ -96,6 +97,32 @@ def _is_outlier(f: T.StructField, lo, hi) -> Column:
     return ~F.isnan(x) & ((x < _lit(lo)) | (x > _lit(hi)))
 
 
+_INTEGRAL_BITS = ((T.ByteType, 7), (T.ShortType, 15), (T.IntegerType, 31), (T.LongType, 63))
+
+
+def _scan_filter(f: T.StructField, lo, hi) -> Column:
+    """A superset of the outlier rows written on the raw column, so Parquet can skip row groups.
+
+    Integral columns compare with integral bounds (x < lo  <=>  x < ceil(lo),
+    clamped to the type's range); floating columns compare directly, and NaN
+    (which Spark orders above +inf) is removed after the scan by the exact test.
+    """
+    c = qcol(f.name)
+    if lo is None or hi is None or math.isnan(lo) or math.isnan(hi):
+        return F.lit(False)
+    for t, bits in _INTEGRAL_BITS:
+        if isinstance(f.dataType, t):
+            tmin, tmax = -(2**bits), 2**bits - 1
+            low = math.ceil(lo) if math.isfinite(lo) else (tmax + 1 if lo > 0 else tmin)
+            high = math.floor(hi) if math.isfinite(hi) else (tmax if hi > 0 else tmin - 1)
+            below = F.lit(False) if low <= tmin else F.lit(True) if low > tmax else c < F.lit(low).cast(f.dataType)
+            above = F.lit(False) if high >= tmax else F.lit(True) if high < tmin else c > F.lit(high).cast(f.dataType)
+            return below | above
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        return (c < F.lit(lo).cast(f.dataType)) | (c > F.lit(hi).cast(f.dataType))
+    return (_x(f) < _lit(lo)) | (_x(f) > _lit(hi))
+
+
 def numeric_summary(
     df: DataFrame,
     key: Key = None,
@@ -131,7 +158,9 @@ def numeric_summary(
             )
         )
     long = spark.createDataFrame(rows, "position int, " + _SUMMARY_SCHEMA.rsplit(", iqr_outliers long", 1)[0])
-    outliers = df.agg(*[F.count_if(_is_outlier(f, lo, hi)).alias(f"_out{i}") for f, _, i, lo, hi, _ in stats])
+    # Only rows that can hold an outlier are read past the scan (row groups skipped by their statistics).
+    candidates = df.where(reduce(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _ in stats]))
+    outliers = candidates.agg(*[F.count_if(_is_outlier(f, lo, hi)).alias(f"_out{i}") for f, _, i, lo, hi, _ in stats])
     out_long = outliers.select(
         explode_structs(
             [
@@ -176,5 +205,6 @@ def numeric_outliers(
     ]
     # Rows without any outlier are dropped before the per-cell explode.
     any_hit = reduce(or_, [_is_outlier(f, lo, hi) for f, _, i, lo, hi, _ in stats])
-    exploded = df.where(any_hit).select(*[qcol(k) for k in keys], explode_structs(cells))
+    scan = reduce(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _ in stats])
+    exploded = df.where(scan).where(any_hit).select(*[qcol(k) for k in keys], explode_structs(cells))
     return exploded.where(F.col("_hit")).select("column", *[qcol(k) for k in keys], "value", "lower_limit", "upper_limit")

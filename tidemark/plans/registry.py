@@ -275,3 +275,50 @@ QUERIES.update(
         "baseline": _baseline,
     }
 )
+
+
+# ---------------------------------------------------------------- lineage (rows-only: paths and hashes)
+from tidemark.sinks import evidence_manifest, fingerprint_files, ingestion_metadata, validation_report  # noqa: E402
+from tidemark.plans.inputs import BASE_TABLES  # noqa: E402
+
+
+def _table_paths(sf):
+    return [f"{sf}/{t}.parquet" for t in BASE_TABLES]
+
+
+def _fingerprints(spark, sf):
+    return fingerprint_files(spark, _table_paths(sf))
+
+
+def _manifest(spark, sf):
+    return evidence_manifest(spark, [*_table_paths(sf), f"{sf}/not_written.parquet"])
+
+
+def _ingestion(spark, sf):
+    census = _census(spark, sf)
+    return ingestion_metadata(
+        census,
+        [f"{sf}/orders.parquet"],
+        None,
+        produced=_table_paths(sf),
+        required_member="orders",
+        ignored_members=[t for t in BASE_TABLES if t != "orders"],
+        run_time=AS_OF,
+        key=CENSUS_KEY,
+    )
+
+
+def _report(spark, sf):
+    census = _census(spark, sf)
+    summary = O.validation_summary(census, CENSUS_KEY, **DATE_KW)
+    return validation_report(summary, O.row_completeness(census, CENSUS_KEY), run_time=AS_OF)
+
+
+QUERIES.update(
+    {
+        "fingerprint_files": _fingerprints,
+        "evidence_manifest": _manifest,
+        "ingestion_metadata": _ingestion,
+        "validation_report": _report,
+    }
+)
