@@ -33,6 +33,7 @@ from tidemark.functions.columns import (
     type_name,
 )
 from tidemark.functions.dates import hours_between, to_timestamp_lenient
+from tidemark.functions.quantiles import quantile_map
 from tidemark.functions.terms import (
     DATE_CONTENT_THRESHOLD,
     DATE_NAME_EXCLUSIONS,
@@ -247,7 +248,6 @@ def temporal_consistency(df: DataFrame, key: Key = None, candidates: Sequence[st
             F.count_if(d == 0).alias(f"_zero{i}"),
             F.min(d).alias(f"_min{i}"),
             F.max(d).alias(f"_max{i}"),
-            F.median(d).alias(f"_med{i}"),
         ]
     structs = [
         F.struct(
@@ -262,6 +262,14 @@ def temporal_consistency(df: DataFrame, key: Key = None, candidates: Sequence[st
         )
         for i, (s, e) in enumerate(pairs)
     ]
+    # Medians by a distributed sort of the differences (one row per pair comes back).
+    diffs = {
+        f"_med{i}": F.when(F.col(mapping[s]).isNotNull() & F.col(mapping[e]).isNotNull(),
+                           hours_between(F.col(mapping[s]), F.col(mapping[e])))
+        for i, (s, e) in enumerate(pairs)
+    }
+    medians = quantile_map(conv, diffs, [0.5])
+    aggs += [F.lit(medians[k][0]).cast("double").alias(k) for k in diffs]
     return conv.agg(*aggs).select(explode_structs(structs))
 
 

@@ -11,9 +11,11 @@ the running sums inside a range use a window over that range only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.prefix import running_totals
+
 RANGES = None  # default: one range per shuffle partition of the session
 
 
@@ -26,27 +28,6 @@ def _score_table(scored: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def running_totals(table: DataFrame, order: Column, cols: list[str], ranges: int | None = RANGES) -> DataFrame:
-    """Add ``{c}_before`` = sum of ``c`` over all rows strictly before each row in ``order``.
-
-    Distributed prefix sum: range partitioning, per-range totals (``ranges`` rows),
-    offsets by a window over those few rows, then a window inside each range.
-    """
-    if ranges is None:
-        ranges = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = table.repartitionByRange(ranges, order).withColumn("_r", F.spark_partition_id())
-    totals = ranged.groupBy("_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_r", *[F.coalesce(F.sum(f"_t_{c}").over(upto), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    inside = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # ``offsets`` has one row per range: a broadcast of proven size.
-    joined = ranged.join(F.broadcast(offsets), "_r")
-    return joined.select(
-        *table.columns,
-        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in cols],
-    )
-
-
 def classification_metrics(
     scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5, ranges: int | None = RANGES
 ) -> DataFrame:

@@ -2,10 +2,10 @@
 
 Moments and percentiles use finite values only; zeros, negatives and outliers
 count every value (NaN never counts: Spark orders NaN above +inf, so it is
-excluded explicitly). Percentiles are exact by default (``percentile``, linear
-interpolation, as pandas); ``approx=True`` switches to ``percentile_approx``,
-whose memory per column is fixed by ``accuracy`` instead of by the number of
-distinct values.
+excluded explicitly). Percentiles are exact by default (linear
+interpolation, as pandas) and computed by a distributed sort
+(``functions.quantiles``), so no task holds a whole column; ``approx=True``
+switches to ``percentile_approx``, one pass with a sketch of fixed size.
 
 Outlier limits need the quartiles first: one aggregate pass is collected (one
 row, a fixed number of values per column) and the limits enter the second
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import as_key_list, explode_structs, is_missing, is_numeric, profiled_fields, qcol
+from tidemark.functions.quantiles import quantile_map
 from tidemark.functions.terms import IQR_FACTOR, PERCENTILES
 
 Key = str | Sequence[str] | None
@@ -44,9 +45,8 @@ def _finite(f: T.StructField) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
-def _quantiles(c: Column, approx: bool, accuracy: int) -> Column:
-    probs = F.array(*[F.lit(p) for p in PERCENTILES])
-    return F.percentile_approx(c, probs, accuracy) if approx else F.percentile(c, probs)
+def _approx_quantiles(c: Column, accuracy: int) -> Column:
+    return F.percentile_approx(c, F.array(*[F.lit(p) for p in PERCENTILES]), accuracy)
 
 
 def _stats(df: DataFrame, fields: Sequence[T.StructField], approx: bool, accuracy: int) -> DataFrame:
@@ -60,7 +60,7 @@ def _stats(df: DataFrame, fields: Sequence[T.StructField], approx: bool, accurac
             F.stddev_samp(fin).alias(f"_sd{i}"),
             F.min(fin).alias(f"_min{i}"),
             F.max(fin).alias(f"_max{i}"),
-            _quantiles(fin, approx, accuracy).alias(f"_q{i}"),
+            (_approx_quantiles(fin, accuracy) if approx else F.lit(None).cast("array<double>")).alias(f"_q{i}"),
             F.count_if(x == 0).alias(f"_zero{i}"),
             F.count_if(x < 0).alias(f"_neg{i}"),
             F.count_if(F.abs(x) == F.lit(float("inf"))).alias(f"_inf{i}"),
@@ -75,14 +75,17 @@ def _collect_stats(df: DataFrame, fields: Sequence[T.StructField], approx: bool,
     computed exactly once.
     """
     row = _stats(df, fields, approx, accuracy).first()
+    # Exact quantiles come from a distributed sort (see functions.quantiles), not a per-column buffer.
+    exact = None if approx else quantile_map(df, {f.name: _finite(f) for f in fields}, PERCENTILES)
     out = []
     for i, f in enumerate(fields):
-        q = row[f"_q{i}"]
+        q = row[f"_q{i}"] if approx else exact[f.name]
+        q = None if q is None or q[0] is None else list(q)
         q1, q3 = (q[2], q[4]) if q is not None else (None, None)
         iqr = q3 - q1 if q1 is not None and q3 is not None else None
         lo = q1 - factor * iqr if iqr is not None else None
         hi = q3 + factor * iqr if iqr is not None else None
-        out.append((f, row, i, lo, hi, iqr))
+        out.append((f, row, i, lo, hi, iqr, q))
     return out
 
 
@@ -137,8 +140,8 @@ def numeric_summary(
         return spark.createDataFrame([], _SUMMARY_SCHEMA)
     stats = _collect_stats(df, fields, approx, accuracy, factor)
     rows = []
-    for f, row, i, lo, hi, iqr in stats:
-        q = row[f"_q{i}"] or [None] * len(_PCT_NAMES)
+    for f, row, i, lo, hi, iqr, q in stats:
+        q = q or [None] * len(_PCT_NAMES)
         rows.append(
             (
                 i + 1,
@@ -159,13 +162,13 @@ def numeric_summary(
         )
     long = spark.createDataFrame(rows, "position int, " + _SUMMARY_SCHEMA.rsplit(", iqr_outliers long", 1)[0])
     # Only rows that can hold an outlier are read past the scan (row groups skipped by their statistics).
-    candidates = df.where(reduce(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _ in stats]))
-    outliers = candidates.agg(*[F.count_if(_is_outlier(f, lo, hi)).alias(f"_out{i}") for f, _, i, lo, hi, _ in stats])
+    candidates = df.where(reduce(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _, _ in stats]))
+    outliers = candidates.agg(*[F.count_if(_is_outlier(f, lo, hi)).alias(f"_out{i}") for f, _, i, lo, hi, _, _ in stats])
     out_long = outliers.select(
         explode_structs(
             [
                 F.struct(F.lit(f.name).alias("column"), F.col(f"_out{i}").alias("iqr_outliers"))
-                for f, _, i, _, _, _ in stats
+                for f, _, i, _, _, _, _ in stats
             ]
         )
     )
@@ -201,10 +204,10 @@ def numeric_outliers(
             _lit(lo).alias("lower_limit"),
             _lit(hi).alias("upper_limit"),
         )
-        for f, _, i, lo, hi, _ in stats
+        for f, _, i, lo, hi, _, _ in stats
     ]
     # Rows without any outlier are dropped before the per-cell explode.
-    any_hit = reduce(or_, [_is_outlier(f, lo, hi) for f, _, i, lo, hi, _ in stats])
-    scan = reduce(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _ in stats])
+    any_hit = reduce(or_, [_is_outlier(f, lo, hi) for f, _, i, lo, hi, _, _ in stats])
+    scan = reduce(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _, _ in stats])
     exploded = df.where(scan).where(any_hit).select(*[qcol(k) for k in keys], explode_structs(cells))
     return exploded.where(F.col("_hit")).select("column", *[qcol(k) for k in keys], "value", "lower_limit", "upper_limit")
