@@ -31,15 +31,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a scratch folder created.
+    Only a local session (tests, the bench) without the setting gets a scratch
+    folder; on a cluster the setting is required, never a machine-local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not is_local(spark):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     local = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -68,15 +75,17 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession | None = None) -> None:
     """Make this package importable by Python workers (once per Spark application).
 
-    Python UDFs pickle their module by reference; executors import it. When the
-    package is not installed on the executors, a zip of it is sent with
-    ``addPyFile``, Spark's own distribution path for Python code.
+    Python UDFs pickle their module by reference; executors import it. In a
+    local session whose workers cannot import it, a zip is sent with
+    ``addPyFile``. On a cluster nothing is written: the package is installed on
+    the executors or passed with ``--py-files``.
     """
     import pathlib
     import zipfile
 
     spark = spark or SparkSession.getActiveSession()
-    if spark is None:
+    if spark is None or not is_local(spark):
+        # On a cluster the package is installed on the executors or passed with --py-files.
         return
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
