@@ -79,7 +79,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if name == "messy_orders":
             text = text.replace('"', "`")
         return spark.sql(text, **tables)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return sized(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it has fewer splits than task slots.
+
+    A small table stored as one Parquet row group scans in one task, so every
+    per-row step before the first shuffle would run on one core. Large inputs
+    already have many more splits than slots, and then this is a no-op.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
 
 
 def duckdb_view(name: str) -> str:
