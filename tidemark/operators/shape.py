@@ -133,6 +133,7 @@ def identifier_candidates(
             F.sum(F.when(F.col("v").rlike(ALNUM_ID), n).otherwise(0)).alias("_an"),
             F.min(ln).alias("min_length"),
             F.max(ln).alias("max_length"),
+            # Weighted by frequency over distinct texts; its buffer holds distinct *lengths* only.
             F.percentile(ln, F.lit(0.5), n).alias("median_length"),
         )
     # Every side holds at most one row per column: broadcasts of proven size.
