@@ -17,9 +17,12 @@ from pyspark.sql import types as T
 from tidemark import operators as O
 from tidemark.functions.columns import qcol
 from tidemark.functions.text import category_key, fold_text
-from tidemark.plans.inputs import table
-from tidemark.sinks import stringify_mixed
-from tidemark.sources import nullify_markers
+from tidemark.operators import metrics as M
+from tidemark.operators import outcome as OC
+from tidemark.plans import modeling as ML
+from tidemark.plans.inputs import BASE_TABLES, table
+from tidemark.sinks import evidence_manifest, fingerprint_files, ingestion_metadata, stringify_mixed, validation_report
+from tidemark.sources import infer_types, list_members, nullify_markers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -182,10 +185,6 @@ QUERIES: dict[str, Query] = {
 
 
 # ---------------------------------------------------------------- tier 2 and sources
-from tidemark.operators import metrics as M  # noqa: E402
-from tidemark.operators import outcome as OC  # noqa: E402
-from tidemark.plans import modeling as ML  # noqa: E402
-from tidemark.sources import infer_types, list_members  # noqa: E402
 
 
 def _stay_hours(spark, sf):
@@ -278,8 +277,6 @@ QUERIES.update(
 
 
 # ---------------------------------------------------------------- lineage (rows-only: paths and hashes)
-from tidemark.sinks import evidence_manifest, fingerprint_files, ingestion_metadata, validation_report  # noqa: E402
-from tidemark.plans.inputs import BASE_TABLES  # noqa: E402
 
 
 def _table_paths(sf):
