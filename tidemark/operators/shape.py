@@ -1,9 +1,10 @@
 """Column shape: inventory, identifier candidates, empty / constant columns.
 
 Scalar metrics come from one wide aggregate per call (exact ``count_distinct``
-by default, HyperLogLog++ with ``approx=True``). The dominant-value share of a
-column needs value frequencies; those are computed only for columns that are
-neither empty, constant nor all-distinct, which one bounded action decides.
+by default, HyperLogLog++ with ``approx=True``). Empty / constant / dominated
+columns read one (column, value, n) frequency table, combined map-side; with
+``approx=True`` distinct counts come from HyperLogLog++ first and frequencies
+are counted only for columns that can be dominated.
 """
 
 from __future__ import annotations
@@ -219,6 +220,8 @@ def empty_constant_columns(
     fields = [f for f in profiled_fields(df, key) if _groupable(f)]
     if not fields:
         return df.sparkSession.createDataFrame([], _EMPTY_CONSTANT_SCHEMA)
+    if not approx:
+        return _shape_from_frequencies(df, fields, low_variability_max, dominant_share)
     aggs = []
     for i, f in enumerate(fields):
         aggs += [
@@ -259,6 +262,30 @@ def empty_constant_columns(
     )
 
 
+def _shape_from_frequencies(
+    df: DataFrame, fields: Sequence[T.StructField], low_variability_max: int, dominant_share: float
+) -> DataFrame:
+    """Exact path, one plan: the (column, value, n) table gives non-null, distinct and top counts."""
+    per_column = _value_frequencies(df, fields).groupBy("column").agg(
+        F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("distinct"), F.max("n").alias("top_n")
+    )
+    names = df.sparkSession.createDataFrame([(i + 1, f.name) for i, f in enumerate(fields)], "position int, column string")
+    # Both sides hold at most one row per column.
+    joined = names.join(F.broadcast(per_column), "column", "left")
+    zero = F.lit(0).cast("long")
+    nn, d = F.coalesce(F.col("non_null"), zero), F.coalesce(F.col("distinct"), zero)
+    share = pct(F.coalesce(F.col("top_n"), zero), nn)
+    return joined.orderBy("position").select(
+        "column",
+        (nn == 0).alias("is_empty"),
+        (d == 1).alias("single_value"),
+        ((d > 1) & (d <= low_variability_max)).alias("low_variability"),
+        (share > dominant_share).alias("dominant_over_95"),
+        d.alias("distinct_non_null"),
+        share.alias("dominant_pct"),
+    )
+
+
 _EMPTY_CONSTANT_SCHEMA = (
     "column string, is_empty boolean, single_value boolean, low_variability boolean, "
     "dominant_over_95 boolean, distinct_non_null long, dominant_pct double"
