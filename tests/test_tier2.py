@@ -103,3 +103,28 @@ def test_baseline_and_compare(spark):
     assert base[("majority", "train")].roc_auc == 0.5
     results, best = ML.compare_models(train, valid, ["x"], "y")
     assert results.count() == 3 and best is not None
+
+
+def test_evaluate_calibrate_explain_report(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(800):
+        x = rng.random()
+        rows.append((i, x, rng.random(), int(x + rng.random() * 0.3 > 0.65), "a" if i % 2 else "b"))
+    df = spark.createDataFrame(rows, "id long, x double, noise double, y int, g string")
+    split = ML.assign_split(df, "id")
+    train, valid, test = (split.where(f"split = '{s}'") for s in ("train", "validation", "test"))
+    _, best = ML.compare_models(train, valid, ["x", "noise"], "y")
+    overall, by_group = ML.evaluate_test(best, test, ["x", "noise"], "y", subgroup="g")
+    o = overall.first()
+    assert o.roc_auc > 0.8 and o.tp + o.fp + o.tn + o.fn == test.count()
+    assert {r.subgroup for r in by_group.collect()} == {"a", "b"}
+    scored = best.transform(ML._cast(test, ["x", "noise"], "y", "classification")).select("y", ML._p1("probability").alias("score"), "g")
+    cal = ML.calibration(scored, "y", "score", bins=5).collect()
+    assert sum(r.rows for r in cal) == test.count() and len(cal) <= 5
+    effects = ML.subgroup_effects(scored, "g", "y", k_min=1).collect()
+    assert {r.g for r in effects} == {"a", "b"}
+    imp = {r.feature: r.importance for r in ML.permutation_importance(best, test, ["x", "noise"], "y", "id").collect()}
+    assert imp["x"] > imp["noise"]
+    report = ML.summary_report({"test": overall, "calibration": spark.createDataFrame(cal)}).collect()
+    assert {r.section for r in report} == {"test", "calibration"} and all(r.rows.startswith("[") for r in report)

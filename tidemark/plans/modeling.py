@@ -177,9 +177,11 @@ def compare_models(
 def calibration(scored: DataFrame, label: str, score: str = "score", bins: int = 10) -> DataFrame:
     """Mean score and observed rate per score decile (cut points by approximate quantiles)."""
     probs = [i / bins for i in range(1, bins)]
-    cuts = scored.agg(F.percentile_approx(score, probs, 10000).alias("c")).select("c").scalar()
-    # Number of cut points at or below the score = its bin (0..bins-1); the cut array is fixed-size.
-    b = F.size(F.filter(cuts, lambda c: c <= F.col(score)))
+    # ``bins - 1`` cut points: a fixed-size row, collected and used as a literal array.
+    cuts = scored.agg(F.percentile_approx(score, probs, 10000).alias("c")).first()["c"] or []
+    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    # Number of cut points at or below the score = its bin (0..bins-1).
+    b = F.size(F.filter(edges, lambda c: c <= F.col(score)))
     return scored.groupBy(b.alias("bin")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(score).alias("mean_score"), F.avg(qcol(label).cast("double")).alias("observed_rate")
     )
