@@ -222,14 +222,22 @@ def evaluate_test(
 
 
 # ---------------------------------------------------------------- L9 explanation
-def permute_column(df: DataFrame, column: str, row_key: str | Sequence[str], seed: int = SEED, buckets: int = 1024) -> DataFrame:
+ROWS_PER_BUCKET = 1_000_000
+
+
+def permute_column(
+    df: DataFrame, column: str, row_key: str | Sequence[str], seed: int = SEED, buckets: int | None = None
+) -> DataFrame:
     """The frame with ``column`` randomly permuted among rows of the same hashed bucket.
 
-    Rows are spread over ``buckets`` by a hash of the row key; inside a bucket
+    Rows are spread over buckets by a hash of the row key; inside a bucket
     values and rows are ranked in two independent random orders and matched by
-    rank. Windows are per bucket, so no task holds more than about 1/buckets of
-    the rows.
+    rank. By default the bucket count follows the row count (about
+    ``ROWS_PER_BUCKET`` rows each), so a window task never holds more than a
+    bucket, whatever the table size.
     """
+    if buckets is None:
+        buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
     k = [qcol(c) for c in keys]
     bucket = F.pmod(F.xxhash64(F.lit(seed), *k), F.lit(buckets))
