@@ -6,12 +6,12 @@ the work is a sort, done the Spark way:
 
 1. ``(column, value) -> n``: a ``groupBy`` with map-side combining (a value
    held by a third of the rows is one row per map task);
-2. global ranks: the distinct values are range-partitioned by
-   ``(column, value)``; each range gets the counts of the ranges before it
-   (one row per range) and running sums stay inside a range;
-3. each requested order statistic is picked by a join with a target table of
-   a few rows per column (a broadcast of proven size), matching the distinct
-   value whose rank interval holds the target rank.
+2. the distinct values are range-partitioned by ``(column, value)``;
+   counts per (range, column) give the first rank of each range in its
+   column, and so the range that holds each requested rank;
+3. only the ranges that hold a requested rank are ranked inside (a window
+   per range), and the order statistics are picked there. The tables joined
+   back have a few rows per requested rank (broadcasts of proven size).
 
 The result equals linear interpolation between the order statistics at
 ``floor(h)`` and ``ceil(h)`` with ``h = p * (N - 1)``, as pandas and Spark's
@@ -25,7 +25,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.prefix import running_totals
 
 
 def exact_quantiles(
@@ -36,46 +35,57 @@ def exact_quantiles(
     Columns with no value give no rows.
     """
     names = list(values)
+    if ranges is None:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     cells = df.select(
         F.inline(F.array(*[F.struct(F.lit(n).alias("column"), values[n].cast("double").alias("v")) for n in names]))
     ).where(F.col("v").isNotNull())
     freq = cells.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(freq, F.struct("column", "v"), ["n"], ranges)
-    # Rank of the first copy of each value inside its column: subtract the counts of earlier columns.
-    totals = freq.groupBy("column").agg(F.sum("n").alias("total"))
-    before = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("column", "total", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_offset"))
-    targets = offsets.select(
+    ranged = freq.repartitionByRange(ranges, "column", "v").withColumn("_r", F.spark_partition_id())
+    # Counts per (range, column): a few rows per range. Offsets give each range's first rank in its column.
+    per_range = ranged.groupBy("column", "_r").agg(F.sum("n").alias("cnt"))
+    earlier = Window.partitionBy("column").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("column")
+    spans = per_range.select(
         "column",
-        "_offset",
+        "_r",
+        "cnt",
+        F.coalesce(F.sum("cnt").over(earlier), F.lit(0)).alias("first_rank"),
+        F.sum("cnt").over(whole).alias("total"),
+    )
+    targets = spans.select(
+        "column",
+        "_r",
+        "cnt",
+        "first_rank",
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(i).alias("idx"), F.lit(p).alias("prob"), (F.lit(p) * (F.col("total") - 1)).alias("h"))
-                    for i, p in enumerate(probs)
+                    F.struct(F.lit(p).alias("prob"), (F.lit(p) * (F.col("total") - 1)).alias("h"))
+                    for p in probs
                 ]
             )
         ),
-    ).select(
-        "column",
-        "_offset",
-        "idx",
-        "prob",
-        "h",
-        F.floor("h").cast("long").alias("lo_rank"),
-        F.ceil("h").cast("long").alias("hi_rank"),
     )
-    # The target table has len(probs) rows per column: a broadcast of proven size.
-    start = F.col("n_before") - F.col("_offset")
-    hit = ranked.join(F.broadcast(targets), "column").where(
-        ((F.col("lo_rank") >= start) & (F.col("lo_rank") < start + F.col("n")))
-        | ((F.col("hi_rank") >= start) & (F.col("hi_rank") < start + F.col("n")))
+    lo_rank, hi_rank = F.floor("h").cast("long"), F.ceil("h").cast("long")
+    in_range = lambda r: (r >= F.col("first_rank")) & (r < F.col("first_rank") + F.col("cnt"))
+    # Target ranks and the ranges that hold them: at most 2 * len(probs) rows per column.
+    needed = targets.where(in_range(lo_rank) | in_range(hi_rank)).select(
+        "column", "_r", "first_rank", "prob", "h", lo_rank.alias("lo_rank"), hi_rank.alias("hi_rank")
     )
-    lo_in = (F.col("lo_rank") >= start) & (F.col("lo_rank") < start + F.col("n"))
-    hi_in = (F.col("hi_rank") >= start) & (F.col("hi_rank") < start + F.col("n"))
-    picked = hit.groupBy("column", "idx", "prob", "h", "lo_rank", "hi_rank").agg(
-        F.max(F.when(lo_in, F.col("v"))).alias("lo_v"),
-        F.max(F.when(hi_in, F.col("v"))).alias("hi_v"),
+    # Only rows of those ranges are ranked; the broadcast side is bounded by the target count.
+    hold = ranged.join(F.broadcast(needed.select("column", "_r").distinct()), ["column", "_r"], "left_semi")
+    inside = Window.partitionBy("column", "_r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    local = hold.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    hit = local.join(F.broadcast(needed), ["column", "_r"])
+    start = F.col("first_rank") + F.col("_before")
+    covers = lambda r: (F.col(r) >= start) & (F.col(r) < start + F.col("n"))
+    picked = (
+        hit.where(covers("lo_rank") | covers("hi_rank"))
+        .select("column", "prob", "h", "lo_rank", "hi_rank", F.when(covers("lo_rank"), F.col("v")).alias("lo_v"),
+                F.when(covers("hi_rank"), F.col("v")).alias("hi_v"))
+        .groupBy("column", "prob", "h", "lo_rank", "hi_rank")
+        .agg(F.max("lo_v").alias("lo_v"), F.max("hi_v").alias("hi_v"))
     )
     h, lo_r, hi_r = F.col("h"), F.col("lo_rank"), F.col("hi_rank")
     value = (

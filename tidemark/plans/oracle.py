@@ -80,7 +80,8 @@ def cnt(cond: str) -> str:
 
 
 def rnd(x: str) -> str:
-    return f"round({x}, {R})"
+    # Snap float noise at 12 decimals first, as registry.rounded does.
+    return f"round(round({x}, 12), {R})"
 
 
 def fold(x: str) -> str:
