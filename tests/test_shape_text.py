@@ -85,3 +85,9 @@ def test_classify_variables(quality_small):
     assert c["id_paciente"].proposed_group == "identificacion"
     assert c["fecha_salida"].alternative_groups == "temporales | salida"
     assert c["numero"].proposed_group == "otras" and c["numero"].needs_review
+
+
+def test_empty_constant_approx_agrees_on_small_data(quality_small):
+    exact = {r.column: tuple(r) for r in O.empty_constant_columns(quality_small, K).collect()}
+    approx = {r.column: tuple(r) for r in O.empty_constant_columns(quality_small, K, approx=True).collect()}
+    assert exact == approx

@@ -140,3 +140,36 @@ def _csv_safe(df: DataFrame) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def main(argv: Sequence[str] | None = None) -> None:
+    """``spark-submit -m``-style entry: profile one table into an output folder."""
+    import argparse
+
+    from tidemark.session import configure
+
+    parser = argparse.ArgumentParser(description="Profile a table and write the evidence tables.")
+    parser.add_argument("source", help="Parquet path, or a folder of headed delimited text with --headed")
+    parser.add_argument("out_dir", help="shared output folder")
+    parser.add_argument("--key", action="append", help="row-key column (repeat for several)")
+    parser.add_argument("--headed", action="store_true", help="source is delimited text with a title row")
+    parser.add_argument("--header-row", type=int, default=1)
+    parser.add_argument("--earliest", default=EARLIEST_DATE)
+    parser.add_argument("--approx", action="store_true", help="sketches instead of exact distincts/quantiles")
+    args = parser.parse_args(argv)
+    spark = configure(SparkSession.builder.appName("tidemark-profile").getOrCreate())
+    tables = run_profile(
+        spark,
+        args.source,
+        args.out_dir,
+        key=args.key,
+        source_format="headed_text" if args.headed else "parquet",
+        header_row=args.header_row,
+        earliest=args.earliest,
+        approx=args.approx,
+    )
+    tables["validation_summary"].orderBy(F.col("position").cast("int")).show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()
