@@ -748,6 +748,13 @@ def list_members_sql() -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"({lit(n)})" for n in TABLE_NAMES) + ") AS v(name)"
 
 
+def headed_round_trip_sql() -> str:
+    # Empty text reads back as null, then every column takes the narrowest type its values allow.
+    return f"""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(id_cliente AS BIGINT) AS id_cliente, estado,
+       {rnd('CAST(valor_total AS DOUBLE)')} AS valor_total, NULLIF(prioridad, '') AS prioridad, constante, vacia,
+       fecha_ingreso, CAST(fecha_salida AS TIMESTAMP) AS fecha_salida FROM {CENSUS} AS t"""
+
+
 def oracles() -> dict[str, str]:
     census, cc = CENSUS, CENSUS_COLS
     docs = "(SELECT doc_id, text, lang FROM documents)"
@@ -813,4 +820,5 @@ def oracles() -> dict[str, str]:
         "clean_report": clean_report_sql(),
         "infer_types": infer_types_sql(),
         "list_members": list_members_sql(),
+        "read_headed_table": headed_round_trip_sql(),
     }

@@ -21,8 +21,16 @@ from tidemark.operators import metrics as M
 from tidemark.operators import outcome as OC
 from tidemark.plans import modeling as ML
 from tidemark.plans.inputs import BASE_TABLES, table
-from tidemark.sinks import evidence_manifest, fingerprint_files, ingestion_metadata, stringify_mixed, validation_report
-from tidemark.sources import infer_types, list_members, nullify_markers
+from tidemark.sinks import (
+    evidence_manifest,
+    fingerprint_files,
+    ingestion_metadata,
+    stringify_mixed,
+    validation_report,
+    write_headed_text,
+)
+from tidemark.session import checkpoint_dir
+from tidemark.sources import infer_types, list_members, nullify_markers, read_headed_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -327,3 +335,16 @@ QUERIES.update(
         "validation_report": _report,
     }
 )
+
+
+def _headed_round_trip(spark, sf):
+    """Census written as headed text (title row first) in the shared scratch folder, read back and typed."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/headed-{uuid.uuid4().hex}"
+    write_headed_text(_census(spark, sf), folder, title="Census export")
+    typed = infer_types(nullify_markers(read_headed_table(spark, folder, header_row=1)))
+    return rounded(typed)
+
+
+QUERIES["read_headed_table"] = _headed_round_trip

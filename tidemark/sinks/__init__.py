@@ -195,3 +195,37 @@ __all__ = [
 ]
 
 
+
+
+def write_headed_text(df: DataFrame, path: str, title: str, delimiter: str = ",") -> str:
+    """Write delimited text with a title line and a header line at the top of every part file.
+
+    Each partition formats its own rows (``mapInPandas`` with the csv module) and
+    ``write.text`` keeps them in order, one file per partition; nothing passes
+    through one task or the driver.
+    """
+    names = list(df.columns)
+
+    def lines(batches):
+        import csv
+        import io
+
+        import pandas as pd
+
+        first = True
+        for pdf in batches:
+            out = io.StringIO()
+            w = csv.writer(out, delimiter=delimiter, lineterminator="\n")
+            if first:
+                out.write(title + "\n")
+                w.writerow(names)
+                first = False
+            for row in pdf.itertuples(index=False, name=None):
+                w.writerow(["" if v is None or (isinstance(v, float) and v != v) else v for v in row])
+            text = out.getvalue()
+            if text:
+                yield pd.DataFrame({"value": [text.rstrip("\n")]})
+
+    as_text = df.select(*[qcol(c).cast("string").alias(c) for c in names])
+    as_text.mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+    return path

@@ -4,8 +4,9 @@ Spark's CSV reader cannot skip a per-file number of leading lines, so this is
 a small Python data source: one input partition per file, the first
 ``header_row`` lines of each file skipped, names taken from line
 ``header_row``, every value read as text (types come later, see
-``tidemark.sources.markers.infer_types``). Files are opened through
-``pyarrow.fs`` so local, HDFS and object-store paths work alike.
+``tidemark.sources.infer_types``). Files are opened through ``pyarrow.fs``
+(local, HDFS and object stores alike) and parsed by ``pyarrow.csv`` into Arrow
+batches.
 """
 
 from __future__ import annotations
@@ -80,12 +81,42 @@ class HeadedTextReader(DataSourceReader):
         self.delimiter = options.get("delimiter", ",")
         self.encoding = options.get("encoding", "utf-8")
         self.width = len(schema.fields)
+        self.names = [f.name for f in schema.fields]
 
     def partitions(self):
         return [_FilePartition(p) for p in _files(self.path)]
 
     def read(self, partition):
-        rows = csv.reader(_lines(partition.path, self.encoding), delimiter=self.delimiter)
+        """Arrow batches parsed by ``pyarrow.csv``; ragged files fall back to row-wise parsing (rows padded, never dropped)."""
+        import pyarrow as pa
+        from pyarrow import csv as pacsv
+        from pyarrow import fs
+
+        filesystem, inner = (
+            fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
+        )
+        try:
+            with filesystem.open_input_stream(inner) as raw:
+                table = pacsv.read_csv(
+                    raw,
+                    read_options=pacsv.ReadOptions(
+                        skip_rows=self.header_row + 1, column_names=self.names, encoding=self.encoding
+                    ),
+                    parse_options=pacsv.ParseOptions(delimiter=self.delimiter),
+                    convert_options=pacsv.ConvertOptions(
+                        column_types={n: pa.string() for n in self.names},
+                        null_values=[""],
+                        strings_can_be_null=True,
+                        quoted_strings_can_be_null=True,
+                    ),
+                )
+        except pa.ArrowInvalid:
+            yield from self._read_rows(partition.path)
+            return
+        yield from table.to_batches()
+
+    def _read_rows(self, path: str):
+        rows = csv.reader(_lines(path, self.encoding), delimiter=self.delimiter)
         for i, row in enumerate(rows):
             if i <= self.header_row or not row:
                 continue
