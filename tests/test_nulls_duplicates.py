@@ -80,3 +80,12 @@ def test_repartition_does_not_change_results(quality_small):
     a = sorted(O.nulls_by_column(quality_small, K).collect())
     b = sorted(O.nulls_by_column(quality_small.repartition(3), K).collect())
     assert a == b
+
+
+def test_fingerprint_prefilter_keeps_grouping_semantics(spark):
+    # -0.0 groups with 0.0, and NaN with NaN, exactly as Spark's grouping does.
+    df = spark.createDataFrame(
+        [(0.0, "a"), (-0.0, "a"), (float("nan"), "b"), (float("nan"), "b"), (1.0, "c")], "x double, s string"
+    )
+    d = O.exact_duplicates(df).first()
+    assert (d.duplicate_rows, d.duplicate_groups, d.largest_group) == (4, 2, 2)
