@@ -91,3 +91,10 @@ def test_empty_constant_approx_agrees_on_small_data(quality_small):
     exact = {r.column: tuple(r) for r in O.empty_constant_columns(quality_small, K).collect()}
     approx = {r.column: tuple(r) for r in O.empty_constant_columns(quality_small, K, approx=True).collect()}
     assert exact == approx
+
+
+def test_type_profile_variant_mixed(spark):
+    df = spark.createDataFrame([(0, "1"), (1, '"dos"'), (2, "3"), (3, None)], "k long, j string")
+    v = df.select("k", __import__("pyspark.sql.functions", fromlist=["parse_json"]).parse_json("j").alias("mixto"))
+    t = {r.column: r for r in O.type_profile(v, "k").collect()}
+    assert t["mixto"].all_types == "int, str" and t["mixto"].mixed and t["mixto"].is_object

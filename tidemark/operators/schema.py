@@ -111,6 +111,26 @@ def text_class(c: Column) -> Column:
     )
 
 
+def variant_class(c: Column) -> Column:
+    """Per-value class of a VARIANT value from ``schema_of_variant``, named like the Python type."""
+    t = F.upper(F.schema_of_variant(c))
+    return (
+        F.when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int"))
+        .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), F.lit("float"))
+        .when(t == "BOOLEAN", F.lit("bool"))
+        .when(t == "DATE", F.lit("date"))
+        .when(t.startswith("TIMESTAMP"), F.lit("datetime"))
+        .when(t.startswith("OBJECT"), F.lit("dict"))
+        .when(t.startswith("ARRAY"), F.lit("list"))
+        .when(t == "STRING", F.lit("str"))
+        .otherwise(F.lower(t))
+    )
+
+
+def _is_variant(field: T.StructField) -> bool:
+    return field.dataType.typeName() == "variant"
+
+
 def type_profile(df: DataFrame, key: Key = None, sample: int = 100) -> DataFrame:
     """Per column: type flags, classes in the first ``sample`` values and in all values, mixed flag.
 
@@ -120,8 +140,8 @@ def type_profile(df: DataFrame, key: Key = None, sample: int = 100) -> DataFrame
     """
     keys = as_key_list(key)
     fields = profiled_fields(df, key)
-    texts = [f for f in fields if is_string(f)]
-    typed = [f for f in fields if not is_string(f)]
+    texts = [f for f in fields if is_string(f) or _is_variant(f)]
+    typed = [f for f in fields if not (is_string(f) or _is_variant(f))]
     spark = df.sparkSession
     flags = spark.createDataFrame(
         [
@@ -134,7 +154,7 @@ def type_profile(df: DataFrame, key: Key = None, sample: int = 100) -> DataFrame
                 isinstance(f.dataType, T.BooleanType),
                 is_datetime(f),
                 not (is_numeric(f, include_bool=True) or is_datetime(f)),
-                None if is_string(f) else _py_name(f),
+                None if is_string(f) or _is_variant(f) else _py_name(f),
             )
             for i, f in enumerate(fields)
         ],
@@ -160,11 +180,21 @@ def type_profile(df: DataFrame, key: Key = None, sample: int = 100) -> DataFrame
             )
         )
     if texts:
+        # Text is classed lexically, VARIANT by its own per-value type; both become (column, value, class).
         cells = df.select(
             *[qcol(k) for k in keys],
-            explode_structs([F.struct(F.lit(f.name).alias("column"), qcol(f.name).alias("value")) for f in texts]),
+            explode_structs(
+                [
+                    F.struct(
+                        F.lit(f.name).alias("column"),
+                        qcol(f.name).cast("string").alias("value"),
+                        (variant_class(qcol(f.name)) if _is_variant(f) else text_class(qcol(f.name))).alias("class"),
+                    )
+                    for f in texts
+                ]
+            ),
         ).where(F.col("value").isNotNull())
-        classed = cells.withColumn("class", text_class(F.col("value")))
+        classed = cells
         all_classes = classed.groupBy("column").agg(F.array_sort(F.collect_set("class")).alias("_all"))
         order = [qcol(k) for k in keys] + [F.col("value")]
         first = classed.withColumn("_rn", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
