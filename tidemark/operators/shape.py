@@ -23,7 +23,6 @@ from tidemark.functions.columns import (
     pct,
     present,
     profiled_fields,
-    qcol,
     type_name,
 )
 from tidemark.functions.terms import (
