@@ -110,3 +110,36 @@ def textual_nulls(df: DataFrame, key: Key = None, tokens: Sequence[str] = TEXT_N
     folded = folded_values(df, fields).withColumn("token", F.upper(F.col("folded")))
     hits = folded.where(F.col("token").isin(list(tokens)))
     return hits.groupBy("column", "token").agg(F.sum("n").alias("count"))
+
+
+def text_issue_total(df: DataFrame, key: Key = None, tokens: Sequence[str] = TEXT_NULL_TOKENS) -> DataFrame:
+    """One row, ``affected``: all text-defect counters plus textual-null cells (the summary's text check).
+
+    Spelling groups and null markers share one folded table, so the fold runs
+    once per distinct value.
+    """
+    fields = string_fields(df, key)
+    zero = F.lit(0).cast("long")
+    if not fields:
+        return df.sparkSession.range(1).select(zero.alias("affected"))
+    row_counts = []
+    for f in fields:
+        c = qcol(f.name)
+        row_counts += [
+            F.count_if(c.rlike("^" + WS)),
+            F.count_if(c.rlike(WS + "\\z")),
+            F.count_if(c.rlike(WS + "{2}")),
+            F.count_if(c == ""),
+            F.count_if(c.rlike("^" + WS + "+\\z")),
+            F.count_if(c.rlike(NON_PRINTABLE)),
+        ]
+    counters = df.agg(sum(row_counts, zero).alias("_rows"))
+    # One pipeline over the folded groups: spelling groups and marker cells in a single aggregate.
+    by_fold = folded_values(df, fields).groupBy("column", "folded").agg(
+        F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("cells")
+    )
+    is_marker = F.upper(F.col("folded")).isin(list(tokens))
+    fold_issues = by_fold.agg(
+        (F.count_if(F.col("spellings") > 1) + F.coalesce(F.sum(F.when(is_marker, F.col("cells"))), zero)).alias("_f")
+    )
+    return counters.select((F.col("_rows") + fold_issues.select("_f").scalar()).alias("affected"))
