@@ -143,7 +143,7 @@ def _csv_safe(df: DataFrame) -> DataFrame:
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    """``spark-submit -m``-style entry: profile one table into an output folder."""
+    """Command-line entry (``spark-submit tidemark/plans/profile.py SOURCE OUT_DIR``)."""
     import argparse
 
     from tidemark.session import configure
