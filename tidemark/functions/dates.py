@@ -50,7 +50,9 @@ def to_timestamp_lenient(col: Column, data_type: T.DataType = T.StringType()) ->
     slashed = s.rlike(YEAR_LAST_SLASH)
     month_first = F.when(slashed, _ymd(y, a, b))
     day_first = F.when(slashed, _ymd(y, b, a))
-    return F.coalesce(iso, compact, year_first, month_first, day_first)
+    # Every accepted layout starts with a digit: other text skips the regex work.
+    first = F.substring(s, 1, 1)
+    return F.when((first >= F.lit("0")) & (first <= F.lit("9")), F.coalesce(iso, compact, year_first, month_first, day_first))
 
 
 def hours_between(start: Column, end: Column) -> Column:
