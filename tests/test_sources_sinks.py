@@ -78,3 +78,16 @@ def test_run_profile_end_to_end(spark, tmp_path, quality_small):
     assert manifest.where(F.col("exists") == "false").count() == 0
     meta = spark.read.json(str(tmp_path / "out/metrics/ingestion_metadata.json")).first()
     assert meta.rows == 4 and meta.null_cells == 6
+
+
+def test_profile_approx_mode_runs_every_table(quality_small):
+    import datetime as dt
+
+    from tidemark.plans.profile import profile
+
+    tables = profile(quality_small, key="row_key", as_of=dt.datetime(2026, 1, 1), approx=True)
+    assert len(tables) == 29
+    for name, table in tables.items():
+        table.collect()
+    ids = {r.column for r in tables["identifiers"].collect()}
+    assert {"id_paciente", "fecha_ingreso", "fecha_salida"} <= ids
