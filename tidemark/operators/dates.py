@@ -101,7 +101,13 @@ def date_profile(
     aggs = []
     for i, f in enumerate(fields):
         conv = converted(f)
-        hits = F.count_if(as_text(f).rlike(DATE_OR_TIME_HINT)) if _content_eligible(f) else F.lit(0).cast("long")
+        if is_datetime(f):
+            # A date or timestamp renders as yyyy-MM-dd[ HH:mm:ss]: every informed value matches the hint.
+            hits = F.count_if(~is_missing(f))
+        elif _content_eligible(f):
+            hits = F.count_if(as_text(f).rlike(DATE_OR_TIME_HINT))
+        else:
+            hits = F.lit(0).cast("long")
         aggs += [
             F.count_if(~is_missing(f)).alias(f"_nn{i}"),
             hits.alias(f"_hit{i}"),
