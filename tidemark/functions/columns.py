@@ -6,7 +6,6 @@ Everything here builds JVM-side ``Column`` expressions; no Python runs per row.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -79,10 +78,25 @@ def pct(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num, den) * F.lit(100.0), F.lit(0.0))
 
 
+def balanced(op, items: Sequence[Column], empty: Column | None = None) -> Column:
+    """Combine many columns with ``op`` as a balanced tree (depth log2 n, not n).
+
+    A left-deep chain over hundreds of columns overflows the JVM stack during
+    analysis; a balanced tree does not.
+    """
+    items = list(items)
+    if not items:
+        if empty is None:
+            raise ValueError("nothing to combine")
+        return empty
+    while len(items) > 1:
+        items = [op(items[i], items[i + 1]) if i + 1 < len(items) else items[i] for i in range(0, len(items), 2)]
+    return items[0]
+
+
 def missing_count_per_row(fields: Iterable[T.StructField]) -> Column:
     """Number of missing cells in the row, over the given fields."""
-    flags = [is_missing(f).cast("int") for f in fields]
-    return reduce(add, flags) if flags else F.lit(0)
+    return balanced(add, [is_missing(f).cast("int") for f in fields], F.lit(0))
 
 
 def as_text(field: T.StructField) -> Column:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Sequence
-from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +22,7 @@ from tidemark.functions.columns import (
     SCALAR_TYPES,
     as_key_list,
     as_text,
+    balanced,
     explode_structs,
     is_datetime,
     is_missing,
@@ -192,7 +192,7 @@ def date_failures(df: DataFrame, key: Key = None, limit: int = EXAMPLE_LIMIT, **
         for f, b in zip(fields, bad)
     ]
     failing = (
-        df.where(reduce(or_, bad))
+        df.where(balanced(or_, bad))
         .select(*[qcol(k) for k in keys], explode_structs(cells))
         .where(F.col("_bad"))
         .drop("_bad")
@@ -307,7 +307,7 @@ def temporal_inconsistencies(
         )
         for (s, e), d in zip(pairs, diffs)
     ]
-    negative = conv.where(reduce(or_, [d < 0 for d in diffs]))
+    negative = conv.where(balanced(or_, [d < 0 for d in diffs]))
     exploded = negative.select(*[qcol(k) for k in keys], explode_structs(cells))
     return exploded.where(F.col("hours") < 0).select(
         "start_column", "end_column", *[qcol(k) for k in keys], "start_value", "end_value", "hours"

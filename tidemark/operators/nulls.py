@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import (
+    balanced,
     explode_structs,
     is_missing,
     missing_count_per_row,
@@ -33,7 +36,7 @@ def _missing_aggregate(df: DataFrame, key: Key) -> tuple[DataFrame, int]:
 def dimensions(df: DataFrame, key: Key = None) -> DataFrame:
     """rows, columns, total_cells, informed_cells, null_cells, completeness_pct."""
     agg, n = _missing_aggregate(df, key)
-    null_cells = sum((F.col(f"_m{i}") for i in range(n)), F.lit(0).cast("long"))
+    null_cells = balanced(add, [F.col(f"_m{i}") for i in range(n)], F.lit(0).cast("long"))
     total = F.col("rows") * F.lit(n).cast("long")
     return agg.select(
         F.col("rows"),

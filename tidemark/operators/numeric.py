@@ -16,14 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 import math
-from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import as_key_list, explode_structs, is_missing, is_numeric, profiled_fields, qcol
+from tidemark.functions.columns import as_key_list, balanced, explode_structs, is_missing, is_numeric, profiled_fields, qcol
 from tidemark.functions.quantiles import quantile_map
 from tidemark.functions.terms import IQR_FACTOR, PERCENTILES
 
@@ -162,7 +161,7 @@ def numeric_summary(
         )
     long = spark.createDataFrame(rows, "position int, " + _SUMMARY_SCHEMA.rsplit(", iqr_outliers long", 1)[0])
     # Only rows that can hold an outlier are read past the scan (row groups skipped by their statistics).
-    candidates = df.where(reduce(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _, _ in stats]))
+    candidates = df.where(balanced(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _, _ in stats]))
     outliers = candidates.agg(*[F.count_if(_is_outlier(f, lo, hi)).alias(f"_out{i}") for f, _, i, lo, hi, _, _ in stats])
     out_long = outliers.select(
         explode_structs(
@@ -207,7 +206,7 @@ def numeric_outliers(
         for f, _, i, lo, hi, _, _ in stats
     ]
     # Rows without any outlier are dropped before the per-cell explode.
-    any_hit = reduce(or_, [_is_outlier(f, lo, hi) for f, _, i, lo, hi, _, _ in stats])
-    scan = reduce(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _, _ in stats])
+    any_hit = balanced(or_, [_is_outlier(f, lo, hi) for f, _, i, lo, hi, _, _ in stats])
+    scan = balanced(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _, _ in stats])
     exploded = df.where(scan).where(any_hit).select(*[qcol(k) for k in keys], explode_structs(cells))
     return exploded.where(F.col("_hit")).select("column", *[qcol(k) for k in keys], "value", "lower_limit", "upper_limit")

@@ -9,13 +9,12 @@ exploration suppresses groups smaller than ``k_min``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import as_key_list, is_string, profiled_fields, qcol, type_name
+from tidemark.functions.columns import as_key_list, balanced, is_string, profiled_fields, qcol, type_name
 from tidemark.functions.dates import hours_between, to_timestamp_lenient
 from tidemark.functions.terms import TEXT_NULL_TOKENS, WS
 from tidemark.functions.text import fold_text
@@ -98,8 +97,8 @@ def clean(df: DataFrame, key: Key = None, tokens: Sequence[str] = TEXT_NULL_TOKE
     else:
         deduped = cleaned.dropDuplicates()
     zero = F.lit(0).cast("long")
-    trim_cells = reduce(add, [(~_trim_text(qcol(c)).eqNullSafe(qcol(c))).cast("long") for c in texts], zero)
-    null_cells = reduce(add, [F.coalesce(is_token[c], F.lit(False)).cast("long") for c in texts], zero)
+    trim_cells = balanced(add, [(~_trim_text(qcol(c)).eqNullSafe(qcol(c))).cast("long") for c in texts], zero)
+    null_cells = balanced(add, [F.coalesce(is_token[c], F.lit(False)).cast("long") for c in texts], zero)
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(trim_cells), zero).alias("trim"),

@@ -8,6 +8,7 @@ aggregate: type classes per value, byte sizes, file sizes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import (
     as_key_list,
+    balanced,
     explode_structs,
     is_datetime,
     is_missing,
@@ -326,7 +328,7 @@ def storage_footprint(
     agg = df.agg(*[_column_bytes(f).alias(f"_b{i}") for i, f in enumerate(fields)])
     src = file_bytes(spark, source_paths)
     out = file_bytes(spark, output_paths)
-    total = sum((F.col(f"_b{i}") for i in range(len(fields))), F.lit(0).cast("long"))
+    total = balanced(add, [F.col(f"_b{i}") for i in range(len(fields))], F.lit(0).cast("long"))
     none_l, none_d = F.lit(None).cast("long"), F.lit(None).cast("double")
     rows = [
         F.struct(

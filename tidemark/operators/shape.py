@@ -64,6 +64,8 @@ def column_inventory(
     """position, original_name, normalized_name, data_type, non_null, distinct."""
     fields = profiled_fields(df, key)
     mapping = dict(mapping or {})
+    if not approx and fields:
+        return _inventory_from_frequencies(df, fields, mapping)
     aggs = [F.count_if(~is_missing(f)).alias(f"_nn{i}") for i, f in enumerate(fields)]
     aggs += [
         (distinct_count(present(f), approx) if _groupable(f) else F.lit(None).cast("long")).alias(f"_d{i}")
@@ -84,6 +86,38 @@ def column_inventory(
     return agg.select(explode_structs(structs)) if structs else agg.limit(0)
 
 
+def _inventory_from_frequencies(df: DataFrame, fields: Sequence[T.StructField], mapping: Mapping[str, str]) -> DataFrame:
+    """Exact distinct counts from one (column, value, n) table: work linear in the number of columns.
+
+    Several exact ``count_distinct`` in one aggregate become an ``Expand`` that
+    copies every row once per column, which does not hold on wide tables.
+    """
+    spark = df.sparkSession
+    meta = spark.createDataFrame(
+        [(i + 1, mapping.get(f.name, f.name), f.name, type_name(f)) for i, f in enumerate(fields)],
+        "position int, original_name string, normalized_name string, data_type string",
+    )
+    non_null = df.agg(*[F.count_if(~is_missing(f)).alias(f"_nn{i}") for i, f in enumerate(fields)]).select(
+        explode_structs(
+            [F.struct(F.lit(f.name).alias("normalized_name"), F.col(f"_nn{i}").alias("non_null")) for i, f in enumerate(fields)]
+        )
+    )
+    groupable = [f for f in fields if _groupable(f)]
+    distinct = (
+        _value_frequencies(df, groupable)
+        .groupBy("column")
+        .agg(F.count(F.lit(1)).alias("distinct"))
+        .withColumnRenamed("column", "normalized_name")
+    )
+    # Every side holds at most one row per column.
+    joined = meta.join(F.broadcast(non_null), "normalized_name").join(F.broadcast(distinct), "normalized_name", "left")
+    groupable_names = [f.name for f in groupable]
+    d = F.when(F.col("normalized_name").isin(groupable_names), F.coalesce(F.col("distinct"), F.lit(0).cast("long")))
+    return joined.orderBy("position").select(
+        "position", "original_name", "normalized_name", "data_type", "non_null", d.cast("long").alias("distinct")
+    )
+
+
 def identifier_name_match(name: str, terms: Sequence[str] = IDENTIFIER_TERMS) -> bool:
     """Folded name (spaces as underscores) contains any term, substrings included."""
     folded = fold_value(name).replace(" ", "_")

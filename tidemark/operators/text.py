@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import explode_structs, is_string, profiled_fields, qcol
+from tidemark.functions.columns import balanced, explode_structs, is_string, profiled_fields, qcol
 from tidemark.functions.terms import NON_PRINTABLE, TEXT_NULL_TOKENS, WS
 from tidemark.functions.text import fold_text
 
@@ -133,7 +135,7 @@ def text_issue_total(df: DataFrame, key: Key = None, tokens: Sequence[str] = TEX
             F.count_if(c.rlike("^" + WS + "+\\z")),
             F.count_if(c.rlike(NON_PRINTABLE)),
         ]
-    counters = df.agg(sum(row_counts, zero).alias("_rows"))
+    counters = df.agg(balanced(add, row_counts, zero).alias("_rows"))
     # One pipeline over the folded groups: spelling groups and marker cells in a single aggregate.
     by_fold = folded_values(df, fields).groupBy("column", "folded").agg(
         F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("cells")
