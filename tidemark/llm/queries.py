@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, simhash, token_counts
+from tidemark.llm import chat, decontaminate, mixing, quality_rules, simhash, token_counts
 from tidemark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,46 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the line rules for every document."""
+    found = quality_rules.assess(read(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    mixed, targets = mixing.mix(read(spark, sf_dir, "documents"), F.array("source"))
+    # Each document of this table counts for one source.
+    of = mixed.withColumn("key", F.get("members", F.lit(0))).join(mixing.small(targets.select("key", "source_size", "target")), "key", "left")
+    return of.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+#: The conversation that every run adds, and its text, which looks like the marks of a template.
+MARKED_ID, MARKED_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and trainable text of every conversation, read back from its examples."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(MARKED_ID, 0, "user", MARKED_TEXT), (MARKED_ID, 1, "assistant", MARKED_TEXT)], "conv_id long, turn long, role string, text string")
+    examples = chat.expand(turns.unionByName(marked))
+    per = examples.groupBy("conv_id").agg(
+        F.max(F.when(F.col("last"), F.col("text"))).alias("whole"),
+        F.array_sort(F.collect_list(F.when(F.col("loss_start").isNotNull(), F.struct("example", chat.loss_text().alias("loss"))))).alias("losses"),
+        F.sum(F.length("text").cast("long")).alias("formatted_chars"),
+    )
+    read_back = per.select("conv_id", chat.read_turns(F.col("whole")).alias("turns"), F.array_join(F.transform("losses", lambda x: x["loss"]), "").alias("loss"), "formatted_chars")
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read_back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public word BPE tokenizer."""
     import public_tokenizers
@@ -48,6 +88,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_decontaminate": op3_decontaminate,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_mixing": op7_mixing,
+    "op8_chat": op8_chat,
     "op10_token_counts": op10_token_counts,
 }
 
