@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, quality_rules, simhash, token_counts
+from tidemark.llm import chat, decontaminate, mixing, quality_rules, secrets, simhash, token_counts
 from tidemark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the base kinds and what the randomness battery adds."""
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"), carry=("doc_id",))
+    base = F.filter("spans", lambda x: x["kind"] < secrets.KINDS.index("random"))
+
+    def of(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        of("assign"),
+        of("access"),
+        of("hex"),
+        F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -87,6 +105,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
