@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, quality_rules, secrets, simhash, token_counts
+from tidemark.llm import chat, decontaminate, mixing, page_text, quality_rules, secrets, simhash, token_counts
 from tidemark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -93,6 +93,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = page_text.extract(read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public word BPE tokenizer."""
     import public_tokenizers
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
+    "op9_page_text": op9_page_text,
     "op10_token_counts": op10_token_counts,
 }
 
