@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, page_text, quality_rules, secrets, simhash, token_counts
+from tidemark.llm import chat, decontaminate, mixing, ngram_lm, page_text, quality_rules, secrets, simhash, token_counts
 from tidemark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,6 +53,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of the documents not held out."""
+    docs = read(spark, sf_dir, "documents")
+    found = ngram_lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the line rules for every document."""
     found = quality_rules.assess(read(spark, sf_dir, "documents"))
@@ -113,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
