@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, with_python
 
-MU = 10.0
+MU = 100.0
 BLOCK_BYTES = 12 << 20
 START, END = b" ", b"\n"  # no word is one of these
 SUCCESSOR = 5
