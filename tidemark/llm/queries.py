@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, ngram_lm, page_text, quality_rules, secrets, simhash, token_counts
+from tidemark.llm import chat, decontaminate, mixing, ngram_lm, page_text, preference, quality_rules, secrets, simhash, token_counts
 from tidemark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels not held out."""
+
+    def held_out(column: str):
+        return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+
+    docs = read(spark, sf_dir, "documents")
+    ranker = preference.train(docs, read(spark, sf_dir, "labels"), held_out("id"))
+    scored = preference.score(docs, ranker)
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= preference.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     mixed, targets = mixing.mix(read(spark, sf_dir, "documents"), F.array("source"))
@@ -122,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_ngram_lm": op4_ngram_lm,
     "op5_quality_rules": op5_quality_rules,
+    "op6_preference": op6_preference,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
     "op9_page_text": op9_page_text,
