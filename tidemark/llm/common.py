@@ -42,3 +42,13 @@ def word_count(text: Column) -> Column:
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
     spaces = F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit("")))
     return F.when(squeezed == "", F.lit(0).cast("long")).otherwise((spaces + 1).cast("long"))
+
+
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which a computed column holds, filtered above the steps that compute it.
+
+    The optimizer copies a condition's expressions down through projections, which
+    would put a text's word array into every step of a lambda over it. A condition on
+    a non-deterministic column, here always true, stays where it is.
+    """
+    return df.withColumn("__stay", F.spark_partition_id()).where(condition & (F.col("__stay") >= 0)).drop("__stay")
