@@ -16,7 +16,7 @@ def test_matches_numpy_linear(spark):
     b = [float(rng.randint(0, 5)) for _ in range(2200)]
     rows = list(zip(a, b))
     df = spark.createDataFrame(rows, "a double, b double")
-    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, PROBS, ranges=7).collect()
+    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, PROBS).collect()
     res = {(r.column, r.prob): r.value for r in got}
     for name, values in (("a", a), ("b", b)):
         expected = np.quantile(np.array(values), PROBS, method="linear")
@@ -26,5 +26,52 @@ def test_matches_numpy_linear(spark):
 
 def test_nulls_ignored_and_single_value(spark):
     df = spark.createDataFrame([(None,), (5.0,), (None,)], "x double")
-    got = exact_quantiles(df, {"x": F.col("x")}, [0.5, 0.99], ranges=3).collect()
+    got = exact_quantiles(df, {"x": F.col("x")}, [0.5, 0.99]).collect()
     assert sorted((r.prob, r.value) for r in got) == [(0.5, 5.0), (0.99, 5.0)]
+
+
+def test_same_on_persisted_input_and_without_reuse(spark):
+    rng = random.Random(5)
+    values = [rng.expovariate(0.02) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(7)
+    expected = np.quantile(np.array(values), PROBS, method="linear")
+    settings = ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for persisted in (False, True):
+            source = df.persist() if persisted else df
+            for reuse in ("true", "false"):
+                for adaptive in ("true", "false"):
+                    spark.conf.set(settings[0], reuse)
+                    spark.conf.set(settings[1], adaptive)
+                    res = {r.prob: r.value for r in exact_quantiles(source, {"x": F.col("x")}, PROBS).collect()}
+                    assert np.allclose([res[p] for p in PROBS], expected, rtol=0, atol=1e-9), (persisted, reuse, adaptive)
+    finally:
+        df.unpersist()
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_large_brackets_are_narrowed(spark, monkeypatch):
+    from tidemark.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "INSIDE", 3)
+    values = [float((i * 7919) % 5003) for i in range(5003)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    res = {r.prob: r.value for r in exact_quantiles(df, {"x": F.col("x")}, PROBS).collect()}
+    assert np.allclose([res[p] for p in PROBS], np.quantile(values, PROBS))
+
+
+def test_running_totals_do_not_depend_on_caching(spark):
+    from tidemark.functions.prefix import running_totals
+
+    rows = [(float((i * 31) % 997), i % 5) for i in range(997)]
+    df = spark.createDataFrame(rows, "s double, n long").repartition(5)
+    want, so_far = {}, 0
+    for s, n in sorted(rows, reverse=True):
+        want[s] = so_far
+        so_far += n
+    for source in (df, df.persist()):
+        got = running_totals(source, "s", ["n"], descending=True, ranges=8).collect()
+        assert {r.s: r.n_before for r in got} == want
+    df.unpersist()

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = None  # default: one range per shuffle partition of the session
+RANGES = 256
 
 
-def running_totals(table: DataFrame, order: Column, cols: list[str], ranges: int | None = RANGES) -> DataFrame:
-    """Add ``{c}_before`` = sum of ``c`` over all rows strictly before each row in ``order``.
+def running_totals(table: DataFrame, order: str, cols: list[str], descending: bool = False, ranges: int = RANGES) -> DataFrame:
+    """Add ``{c}_before`` = sum of ``c`` over all rows strictly before each row in the order of column ``order``.
 
-    Distributed prefix sum: range partitioning, per-range totals (``ranges`` rows),
-    offsets by a window over those few rows, then a window inside each range.
+    Rows are put in ranges by literal cut points, so a row's range follows from its
+    value alone and every use of the table agrees on it. Offsets come from a window
+    over the ranges' totals (``ranges`` rows), the rest from a window inside each
+    range. ``order`` is numeric, null-free and distinct.
     """
-    if ranges is None:
-        ranges = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = table.repartitionByRange(ranges, order).withColumn("_r", F.spark_partition_id())
+    cuts = table.agg(F.percentile_approx(order, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 4 * ranges)).first()[0] or []
+    cuts = sorted(set(cuts))
+    if cuts:
+        literal = F.array(*[F.lit(c) for c in cuts])
+        place = F.size(F.filter(literal, lambda c: c <= F.col(order)))
+    else:
+        place = F.lit(0)
+    ranged = table.withColumn("_r", -place if descending else place)
     totals = ranged.groupBy("_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_r", *[F.coalesce(F.sum(f"_t_{c}").over(upto), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    inside = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    by = F.col(order).desc() if descending else F.col(order)
+    inside = Window.partitionBy("_r").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     # ``offsets`` has one row per range: a broadcast of proven size.
     joined = ranged.join(F.broadcast(offsets), "_r")
     return joined.select(

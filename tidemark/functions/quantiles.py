@@ -1,97 +1,145 @@
-"""Exact quantiles that stay distributed.
+"""Exact quantiles by bracket and count.
 
 Spark's ``percentile`` keeps a value->count map per group and merges it in one
 final task, which cannot hold a continuous column of billions of values. Here
-the work is a sort, done the Spark way:
-
-1. ``(column, value) -> n``: a ``groupBy`` with map-side combining (a value
-   held by a third of the rows is one row per map task);
-2. the distinct values are range-partitioned by ``(column, value)``;
-   counts per (range, column) give the first rank of each range in its
-   column, and so the range that holds each requested rank;
-3. only the ranges that hold a requested rank are ranked inside (a window
-   per range), and the order statistics are picked there. The tables joined
-   back have a few rows per requested rank (broadcasts of proven size).
-
-The result equals linear interpolation between the order statistics at
-``floor(h)`` and ``ceil(h)`` with ``h = p * (N - 1)``, as pandas and Spark's
-``percentile`` compute it.
+almost nothing is shuffled:
+
+1. one wide aggregate gives each column's count and, from a sketch of fixed
+   size, a bracket of two values around each requested rank;
+2. one wide aggregate counts the values below and inside every bracket. A
+   bracket that misses its rank is widened; one that still holds more than
+   ``INSIDE`` values is narrowed by a sketch of the values inside;
+3. only the values inside a bracket are grouped, ``(column, prob, value) -> n``,
+   and the order statistics are read off their running counts.
+
+Counts, not the sketch, decide every step, so the result is exact whatever the
+sketch says, and it does not depend on partitions, caching or exchange reuse.
+It equals linear interpolation between the order statistics at ``floor(h)`` and
+``ceil(h)`` with ``h = p * (N - 1)``, as pandas and Spark's ``percentile`` do.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ACCURACY = 2_000
+INSIDE = 1_000_000
+_SCHEMA = "column string, prob double, value double"
+
+
+@dataclass
+class _Target:
+    """A requested quantile: its rank ``h`` and the bracket that should hold it."""
+
+    column: str
+    prob: float
+    h: float
+    total: int
+    lo: float = -math.inf
+    hi: float = math.inf
+    below: int = 0
+    inside: int = 0
+
+    @property
+    def first(self) -> int:
+        return math.floor(self.h)
+
+    @property
+    def last(self) -> int:
+        return math.ceil(self.h)
+
+    def held(self) -> bool:
+        return self.below <= self.first and self.last < self.below + self.inside
+
+    def probs(self) -> tuple[float, float]:
+        """Where in its bracket to look, with room for the sketch's error."""
+        room = 2.0 / ACCURACY + 2.0 / max(1, self.inside)
+        at = ((self.first - self.below) / max(1, self.inside), (self.last - self.below) / max(1, self.inside))
+        return max(0.0, at[0] - room), min(1.0, at[1] + room)
+
+
+def _inside(v: Column, t: _Target) -> Column:
+    return (v >= F.lit(t.lo)) & (v <= F.lit(t.hi))
+
+
+def _narrow(df: DataFrame, values: Mapping[str, Column], targets: list[_Target]) -> None:
+    """New brackets from sketches of what is inside the present ones; counted, and undone where they miss."""
+    if not targets:
+        return
+    # Targets that share a bracket share a sketch.
+    groups: dict[tuple[str, float, float], list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.column, t.lo, t.hi), []).append(t)
+    aggs = []
+    for k, ((column, _, _), ts) in enumerate(groups.items()):
+        v = values[column].cast("double")
+        v = v if ts[0].lo == -math.inf else F.when(_inside(v, ts[0]), v)
+        aggs.append(F.percentile_approx(v, F.array(*[F.lit(p) for t in ts for p in t.probs()]), ACCURACY).alias(f"s{k}"))
+    got = df.agg(*aggs).first()
+    kept = {id(t): (t.lo, t.hi, t.below, t.inside) for t in targets}
+    for k, ts in enumerate(groups.values()):
+        for i, t in enumerate(ts):
+            t.lo, t.hi = got[f"s{k}"][2 * i], got[f"s{k}"][2 * i + 1]
+    _count(df, values, targets)
+    for t in targets:
+        if not t.held():
+            t.lo, t.hi, t.below, t.inside = kept[id(t)]
+
+
+def _count(df: DataFrame, values: Mapping[str, Column], targets: list[_Target]) -> None:
+    v = {c: e.cast("double") for c, e in values.items()}
+    aggs = [x for i, t in enumerate(targets) for x in (F.count_if(v[t.column] < t.lo).alias(f"b{i}"), F.count_if(_inside(v[t.column], t)).alias(f"n{i}"))]
+    got = df.agg(*aggs).first()
+    for i, t in enumerate(targets):
+        t.below, t.inside = got[f"b{i}"], got[f"n{i}"]
+
+
+def _targets(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> list[_Target]:
+    counts = df.agg(*[F.count(e).alias(f"c{i}") for i, e in enumerate(values.values())]).first()
+    out = []
+    for i, column in enumerate(values):
+        n = counts[f"c{i}"]
+        out += [_Target(column, p, p * (n - 1), n, inside=n) for p in probs if n]
+    _narrow(df, values, out)
+    while large := [t for t in out if t.inside > INSIDE and t.lo < t.hi]:
+        before = [(t.lo, t.hi) for t in large]
+        _narrow(df, values, large)
+        if before == [(t.lo, t.hi) for t in large]:
+            break  # no sketch helps; the grouping below takes the bracket as it is
+    return out
 
 
-def exact_quantiles(
-    df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], ranges: int | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
     """(column, prob, value): exact quantiles of each named expression (nulls ignored).
 
-    Columns with no value give no rows.
+    Columns with no value give no rows. The brackets are found when this is called.
     """
-    names = list(values)
-    if ranges is None:
-        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cells = df.select(
-        F.inline(F.array(*[F.struct(F.lit(n).alias("column"), values[n].cast("double").alias("v")) for n in names]))
-    ).where(F.col("v").isNotNull())
-    freq = cells.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranged = freq.repartitionByRange(ranges, "column", "v").withColumn("_r", F.spark_partition_id())
-    # Counts per (range, column): a few rows per range. Offsets give each range's first rank in its column.
-    per_range = ranged.groupBy("column", "_r").agg(F.sum("n").alias("cnt"))
-    earlier = Window.partitionBy("column").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("column")
-    spans = per_range.select(
-        "column",
-        "_r",
-        "cnt",
-        F.coalesce(F.sum("cnt").over(earlier), F.lit(0)).alias("first_rank"),
-        F.sum("cnt").over(whole).alias("total"),
-    )
-    targets = spans.select(
-        "column",
-        "_r",
-        "cnt",
-        "first_rank",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(p).alias("prob"), (F.lit(p) * (F.col("total") - 1)).alias("h"))
-                    for p in probs
-                ]
-            )
-        ),
-    )
-    lo_rank, hi_rank = F.floor("h").cast("long"), F.ceil("h").cast("long")
-    in_range = lambda r: (r >= F.col("first_rank")) & (r < F.col("first_rank") + F.col("cnt"))
-    # Target ranks and the ranges that hold them: at most 2 * len(probs) rows per column.
-    needed = targets.where(in_range(lo_rank) | in_range(hi_rank)).select(
-        "column", "_r", "first_rank", "prob", "h", lo_rank.alias("lo_rank"), hi_rank.alias("hi_rank")
-    )
-    # Only rows of those ranges are ranked; the broadcast side is bounded by the target count.
-    hold = ranged.join(F.broadcast(needed.select("column", "_r").distinct()), ["column", "_r"], "left_semi")
-    inside = Window.partitionBy("column", "_r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    local = hold.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    hit = local.join(F.broadcast(needed), ["column", "_r"])
-    start = F.col("first_rank") + F.col("_before")
-    covers = lambda r: (F.col(r) >= start) & (F.col(r) < start + F.col("n"))
-    picked = (
-        hit.where(covers("lo_rank") | covers("hi_rank"))
-        .select("column", "prob", "h", "lo_rank", "hi_rank", F.when(covers("lo_rank"), F.col("v")).alias("lo_v"),
-                F.when(covers("hi_rank"), F.col("v")).alias("hi_v"))
-        .groupBy("column", "prob", "h", "lo_rank", "hi_rank")
-        .agg(F.max("lo_v").alias("lo_v"), F.max("hi_v").alias("hi_v"))
-    )
-    h, lo_r, hi_r = F.col("h"), F.col("lo_rank"), F.col("hi_rank")
-    value = (
-        F.when((lo_r == hi_r) | (F.col("lo_v") == F.col("hi_v")), F.col("lo_v"))
-        .otherwise((hi_r - h) * F.col("lo_v") + (h - lo_r) * F.col("hi_v"))
-    )
+    targets = _targets(df, values, probs)
+    if not targets:
+        return df.sparkSession.createDataFrame([], _SCHEMA)
+    v = {c: e.cast("double") for c, e in values.items()}
+    # Rows with no value in any bracket are dropped before the explode.
+    rows = df.where(reduce(or_, [F.coalesce(_inside(v[t.column], t), F.lit(False)) for t in targets]))
+    cells = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("t"), F.when(_inside(v[t.column], t), v[t.column]).alias("v")) for i, t in enumerate(targets)])))
+    freq = cells.where(F.col("v").isNotNull()).groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
+    facts = [F.struct(F.lit(i).alias("t"), F.lit(t.column).alias("column"), F.lit(t.prob).alias("prob"), F.lit(t.h).alias("h"), F.lit(t.below).cast("long").alias("below")) for i, t in enumerate(targets)]
+    # One row per requested quantile: a broadcast of known size.
+    known = df.sparkSession.range(1).select(F.inline(F.array(*facts)))
+    ranked = freq.select("t", "v", "n", upto.alias("upto")).join(F.broadcast(known), "t")
+    end = F.col("below") + F.col("upto")
+    covers = lambda r: (r >= end - F.col("n")) & (r < end)
+    lo_r, hi_r = F.floor("h"), F.ceil("h")
+    picked = ranked.groupBy("column", "prob", "h").agg(F.max(F.when(covers(lo_r), F.col("v"))).alias("lo"), F.max(F.when(covers(hi_r), F.col("v"))).alias("hi"))
+    between = (hi_r - F.col("h")) * F.col("lo") + (F.col("h") - lo_r) * F.col("hi")
+    value = F.when((lo_r == hi_r) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(between)
     return picked.select("column", "prob", value.alias("value"))
 
 

@@ -4,7 +4,7 @@ Threshold metrics are one aggregate. ROC-AUC (Mann-Whitney, ties count half)
 and PR-AUC (average precision) need running totals over scores in descending
 order. They are computed exactly and distributed: rows are first reduced to
 one row per distinct score (map-side combined, so a score shared by a third of
-the rows is one row), the distinct scores are range-partitioned, each range
+the rows is one row), the distinct scores are put in ranges by literal cut points, each range
 gets the totals of the ranges above it (a table with one row per range), and
 the running sums inside a range use a window over that range only.
 """
@@ -14,9 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.prefix import running_totals
-
-RANGES = None  # default: one range per shuffle partition of the session
+from tidemark.functions.prefix import RANGES, running_totals
 
 
 def _score_table(scored: DataFrame, label: str, score: str) -> DataFrame:
@@ -29,7 +27,7 @@ def _score_table(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def classification_metrics(
-    scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5, ranges: int | None = RANGES
+    scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5, ranges: int = RANGES
 ) -> DataFrame:
     """One row: positives, negatives, tp, fp, tn, fn, precision, recall, f1, roc_auc, pr_auc.
 
@@ -37,7 +35,7 @@ def classification_metrics(
     counts are sums over scores above or below the threshold.
     """
     table = _score_table(scored, label, score)
-    desc = running_totals(table, F.col("s").desc(), ["pos", "neg"], ranges)
+    desc = running_totals(table, "s", ["pos", "neg"], descending=True, ranges=ranges)
     pos, neg = F.col("pos"), F.col("neg")
     above = F.col("s") >= F.lit(threshold)
     zero = F.lit(0).cast("long")
