@@ -14,8 +14,10 @@ Join. Within a block of groups the sorted fingerprints are a binary trie whose
 nodes are index ranges. Pairs of nodes are walked down together; a pair carries
 the number of bits in which its two paths differ and is dropped as soon as that
 exceeds ``max_bits``. Two single leaves are compared at once. Leaf pairs that
-survive are links; each block returns a spanning forest of its links, which has
-the same components and at most one row per fingerprint.
+survive are links. A pair of nodes whose leaves are all in one component already
+can add nothing and is dropped too, so a large group of near copies does not cost
+the square of its size. Each block returns a spanning forest of its links, which
+has the same components and at most one row per fingerprint.
 
 Results for odd input: a text without words has fingerprint 0 and is linked like
 any other; a row without an id gets its fingerprint and component null; rows that
@@ -38,8 +40,9 @@ from tidemark.llm.components import components
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
-GROUP = 50_000
-PAIRS = 1_000_000
+GROUP = 1_000_000  # fingerprints of one routing group that a task joins; larger groups are routed on
+BLOCK = 65_536  # rows joined at a time, whole groups
+PAIRS = 250_000  # node pairs walked down at a time
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -85,6 +88,9 @@ def trie_links(group: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
     label = np.arange(len(fp))
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(fp) else np.zeros(0, int)
     ends = np.append(edges[1:], len(fp))
+    # Neighbours in order are linked first: in a group of near copies most of them are near.
+    beside = np.flatnonzero((group[1:] == group[:-1]) & (np.bitwise_count(fp[1:] ^ fp[:-1]) <= max_bits))
+    label = _unite(label, beside, beside + 1)
     many = ends - edges > 1
     lo, hi = edges[many], ends[many]
     # (bit, first node, second node, differing bits); a pair of a node with itself stands for all pairs inside it.
@@ -97,6 +103,9 @@ def trie_links(group: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
             half = len(a0) // 2
             stack += [(bit, *(x[:half] for x in (a0, a1, b0, b1, err))), (bit, *(x[half:] for x in (a0, a1, b0, b1, err)))]
             continue
+        changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        one = (changes[a1 - 1] == changes[a0]) & (changes[b1 - 1] == changes[b0]) & (label[a0] == label[b0])
+        a0, a1, b0, b1, err = (x[~one] for x in (a0, a1, b0, b1, err))
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
             i, j = a0[leaf], b0[leaf]
@@ -153,7 +162,7 @@ def _block_links(max_bits: int):
 
         for batch in batches:
             held.append(np.column_stack([np.asarray(batch.column(k)) for k in range(4)]))
-            if sum(map(len, held)) >= GROUP:
+            if sum(map(len, held)) >= BLOCK:
                 rows = np.concatenate(held)
                 # The last group may go on in the next batch.
                 last = rows[-1, :2]
