@@ -197,7 +197,7 @@ def test_battery_tells_keys_from_names(spark):
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     rows = [(i, "the key is " + "".join(rng.choice(alphabet) for _ in range(rng.choice([24, 32, 40]))) + " here") for i in range(60)]
     rows += [(100 + i, f"see getElementByIdAndName{i} or some/longPath/ToAFile{i} and 12345678901234567890 abcdefabcdefabcdefgh") for i in range(60)]
-    found = {r.doc_id: r.n for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", F.size("spans").alias("n")).collect()}
+    found = {r.doc_id: r.n for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", F.size(F.filter("spans", lambda x: x["kind"] == 3)).alias("n")).collect()}
     assert sum(found[i] > 0 for i in range(60)) >= 55
     assert not any(found[100 + i] for i in range(60))
 

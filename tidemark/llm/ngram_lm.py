@@ -289,7 +289,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ask(shards: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from xxhash import xxh64_hexdigest
+        from xxhash import xxh64_hexdigest, xxh64_intdigest
 
         spread = (hot.value[0], hot.value[1])
         for number, (ids, block) in enumerate(_blocks(batches)):
@@ -299,7 +299,7 @@ def _ask(shards: int, hot):
             # The name ties answers to the block's own row. It has the contents' hash, so answers to
             # other contents (a task run again on rows in another order) fail instead of being mixed up.
             name = f"{TaskContext.get().partitionId()}.{number}.{xxh64_hexdigest(own)}"
-            rows = [(number % shards, name, None, own)]
+            rows = [(xxh64_intdigest(name) % shards, name, None, own)]
             counts = block.word_counts()
             for s, (w, p) in asked.items():
                 ctx, per = np.unique(block.pair_ctx[p], return_counts=True)
