@@ -23,7 +23,7 @@ from tidemark.session import local_session  # noqa: E402
 HEADLINE = (
     "dimensions",
     "nulls_per_row",
-    "exact_duplicates_lineitem",
+    "exact_duplicates_rows",
     "duplicate_row_keys",
     "column_inventory",
     "identifier_candidates",

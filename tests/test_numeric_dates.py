@@ -87,3 +87,33 @@ def test_summary_golden(quality_small):
     assert s["temporal consistency"].status == "REVIEW"
     counts = {r.status: r.checks for r in O.status_counts(O.validation_summary(quality_small, K)).collect()}
     assert counts == {"OK": 1, "WARNING": 4, "REVIEW": 2}
+
+
+def test_date_layouts_with_time_offset_and_day_first(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.dates import to_timestamp_lenient
+
+    want = {
+        "31/12/2024 08:00": dt.datetime(2024, 12, 31, 8),
+        "01/02/2024 10:30": dt.datetime(2024, 1, 2, 10, 30),
+        "2024-01-02T10:00:00Z": dt.datetime(2024, 1, 2, 10),
+        "2024-01-02T10:00:00-05:00": dt.datetime(2024, 1, 2, 15),
+        "2024-01-02T10:00:00+0530": dt.datetime(2024, 1, 2, 4, 30),
+        "31-12-2024": dt.datetime(2024, 12, 31),
+        "2024-01-02 10:30 PM": dt.datetime(2024, 1, 2, 22, 30),
+        "01/02/2024 12:05:07.25 am": dt.datetime(2024, 1, 2, 0, 5, 7, 250000),
+        " 2024/1/2\t": dt.datetime(2024, 1, 2),
+        "20240102": dt.datetime(2024, 1, 2),
+        "31/31/2024": None,
+        "2024-02-30": None,
+        "2024-01/02": None,
+        "10:30": None,
+        "2024-01-02 13:00 PM": None,
+        "mal": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "s string")
+    got = {r.s: r.t for r in df.select("s", to_timestamp_lenient(F.col("s")).alias("t")).collect()}
+    assert got == want

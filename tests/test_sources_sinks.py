@@ -31,7 +31,7 @@ def test_headed_table_skips_title_row(spark, tmp_path):
 def test_require_source_and_member(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="Missing"):
         require_source(spark, str(tmp_path / "nope.parquet"), "Place it first.")
-    with pytest.raises(ValueError, match="required member: CENSO"):
+    with pytest.raises(ValueError, match="No table named 'CENSO'"):
         require_table(["HOME", "SALAS"], "CENSO", "book")
     assert require_table(["HOME", "CENSO"], "CENSO") == ("CENSO", ["HOME"])
 
@@ -91,3 +91,52 @@ def test_profile_approx_mode_runs_every_table(quality_small):
         table.collect()
     ids = {r.column for r in tables["identifiers"].collect()}
     assert {"id_paciente", "fecha_ingreso", "fecha_salida"} <= ids
+
+
+def test_headed_text_keeps_every_cell_or_fails(spark, tmp_path):
+    folder = tmp_path / "ragged"
+    folder.mkdir()
+    _write(folder / "a.csv", "title\na,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="a.csv"):
+        read_headed_table(spark, str(folder)).collect()
+    other = tmp_path / "other"
+    other.mkdir()
+    _write(other / "a.csv", "title\na,b\n1,2\n")
+    _write(other / "b.csv", "title\na,b,c\n1,2,3\n")
+    with pytest.raises(Exception, match="b.csv"):
+        read_headed_table(spark, str(other)).collect()
+
+
+def test_headed_text_multi_line_header_and_empty_table(spark, tmp_path):
+    folder = tmp_path / "multi"
+    folder.mkdir()
+    _write(folder / "a.csv", 'title\n"long\nname",b\n"x\ny",2\n')
+    df = read_headed_table(spark, str(folder))
+    assert df.columns == ["long\nname", "b"] and [tuple(r) for r in df.collect()] == [("x\ny", "2")]
+    empty = spark.createDataFrame([], "a string, b long")
+    sinks.write_headed_text(empty, str(tmp_path / "empty"), title="Nothing")
+    back = read_headed_table(spark, str(tmp_path / "empty"))
+    assert back.columns == ["a", "b"] and back.count() == 0
+
+
+def test_types_are_read_from_how_values_are_written(spark):
+    rows = [("001", "Y", "2D", "1", "1.50", "true", "2024-01-03T10:00:00-05:00"), ("01", "n", "3F", "-20", ".5", "false", "2024-01-04")]
+    df = spark.createDataFrame(rows, "code string, yn string, hexish string, whole string, number string, flag string, at string")
+    typed = infer_types(df)
+    assert dict(typed.dtypes) == {
+        "code": "string", "yn": "string", "hexish": "string", "whole": "bigint", "number": "double", "flag": "boolean", "at": "timestamp_ntz",
+    }
+    first = typed.orderBy("code").first()
+    assert first.code == "001" and str(first["at"]) == "2024-01-03 15:00:00"
+
+
+def test_large_files_are_hashed_in_blocks_and_folders_found(spark, tmp_path):
+    import hashlib
+
+    path = tmp_path / "big.bin"
+    path.write_bytes(b"abc" * 50_000)
+    got = sinks.fingerprint_files(spark, str(path), whole=1000).first()
+    assert got.sha256 == hashlib.sha256(b"abc" * 50_000).hexdigest()
+    spark.range(6).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(str(tmp_path / "parts"))
+    seen = {r.path: r.exists for r in sinks.evidence_manifest(spark, [str(tmp_path / "parts"), str(tmp_path / "gone")]).collect()}
+    assert seen == {str(tmp_path / "parts"): True, str(tmp_path / "gone"): False}

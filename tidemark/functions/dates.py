@@ -1,9 +1,10 @@
-"""Lenient date parsing with an explicit, ordered format list.
+"""Lenient date parsing with an explicit, ordered list of layouts.
 
-Results are ``TIMESTAMP_NTZ`` and never depend on the session time zone:
-ISO text goes through ``try_cast``; other layouts are split by regex and
-rebuilt with ``try_make_timestamp_ntz``. Invalid calendar dates give null.
-Time-only text is not a date (it would otherwise take the current day).
+Results are ``TIMESTAMP_NTZ`` and never depend on the session time zone. A layout
+is a date part and an optional time (seconds, AM/PM and a zone are optional too);
+a text with ``Z`` or an offset is turned to UTC, one without keeps its wall-clock
+reading. Invalid calendar dates give null. Time-only text is not a date (it would
+otherwise take the current day).
 """
 
 from __future__ import annotations
@@ -12,47 +13,68 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values: accepted layouts, tried in this order
-ISO_LAYOUT = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?\\z"
-COMPACT_LAYOUT = "^([0-9]{4})([0-9]{2})([0-9]{2})\\z"  # yyyyMMdd
-YEAR_FIRST_SLASH = "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})\\z"  # yyyy/MM/dd
-YEAR_LAST_SLASH = "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\\z"  # MM/dd/yyyy, then dd/MM/yyyy
-DATE_FORMATS = ("ISO 8601 date or timestamp", "yyyyMMdd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy")
+# --- fixed values: accepted layouts (yyyy-M-d, yyyy/M/d, yyyyMMdd; M/d/yyyy then d/M/yyyy, also with - and .)
+_TIME = "(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,9})?)? ?(?:[AaPp][Mm])? ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})?)?"
+LAYOUT = "^(?:[0-9]{8}|(?:[0-9]{4}([-/])[0-9]{1,2}\\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\\2[0-9]{4})" + _TIME + ")\\z"
+COMPACT = "^([0-9]{4})([0-9]{2})([0-9]{2})\\z"
+YEAR_FIRST = "^([0-9]{4})/([0-9]{1,2})/"
+YEAR_LAST = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})"
+AFTER_CLOCK = "^([^:]*:[0-9:.]*[0-9]) ?([AaPp][Mm])? ?(Z|UTC|[+-][0-9]{2}:?[0-9]{2})?\\z"
+DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy")
 
 
-def _part(s: Column, pattern: str, idx: int) -> Column:
-    return F.regexp_extract(s, pattern, idx).cast("int")
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _ymd(y: Column, m: Column, d: Column) -> Column:
-    zero = F.lit(0)
-    return F.try_make_timestamp_ntz(y, m, d, zero, zero, F.lit(0).cast("decimal(8,6)"))
+def _wall(s: Column) -> Column:
+    """The date and clock of a text in an accepted layout, without AM/PM and zone."""
+    # The date part is rewritten as yyyy-M-d and what follows the clock is cut off, then Spark casts.
+    dated = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, AFTER_CLOCK, "$1"), YEAR_FIRST, "$1-$2-"), COMPACT, "$1-$2-$3")
+    return F.when(
+        s.rlike(LAYOUT),
+        _let(
+            dated,
+            lambda d: F.coalesce(
+                F.regexp_replace(d, YEAR_LAST, "$3-$1-$2").try_cast("timestamp_ntz"),
+                F.regexp_replace(d, YEAR_LAST, "$3-$2-$1").try_cast("timestamp_ntz"),
+            ),
+        ),
+    )
+
+
+def _moved(s: Column, wall: Column) -> Column:
+    """The reading with AM/PM and the zone of the text applied; null if its hour is none of a 12-hour clock."""
+
+    def apply(parts: Column) -> Column:
+        half, zone, hour = parts["half"], parts["zone"], parts["hour"]
+        later = F.when((half == "PM") & (hour < 12), 720).when((half == "AM") & (hour == 12), -720).otherwise(0)
+        digits = F.regexp_replace(zone, "[^0-9]", "")
+        minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+        ahead = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
+        return F.when((half == "") | ((hour >= 1) & (hour <= 12)), wall + F.make_dt_interval(F.lit(0), F.lit(0), later - ahead))
+
+    parts = F.struct(
+        F.upper(F.regexp_extract(s, AFTER_CLOCK, 2)).alias("half"), F.regexp_extract(s, AFTER_CLOCK, 3).alias("zone"), F.hour(wall).alias("hour")
+    )
+    return _let(parts, apply)
 
 
 def to_timestamp_lenient(col: Column, data_type: T.DataType = T.StringType()) -> Column:
     """Parse a column into TIMESTAMP_NTZ; unparseable values become null."""
-    if isinstance(data_type, (T.TimestampNTZType, T.DateType)):
+    if isinstance(data_type, (T.TimestampNTZType, T.DateType, T.TimestampType)):
+        # Of an instant, its wall-clock reading in the session zone.
         return col.cast("timestamp_ntz")
-    if isinstance(data_type, T.TimestampType):
-        # An instant: keep its wall-clock reading in the session zone.
-        return col.cast("timestamp_ntz")
-    s = F.trim(col.cast("string"))
-    iso = F.when(s.rlike(ISO_LAYOUT), s.try_cast("timestamp_ntz"))
-    compact = F.when(
-        s.rlike(COMPACT_LAYOUT),
-        _ymd(_part(s, COMPACT_LAYOUT, 1), _part(s, COMPACT_LAYOUT, 2), _part(s, COMPACT_LAYOUT, 3)),
-    )
-    year_first = F.when(
-        s.rlike(YEAR_FIRST_SLASH),
-        _ymd(_part(s, YEAR_FIRST_SLASH, 1), _part(s, YEAR_FIRST_SLASH, 2), _part(s, YEAR_FIRST_SLASH, 3)),
-    )
-    a, b, y = (_part(s, YEAR_LAST_SLASH, i) for i in (1, 2, 3))
-    slashed = s.rlike(YEAR_LAST_SLASH)
-    month_first = F.when(slashed, _ymd(y, a, b))
-    day_first = F.when(slashed, _ymd(y, b, a))
-    # Every accepted layout starts with a digit: other text skips the regex work.
-    first = F.substring(s, 1, 1)
-    return F.when((first >= F.lit("0")) & (first <= F.lit("9")), F.coalesce(iso, compact, year_first, month_first, day_first))
+    text = F.regexp_replace(col.cast("string"), "(?U)^\\s+|\\s+\\z", "")
+
+    def parse(s: Column) -> Column:
+        # AM, PM and zones are rare: their steps run only where the text ends in one after a clock.
+        marked = F.when(s.rlike(":.*[A-Za-z+-]"), _let(_wall(s), lambda w: _moved(s, w))).otherwise(_wall(s))
+        # Every accepted layout starts with a digit: other text skips the regex work.
+        return F.when(F.substring(s, 1, 1).between("0", "9"), marked)
+
+    return _let(text, parse)
 
 
 def hours_between(start: Column, end: Column) -> Column:

@@ -61,17 +61,12 @@ def category_key(col: Column) -> Column:
     return strip_ascii_punctuation(fold_text(col))
 
 
-_NON_WORD = re.compile(r"[^a-z0-9_]+")
-_UNDERSCORES = re.compile(r"_+")
-_SPACES = re.compile(r"\s+")
+_ASCII_RUN = re.compile("[a-z0-9]+")
 
 
 def normalize_name(name: object) -> str:
-    """ASCII snake-case column name: schema metadata only, so plain Python on the driver."""
-    text = unicodedata.normalize("NFKD", str(name).strip().lower())
-    text = text.translate(_combining_marks())
-    text = _UNDERSCORES.sub("_", _NON_WORD.sub("_", _SPACES.sub("_", text))).strip("_")
-    return text or EMPTY_COLUMN_NAME
+    """ASCII snake-case column name: the folded name's runs of letters and digits, joined by ``_``."""
+    return "_".join(_ASCII_RUN.findall(fold_value(name))) or EMPTY_COLUMN_NAME
 
 
 def name_tokens(name: str) -> set[str]:

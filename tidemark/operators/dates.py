@@ -10,6 +10,8 @@ one bounded action (one row per column) provides.
 
 from __future__ import annotations
 
+import re
+from itertools import product
 import datetime as _dt
 from collections.abc import Sequence
 from operator import or_
@@ -185,7 +187,8 @@ def date_failures(df: DataFrame, key: Key = None, limit: int = EXAMPLE_LIMIT, **
     keys = as_key_list(key)
     fields = _considered(df, key)
     if not fields:
-        return df.sparkSession.createDataFrame([], "column string, original_value string")
+        columns = [F.lit(None).cast("string").alias("column"), *[qcol(k) for k in keys], F.lit(None).cast("string").alias("original_value")]
+        return df.select(*columns).limit(0)
     bad = [~is_missing(f) & converted(f).isNull() for f in fields]
     cells = [
         F.struct(F.lit(f.name).alias("column"), b.alias("_bad"), as_text(f).alias("original_value"))
@@ -227,15 +230,11 @@ def with_converted_dates(df: DataFrame, key: Key = None, candidates: Sequence[st
 
 def temporal_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     """Ordered (start, end) pairs of distinct columns whose folded names suggest an interval."""
-    folded = {n: fold_value(n) for n in names}
-    pairs = []
-    for s in names:
-        for e in names:
-            if s == e:
-                continue
-            if any(t in folded[s] for t in TEMPORAL_START_TERMS) and any(t in folded[e] for t in TEMPORAL_END_TERMS):
-                pairs.append((s, e))
-    return pairs
+    starts, ends = (
+        [n for n in names if re.search("|".join(map(re.escape, terms)), fold_value(n))]
+        for terms in (TEMPORAL_START_TERMS, TEMPORAL_END_TERMS)
+    )
+    return [pair for pair in product(starts, ends) if pair[0] != pair[1]]
 
 
 def temporal_consistency(df: DataFrame, key: Key = None, candidates: Sequence[str] | None = None, **kw) -> DataFrame:
@@ -293,9 +292,9 @@ def temporal_inconsistencies(
     conv, mapping = with_converted_dates(df, key, candidates, **kw)
     pairs = temporal_pairs(list(mapping))
     if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "start_column string, end_column string, start_value timestamp_ntz, end_value timestamp_ntz, hours double"
-        )
+        none = {"start_value": "timestamp_ntz", "end_value": "timestamp_ntz", "hours": "double"}
+        columns = [F.lit(None).cast("string").alias(c) for c in ("start_column", "end_column")] + [qcol(k) for k in keys]
+        return df.select(*columns, *[F.lit(None).cast(t).alias(c) for c, t in none.items()]).limit(0)
     diffs = [hours_between(F.col(mapping[s]), F.col(mapping[e])) for s, e in pairs]
     cells = [
         F.struct(

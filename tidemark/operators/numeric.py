@@ -193,7 +193,8 @@ def numeric_outliers(
     keys = as_key_list(key)
     fields = numeric_fields(df, key)
     if not fields:
-        return df.sparkSession.createDataFrame([], "column string, value double, lower_limit double, upper_limit double")
+        none = [F.lit(None).cast("double").alias(c) for c in ("value", "lower_limit", "upper_limit")]
+        return df.select(F.lit(None).cast("string").alias("column"), *[qcol(k) for k in keys], *none).limit(0)
     stats = _collect_stats(df, fields, approx, accuracy, factor)
     cells = [
         F.struct(

@@ -7,9 +7,11 @@ aggregate: type classes per value, byte sizes, file sizes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from operator import add
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,17 +64,15 @@ def normalize_columns(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     Positional ``toDF`` is used because renaming by name is case-insensitive.
     Returns (renamed frame, mapping frame of position, original_name, normalized_name).
     """
-    seen: dict[str, int] = {}
-    names = []
-    for original in df.columns:
-        base = normalize_name(original)
-        seen[base] = seen.get(base, 0) + 1
-        names.append(base if seen[base] == 1 else f"{base}__{seen[base]}")
+    table = pd.DataFrame({"original_name": df.columns})
+    table["normalized_name"] = table["original_name"].map(normalize_name)
+    turn = table.groupby("normalized_name").cumcount()
+    table.loc[turn > 0, "normalized_name"] += "__" + (turn[turn > 0] + 1).astype(str)
+    table.insert(0, "position", range(1, len(table) + 1))
     mapping = df.sparkSession.createDataFrame(
-        [(i + 1, o, n) for i, (o, n) in enumerate(zip(df.columns, names))],
-        "position int, original_name string, normalized_name string",
+        list(table.itertuples(index=False, name=None)), "position int, original_name string, normalized_name string"
     )
-    return df.toDF(*names), mapping
+    return df.toDF(*table["normalized_name"]), mapping
 
 
 def name_mapping(df: DataFrame) -> dict[str, str]:
@@ -248,24 +248,17 @@ def mixed_type_columns(df: DataFrame, key: Key = None) -> DataFrame:
 
 def classify_variables(df: DataFrame, key: Key = None) -> DataFrame:
     """Proposed variable group per column from its folded name; always needs human review."""
-    rows = []
-    for f in profiled_fields(df, key):
-        folded = fold_value(f.name)
-        matches = [group for group, terms in VARIABLE_GROUPS if any(t in folded for t in terms)]
-        rows.append(
-            (
-                f.name,
-                matches[0] if matches else OTHER_GROUP,
-                " | ".join(matches[1:]),
-                type_name(f),
-                CLASSIFICATION_CRITERION,
-                True,
-            )
-        )
-    return df.sparkSession.createDataFrame(
-        rows,
-        "column string, proposed_group string, alternative_groups string, data_type string, "
-        "criterion string, needs_review boolean",
+    columns = df.sparkSession.createDataFrame(
+        [(f.name, fold_value(f.name), type_name(f)) for f in profiled_fields(df, key)], "column string, folded string, data_type string"
+    )
+    hit = [F.when(F.col("folded").rlike("|".join(map(re.escape, terms))), F.lit(group)) for group, terms in VARIABLE_GROUPS]
+    return columns.withColumn("groups", F.array_compact(F.array(*hit))).select(
+        "column",
+        F.coalesce(F.get("groups", F.lit(0)), F.lit(OTHER_GROUP)).alias("proposed_group"),
+        F.array_join(F.slice("groups", 2, len(hit)), " | ").alias("alternative_groups"),
+        "data_type",
+        F.lit(CLASSIFICATION_CRITERION).alias("criterion"),
+        F.lit(True).alias("needs_review"),
     )
 
 

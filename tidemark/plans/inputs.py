@@ -67,8 +67,29 @@ SELECT o_orderkey AS "  Número Orden", o_custkey AS "Cliente ID", o_orderstatus
 FROM {orders}
 """
 
-VIEWS = {"census": CENSUS, "stay": STAY, "messy_orders": MESSY_ORDERS}
-_DEPENDS = {"census": ("orders",), "stay": ("lineitem", "orders"), "messy_orders": ("orders",)}
+# Orders without their key, a quarter of them twice: whole rows repeat.
+DUP_ORDERS = """
+SELECT o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders}
+UNION ALL
+SELECT o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} WHERE o_orderkey % 4 = 0
+"""
+
+# Order dates as text in further layouts: clock, AM / PM, offset, day first with dashes.
+DATE_LAYOUTS = """
+SELECT o_orderkey,
+       CASE o_orderkey % 6
+            WHEN 0 THEN y || '-' || m || '-' || d || 'T10:00:00-05:00'
+            WHEN 1 THEN d || '-' || m || '-' || y
+            WHEN 2 THEN m || '/' || d || '/' || y || ' 10:30'
+            WHEN 3 THEN y || '-' || m || '-' || d || ' 10:30 PM'
+            WHEN 4 THEN y || '-' || m || '-' || d || 'T10:00:00Z'
+            ELSE 'mal' END AS fecha
+FROM (SELECT o_orderkey, substr(t, 1, 4) AS y, substr(t, 6, 2) AS m, substr(t, 9, 2) AS d
+      FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS t FROM {orders}) AS a) AS b
+"""
+
+VIEWS = {"census": CENSUS, "dup_orders": DUP_ORDERS, "date_layouts": DATE_LAYOUTS, "stay": STAY, "messy_orders": MESSY_ORDERS}
+_DEPENDS = {"census": ("orders",), "dup_orders": ("orders",), "date_layouts": ("orders",), "stay": ("lineitem", "orders"), "messy_orders": ("orders",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,20 +100,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if name == "messy_orders":
             text = text.replace('"', "`")
         return spark.sql(text, **tables)
-    return sized(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it has fewer splits than task slots.
-
-    A small table stored as one Parquet row group scans in one task, so every
-    per-row step before the first shuffle would run on one core. Large inputs
-    already have many more splits than slots, and then this is a no-op.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def duckdb_view(name: str) -> str:

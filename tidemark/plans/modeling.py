@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import qcol
+from tidemark.functions.quantiles import quantile_map
 from tidemark.operators.metrics import classification_metrics, regression_metrics
 
 SEED = 42
@@ -175,10 +176,10 @@ def compare_models(
 
 # ---------------------------------------------------------------- L8 evaluation
 def calibration(scored: DataFrame, label: str, score: str = "score", bins: int = 10) -> DataFrame:
-    """Mean score and observed rate per score decile (cut points by approximate quantiles)."""
+    """Mean score and observed rate per score bin, cut at exact quantiles."""
     probs = [i / bins for i in range(1, bins)]
-    # ``bins - 1`` cut points: a fixed-size row, collected and used as a literal array.
-    cuts = scored.agg(F.percentile_approx(score, probs, 10000).alias("c")).first()["c"] or []
+    # ``bins - 1`` cut points, used as a literal array.
+    cuts = [c for c in quantile_map(scored, {"score": F.col(score)}, probs)["score"] if c is not None]
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     # Number of cut points at or below the score = its bin (0..bins-1).
     b = F.size(F.filter(edges, lambda c: c <= F.col(score)))
@@ -222,31 +223,33 @@ def evaluate_test(
 
 
 # ---------------------------------------------------------------- L9 explanation
-ROWS_PER_BUCKET = 1_000_000
+HASH_BUCKETS = 4096
 
 
-def permute_column(
-    df: DataFrame, column: str, row_key: str | Sequence[str], seed: int = SEED, buckets: int | None = None
-) -> DataFrame:
-    """The frame with ``column`` randomly permuted among rows of the same hashed bucket.
+def _global_rank(df: DataFrame, seed: int, keys: Sequence[Column]) -> DataFrame:
+    """Adds ``_rank``: the row's place in the order of a seeded hash of its key, over the whole table.
 
-    Rows are spread over buckets by a hash of the row key; inside a bucket
-    values and rows are ranked in two independent random orders and matched by
-    rank. By default the bucket count follows the row count (about
-    ``ROWS_PER_BUCKET`` rows each), so a window task never holds more than a
-    bucket, whatever the table size.
+    Rows are counted by the leading bits of the hash (``HASH_BUCKETS`` counts), and
+    ranked inside each bucket only; a row's bucket follows from its key alone.
     """
-    if buckets is None:
-        buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
-    keys = [row_key] if isinstance(row_key, str) else list(row_key)
-    k = [qcol(c) for c in keys]
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *k), F.lit(buckets))
-    base = df.withColumn("_b", bucket)
-    rows_order = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), *k), *k)
-    vals_order = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 2), *k), *k)
-    rows = base.drop(column).withColumn("_rank", F.row_number().over(rows_order))
-    vals = base.select("_b", qcol(column).alias(column), F.row_number().over(vals_order).alias("_rank"))
-    return rows.join(vals, ["_b", "_rank"]).drop("_b", "_rank").select(*df.columns)
+    h = F.xxhash64(F.lit(seed), *keys)
+    hashed = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned(h, 64 - HASH_BUCKETS.bit_length() + 1))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
+    return hashed.withColumn("_in", inside).join(F.broadcast(counts), "_b").withColumn("_rank", F.col("_before") + F.col("_in")).drop("_h", "_b", "_in", "_before")
+
+
+def permute_column(df: DataFrame, column: str, row_key: str | Sequence[str], seed: int = SEED) -> DataFrame:
+    """The frame with ``column`` permuted among all rows: two seeded orders of the rows, matched by rank.
+
+    ``row_key`` must tell rows apart. The same rows give the same permutation at any
+    size and partitioning.
+    """
+    keys = [qcol(c) for c in ([row_key] if isinstance(row_key, str) else row_key)]
+    rows = _global_rank(df, seed + 1, keys).drop(column)
+    values = _global_rank(df, seed + 2, keys).select(qcol(column).alias(column), "_rank")
+    return rows.join(values, "_rank").select(*df.columns)
 
 
 def permutation_importance(
@@ -273,11 +276,17 @@ def permutation_importance(
 
 
 def subgroup_effects(scored: DataFrame, subgroup: str, target: str, score: str = "score", k_min: int = 10) -> DataFrame:
-    """Mean score and observed rate per subgroup value; groups under ``k_min`` rows are suppressed."""
-    g = scored.groupBy(subgroup).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(score).alias("mean_score"), F.avg(qcol(target).cast("double")).alias("observed_rate")
+    """Mean score and observed rate per subgroup value.
+
+    Groups under ``k_min`` rows are one row without a name (null); it is left out only
+    if all of them together are still under ``k_min``.
+    """
+    per = scored.groupBy(qcol(subgroup).cast("string").alias(subgroup)).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col(score).cast("double")).alias("s"), F.sum(qcol(target).cast("double")).alias("t"), F.count(score).alias("ns"), F.count(qcol(target)).alias("nt")
     )
-    return g.where(F.col("rows") >= k_min)
+    name = F.when(F.col("rows") >= k_min, qcol(subgroup))
+    folded = per.groupBy(name.alias(subgroup)).agg(*[F.sum(c).alias(c) for c in ("rows", "s", "t", "ns", "nt")])
+    return folded.where(F.col("rows") >= k_min).select(subgroup, "rows", F.try_divide("s", "ns").alias("mean_score"), F.try_divide("t", "nt").alias("observed_rate"))
 
 
 # ---------------------------------------------------------------- L10 report

@@ -150,6 +150,22 @@ FROM ({nulls_by_column_sql(src, cols)}) AS b
 """
 
 
+LINEITEM_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+DUP_ORDERS_COLS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def date_layouts_sql() -> str:
+    # M-d-y goes before d-M-y, as for slashes; offsets are turned to UTC.
+    return f"""SELECT o_orderkey, CASE o_orderkey % 6
+       WHEN 0 THEN strptime(substr(fecha, 1, 19), '%Y-%m-%dT%H:%M:%S') + INTERVAL 5 HOUR
+       WHEN 1 THEN coalesce(try_strptime(fecha, '%m-%d-%Y'), try_strptime(fecha, '%d-%m-%Y'))
+       WHEN 2 THEN strptime(fecha, '%m/%d/%Y %H:%M')
+       WHEN 3 THEN strptime(fecha, '%Y-%m-%d %I:%M %p')
+       WHEN 4 THEN strptime(substr(fecha, 1, 19), '%Y-%m-%dT%H:%M:%S') END AS at
+FROM {duckdb_view("date_layouts")} AS t"""
+
+
 # ---------------------------------------------------------------- E: duplicates
 def exact_duplicates_sql(src: str, cols: list[str]) -> str:
     g = ", ".join(q(c) for c in cols)
@@ -610,23 +626,22 @@ def validation_summary_sql() -> str:
     )
     pairs_src = temporal_inconsistencies_sql(src, ["o_orderkey"], "fecha_ingreso", "fecha_salida", "string", "string")
     checks = [
-        (1, "null values", f"(SELECT null_cells FROM ({dimensions_sql(src, cols)}) AS d)", f"(SELECT total_cells FROM ({dimensions_sql(src, cols)}) AS d)", False, "nulls_by_column", "No null values found.", "Found {} null cells."),
-        (2, "exact duplicates", f"(SELECT duplicate_rows FROM ({exact_duplicates_sql(src, [c for c, _ in cols])}) AS d)", f"(SELECT count(*) FROM {src} AS t)", True, "exact_duplicates", "No exact duplicate rows found.", "Found {} duplicated rows; review them before cleaning."),
-        (3, "identifier candidates", f"(SELECT count(*) FROM ({identifier_candidates_sql(src, cols)}) AS d)", str(n), False, "identifier_candidates", "No candidates under the configured rules.", "Proposed {} candidate columns for review."),
-        (4, "empty or constant columns", f"(SELECT count(*) FILTER (WHERE is_empty OR single_value) FROM ({empty_constant_sql(src, cols)}) AS d)", str(n), True, "empty_constant_columns", "No empty or constant columns found.", "Found {} empty or constant columns."),
-        (5, "text problems", f"((SELECT coalesce(sum({text_total}), 0) FROM ({text_problems_sql(src, cols)}) AS d) + (SELECT coalesce(sum(count), 0) FROM ({textual_nulls_sql(src, cols)}) AS e))", f"greatest(1, (SELECT count(*) FROM {src} AS t) * {n})", False, "text_problems", "No text problems under the configured rules.", "Found {} text issues for review."),
-        (6, "date conversion", f"(SELECT coalesce(sum(failed), 0) FROM {date_profile_sql(src, cols)} AS d)", f"(SELECT count(*) FROM {src} AS t)", False, "date_conversion", "No unconvertible values in date candidates.", "Found {} unconvertible values in date candidates."),
-        (7, "temporal consistency", f"(SELECT count(*) FROM ({pairs_src}) AS d)", f"(SELECT count(*) FROM {src} AS t)", True, "temporal_inconsistencies", "No end date before its start date.", "Found {} preliminary temporal inconsistencies."),
+        (1, "null values", f"(SELECT null_cells FROM ({dimensions_sql(src, cols)}) AS d)", f"(SELECT total_cells FROM ({dimensions_sql(src, cols)}) AS d)", False, "nulls_by_column", "null cells"),
+        (2, "exact duplicates", f"(SELECT duplicate_rows FROM ({exact_duplicates_sql(src, [c for c, _ in cols])}) AS d)", f"(SELECT count(*) FROM {src} AS t)", True, "exact_duplicates", "rows that repeat another"),
+        (3, "identifier candidates", f"(SELECT count(*) FROM ({identifier_candidates_sql(src, cols)}) AS d)", str(n), False, "identifier_candidates", "columns that look like identifiers"),
+        (4, "empty or constant columns", f"(SELECT count(*) FILTER (WHERE is_empty OR single_value) FROM ({empty_constant_sql(src, cols)}) AS d)", str(n), True, "empty_constant_columns", "columns with one value or none"),
+        (5, "text problems", f"((SELECT coalesce(sum({text_total}), 0) FROM ({text_problems_sql(src, cols)}) AS d) + (SELECT coalesce(sum(count), 0) FROM ({textual_nulls_sql(src, cols)}) AS e))", f"greatest(1, (SELECT count(*) FROM {src} AS t) * {n})", False, "text_problems", "defects in text"),
+        (6, "date conversion", f"(SELECT coalesce(sum(failed), 0) FROM {date_profile_sql(src, cols)} AS d)", f"(SELECT count(*) FROM {src} AS t)", False, "date_conversion", "dates that could not be read"),
+        (7, "temporal consistency", f"(SELECT count(*) FROM ({pairs_src}) AS d)", f"(SELECT count(*) FROM {src} AS t)", True, "temporal_inconsistencies", "intervals that end before they start"),
     ]
     parts = []
-    for pos, name, affected, total, review, evidence, ok, warn in checks:
-        head, tail = warn.split("{}")
+    for pos, name, affected, total, review, evidence, what in checks:
         status = "REVIEW" if review else "WARNING"
         parts.append(
             f"""SELECT {pos} AS position, {lit(name)} AS {q('check')},
        CASE WHEN a = 0 THEN 'OK' ELSE {lit(status)} END AS status, CAST(a > 0 AS BIGINT) AS warnings, a AS affected,
        {rnd(pct('a', 'tot'))} AS affected_pct, {lit(evidence + '.csv')} AS evidence,
-       CASE WHEN a = 0 THEN {lit(ok)} ELSE {lit(head)} || CAST(a AS VARCHAR) || {lit(tail)} END AS observation
+       CASE WHEN a = 0 THEN 'no' ELSE CAST(a AS VARCHAR) END || ' ' || {lit(what)} AS observation
 FROM (SELECT CAST({affected} AS BIGINT) AS a, CAST({total} AS BIGINT) AS tot) AS v"""
         )
     return union(parts)
@@ -769,6 +784,10 @@ def oracles() -> dict[str, str]:
         "missing_ranking": missing_ranking_sql(census, cc),
         "exact_duplicates": exact_duplicates_sql(docs, ["text", "lang"]),
         "exact_duplicates_lineitem": exact_duplicates_sql(flags, ["l_returnflag", "l_linestatus", "l_linenumber"]),
+        "exact_duplicates_rows": exact_duplicates_sql("lineitem", LINEITEM_ALL),
+        "exact_duplicates_dup_orders": exact_duplicates_sql(duckdb_view("dup_orders"), DUP_ORDERS_COLS),
+        "date_layouts": date_layouts_sql(),
+        "numeric_summary_persisted": numeric_summary_sql("events", [("user_id", "bigint"), ("value", "double")]),
         "duplicate_examples": duplicate_examples_sql(docs, ["doc_id"], ["text", "lang"]),
         "duplicate_row_keys": duplicate_row_keys_sql(docs, ["doc_id"], ["text", "lang"]),
         "column_inventory": column_inventory_sql(census, cc),
@@ -803,7 +822,6 @@ def oracles() -> dict[str, str]:
         "normalize_columns": normalize_columns_sql(),
         "name_mapping": name_mapping_sql(),
         "values_preserved": values_preserved_sql(),
-        "classify_variables": classify_sql(cc),
         "storage_footprint": storage_sql(census, cc),
         "validation_summary": summary,
         "status_counts": f"SELECT status, CAST(count(*) AS BIGINT) AS checks FROM ({summary}) AS s GROUP BY status",

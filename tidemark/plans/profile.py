@@ -13,7 +13,6 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +27,7 @@ from tidemark.sinks import (
     write_identified,
     write_report_json,
 )
-from tidemark.sources import read_headed_table, require_source
+from tidemark.sources import infer_types, nullify_markers, read_headed_table, require_source
 
 
 def profile(
@@ -38,11 +37,13 @@ def profile(
     as_of: _dt.datetime | None = None,
     mapping: dict[str, str] | None = None,
     approx: bool = False,
+    source_paths: Sequence[str] | None = None,
+    output_paths: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """All evidence tables for ``df`` (lazy). Date candidates are resolved once and shared."""
     kw = {"earliest": earliest, "as_of": as_of}
     candidates = candidate_names(df, key, **kw)
-    summary = O.validation_summary(df, key, earliest=earliest, as_of=as_of, date_candidates=candidates)
+    summary = O.validation_summary(df, key, earliest=earliest, as_of=as_of, date_candidates=candidates, approx=approx)
     empty_constant = O.empty_constant_columns(df, key, approx=approx)
     return {
         "dimensions": O.dimensions(df, key),
@@ -70,7 +71,7 @@ def profile(
         "temporal_summary": O.temporal_consistency(df, key, candidates=candidates, **kw),
         "temporal_inconsistencies": O.temporal_inconsistencies(df, key, candidates=candidates, **kw),
         "classification": O.classify_variables(df, key),
-        "memory": O.storage_footprint(df, key),
+        "memory": O.storage_footprint(df, key, source_paths, output_paths),
         "validation_summary": summary,
         "status_counts": O.status_counts(summary),
         "pending_validations": O.pending_validations(summary),
@@ -91,42 +92,44 @@ def run_profile(
     """The whole profiling stage; returns the evidence tables, read back from what was written."""
     as_of = as_of or _dt.datetime.now()
     require_source(spark, source, "Place the source table before running the profile.")
-    raw = read_headed_table(spark, source, header_row=header_row) if source_format == "headed_text" else spark.read.parquet(source)
+    if source_format == "headed_text":
+        raw = infer_types(nullify_markers(read_headed_table(spark, source, header_row=header_row)))
+    else:
+        raw = spark.read.parquet(source)
     renamed, mapping_df = O.normalize_columns(raw)
     preserved = O.values_preserved(raw, renamed).first()
     if not preserved["preserved"]:
         raise RuntimeError("Values changed while renaming columns.")
     mapping = {r["normalized_name"]: r["original_name"] for r in mapping_df.collect()}
     identified_path = f"{out_dir}/identified.parquet"
-    write_identified(renamed, identified_path)
-    # Lineage now starts at the written table; the cache only avoids re-reading it.
-    df = spark.read.parquet(identified_path).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tables = profile(df, key, earliest=earliest, as_of=as_of, mapping=mapping, approx=approx)
-        produced = [identified_path]
-        for name, table in tables.items():
-            path = f"{out_dir}/tables/{name}.csv"
-            write_evidence_csv(_csv_safe(table), path)
-            produced.append(path)
-        summary = spark.read.option("header", True).csv(f"{out_dir}/tables/validation_summary.csv")
-        report_path = f"{out_dir}/metrics/validation_summary.json"
-        write_report_json(validation_report(summary, tables["row_completeness"], run_time=as_of), report_path)
-        produced.append(report_path)
-        meta_path = f"{out_dir}/metrics/ingestion_metadata.json"
-        produced.append(meta_path)
-        meta = ingestion_metadata(
-            df,
-            [source],
-            identified_path,
-            produced=produced,
-            required_member=None,
-            run_time=as_of,
-            key=key,
-        )
-        write_report_json(meta, meta_path)
-        write_evidence_csv(evidence_manifest(spark, produced), f"{out_dir}/tables/manifest.csv")
-    finally:
-        df.unpersist()
+    mixed = [r["column"] for r in O.mixed_type_columns(renamed, key).select("column").collect()]  # a row per column
+    write_identified(renamed, identified_path, mixed)
+    # Lineage now starts at the written table, in the shared output folder.
+    df = spark.read.parquet(identified_path)
+    tables = profile(df, key, earliest=earliest, as_of=as_of, mapping=mapping, approx=approx, source_paths=[source], output_paths=[identified_path])
+    produced = [identified_path]
+    for name, table in tables.items():
+        path = f"{out_dir}/tables/{name}.csv"
+        write_evidence_csv(_csv_safe(table), path)
+        produced.append(path)
+    summary = spark.read.option("header", True).csv(f"{out_dir}/tables/validation_summary.csv")
+    report_path = f"{out_dir}/metrics/validation_summary.json"
+    write_report_json(validation_report(summary, tables["row_completeness"], run_time=as_of), report_path)
+    produced.append(report_path)
+    meta_path = f"{out_dir}/metrics/ingestion_metadata.json"
+    produced.append(meta_path)
+    meta = ingestion_metadata(
+        df,
+        [source],
+        identified_path,
+        produced=produced,
+        required_member=None,
+        stringified_columns=mixed,
+        run_time=as_of,
+        key=key,
+    )
+    write_report_json(meta, meta_path)
+    write_evidence_csv(evidence_manifest(spark, produced), f"{out_dir}/tables/manifest.csv")
     return {name: spark.read.option("header", True).csv(f"{out_dir}/tables/{name}.csv") for name in tables}
 
 

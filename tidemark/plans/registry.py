@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidemark import operators as O
 from tidemark.functions.columns import qcol
 from tidemark.functions.text import category_key, fold_text
+from tidemark.functions.dates import to_timestamp_lenient
 from tidemark.operators import metrics as M
 from tidemark.operators import outcome as OC
 from tidemark.plans import modeling as ML
@@ -83,6 +84,14 @@ CENSUS_KEY = "o_orderkey"
 STAY_KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
+def _date_layouts(spark, sf):
+    return table(spark, sf, "date_layouts").select("o_orderkey", to_timestamp_lenient(F.col("fecha")).alias("at"))
+
+
+def _persisted_events(spark, sf):
+    return table(spark, sf, "events").persist()
+
+
 def _converted_dates(spark, sf):
     frame, _ = O.with_converted_dates(_census(spark, sf), CENSUS_KEY, **DATE_KW)
     return frame
@@ -148,6 +157,10 @@ QUERIES: dict[str, Query] = {
     # E: duplicates
     "exact_duplicates": _op(_docs, O.exact_duplicates, "doc_id"),
     "exact_duplicates_lineitem": _op(_line_flags, O.exact_duplicates),
+    "exact_duplicates_rows": _op(_t("lineitem"), O.exact_duplicates),
+    "exact_duplicates_dup_orders": _op(_t("dup_orders"), O.exact_duplicates),
+    "date_layouts": _date_layouts,
+    "numeric_summary_persisted": _op(_persisted_events, O.numeric_summary, "event_id"),
     "duplicate_examples": _op(_docs, O.duplicate_examples, "doc_id"),
     "duplicate_row_keys": _op(_docs, O.duplicate_row_keys, "doc_id"),
     # C / F: column shape
@@ -188,7 +201,6 @@ QUERIES: dict[str, Query] = {
     "normalize_columns": _normalized,
     "name_mapping": _name_mapping,
     "values_preserved": _values_preserved,
-    "classify_variables": _op(_census, O.classify_variables, CENSUS_KEY),
     "storage_footprint": _op(_census, O.storage_footprint, CENSUS_KEY),
     # J: consolidation
     "validation_summary": _summary,

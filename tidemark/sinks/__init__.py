@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import FLOATING_TYPES, qcol
 
-# binaryFile cannot load one file's content above 2 GiB (one JVM byte array).
-MAX_HASHED_BYTES = 2**31 - 1
+# Files up to this size are hashed by Spark's own function; larger ones (whose content does
+# not fit one JVM byte array from 2 GiB on) are read in blocks by a task.
+WHOLE_FILE_BYTES = 256 << 20
 
 
 def stringify_mixed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -69,29 +70,35 @@ def file_listing(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
 
 
-def fingerprint_files(spark: SparkSession, paths: Sequence[str] | str, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
-    """SHA-256 of every file, computed on the executors.
+def _hash_blocks(batches):
+    import hashlib
 
-    Files above ``max_bytes`` are listed with a null hash and a reason; the
-    length filter is pushed into the ``binaryFile`` scan, so their content is
-    never loaded.
+    import pandas as pd
+    from pyarrow import fs
+
+    for pdf in batches:
+        hashes = []
+        for path in pdf["path"]:
+            filesystem, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+            digest = hashlib.sha256()
+            with filesystem.open_input_stream(inner) as stream:
+                while block := stream.read(8 << 20):
+                    digest.update(block)
+            hashes.append(digest.hexdigest())
+        yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "modificationTime": pdf["modificationTime"], "sha256": hashes})
+
+
+def fingerprint_files(spark: SparkSession, paths: Sequence[str] | str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """SHA-256 of every file, of any size, computed on the executors.
+
+    The length filters are pushed into the ``binaryFile`` scans, so a large file's
+    content is never loaded whole.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").load(paths)
-    small = files.where(F.col("length") <= max_bytes).select(
-        "path",
-        "length",
-        "modificationTime",
-        F.sha2(F.col("content"), 256).alias("sha256"),
-        F.lit(None).cast("string").alias("reason"),
-    )
-    large = files.where(F.col("length") > max_bytes).select(
-        "path",
-        "length",
-        "modificationTime",
-        F.lit(None).cast("string").alias("sha256"),
-        F.lit(f"larger than {max_bytes} bytes").alias("reason"),
-    )
+    facts = ["path", "length", "modificationTime"]
+    small = files.where(F.col("length") <= whole).select(*facts, F.sha2(F.col("content"), 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select(*facts).mapInPandas(_hash_blocks, "path string, length long, modificationTime timestamp, sha256 string")
     return small.unionByName(large)
 
 
@@ -100,28 +107,22 @@ def _plain_path(c):
 
 
 def evidence_manifest(spark: SparkSession, expected: Sequence[str]) -> DataFrame:
-    """expected path, exists, bytes: expected outputs left-joined to the file listing."""
-    wanted = spark.createDataFrame([(p,) for p in expected], "path string").select(_plain_path(F.col("path")).alias("path"))
+    """expected path, exists, bytes: each expected output with the files at it or anywhere below it."""
+    parts = [spark.createDataFrame([(p, None) for p in expected], "path string, length long")]
     # Each expected output is listed on its own (a bounded number of paths), so a
     # missing one does not hide the others.
-    listing = spark.createDataFrame([], "file string, length long")
     for path in sorted(set(expected)):
         try:
-            found = file_listing(spark, path).select(_plain_path(F.col("path")).alias("file"), "length")
-        except AnalysisException:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+        except AnalysisException as err:
+            if "PATH_NOT_FOUND" not in str(err):
+                raise
             continue
-        listing = listing.unionByName(found)
-    # Spark writes folder outputs, so a file matches an expected path by itself or by its folder.
-    candidates = listing.select(
-        F.explode(F.array(F.col("file"), F.regexp_extract(F.col("file"), "^(.*)/[^/]+$", 1))).alias("path"),
-        "file",
-        "length",
-    ).distinct()
-    matched = wanted.join(candidates, "path", "left")
-    return matched.groupBy("path").agg(
-        (F.count("file") > 0).alias("exists"),
-        F.sum("length").alias("bytes"),
-    )
+        parts.append(found.select(F.lit(path).alias("path"), "length"))
+    listed = parts[0]
+    for part in parts[1:]:
+        listed = listed.unionByName(part)
+    return listed.groupBy(_plain_path(F.col("path")).alias("path")).agg((F.count("length") > 0).alias("exists"), F.sum("length").alias("bytes"))
 
 
 def ingestion_metadata(
@@ -195,36 +196,24 @@ __all__ = [
 ]
 
 
-
-
 def write_headed_text(df: DataFrame, path: str, title: str, delimiter: str = ",") -> str:
     """Write delimited text with a title line and a header line at the top of every part file.
 
-    Each partition formats its own rows (``mapInPandas`` with the csv module) and
-    ``write.text`` keeps them in order, one file per partition; nothing passes
-    through one task or the driver.
+    Each partition formats its own rows (``DataFrame.to_csv``) and ``write.text`` keeps
+    them in order, one file per partition; nothing passes through one task or the
+    driver. An empty partition still writes its title and header.
     """
     names = list(df.columns)
 
     def lines(batches):
-        import csv
-        import io
+        import itertools
 
         import pandas as pd
 
-        first = True
-        for pdf in batches:
-            out = io.StringIO()
-            w = csv.writer(out, delimiter=delimiter, lineterminator="\n")
-            if first:
-                out.write(title + "\n")
-                w.writerow(names)
-                first = False
-            for row in pdf.itertuples(index=False, name=None):
-                w.writerow(["" if v is None or (isinstance(v, float) and v != v) else v for v in row])
-            text = out.getvalue()
-            if text:
-                yield pd.DataFrame({"value": [text.rstrip("\n")]})
+        for pdf in itertools.chain([pd.DataFrame(columns=names)], batches):
+            head = "" if len(pdf) else title + "\n"
+            text = head + pdf.to_csv(index=False, header=not len(pdf), sep=delimiter, lineterminator="\n", na_rep="")
+            yield pd.DataFrame({"value": [text.rstrip("\n")]})
 
     as_text = df.select(*[qcol(c).cast("string").alias(c) for c in names])
     as_text.mapInPandas(lines, "value string").write.mode("overwrite").text(path)

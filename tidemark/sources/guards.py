@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import qcol
+from tidemark.functions.dates import to_timestamp_lenient
 from tidemark.functions.terms import DEFAULT_NA_MARKERS
 
 
@@ -35,10 +36,8 @@ def require_table(members: Iterable[str], required: str, source: str = "") -> tu
     """Exact, case-sensitive membership; returns (required, ignored members)."""
     found = list(members)
     if required not in found:
-        raise ValueError(
-            f"Required member not found. Source checked: {source}; members found: {found}; "
-            f"required member: {required}."
-        )
+        where = f" in {source}" if source else ""
+        raise ValueError(f"No table named {required!r}{where}; there are {len(found)}: {', '.join(sorted(found)) or 'none'}")
     return required, [m for m in found if m != required]
 
 
@@ -61,34 +60,33 @@ def nullify_markers(df: DataFrame, markers: Sequence[str] = DEFAULT_NA_MARKERS)
     )
 
 
-# --- fixed values: type ladder tried on text columns, narrowest first
-TYPE_LADDER = ("bigint", "double", "boolean", "timestamp_ntz")
+# --- fixed values: types tried on text columns, narrowest first, with the texts that may become one. A code
+# such as 007, 2D or Y stays text.
+_WHOLE = "[+-]?(0|[1-9][0-9]*)"
+TYPE_LADDER = {
+    "bigint": f"^{_WHOLE}\\z",
+    "double": f"^({_WHOLE}([.][0-9]*)?|[+-]?[.][0-9]+)([eE][+-]?[0-9]+)?\\z",
+    "boolean": "^(true|false|True|False|TRUE|FALSE)\\z",
+    "timestamp_ntz": "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ].*)?\\z",
+}
 
 
-def infer_types(df: DataFrame, ladder: Sequence[str] = TYPE_LADDER) -> DataFrame:
-    """Cast each text column to the first type every informed value converts to.
+def _as(c: Column, kind: str) -> Column:
+    """The value as ``kind``, or null where its text is not one; offsets are turned to UTC."""
+    value = to_timestamp_lenient(c) if kind == "timestamp_ntz" else c.try_cast(kind)
+    return F.when(c.rlike(TYPE_LADDER[kind]), value)
 
-    One wide aggregate counts failed conversions per (column, type); that single
-    row is the only thing collected.
+
+def infer_types(df: DataFrame, ladder: Sequence[str] = tuple(TYPE_LADDER)) -> DataFrame:
+    """Each text column as the first type that all its informed values are written as.
+
+    One wide aggregate counts the values that are not, per (column, type); that
+    single row is the only thing collected.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
-    aggs = []
-    for i, name in enumerate(texts):
-        c = qcol(name)
-        for j, t in enumerate(ladder):
-            aggs.append(F.count_if(c.isNotNull() & c.try_cast(t).isNull()).alias(f"_f{i}_{j}"))
-        aggs.append(F.count(c).alias(f"_n{i}"))
-    row = df.agg(*aggs).first()
-    chosen = {}
-    for i, name in enumerate(texts):
-        if row[f"_n{i}"] == 0:
-            continue
-        for j, t in enumerate(ladder):
-            if row[f"_f{i}_{j}"] == 0:
-                chosen[name] = t
-                break
-    return df.select(
-        *[qcol(f.name).try_cast(chosen[f.name]).alias(f.name) if f.name in chosen else qcol(f.name) for f in df.schema.fields]
-    )
+    misses = [F.count_if(qcol(c).isNotNull() & _as(qcol(c), t).isNull()).alias(f"f{i}_{t}") for i, c in enumerate(texts) for t in ladder]
+    row = df.agg(*misses, *[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first()
+    kinds = {c: next((t for t in ladder if row[f"n{i}"] and not row[f"f{i}_{t}"]), None) for i, c in enumerate(texts)}
+    return df.select(*[_as(qcol(c), kinds[c]).alias(c) if kinds.get(c) else qcol(c) for c in df.columns])

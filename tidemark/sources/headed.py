@@ -1,18 +1,22 @@
 """Delimited text whose header is not on the first line (a title row comes first).
 
-Spark's CSV reader cannot skip a per-file number of leading lines, so this is
-a small Python data source: one input partition per file, the first
-``header_row`` lines of each file skipped, names taken from line
-``header_row``, every value read as text (types come later, see
-``tidemark.sources.infer_types``). Files are opened through ``pyarrow.fs``
-(local, HDFS and object stores alike) and parsed by ``pyarrow.csv`` into Arrow
-batches.
+Spark's CSV reader cannot skip a per-file number of leading records, so this is a
+small Python data source: one input partition per file, the first ``header_row``
+records of each file skipped, names taken from record ``header_row`` (records, not
+lines: a quoted name may hold a line feed), every value read as text (types come
+later, see ``tidemark.sources.infer_types``). Files are opened through
+``pyarrow.fs`` (local, HDFS and object stores alike) and streamed block by block
+into Arrow batches by ``pyarrow.csv``.
+
+A record with more or fewer cells than the header, or a file with another header
+than the first file's, is an error that names the file: nothing is cut off.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,36 +25,50 @@ from pyspark.sql.types import StringType, StructField, StructType
 FORMAT_NAME = "headed_text"
 
 
+def _open(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def _files(path: str) -> list[str]:
     from pyarrow import fs
 
-    filesystem, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    filesystem, root = _open(path)
     info = filesystem.get_file_info(root)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"No such source: {path}")
     if info.type == fs.FileType.File:
         return [path]
-    selector = fs.FileSelector(root, recursive=True)
-    found = [i.path for i in filesystem.get_file_info(selector) if i.type == fs.FileType.File]
+    found = [i.path for i in filesystem.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File]
     found = [p for p in found if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
     prefix = path[: path.index("://") + 3] if "://" in path else ""
     return sorted(prefix + p if prefix and not p.startswith(prefix) else p for p in found)
 
 
-def _lines(path: str, encoding: str):
-    from pyarrow import fs
+def _lines(stream, encoding: str) -> Iterator[tuple[str, int]]:
+    """Each line of a byte stream and the number of bytes up to its end."""
+    at = 0
+    for line in io.BufferedReader(stream, 1 << 16):
+        at += len(line)
+        yield line.decode(encoding), at
 
-    filesystem, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+def _header(path: str, header_row: int, delimiter: str, encoding: str) -> tuple[list[str], int]:
+    """The names in record ``header_row``, and where the data starts (bytes)."""
+    filesystem, inner = _open(path)
     with filesystem.open_input_stream(inner) as raw:
-        yield from io.TextIOWrapper(raw, encoding=encoding, newline="")
+        end = 0
 
+        def counted() -> Iterator[str]:
+            nonlocal end
+            for line, end in _lines(raw, encoding):  # noqa: B020
+                yield line
 
-def _header(path: str, header_row: int, delimiter: str, encoding: str) -> list[str]:
-    rows = csv.reader(_lines(path, encoding), delimiter=delimiter)
-    for i, row in enumerate(rows):
-        if i == header_row:
-            return row
-    raise ValueError(f"{path} has no line {header_row} to use as header")
+        for i, record in enumerate(csv.reader(counted(), delimiter=delimiter)):
+            if i == header_row:
+                return unique_names(record), end
+    raise ValueError(f"{path} has no record {header_row} to use as header")
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -80,29 +98,30 @@ class HeadedTextReader(DataSourceReader):
         self.header_row = int(options.get("header_row", 1))
         self.delimiter = options.get("delimiter", ",")
         self.encoding = options.get("encoding", "utf-8")
-        self.width = len(schema.fields)
         self.names = [f.name for f in schema.fields]
 
     def partitions(self):
         return [_FilePartition(p) for p in _files(self.path)]
 
     def read(self, partition):
-        """Arrow batches parsed by ``pyarrow.csv``; ragged files fall back to row-wise parsing (rows padded, never dropped)."""
         import pyarrow as pa
         from pyarrow import csv as pacsv
-        from pyarrow import fs
 
-        filesystem, inner = (
-            fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
-        )
-        try:
-            with filesystem.open_input_stream(inner) as raw:
-                table = pacsv.read_csv(
+        names, start = _header(partition.path, self.header_row, self.delimiter, self.encoding)
+        if names != self.names:
+            raise ValueError(f"{partition.path} has the columns {names}, not {self.names}")
+        filesystem, inner = _open(partition.path)
+        if filesystem.get_file_info(inner).size <= start:
+            return  # a header and no data
+        with filesystem.open_input_stream(inner) as raw:
+            left = start
+            while left:
+                left -= len(raw.read(min(left, 1 << 20)))
+            try:
+                reader = pacsv.open_csv(
                     raw,
-                    read_options=pacsv.ReadOptions(
-                        skip_rows=self.header_row + 1, column_names=self.names, encoding=self.encoding
-                    ),
-                    parse_options=pacsv.ParseOptions(delimiter=self.delimiter),
+                    read_options=pacsv.ReadOptions(column_names=self.names, encoding=self.encoding, block_size=8 << 20),
+                    parse_options=pacsv.ParseOptions(delimiter=self.delimiter, newlines_in_values=True),
                     convert_options=pacsv.ConvertOptions(
                         column_types={n: pa.string() for n in self.names},
                         null_values=[""],
@@ -110,18 +129,11 @@ class HeadedTextReader(DataSourceReader):
                         quoted_strings_can_be_null=True,
                     ),
                 )
-        except pa.ArrowInvalid:
-            yield from self._read_rows(partition.path)
-            return
-        yield from table.to_batches()
-
-    def _read_rows(self, path: str):
-        rows = csv.reader(_lines(path, self.encoding), delimiter=self.delimiter)
-        for i, row in enumerate(rows):
-            if i <= self.header_row or not row:
-                continue
-            cells = [c if c != "" else None for c in row[: self.width]]
-            yield tuple(cells + [None] * (self.width - len(cells)))
+                yield from reader
+            except pa.ArrowInvalid as err:
+                if "Empty CSV" in str(err):  # blank lines alone
+                    return
+                raise ValueError(f"{partition.path}: {err}") from None
 
 
 class HeadedTextSource(DataSource):
@@ -132,14 +144,13 @@ class HeadedTextSource(DataSource):
         return FORMAT_NAME
 
     def schema(self) -> StructType:
-        first = _files(self.options["path"])[0]
-        names = _header(
-            first,
+        names, _ = _header(
+            _files(self.options["path"])[0],
             int(self.options.get("header_row", 1)),
             self.options.get("delimiter", ","),
             self.options.get("encoding", "utf-8"),
         )
-        return StructType([StructField(n, StringType(), True) for n in unique_names(names)])
+        return StructType([StructField(n, StringType(), True) for n in names])
 
     def reader(self, schema: StructType) -> HeadedTextReader:
         return HeadedTextReader(self.options, schema)
@@ -148,7 +159,7 @@ class HeadedTextSource(DataSource):
 def read_headed_table(
     spark: SparkSession, path: str, header_row: int = 1, delimiter: str = ",", encoding: str = "utf-8"
 ) -> DataFrame:
-    """Read delimited text, skipping ``header_row`` leading lines per file; all columns text."""
+    """Read delimited text, skipping ``header_row`` leading records per file; all columns text."""
     from tidemark.session import ship_package
 
     ship_package(spark)
