@@ -79,7 +79,8 @@ def _marks(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
             skip = skip or value.lower() in SKIP_ROLES
         else:
             skip = skip or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower())
-    return skip, ".".join([tag, *sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()})])
+    # The classes of html and body tell pages apart, not parts of a page.
+    return skip, tag if tag in ROOTS else ".".join([tag, *sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()})])
 
 
 class _Cutter:
