@@ -202,6 +202,38 @@ def test_battery_tells_keys_from_names(spark):
     assert not any(found[100 + i] for i in range(60))
 
 
+def test_battery_sees_every_run(spark):
+    rng = random.Random(6)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    words = "error handle reader people national history water between government system".split()
+    keys = [
+        lambda: "key-" + some(low + digits, 32),
+        lambda: "-".join(some(digits + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+        lambda: some(low + digits + "-_", 40),
+        lambda: some(low + low.upper() + digits + "+/-_", 40),
+        lambda: some(low + low.upper(), 32),
+        lambda: f"files/{rng.choice(words)}/" + some(low + digits, 32),
+    ]
+    names = [
+        lambda: "-".join(rng.choice(words) for _ in range(5)),
+        lambda: "/" + "/".join(rng.choice(words) for _ in range(3)) + f"/2024/{rng.randint(1, 99999)}",
+        lambda: rng.choice(words) + rng.choice(words) + rng.choice(words),
+        lambda: "_".join(rng.choice(words).upper() for _ in range(4)),
+        lambda: rng.choice("-_/") * rng.randint(16, 80),
+    ]
+    made = [(k, make()) for k, make in enumerate(keys + names) for _ in range(40)]
+    docs = spark.createDataFrame([(i, f"see {run} here") for i, (_, run) in enumerate(made)], "doc_id long, text string")
+    tested = {r.doc_id: r.n for r in secrets.scan(docs).select("row.doc_id", F.size("tested").alias("n")).collect()}
+    told = collections.Counter()
+    for r in secrets.find_secrets(docs).select("row.doc_id", "spans").collect():
+        kind, run = made[r.doc_id]
+        assert len(run) < 16 or tested[r.doc_id] or any(s.kind < 3 for s in r.spans)
+        told[kind] += any(s.kind == 3 for s in r.spans)
+    assert all(told[k] >= 32 for k in range(len(keys))), told
+    assert not any(told[len(keys) + k] for k in range(len(names))), told
+
+
 def test_language_model(docs):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     got = by_id(ngram_lm.score_texts(docs, held).collect(), "id")

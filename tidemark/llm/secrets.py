@@ -4,9 +4,10 @@ Base kinds, found left to right without overlap in every text: assignments to a
 password-like name, access keys, hexadecimal runs (see ``BASE``).
 
 Battery. Every run of 16 and more letters, digits and ``+/_-`` outside the base
-spans is put into the smallest encoding that holds all its characters and
-that words do not fill (``ENCODINGS``: a word in small letters, a number, or a name
-or path made of words is in none). Its characters' places in that alphabet of K are tested:
+spans is a candidate, and so is every part of 16 and more letters and digits between
+the joints of such a run (a key at the end of a path). Each is put into the smallest
+alphabet that holds it (``ENCODINGS``); none is left out for how it looks. Its
+characters' places in that alphabet of K are tested:
 
 * chi-squared against a uniform alphabet. Under uniformity it has mean K-1; for
   text in that alphabet it grows by (n-1) times K * sum(q^2) - 1, where sum(q^2) is
@@ -14,13 +15,19 @@ or path made of words is in none). Its characters' places in that alphabet of K
   two tail probabilities: of being so large if random, and so small if text.
 * runs above and below the alphabet's middle (Wald-Wolfowitz), and
 * lag-1 serial correlation; each two-sided under randomness.
+* breaks: neighbours of two kinds (small letter, capital, digit), but for a capital
+  before a small letter. Words, names and paths have one in ``BREAKS`` neighbours at
+  most, so many of them are unlikely for text.
 
 The tests of randomness are combined (Fisher, six degrees of freedom): a run whose
 combined probability is under ``RANDOM_ALPHA`` is structured and no secret. Of the
-others, those are reported whose text probability passes a Benjamini-Hochberg
-cut-off at ``FALSE_RATE`` over all candidate runs of the table, drawn apart in
-bands of length, since short runs tell text and keys apart less well. The
-cut-offs come from a histogram of at most bands x levels rows.
+others, those are reported whose text probability (chi-squared and breaks, combined
+by Fisher with four degrees of freedom) passes a Benjamini-Hochberg cut-off at
+``FALSE_RATE`` over all candidates of the table, drawn apart by groups of
+alphabets and in bands of length, since small alphabets and short runs tell text and
+keys apart less well. The cut-offs come from a histogram of at most groups x bands x
+levels rows.
+A part inside a reported run is not told again.
 
 Results for odd input: null and empty texts have no spans; a text may hold any
 number of spans; repeated rows are scanned each on its own; an empty table has no
@@ -43,23 +50,34 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
-#: Name, characters, and the chance that two characters of running text in it agree.
-ENCODINGS = (
-    ("hex", "0123456789ABCDEF", 0.12),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.065),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", 0.065),
-    ("base36u", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.065),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.06),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.06),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.06),
+_DIGITS, _LOW, _CAP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters and digits from the smallest alphabet up, the chance that two characters of running text in it agree, and its group:
+#: letters of one case or digits alone (0), both (1), letters of both cases (2).
+CORES = (
+    ("", 0.5, 0),
+    (_DIGITS, 0.12, 0),
+    (_DIGITS + "abcdef", 0.12, 1),
+    (_DIGITS + "ABCDEF", 0.12, 1),
+    (_LOW, 0.065, 0),
+    (_CAP, 0.065, 0),
+    (_CAP + "234567", 0.065, 1),
+    (_DIGITS + _LOW, 0.065, 1),
+    (_DIGITS + _CAP, 0.065, 1),
+    (_CAP + _LOW, 0.06, 2),
+    (_DIGITS + _CAP + _LOW, 0.06, 2),
 )
+GROUPS = 3
+JOINTS = ("", "+/", "-_", "+/-_")
+#: Every core with every set of joints: characters, agreement and group; a run's is ``core * len(JOINTS) + joints``.
+ENCODINGS = tuple((core + joints, agree, group) for core, agree, group in CORES for joints in JOINTS)
+PART = r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+"
+BREAK = r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[0-9]|(?<=[0-9])[A-Za-z]"
+BREAKS = 0.25
 BANDS = (16, 20, 24, 32, 48)
 RANDOM_ALPHA = 0.005
 FALSE_RATE = 0.05
 LEVELS = 400  # text probabilities are counted in steps of a factor exp(1/10)
 MASK = "[SECRET]"
-#: Identifiers and paths: words, capitals, numbers and joints, each piece taken whole.
-WORDY = r"^(?:[A-Z]{2,}+|[A-Z][a-z]++|[a-z]{2,}+|[0-9]++|[_/+-])++$"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -88,20 +106,18 @@ def _spans(matches: Column, kind: int) -> Column:
 
 
 def _encoding(run: Column) -> Column:
-    """Index into ENCODINGS, or null for words and numbers."""
+    """Index into ENCODINGS of the smallest alphabet that holds the run."""
     body = F.regexp_replace(run, "=+$", "")
-    low, cap, digit = body.rlike("[a-z]"), body.rlike("[A-Z]"), body.rlike("[0-9]")
-    plus, dash = body.rlike("[+/]"), body.rlike("[_-]")
-    plain = ~plus & ~dash
-    return (
-        F.when(body.rlike(WORDY) & low, None)
-        .when(plain & ~low & cap & digit & body.rlike("^[0-9A-F]+$"), 0)
-        .when(plain & ~low & cap & digit & body.rlike("^[A-Z2-7]+$"), 1)
-        .when(plain & low & ~cap & digit, 2)
-        .when(plain & ~low & cap & digit, 3)
-        .when(plain & low & cap & digit, 4)
-        .when(plus & ~dash & low & cap & digit, 5)
-        .when(dash & ~plus & low & cap & digit, 6)
+    core = F.coalesce(*(F.when(~body.rlike(f"[^{chars}+/_-]"), k) for k, (chars, _, _) in enumerate(CORES)))
+    joints = F.when(body.rlike("[+/]"), 1).otherwise(0) + F.when(body.rlike("[_-]"), 2).otherwise(0)
+    return core * len(JOINTS) + joints
+
+
+def _parts(run: Column) -> Column:
+    """The runs of letters and digits between the joints of a run, as candidates of their own."""
+    return F.transform(
+        F.when(run["found"].rlike("[+/_-]"), _matches(run["found"], PART)),
+        lambda m: F.struct((run["start"] + m["start"]).alias("start"), (run["start"] + m["end"]).alias("end"), m["found"].alias("found")),
     )
 
 
@@ -125,11 +141,13 @@ def _tested(candidates: Column) -> Column:
         lambda c: F.struct(
             c["start"].alias("start"),
             c["end"].alias("end"),
-            _pick(c["enc"], [len(chars) for _, chars, _ in ENCODINGS]).cast("double").alias("k"),
-            _pick(c["enc"], [len(chars) * agree - 1 for _, chars, agree in ENCODINGS]).alias("excess"),
+            c["enc"].alias("enc"),
+            F.regexp_count(c["found"], F.lit(BREAK)).cast("double").alias("breaks"),
+            _pick(c["enc"], [len(chars) or 1 for chars, _, _ in ENCODINGS]).cast("double").alias("k"),
+            _pick(c["enc"], [max(0.0, len(chars) * agree - 1) for chars, agree, _ in ENCODINGS]).alias("excess"),
             F.transform(
                 F.split(F.regexp_replace(c["found"], "=+$", ""), ""),
-                lambda ch: F.instr(_pick(c["enc"], [chars for _, chars, _ in ENCODINGS]), ch) - 1,
+                lambda ch: F.instr(_pick(c["enc"], [chars for chars, _, _ in ENCODINGS]), ch) - 1,
             ).alias("x"),
         ),
     )
@@ -138,6 +156,8 @@ def _tested(candidates: Column) -> Column:
         lambda c: F.struct(
             c["start"].alias("start"),
             c["end"].alias("end"),
+            c["enc"].alias("enc"),
+            c["breaks"].alias("breaks"),
             c["k"].alias("k"),
             c["excess"].alias("excess"),
             F.size(c["x"]).cast("double").alias("n"),
@@ -166,19 +186,24 @@ def _tested(candidates: Column) -> Column:
         lagged = 2 * _tail(F.abs(c["lagged"] / ((k * k - 1) / 12 * F.sqrt(n - 1))))
         half = -(F.log(if_random) + F.log(runs) + F.log(lagged))
         expected = (k - 1) + (n - 1) * c["excess"]
+        agreeing = _tail((expected - chi) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * c["excess"]))
+        broken = _tail((c["breaks"] - 0.5 - (n - 1) * BREAKS) / F.sqrt((n - 1) * BREAKS * (1 - BREAKS)))
+        both = -(F.log(agreeing) + F.log(broken))
         return F.struct(
             c["start"].alias("start"),
             c["end"].alias("end"),
+            c["enc"].alias("enc"),
             n.alias("n"),
             (F.exp(-half) * (1 + half + half * half / 2)).alias("p_random"),
-            _tail((expected - chi) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * c["excess"])).alias("p_text"),
+            (F.exp(-both) * (1 + both)).alias("p_text"),
         )
 
     def banded(c: Column) -> Column:
         band = F.lit(0)
         for b, least in enumerate(BANDS):
             band = F.when(c["n"] >= least, b).otherwise(band)
-        level = F.least(F.floor(-F.log(c["p_text"]) * 10), F.lit(LEVELS)).cast("int")
+        band = _pick(c["enc"], [group for _, _, group in ENCODINGS]) * len(BANDS) + band
+        level = F.least(F.floor(-F.log(F.greatest(c["p_text"], F.lit(1e-300))) * 10), F.lit(LEVELS)).cast("int")
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), (c["p_random"] >= RANDOM_ALPHA).alias("even"), c["p_random"].alias("p_random"), c["p_text"].alias("p_text"), band.alias("band"), level.alias("level"))
 
     return F.transform(F.transform(summed, scores), banded)
@@ -193,23 +218,23 @@ def scan(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] | None
         F.filter(_matches(F.col("text"), ASSIGN), lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= ASSIGN_LEAST).alias("assign"),
         F.filter(_matches(F.col("text"), ACCESS), lambda m: F.length(m["found"]) >= ACCESS_LEAST).alias("access"),
         _matches(F.col("text"), HEX).alias("hex"),
-        F.transform(
-            _matches(F.col("text"), RUN),
-            lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), _encoding(m["found"]).alias("enc")),
-        ).alias("runs"),
+        _matches(F.col("text"), RUN).alias("runs"),
     )
+    whole = F.transform("runs", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found")))
+    parts = F.flatten(F.transform("runs", lambda m: F.coalesce(_parts(m), F.filter(F.array(m), lambda x: F.lit(False)))))
     based = found.select(
         "row",
         "text",
         F.array_sort(F.concat(_spans(F.col("assign"), 0), _spans(F.col("access"), 1), _spans(F.col("hex"), 2))).alias("base"),
-        F.filter("runs", lambda m: m["enc"].isNotNull()).alias("runs"),
+        F.concat(whole, parts).alias("runs"),
     )
     apart = F.filter("runs", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return based.select("row", "text", "base", _tested(apart).alias("tested"))
+    encoded = F.transform(apart, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), _encoding(m["found"]).alias("enc")))
+    return based.select("row", "text", "base", _tested(encoded).alias("tested"))
 
 
 def cutoffs(scanned: DataFrame, rate: float = FALSE_RATE) -> dict[int, int]:
-    """Least level reported per band: Benjamini-Hochberg on the histogram of text probabilities."""
+    """Least level reported per band (of a group of alphabets, and of length): Benjamini-Hochberg on the histogram of text probabilities."""
     runs = scanned.select(F.explode("tested").alias("t")).select("t.band", "t.level", "t.even")
     counts = runs.groupBy("band", "level").agg(F.count("*").alias("n"), F.count(F.when(F.col("even"), 1)).alias("n_even"))
     down = Window.partitionBy("band").orderBy(F.col("level").desc())
@@ -227,14 +252,20 @@ def find_secrets(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...]
 
 
 def _with_spans(scanned: DataFrame, least: dict[int, int]) -> DataFrame:
+    bands = _levels(least)
+
     def reported(t: Column) -> Column:
-        over = F.lit(False)
-        for band, level in sorted(least.items()):
-            over = over | ((t["band"] == band) & (t["level"] >= level))
-        return t["even"] & over
+        return t["even"] & F.coalesce(t["level"] >= F.get(bands, t["band"]), F.lit(False))
 
     random = _spans(F.filter("tested", reported), KINDS.index("random"))
-    return scanned.select("row", "text", F.array_sort(F.concat("base", random)).alias("spans"))
+    # A part goes with the reported run that it is in.
+    once = F.filter("random", lambda x: ~F.exists("random", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
+    return scanned.select("row", "text", "base", random.alias("random")).select("row", "text", F.array_sort(F.concat("base", once)).alias("spans"))
+
+
+def _levels(least: dict[int, int]) -> Column:
+    """The least level of every band, null where nothing is reported."""
+    return F.array(*(F.lit(least.get(b)).cast("int") for b in range(GROUPS * len(BANDS))))
 
 
 def span_text(spans: Column) -> Column:
