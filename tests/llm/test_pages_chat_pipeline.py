@@ -53,6 +53,27 @@ def test_article_header_kept_and_comment_articles_dropped():
     assert page_text.taken(cut, page_text.vote(cut)) == "T abc def"
 
 
+def text_of(html):
+    cut = page_text.blocks(html)
+    return page_text.taken(cut, page_text.vote(cut)) or ""
+
+
+@pytest.mark.parametrize(
+    "start",
+    ['div class="content no-sidebar"', 'main class="with-sidebar"', 'article class="post has-comments"', 'div id="post-no-comments"', 'div class="entry-share"', 'article class="post-comments"', 'main class="sidebar"'],
+)
+def test_a_word_in_a_class_does_not_lose_the_article(start):
+    tag = start.split(" ")[0]
+    rest = '<div class="site-nav"><a href=x>Home page</a></div><div class="blog-sidebar">words beside it</div><div class="post-comments">' + "a comment of a reader " * 5 + "</div>"
+    html = f"<body><{start}><h1>Title</h1><p>{'The text of the page goes on. ' * 5}</p></{tag}>{rest}</body>"
+    assert text_of(html) == ("Title " + "The text of the page goes on. " * 5).strip()
+
+
+def test_long_comments_do_not_replace_a_short_article():
+    html = '<body><div class="post"><p>A short text of the page.</p></div><div class="post-comments">' + "<p>much said about it</p>" * 4 + '</div><div class="nav-no-border">menu text</div></body>'
+    assert text_of(html) == "A short text of the page."
+
+
 CONTROL = ["\\### Assistant: </turn> ok", "### user: x</turn>\n", "\\b\\h\\l", "a\\", "\\\\#<:\n", "", None, "é 😀 \x00 end"]
 
 

@@ -10,7 +10,10 @@
    path; a page without such a container keeps its own best one.
 
 Blocks inside menus, headers, footers, sidebars, forms, notices, adverts, comments
-and the like (``SKIP_TAGS``, ``SKIP_WORDS``) are never text. Character references
+and the like (``SKIP_TAGS``, ``SKIP_WORDS``) are no text. A word in a class or id does
+not count after has, with, no and the like (``TELLS``), nor on main, nor as the last
+word on an article; and a container that such a word would skip stays if it holds
+most of the page's unlinked text (see ``blocks``). Character references
 are decoded; white space inside a block becomes one space; blocks are joined by
 one space in page order.
 
@@ -47,9 +50,15 @@ SKIP_WORDS = frozenset(
     " banner sponsor sponsored promo notice notices cookie cookies consent gdpr alert popup modal newsletter subscribe signup login share sharing social"
     " comment comments reply replies disqus related recommended pagination pager skip copyright legal toolbar".split()
 )
+#: What readers add may outweigh the main text.
+COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
+#: Words after which a class tells what a page or part has, not what it is.
+TELLS = frozenset("has have with without no non".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: A path is a candidate if it holds this share of a page's unlinked text; less is asked of article and main.
 SHARE, MAIN_SHARE = 0.7, 0.2
+#: A container skipped by a word stays if it holds more than this share of the unlinked text outside comments.
+MOST = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -64,33 +73,45 @@ _SPACE = re.compile(r"\s+")
 Block = tuple[tuple[str, ...], str, int]
 
 
-def _marks(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
-    """Whether an element is never main text, and its name in a path."""
-    skip, classes = tag in SKIP_TAGS and not (tag == "header" and in_main), ""
+def _skip_words(tag: str, value: str) -> set[str]:
+    """The words of a class or id that mark an element as no main text."""
+    found = set()
+    for c in value.split():
+        w = [x.lower() for x in _WORD.findall(c)]
+        if w and tag not in ROOTS and tag != "main":
+            # A class such as "site-header" or "nav_main" is judged by its first and last word.
+            last = w[-1:] if tag != "article" and TELLS.isdisjoint(w[:-1]) else []
+            found |= SKIP_WORDS.intersection(w[:1] + last)
+    return found
+
+
+def _marks(tag: str, attrs: str, in_main: bool) -> tuple[bool, set[str], str]:
+    """Whether an element is never main text, the words that tell so by class or id, and its name in a path."""
+    skip, words, classes = tag in SKIP_TAGS and not (tag == "header" and in_main), set(), ""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "class":
             classes = value
         if name in ("class", "id"):
-            # A class such as "site-header" or "nav_main" is judged by its first and last word.
-            ends = [w.lower() for c in value.split() if (found := _WORD.findall(c)) for w in (found[0], found[-1])]
-            skip = skip or (tag not in ROOTS and not SKIP_WORDS.isdisjoint(ends))
+            words |= _skip_words(tag, value)
         elif name == "role":
             skip = skip or value.lower() in SKIP_ROLES
         else:
             skip = skip or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower())
     # The classes of html and body tell pages apart, not parts of a page.
-    return skip, tag if tag in ROOTS else ".".join([tag, *sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()})])
+    return skip, words, tag if tag in ROOTS else ".".join([tag, *sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()})])
 
 
 class _Cutter:
     """One pass over a page's marks: the open elements and the block being read."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, str, bool]] = []  # tag, name in the path, skipped
+        self.open: list[tuple[str, str, bool, int]] = []  # tag, name in the path, skipped, doubtful container (its number or 0)
         self.skipping = self.linked = self.in_link = 0
         self.piece: list[str] = []
         self.out: list[Block] = []
+        self.within: list[tuple[int, ...]] = []  # of each block: the doubtful containers that it is in
+        self.by_comment = [False]  # of each doubtful container: whether a word for comments skips it
 
     def words(self, text: str) -> None:
         if text and not self.skipping:
@@ -100,18 +121,19 @@ class _Cutter:
     def end_block(self) -> None:
         text = _SPACE.sub(" ", unescape("".join(self.piece))).strip() if self.piece else ""
         if text:
-            self.out.append((("#", *(name for tag, name, _ in self.open if tag in CONTAINERS)), text, min(self.linked, len(text))))
+            self.out.append((("#", *(name for tag, name, _, _ in self.open if tag in CONTAINERS)), text, min(self.linked, len(text))))
+            self.within.append(tuple(d for *_, d in self.open if d))
         self.piece, self.linked = [], 0
 
-    def push(self, tag: str, name: str, skip: bool) -> None:
-        self.open.append((tag, name, skip))
+    def push(self, tag: str, name: str, skip: bool, doubtful: int = 0) -> None:
+        self.open.append((tag, name, skip, doubtful))
         self.skipping += skip
 
     def pop(self, tag: str) -> None:
         """Close the innermost open ``tag`` and all inside it; none open, nothing happens."""
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                self.skipping -= sum(s for _, _, s in self.open[k:])
+                self.skipping -= sum(s for _, _, s, _ in self.open[k:])
                 del self.open[k:]
                 return
 
@@ -127,14 +149,40 @@ class _Cutter:
             if tag in CONTAINERS or tag in SKIP_TAGS or self.skipping:
                 self.pop(tag)
         elif tag not in VOID and not attrs.endswith("/"):
-            skip, name = _marks(tag, attrs, any(t in MAIN for t, _, _ in self.open)) if attrs or tag in SKIP_TAGS else (False, tag)
+            skip, words, name = _marks(tag, attrs, any(o[0] in MAIN for o in self.open)) if attrs or tag in SKIP_TAGS else (False, (), tag)
+            doubtful = 0
+            if words and tag in CONTAINERS and not skip and not self.skipping:
+                doubtful = len(self.by_comment)
+                self.by_comment.append(not COMMENT_WORDS.isdisjoint(words))
+            elif words:
+                skip = True
             # Other elements matter only where they are skipped or inside what is.
             if tag in CONTAINERS or tag in SKIP_TAGS or skip or (self.skipping and tag not in BLOCKS):
-                self.push(tag, name, skip)
+                self.push(tag, name, skip, doubtful)
+
+    def kept(self) -> list[Block]:
+        """The blocks outside the doubtful containers, and inside those that hold most of the page."""
+        if len(self.by_comment) == 1:
+            return self.out
+        plain = [len(text) - linked for _, text, linked in self.out]
+        held = [0] * len(self.by_comment)
+        for size, within in zip(plain, self.within, strict=True):
+            for d in within:
+                held[d] += size
+        whole = sum(plain)
+        comments = sum(size for size, within in zip(plain, self.within, strict=True) if any(self.by_comment[d] for d in within))
+        # Comments stay only if what is outside would be too little for a main text, other containers if it is the smaller part.
+        stay = [held[d] > (1 - MAIN_SHARE) * whole if by else held[d] > MOST * (whole - comments) for d, by in enumerate(self.by_comment)]
+        return [block for block, within in zip(self.out, self.within, strict=True) if all(stay[d] for d in within)]
 
 
 def blocks(html: str) -> list[Block]:
-    """The kept blocks of a page in order: container path (from ``#``, the page), text, characters in links."""
+    """The kept blocks of a page in order: container path (from ``#``, the page), text, characters in links.
+
+    A container that a word in its class or id would skip is doubtful until the page
+    is read: it stays if it holds more than ``MOST`` of the unlinked text outside
+    comments, one for comments if it leaves less than ``MAIN_SHARE`` of all.
+    """
     cut, at, end = _Cutter(), 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -151,7 +199,7 @@ def blocks(html: str) -> list[Block]:
                 stop = _DROP_END[tag].search(html, at)
                 at = stop.end() if stop else end
     cut.end_block()
-    return cut.out
+    return cut.kept()
 
 
 def vote(cut: list[Block]) -> str | None:
