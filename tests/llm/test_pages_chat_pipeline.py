@@ -74,6 +74,21 @@ def test_long_comments_do_not_replace_a_short_article():
     assert text_of(html) == "A short text of the page."
 
 
+@pytest.mark.parametrize(
+    ("items", "text"),
+    [
+        ('<li class="comment"><p>nice</p><p>post</p></li><li>kept</li>', "kept"),
+        ('<li class="advert"><div>buy</div> now</li><li>kept</li>', "kept"),
+        ('<li class="advert"><div>buy</div> now<li>kept', "kept"),
+        ('<li class="comment"><ul><li>a</li><li>b</li></ul>more</li><li>kept</li>', "kept"),
+        ('<li>one<li class="ad">x<li>two', "one two"),
+    ],
+)
+def test_a_skipped_item_ends_at_the_next_or_its_closing_tag(items, text):
+    html = f'<article><p>The text of the page.</p><ul class="thread">{items}</ul><p>The end.</p></article>'
+    assert text_of(html) == f"The text of the page. {text} The end."
+
+
 CONTROL = ["\\### Assistant: </turn> ok", "### user: x</turn>\n", "\\b\\h\\l", "a\\", "\\\\#<:\n", "", None, "é 😀 \x00 end"]
 
 

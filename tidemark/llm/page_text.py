@@ -44,6 +44,8 @@ CONTAINERS = frozenset("html body main article section div td table ul ol blockq
 BLOCKS = CONTAINERS | SKIP_TAGS | frozenset("p h1 h2 h3 h4 h5 h6 li dl dt dd pre br hr tr th thead tbody tfoot caption address summary figure figcaption".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 ROOTS = frozenset("html body".split())
+#: An open item outside of the innermost of these is none of the list being read.
+HOLDS_ITEMS = (CONTAINERS - {"div"}) | frozenset(["menu"])
 MAIN = frozenset("article main".split())
 SKIP_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget ad ads advert adverts advertisement"
@@ -136,6 +138,8 @@ class _Cutter:
                 self.skipping -= sum(s for _, _, s, _ in self.open[k:])
                 del self.open[k:]
                 return
+            if tag == "li" and self.open[k][0] in HOLDS_ITEMS:
+                return
 
     def mark(self, tag: str, attrs: str, closing: bool) -> None:
         if tag == "a":
@@ -143,8 +147,10 @@ class _Cutter:
         if tag in BLOCKS:
             self.end_block()
             self.in_link = 0
-            if self.open and self.open[-1][0] in ("p", "li") and not (closing and tag in ("br", "hr")) and tag not in ("br", "hr"):
-                self.pop(self.open[-1][0])  # a paragraph ends where a block begins
+            if self.open and self.open[-1][0] == "p" and tag not in ("br", "hr"):
+                self.pop("p")  # a paragraph ends where a block begins
+            if tag == "li" and not closing:
+                self.pop("li")  # an item ends at the next one of its list
         if closing:
             if tag in CONTAINERS or tag in SKIP_TAGS or self.skipping:
                 self.pop(tag)
@@ -157,7 +163,7 @@ class _Cutter:
             elif words:
                 skip = True
             # Other elements matter only where they are skipped or inside what is.
-            if tag in CONTAINERS or tag in SKIP_TAGS or skip or (self.skipping and tag not in BLOCKS):
+            if tag in CONTAINERS or tag in SKIP_TAGS or skip or (self.skipping and (tag not in BLOCKS or tag == "li")):
                 self.push(tag, name, skip, doubtful)
 
     def kept(self) -> list[Block]:
