@@ -130,6 +130,20 @@ def test_decontamination(spark, docs, monkeypatch):
     assert len(empty) == docs.count() and not any(r.spans for r in empty)
 
 
+def test_no_slice_is_larger_for_a_shared_window(spark, monkeypatch):
+    passage = " ".join(f"w{k}" for k in range(13))
+    bench = spark.createDataFrame([(i, f"{passage} own{i}") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "SLICE", 30)
+    seen = []
+    made = decontaminate.Windows.__init__
+    monkeypatch.setattr(decontaminate.Windows, "__init__", lambda self, rows: seen.append(len(rows)) or made(self, rows))
+    got = {r.doc_id: r for r in decontaminate.scan(docs, bench).collect()}
+    assert max(seen) <= 30 and sum(seen) == 80
+    assert got[1]["items"] == sorted(str(i) for i in range(40)) and got[1].spans == [1, 14]
+    assert got[2]["items"] == [] and got[2].spans == []
+
+
 def test_quality_rules(docs):
     got = by_id([r.asDict() | {"doc_id": r.row.doc_id} for r in quality_rules.assess(docs).collect()])
     for i, t in enumerate(texts()):

@@ -7,9 +7,10 @@ leading words of every position of a document in the window set, verifies the
 whole window, and marks the words inside.
 
 The window set is collected and sent to the tasks only in slices of at most
-``SLICE`` windows, whose number is checked first. A larger benchmark is scanned
-slice by slice in further passes over the documents, whose marks add up, so
-nothing is left out at any size.
+``SLICE`` rows of window and item; every slice is counted first. A larger benchmark
+is scanned slice by slice in further passes over the documents, whose marks add up,
+so nothing is left out at any size. Rows are dealt by window and item, so a window
+that many items share is spread over the slices.
 
 Results for odd input: null and empty texts have no words and no hits; benchmark
 items without words or without an id are ignored; items that share an id count
@@ -82,13 +83,18 @@ class Windows:
                         if got is not None:
                             found.append((i, i + size))
                             items |= got
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, items
+        return _merged(found), items
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _scan(windows, last: bool):
@@ -103,7 +109,8 @@ def _scan(windows, last: bool):
                 n.append(len(w))
                 if w:
                     found, got = table.hits(w)
-                    spans[k] += [x for ab in found for x in ab]
+                    if found:
+                        spans[k] = [x for ab in _merged([*zip(spans[k][::2], spans[k][1::2], strict=True), *found]) for x in ab]
                     items[k] = sorted({*items[k], *got})
             new = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
             names = [c for c in batch.schema.names if not (last and c == "__text")]
@@ -119,15 +126,27 @@ def window_table(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_i
     return rows.mapInArrow(_item_windows(width), "item string, gram binary").distinct()
 
 
+def sliced(grams: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of window and item with their ``slice``, and the number of slices; none has more than ``SLICE`` rows."""
+    size = grams.count()
+    slices = max(1, -(-size // SLICE))
+    if slices == 1:
+        return grams.withColumn("slice", F.lit(0)), 1
+    grams = durable(grams)
+    while True:
+        dealt = grams.withColumn("slice", F.pmod(F.xxhash64("gram", "item"), F.lit(slices)))
+        if dealt.groupBy("slice").count().agg(F.max("count")).first()[0] <= SLICE:
+            return dealt, slices
+        slices += -(-slices // 8)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document row: id, ``n_words``, ``spans`` (word ranges hit, start and end in turn), ``items`` (ids, as strings), and the ``carry`` columns.
 
     Names ``n_words``, ``spans`` and ``items`` are taken by the result.
     """
     spark = with_python(docs.sparkSession)
-    grams = window_table(benchmark, width)
-    size = grams.count()
-    slices = max(1, -(-size // SLICE))
+    grams, slices = sliced(window_table(benchmark, width))
     out = docs.select(
         id_col,
         *carry,
@@ -137,8 +156,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
         F.array().cast("array<string>").alias("items"),
     )
     for k in range(slices):
-        # A gram's slice follows its hash; a slice holds about SLICE rows at most.
-        mine = grams.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k)
+        mine = grams.where(F.col("slice") == k)
         table = spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["gram"])) for r in mine.collect()]))
         last = k == slices - 1
         schema = T.StructType([f for f in out.schema if not (last and f.name == "__text")])
