@@ -89,3 +89,12 @@ def test_fingerprint_prefilter_keeps_grouping_semantics(spark):
     )
     d = O.exact_duplicates(df).first()
     assert (d.duplicate_rows, d.duplicate_groups, d.largest_group) == (4, 2, 2)
+
+
+def test_whole_row_duplicate_queries_see_every_column(spark, tmp_path):
+    from tidemark.plans.registry import QUERIES
+
+    rows = [(1, "same", "en", "a", 4), (2, "same", "en", "b", 4), (3, "twin", "en", "a", 4), (4, "twin", "en", "a", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("duplicate_examples_documents", "duplicate_row_keys_documents"):
+        assert sorted(r.doc_id for r in QUERIES[name](spark, str(tmp_path)).collect()) == [3, 4]

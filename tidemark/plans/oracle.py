@@ -790,6 +790,9 @@ def oracles() -> dict[str, str]:
         "numeric_summary_persisted": numeric_summary_sql("events", [("user_id", "bigint"), ("value", "double")]),
         "duplicate_examples": duplicate_examples_sql(docs, ["doc_id"], ["text", "lang"]),
         "duplicate_row_keys": duplicate_row_keys_sql(docs, ["doc_id"], ["text", "lang"]),
+        "duplicate_examples_documents": duplicate_examples_sql("documents", ["doc_id"], ["text", "lang", "source", "n_chars"]),
+        "duplicate_examples_dup_orders": duplicate_examples_sql(duckdb_view("dup_orders"), [], DUP_ORDERS_COLS),
+        "duplicate_row_keys_documents": duplicate_row_keys_sql("documents", ["doc_id"], ["text", "lang", "source", "n_chars"]),
         "column_inventory": column_inventory_sql(census, cc),
         "identifier_candidates": identifier_candidates_sql(census, CENSUS_ALL),
         "identifier_candidates_customer": identifier_candidates_sql("customer", CUSTOMER_COLS),

@@ -163,6 +163,9 @@ QUERIES: dict[str, Query] = {
     "numeric_summary_persisted": _op(_persisted_events, O.numeric_summary, "event_id"),
     "duplicate_examples": _op(_docs, O.duplicate_examples, "doc_id"),
     "duplicate_row_keys": _op(_docs, O.duplicate_row_keys, "doc_id"),
+    "duplicate_examples_documents": _op(_t("documents"), O.duplicate_examples, "doc_id"),
+    "duplicate_examples_dup_orders": _op(_t("dup_orders"), O.duplicate_examples),
+    "duplicate_row_keys_documents": _op(_t("documents"), O.duplicate_row_keys, "doc_id"),
     # C / F: column shape
     "column_inventory": _op(_census, O.column_inventory, CENSUS_KEY),
     "identifier_candidates": _op(_census, O.identifier_candidates),
