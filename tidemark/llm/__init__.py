@@ -1,5 +1,6 @@
 """Training-data operators: near-duplicates, secrets, decontamination, language
-model scoring, quality, mixing, chat formatting, page text and token counts.
+model scoring, quality, mixing, chat formatting, page text, token counts, filter audit,
+sharding and importance resampling.
 
 Nothing else in the library imports this package. Each operator takes a
 DataFrame and column names and returns a DataFrame; ``queries`` holds the thin

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, ngram_lm, page_text, preference, quality_rules, secrets, simhash, token_counts
+from tidemark.llm import chat, decontaminate, filter_audit, importance, mixing, ngram_lm, page_text, preference, quality_rules, secrets, sharding, simhash, token_counts
 from tidemark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -128,6 +128,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(counts, "doc_id", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LONG_DOCUMENT).alias("over_limit"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source under each of their orders."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, equal texts together."""
+    docs = read(spark, sf_dir, "documents")
+    found = sharding.assign(docs, sharding.plan_shards(docs, sharding.SHARDS))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by importance weights towards the benchmark, and the scores of all."""
+    found = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -139,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_page_text": op9_page_text,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_sharding": op12_sharding,
+    "op13_importance": op13_importance,
 }
 
 #: The words of a text after lower-casing A-Z, as in decontaminate.tokens.
@@ -164,4 +185,69 @@ of AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
 FROM texts LEFT JOIN hit USING (r) LEFT JOIN of USING (r)""",
+    "op11_filter_audit": """
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step, bits FROM orders),
+texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents),
+masks AS (
+  SELECT part, coalesce(quality, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > first_id)::INT AS mask
+  FROM texts LEFT JOIN (
+    SELECT doc_id, max((quality = 1)::INT) AS quality, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) AS l USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY ALL),
+counted AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, bits[step] AS bit, list_sum(bits[1:step - 1]) AS before, mask, n, good, toxic
+  FROM steps, cells),
+per AS (
+  SELECT part, filter_order, step, letter,
+         sum(CASE WHEN mask & (coalesce(before, 0)::INT | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & coalesce(before, 0)::INT = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & coalesce(before, 0)::INT <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & coalesce(before, 0)::INT = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & coalesce(before, 0)::INT = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counted GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM per""",
+    "op13_importance": f"""
+WITH RECURSIVE crc(k, value) AS (
+  SELECT 0, range(256) UNION ALL
+  SELECT k + 1, list_transform(value, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) FROM crc WHERE k < 8),
+steps AS (SELECT value FROM crc WHERE k = 8),
+texts AS (
+  SELECT row_number() OVER () AS r, 0 AS target, doc_id, {_WORDS} AS w FROM documents
+  UNION ALL SELECT -row_number() OVER (), 1, NULL, {_WORDS} FROM benchmark),
+runs AS (SELECT r, target, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, (SELECT unnest([1, 2, 3]) AS n) AS s),
+features AS (SELECT r, target, array_to_string(w[i:i + n - 1], ' ') AS f FROM runs),
+bytes AS (
+  SELECT f, list_transform(range(0, octet_length(encode(f))), lambda k: ('0x' || substr(hex(encode(f)), CAST(2 * k + 1 AS INT), 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT f FROM features) AS d),
+buckets AS (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(value[CAST(xor(c, x) & 255 AS INT) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM bytes, steps),
+held AS (SELECT r, target, bucket, count(*) AS n FROM features JOIN buckets USING (f) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t FROM held GROUP BY bucket),
+whole AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sums),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS g
+  FROM sums, whole),
+weighed AS (SELECT r, sum(n) AS n_features, sum(n * g) AS weight FROM held JOIN gain USING (bucket) WHERE target = 0 GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weighed USING (r) WHERE target = 0),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS place, count(*) OVER () AS may FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * may // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (r)""",
 }
