@@ -1,11 +1,13 @@
 """Exact distributed quantiles against numpy on small fixtures (hot values, several columns)."""
 
 import random
+from decimal import Decimal
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import exact_quantiles
+from tidemark.functions.quantiles import exact_quantiles, quantile_values
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -52,14 +54,45 @@ def test_same_on_persisted_input_and_without_reuse(spark):
             spark.conf.set(k, v)
 
 
-def test_large_brackets_are_narrowed(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_few_steps_per_level_and_uneven_values(spark, monkeypatch, bits):
     from tidemark.functions import quantiles
 
-    monkeypatch.setattr(quantiles, "INSIDE", 3)
-    values = [float((i * 7919) % 5003) for i in range(5003)]
-    df = spark.createDataFrame([(v,) for v in values], "x double")
-    res = {r.prob: r.value for r in exact_quantiles(df, {"x": F.col("x")}, PROBS).collect()}
-    assert np.allclose([res[p] for p in PROBS], np.quantile(values, PROBS))
+    monkeypatch.setattr(quantiles, "LEVEL_BITS", bits)
+    rng = random.Random(4)
+    wide = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(60)] + [0.0, 5e-324, 1e308, -1e308]
+    near = [1.0 + k * 2**-52 for k in range(64)]
+    whole = [(k * 7919) % 64 for k in range(64)]
+    df = spark.createDataFrame(list(zip(wide, near, whole)), "a double, b double, c long")
+    got = quantile_values(df, {c: F.col(c) for c in "abc"}, PROBS)
+    for name, values in zip("abc", (wide, near, whole)):
+        expected = np.quantile(np.array(values, dtype=float), PROBS, method="linear")
+        assert np.allclose([float(x) for x in got[name]], expected, rtol=1e-12, atol=0), name
+
+
+def test_values_keep_their_own_type(spark):
+    base = 2**53
+    longs = [base + 1, base + 3, -(2**63), 2**63 - 1, base + 2]
+    wide = [Decimal("12345678901234567890.0000000001"), Decimal("12345678901234567890.0000000002"), Decimal("12345678901234567890.0000000004"), Decimal("-3"), Decimal("99999999999999999999.5")]
+    df = spark.createDataFrame(list(zip(longs, wide)), "a long, d decimal(38,10)")
+    got = quantile_values(df, {"a": F.col("a"), "d": F.col("d")}, [0.0, 0.25, 0.5, 1.0])
+    assert got["a"] == [-(2**63), base + 1, base + 2, 2**63 - 1]
+    assert got["d"] == [Decimal("-3"), wide[0], wide[1], wide[4]]
+
+
+def test_summary_gives_whole_numbers_exactly(spark):
+    from tidemark import operators as O
+
+    df = spark.createDataFrame([(2**53 + 1, 0.5), (2**53 + 3, None), (2**53 + 4, float("nan")), (2**53 + 9, float("inf"))], "a long, x double")
+    a, x = O.numeric_summary(df).collect()
+    assert (a.min_exact, a.median_exact, a.max_exact) == ("9007199254740993", "9007199254740995.5", "9007199254741001")
+    assert (x.min_exact, x.min, x.max, x.count, x.infinities) == (None, 0.5, 0.5, x.count, 1)
+
+
+def test_infinities_nan_and_empty(spark):
+    df = spark.createDataFrame([(float("inf"), None), (float("nan"), None), (2.0, None), (4.0, None)], "x double, y long")
+    assert quantile_values(df, {"x": F.col("x"), "y": F.col("y")}, [0.5]) == {"x": [3.0], "y": [None]}
+    assert quantile_values(df.limit(0), {"x": F.col("x")}, [0.5]) == {"x": [None]}
 
 
 def test_running_totals_do_not_depend_on_caching(spark):

@@ -1,153 +1,219 @@
-"""Exact quantiles by bracket and count.
+"""Exact order statistics by rank selection over histograms.
 
 Spark's ``percentile`` keeps a value->count map per group and merges it in one
-final task, which cannot hold a continuous column of billions of values. Here
-almost nothing is shuffled:
-
-1. one wide aggregate gives each column's count and, from a sketch of fixed
-   size, a bracket of two values around each requested rank;
-2. one wide aggregate counts the values below and inside every bracket. A
-   bracket that misses its rank is widened; one that still holds more than
-   ``INSIDE`` values is narrowed by a sketch of the values inside;
-3. only the values inside a bracket are grouped, ``(column, prob, value) -> n``,
-   and the order statistics are read off their running counts.
-
-Counts, not the sketch, decide every step, so the result is exact whatever the
-sketch says, and it does not depend on partitions, caching or exchange reuse.
-It equals linear interpolation between the order statistics at ``floor(h)`` and
-``ceil(h)`` with ``h = p * (N - 1)``, as pandas and Spark's ``percentile`` do.
+final task, which cannot hold a continuous column of billions of values. Here each
+requested rank is narrowed to the range of values that holds it, one pass over the
+data per level for all columns and ranks together:
+
+1. one wide aggregate gives each column's count, least and greatest value;
+2. a level splits every range still open into ``2 ** LEVEL_BITS`` steps, counts the
+   values per step (combined map-side) and keeps their least and greatest value. The
+   running count inside a range, a window over its steps, tells which step holds a
+   rank; that step's least and greatest value are the range of the next level;
+3. a range whose least and greatest value are equal is the answer. A hot value
+   settles its range in the first level, however many rows have it.
+
+Only one row per rank and level reaches the driver. Values keep their own type all
+the way: whole numbers are split by shifts of the value itself, so ``2**53 + 1`` is
+told from its neighbours; decimals and floating values are split by a monotone step
+function of their double value, and decimals that are one double by the values
+themselves. Counts decide every step, so results do not depend on partitions,
+caching or exchange reuse. A quantile interpolates linearly between the order
+statistics at ``floor(h)`` and ``ceil(h)`` with ``h = p * (N - 1)``, as pandas and
+Spark's ``percentile`` do. Nulls, NaN and infinities are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from decimal import Decimal
+from fractions import Fraction
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ACCURACY = 2_000
-INSIDE = 1_000_000
+from tidemark.functions.columns import FLOATING_TYPES, balanced
+
+LEVEL_BITS = 12
+#: A level that leaves more than this share of a range's rows in one step is followed by steps of magnitude.
+UNEVEN = 1 / 16
+Value = int | float | Decimal | Fraction
 _SCHEMA = "column string, prob double, value double"
 
 
+def own_type(v: Column, dtype: T.DataType) -> tuple[Column, T.DataType]:
+    """The expression as long, decimal or finite double."""
+    if isinstance(dtype, FLOATING_TYPES):
+        x = v.cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != F.lit(math.inf)), x), T.DoubleType()
+    if isinstance(dtype, T.DecimalType):
+        return v, dtype
+    return v.cast("long"), T.LongType()
+
+
 @dataclass
-class _Target:
-    """A requested quantile: its rank ``h`` and the bracket that should hold it."""
+class _Range:
+    """Values of one column between two values that occur, and the ranks (within the column) to find there."""
 
     column: str
-    prob: float
-    h: float
-    total: int
-    lo: float = -math.inf
-    hi: float = math.inf
-    below: int = 0
-    inside: int = 0
-
-    @property
-    def first(self) -> int:
-        return math.floor(self.h)
-
-    @property
-    def last(self) -> int:
-        return math.ceil(self.h)
-
-    def held(self) -> bool:
-        return self.below <= self.first and self.last < self.below + self.inside
-
-    def probs(self) -> tuple[float, float]:
-        """Where in its bracket to look, with room for the sketch's error."""
-        room = 2.0 / ACCURACY + 2.0 / max(1, self.inside)
-        at = ((self.first - self.below) / max(1, self.inside), (self.last - self.below) / max(1, self.inside))
-        return max(0.0, at[0] - room), min(1.0, at[1] + room)
-
-
-def _inside(v: Column, t: _Target) -> Column:
-    return (v >= F.lit(t.lo)) & (v <= F.lit(t.hi))
-
-
-def _narrow(df: DataFrame, values: Mapping[str, Column], targets: list[_Target]) -> None:
-    """New brackets from sketches of what is inside the present ones; counted, and undone where they miss."""
-    if not targets:
-        return
-    # Targets that share a bracket share a sketch.
-    groups: dict[tuple[str, float, float], list[_Target]] = {}
-    for t in targets:
-        groups.setdefault((t.column, t.lo, t.hi), []).append(t)
-    aggs = []
-    for k, ((column, _, _), ts) in enumerate(groups.items()):
-        v = values[column].cast("double")
-        v = v if ts[0].lo == -math.inf else F.when(_inside(v, ts[0]), v)
-        aggs.append(F.percentile_approx(v, F.array(*[F.lit(p) for t in ts for p in t.probs()]), ACCURACY).alias(f"s{k}"))
-    got = df.agg(*aggs).first()
-    kept = {id(t): (t.lo, t.hi, t.below, t.inside) for t in targets}
-    for k, ts in enumerate(groups.values()):
-        for i, t in enumerate(ts):
-            t.lo, t.hi = got[f"s{k}"][2 * i], got[f"s{k}"][2 * i + 1]
-    _count(df, values, targets)
-    for t in targets:
-        if not t.held():
-            t.lo, t.hi, t.below, t.inside = kept[id(t)]
-
-
-def _count(df: DataFrame, values: Mapping[str, Column], targets: list[_Target]) -> None:
-    v = {c: e.cast("double") for c, e in values.items()}
-    aggs = [x for i, t in enumerate(targets) for x in (F.count_if(v[t.column] < t.lo).alias(f"b{i}"), F.count_if(_inside(v[t.column], t)).alias(f"n{i}"))]
-    got = df.agg(*aggs).first()
-    for i, t in enumerate(targets):
-        t.below, t.inside = got[f"b{i}"], got[f"n{i}"]
-
-
-def _targets(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> list[_Target]:
-    counts = df.agg(*[F.count(e).alias(f"c{i}") for i, e in enumerate(values.values())]).first()
-    out = []
-    for i, column in enumerate(values):
-        n = counts[f"c{i}"]
-        out += [_Target(column, p, p * (n - 1), n, inside=n) for p in probs if n]
-    _narrow(df, values, out)
-    while large := [t for t in out if t.inside > INSIDE and t.lo < t.hi]:
-        before = [(t.lo, t.hi) for t in large]
-        _narrow(df, values, large)
-        if before == [(t.lo, t.hi) for t in large]:
-            break  # no sketch helps; the grouping below takes the bracket as it is
-    return out
-
+    lo: Value
+    hi: Value
+    below: int
+    rows: int
+    ranks: list[int]
+    by_magnitude: bool = False
+
+    def holds(self, v: Column, dtype: T.DataType) -> Column:
+        return (v >= F.lit(self.lo).cast(dtype)) & (v <= F.lit(self.hi).cast(dtype))
+
+    def splits(self, dtype: T.DataType) -> bool:
+        """Whether a step function tells ``lo`` from ``hi``; if not, the values themselves are the steps."""
+        if isinstance(dtype, T.LongType):
+            return True
+        half = float(self.hi) / 2 - float(self.lo) / 2
+        return half > 0 and math.isfinite((1 << LEVEL_BITS) / half)
+
+    def step(self, v: Column, dtype: T.DataType) -> Column:
+        if isinstance(dtype, T.LongType):
+            shift = max(0, (self.hi - self.lo).bit_length() - LEVEL_BITS)
+            return F.shiftright(v, shift) - F.lit(self.lo >> shift).cast("long")
+        x = v.cast("double")
+        if self.by_magnitude:
+            # 32 steps per power of two; log2 of the least double is -1074.
+            return (F.signum(x) * (F.floor(F.log2(F.abs(F.nullif(x, F.lit(0.0)))) * 32) + 40_000)).cast("long")
+        half = float(self.hi) / 2 - float(self.lo) / 2
+        return F.floor((x / 2 - F.lit(float(self.lo) / 2)) * F.lit((1 << LEVEL_BITS) / half)).cast("long")
 
-def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
-    """(column, prob, value): exact quantiles of each named expression (nulls ignored).
 
-    Columns with no value give no rows. The brackets are found when this is called.
+@dataclass
+class _Search:
+    """The named expressions with their types, and what is known of each column."""
+
+    values: dict[str, Column]
+    types: dict[str, T.DataType]
+    found: dict[tuple[str, int], Value] = field(default_factory=dict)
+
+    def slots(self) -> list[T.DataType]:
+        """One output column per type, so that every value keeps its own."""
+        out: list[T.DataType] = []
+        for t in self.types.values():
+            if t not in out:
+                out.append(t)
+        return out
+
+
+def _cells(df: DataFrame, search: _Search, ranges: list[_Range], split: bool) -> DataFrame:
+    """(range, step, one column per type) of the values inside the ranges."""
+    slots = search.slots()
+    by_column: dict[str, list[int]] = {}
+    for k, r in enumerate(ranges):
+        by_column.setdefault(r.column, []).append(k)
+    structs, inside = [], []
+    for column, ks in by_column.items():
+        v, dtype = search.values[column], search.types[column]
+        which, step = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for k in ks:
+            held = ranges[k].holds(v, dtype)
+            inside.append(F.coalesce(held, F.lit(False)))
+            which = F.when(held, F.lit(k)).otherwise(which)
+            if split:
+                zero = F.coalesce(ranges[k].step(v, dtype), F.lit(0).cast("long"))
+                step = F.when(held, zero).otherwise(step)
+        own = [(v if t == dtype else F.lit(None).cast(t)).alias(f"v{j}") for j, t in enumerate(slots)]
+        structs.append(F.struct(which.alias("range"), step.alias("step"), *own))
+    rows = df.where(balanced(or_, inside))  # most rows are in no range after the first level
+    return rows.select(F.inline(F.array(*structs))).where(F.col("range").isNotNull())
+
+
+def _level(df: DataFrame, search: _Search, ranges: list[_Range], split: bool) -> list[_Range]:
+    """The narrower range around each rank; ranks that are settled go to ``search.found``."""
+    slots = search.slots()
+    names = [f"v{j}" for j in range(len(slots))]
+    counted = _cells(df, search, ranges, split).groupBy("range", *(["step"] if split else names))
+    lows = [F.min(n).alias(f"lo_{n}") for n in names]
+    highs = [F.max(n).alias(f"hi_{n}") for n in names]
+    steps = counted.agg(F.count(F.lit(1)).alias("n"), *lows, *highs)
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy(*(["step"] if split else names)))
+    running = steps.withColumn("upto", upto)
+    wanted = df.sparkSession.createDataFrame([(k, r, r - x.below) for k, x in enumerate(ranges) for r in x.ranks], "range int, rank long, place long")
+    # A few ranks per column: a broadcast of known size.
+    hits = running.join(F.broadcast(wanted), "range").where((F.col("place") >= F.col("upto") - F.col("n")) & (F.col("place") < F.col("upto")))
+    out: dict[tuple[int, int], _Range] = {}
+    for r in hits.collect():
+        old = ranges[r["range"]]
+        slot = names[slots.index(search.types[old.column])]
+        lo, hi = r[f"lo_{slot}"], r[f"hi_{slot}"]
+        if lo == hi:
+            search.found[old.column, r["rank"]] = lo
+            continue
+        before = r["upto"] - r["n"]
+        new = out.setdefault((r["range"], before), _Range(old.column, lo, hi, old.below + before, r["n"], []))
+        new.by_magnitude = r["n"] > UNEVEN * old.rows and not old.by_magnitude
+        new.ranks.append(r["rank"])
+    return list(out.values())
+
+
+def order_statistics(df: DataFrame, values: Mapping[str, Column], ranks: Callable[[int], Sequence[int]], facts: Mapping[str, tuple[int, Value, Value]] | None = None) -> tuple[dict[str, int], dict[tuple[str, int], Value]]:
+    """Counts per named expression, and {(name, rank): value} for the ranks asked for (0 is the least value).
+
+    ``ranks`` gives the ranks from a column's count. ``facts`` has (count, least,
+    greatest) per name where the caller knows them already.
     """
-    targets = _targets(df, values, probs)
-    if not targets:
-        return df.sparkSession.createDataFrame([], _SCHEMA)
-    v = {c: e.cast("double") for c, e in values.items()}
-    # Rows with no value in any bracket are dropped before the explode.
-    rows = df.where(reduce(or_, [F.coalesce(_inside(v[t.column], t), F.lit(False)) for t in targets]))
-    cells = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("t"), F.when(_inside(v[t.column], t), v[t.column]).alias("v")) for i, t in enumerate(targets)])))
-    freq = cells.where(F.col("v").isNotNull()).groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
-    facts = [F.struct(F.lit(i).alias("t"), F.lit(t.column).alias("column"), F.lit(t.prob).alias("prob"), F.lit(t.h).alias("h"), F.lit(t.below).cast("long").alias("below")) for i, t in enumerate(targets)]
-    # One row per requested quantile: a broadcast of known size.
-    known = df.sparkSession.range(1).select(F.inline(F.array(*facts)))
-    ranked = freq.select("t", "v", "n", upto.alias("upto")).join(F.broadcast(known), "t")
-    end = F.col("below") + F.col("upto")
-    covers = lambda r: (r >= end - F.col("n")) & (r < end)
-    lo_r, hi_r = F.floor("h"), F.ceil("h")
-    picked = ranked.groupBy("column", "prob", "h").agg(F.max(F.when(covers(lo_r), F.col("v"))).alias("lo"), F.max(F.when(covers(hi_r), F.col("v"))).alias("hi"))
-    between = (hi_r - F.col("h")) * F.col("lo") + (F.col("h") - lo_r) * F.col("hi")
-    value = F.when((lo_r == hi_r) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(between)
-    return picked.select("column", "prob", value.alias("value"))
+    schema = df.select(*(v.alias(f"c{i}") for i, v in enumerate(values.values()))).schema if values else []
+    typed = {name: own_type(v, f.dataType) for (name, v), f in zip(values.items(), schema, strict=True)}
+    search = _Search({n: v for n, (v, _) in typed.items()}, {n: t for n, (_, t) in typed.items()})
+    if facts is None and values:
+        row = df.agg(*(a for i, v in enumerate(search.values.values()) for a in (F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")))).first()
+        facts = {name: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(search.values)}
+    facts = facts or {}
+    ranges = []
+    for name, (n, lo, hi) in facts.items():
+        wanted = sorted({r for r in ranks(n) if 0 <= r < n}) if n else []
+        search.found.update({(name, r): lo for r in wanted if lo == hi or r == 0})
+        search.found.update({(name, n - 1): hi} if n - 1 in wanted else {})
+        left = [r for r in wanted if (name, r) not in search.found]
+        if left:
+            ranges.append(_Range(name, lo, hi, 0, n, left))
+    while ranges:
+        able = [r for r in ranges if r.splits(search.types[r.column])]
+        others = [r for r in ranges if not r.splits(search.types[r.column])]
+        ranges = [new for part, split in ((able, True), (others, False)) if part for new in _level(df, search, part, split)]
+    return {name: n for name, (n, _, _) in facts.items()}, search.found
+
+
+def _between(lo: Value, hi: Value, share: float) -> Value:
+    if lo == hi or share == 0:
+        return lo
+    if isinstance(lo, float) or isinstance(hi, float):
+        return (1 - share) * lo + share * hi
+    return Fraction(lo) + (Fraction(hi) - Fraction(lo)) * Fraction(share)
+
+
+def quantile_values(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], facts: Mapping[str, tuple[int, Value, Value]] | None = None) -> dict[str, list[Value | None]]:
+    """{column: [q for each prob]}: whole numbers and decimals exact (a ``Fraction`` where between two), None without values."""
+
+    def ranks(n: int) -> list[int]:
+        return [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+
+    counts, found = order_statistics(df, values, ranks, facts)
+    out: dict[str, list[Value | None]] = {}
+    for name in values:
+        n = counts.get(name, 0)
+        h = [p * (n - 1) for p in probs]
+        out[name] = [_between(found[name, math.floor(x)], found[name, math.ceil(x)], x - math.floor(x)) if n else None for x in h]
+    return out
 
 
 def quantile_map(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """{column: [q for each prob]}, collected (a fixed number of values per column)."""
-    rows = exact_quantiles(df, values, probs).collect()
-    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in values}
-    index = {p: i for i, p in enumerate(probs)}
-    for r in rows:
-        out[r["column"]][index[r["prob"]]] = r["value"]
-    return out
+    """{column: [q for each prob]} as doubles."""
+    return {c: [None if q is None else float(q) for q in qs] for c, qs in quantile_values(df, values, probs).items()}
+
+
+def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
+    """(column, prob, value): exact quantiles of each named expression; columns with no value give no rows."""
+    rows = [(c, float(p), q) for c, qs in quantile_map(df, values, probs).items() for p, q in zip(probs, qs, strict=True) if q is not None]
+    return df.sparkSession.createDataFrame(rows, _SCHEMA)

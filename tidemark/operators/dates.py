@@ -267,7 +267,7 @@ def temporal_consistency(df: DataFrame, key: Key = None, candidates: Sequence[st
         )
         for i, (s, e) in enumerate(pairs)
     ]
-    # Medians by a distributed sort of the differences (one row per pair comes back).
+    # Medians by rank selection over the differences (one value per pair comes back).
     diffs = {
         f"_med{i}": F.when(F.col(mapping[s]).isNotNull() & F.col(mapping[e]).isNotNull(),
                            hours_between(F.col(mapping[s]), F.col(mapping[e])))

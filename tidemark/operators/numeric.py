@@ -2,20 +2,24 @@
 
 Moments and percentiles use finite values only; zeros, negatives and outliers
 count every value (NaN never counts: Spark orders NaN above +inf, so it is
-excluded explicitly). Percentiles are exact by default (linear
-interpolation, as pandas) and computed by a distributed sort
-(``functions.quantiles``), so no task holds a whole column; ``approx=True``
-switches to ``percentile_approx``, one pass with a sketch of fixed size.
-
-Outlier limits need the quartiles first: one aggregate pass is collected (one
-row, a fixed number of values per column) and the limits enter the second
-pass as literals, so the percentile work is done once and no join is needed.
+excluded explicitly). Percentiles are exact by default (linear interpolation, as
+pandas) by rank selection (``functions.quantiles``), so no task holds a whole
+column; ``approx=True`` switches to ``percentile_approx``, one pass with a sketch of
+fixed size. Least, middle and greatest value of whole-number and decimal columns are
+given as text too, in their own type: a double cannot hold every long.
+
+Outlier limits need the quartiles first: one row of statistics is collected (a fixed
+number of values per column) and the limits enter the next pass as literals. A caller
+that wants the summary and the outliers makes ``numeric_stats`` once for both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+from decimal import Decimal
+from fractions import Fraction
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import as_key_list, balanced, explode_structs, is_missing, is_numeric, profiled_fields, qcol
-from tidemark.functions.quantiles import quantile_map
+from tidemark.functions.quantiles import Value, own_type, quantile_values
 from tidemark.functions.terms import IQR_FACTOR, PERCENTILES
 
 Key = str | Sequence[str] | None
@@ -40,54 +44,82 @@ def _x(f: T.StructField) -> Column:
 
 
 def _finite(f: T.StructField) -> Column:
-    x = _x(f)
-    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+    """The value in its own type (long, decimal or double) when finite."""
+    return own_type(qcol(f.name), f.dataType)[0]
 
 
 def _approx_quantiles(c: Column, accuracy: int) -> Column:
-    return F.percentile_approx(c, F.array(*[F.lit(p) for p in PERCENTILES]), accuracy)
+    return F.percentile_approx(c.cast("double"), F.array(*[F.lit(p) for p in PERCENTILES]), accuracy)
+
+
+@dataclass
+class ColumnStats:
+    """One numeric column: counts and moments, percentiles in its own type, outlier limits."""
+
+    field: T.StructField
+    counts: dict[str, int]
+    mean: float | None
+    stddev: float | None
+    least: Value | None
+    greatest: Value | None
+    percentiles: list[Value | None]
+    lo: float | None
+    hi: float | None
+    iqr: float | None
 
 
-def _stats(df: DataFrame, fields: Sequence[T.StructField], approx: bool, accuracy: int) -> DataFrame:
+_COUNTS = ("count", "nulls", "finite", "zeros", "negatives", "infinities")
+
+
+def numeric_stats(df: DataFrame, key: Key = None, approx: bool = False, accuracy: int = 10000, factor: float = IQR_FACTOR) -> list[ColumnStats]:
+    """Statistics of every numeric column, collected: a fixed number of values per column."""
+    fields = numeric_fields(df, key)
+    if not fields:
+        return []
     aggs = []
     for i, f in enumerate(fields):
-        x, fin = _x(f), _finite(f)
-        aggs += [
-            F.count_if(~is_missing(f)).alias(f"_cnt{i}"),
-            F.count_if(is_missing(f)).alias(f"_nul{i}"),
-            F.avg(fin).alias(f"_mean{i}"),
-            F.stddev_samp(fin).alias(f"_sd{i}"),
-            F.min(fin).alias(f"_min{i}"),
-            F.max(fin).alias(f"_max{i}"),
-            (_approx_quantiles(fin, accuracy) if approx else F.lit(None).cast("array<double>")).alias(f"_q{i}"),
-            F.count_if(x == 0).alias(f"_zero{i}"),
-            F.count_if(x < 0).alias(f"_neg{i}"),
-            F.count_if(F.abs(x) == F.lit(float("inf"))).alias(f"_inf{i}"),
-        ]
-    return df.agg(*aggs)
-
-
-def _collect_stats(df: DataFrame, fields: Sequence[T.StructField], approx: bool, accuracy: int, factor: float):
-    """One pass over the data; the single result row (about 20 numbers per column) is collected.
-
-    Limits then enter the next pass as literals, so the percentile aggregate is
-    computed exactly once.
-    """
-    row = _stats(df, fields, approx, accuracy).first()
-    # Exact quantiles come from a distributed sort (see functions.quantiles), not a per-column buffer.
-    exact = None if approx else quantile_map(df, {f.name: _finite(f) for f in fields}, PERCENTILES)
+        x, own = _x(f), _finite(f)
+        counted = (F.count_if(~is_missing(f)), F.count_if(is_missing(f)), F.count(own), F.count_if(x == 0), F.count_if(x < 0), F.count_if(F.abs(x) == F.lit(math.inf)))
+        aggs += [c.alias(f"{name}{i}") for name, c in zip(_COUNTS, counted, strict=True)]
+        fin = own.cast("double")
+        aggs += [F.avg(fin).alias(f"mean{i}"), F.stddev_samp(fin).alias(f"sd{i}"), F.min(own).alias(f"min{i}"), F.max(own).alias(f"max{i}")]
+        if approx:
+            aggs.append(_approx_quantiles(own, accuracy).alias(f"q{i}"))
+    row = df.agg(*aggs).first()
+    if approx:
+        percentiles = {f.name: list(row[f"q{i}"] or [None] * len(PERCENTILES)) for i, f in enumerate(fields)}
+    else:
+        facts = {f.name: (row[f"finite{i}"], row[f"min{i}"], row[f"max{i}"]) for i, f in enumerate(fields)}
+        percentiles = quantile_values(df, {f.name: qcol(f.name) for f in fields}, PERCENTILES, facts)
     out = []
     for i, f in enumerate(fields):
-        q = row[f"_q{i}"] if approx else exact[f.name]
-        q = None if q is None or q[0] is None else list(q)
-        q1, q3 = (q[2], q[4]) if q is not None else (None, None)
-        iqr = q3 - q1 if q1 is not None and q3 is not None else None
-        lo = q1 - factor * iqr if iqr is not None else None
-        hi = q3 + factor * iqr if iqr is not None else None
-        out.append((f, row, i, lo, hi, iqr, q))
+        q = percentiles[f.name]
+        lo = hi = iqr = None
+        if q[0] is not None:
+            q1, q3 = float(q[2]), float(q[4])
+            iqr = q3 - q1
+            lo, hi = q1 - factor * iqr, q3 + factor * iqr
+        out.append(ColumnStats(f, {c: row[f"{c}{i}"] for c in _COUNTS}, row[f"mean{i}"], row[f"sd{i}"], row[f"min{i}"], row[f"max{i}"], q, lo, hi, iqr))
     return out
 
 
+def _double(v: Value | None) -> float | None:
+    return None if v is None else float(v)
+
+
+def _exact(v: Value | None) -> str | None:
+    """A whole number or decimal as text; floating values are exact as doubles already."""
+    if v is None or isinstance(v, float):
+        return None
+    if isinstance(v, Fraction):
+        if v.denominator == 1:
+            return str(v.numerator)
+        # Halves and tenths of halves: between two whole numbers or decimals.
+        digits = max(1, (v.denominator - 1).bit_length())
+        v = Decimal(round(v * 10**digits)).scaleb(-digits)
+    return format(v.normalize(), "f") if isinstance(v, Decimal) else str(v)
+
+
 def _lit(v) -> Column:
     return F.lit(v).cast("double")
 
@@ -131,46 +163,23 @@ def numeric_summary(
     approx: bool = False,
     accuracy: int = 10000,
     factor: float = IQR_FACTOR,
+    stats: Sequence[ColumnStats] | None = None,
 ) -> DataFrame:
     """Per numeric column: counts, moments, percentiles 1..99, IQR, zeros, negatives, infinities, outliers."""
-    fields = numeric_fields(df, key)
     spark = df.sparkSession
-    if not fields:
+    stats = numeric_stats(df, key, approx, accuracy, factor) if stats is None else stats
+    if not stats:
         return spark.createDataFrame([], _SUMMARY_SCHEMA)
-    stats = _collect_stats(df, fields, approx, accuracy, factor)
     rows = []
-    for f, row, i, lo, hi, iqr, q in stats:
-        q = q or [None] * len(_PCT_NAMES)
-        rows.append(
-            (
-                i + 1,
-                f.name,
-                row[f"_cnt{i}"],
-                row[f"_nul{i}"],
-                row[f"_mean{i}"],
-                q[3],
-                row[f"_sd{i}"],
-                row[f"_min{i}"],
-                row[f"_max{i}"],
-                *q,
-                iqr,
-                row[f"_zero{i}"],
-                row[f"_neg{i}"],
-                row[f"_inf{i}"],
-            )
-        )
+    for i, s in enumerate(stats):
+        c, q = s.counts, [_double(v) for v in s.percentiles]
+        exact = [_exact(v) for v in (s.least, s.percentiles[3], s.greatest)]
+        rows.append((i + 1, s.field.name, c["count"], c["nulls"], s.mean, q[3], s.stddev, _double(s.least), _double(s.greatest), *q, s.iqr, c["zeros"], c["negatives"], c["infinities"], *exact))
     long = spark.createDataFrame(rows, "position int, " + _SUMMARY_SCHEMA.rsplit(", iqr_outliers long", 1)[0])
     # Only rows that can hold an outlier are read past the scan (row groups skipped by their statistics).
-    candidates = df.where(balanced(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _, _ in stats]))
-    outliers = candidates.agg(*[F.count_if(_is_outlier(f, lo, hi)).alias(f"_out{i}") for f, _, i, lo, hi, _, _ in stats])
-    out_long = outliers.select(
-        explode_structs(
-            [
-                F.struct(F.lit(f.name).alias("column"), F.col(f"_out{i}").alias("iqr_outliers"))
-                for f, _, i, _, _, _, _ in stats
-            ]
-        )
-    )
+    candidates = df.where(balanced(or_, [_scan_filter(s.field, s.lo, s.hi) for s in stats]))
+    outliers = candidates.agg(*[F.count_if(_is_outlier(s.field, s.lo, s.hi)).alias(f"_out{i}") for i, s in enumerate(stats)])
+    out_long = outliers.select(explode_structs([F.struct(F.lit(s.field.name).alias("column"), F.col(f"_out{i}").alias("iqr_outliers")) for i, s in enumerate(stats)]))
     # One row per numeric column on each side: a broadcast of proven size.
     return long.join(F.broadcast(out_long), "column").orderBy("position").drop("position")
 
@@ -178,7 +187,8 @@ def numeric_summary(
 _SUMMARY_SCHEMA = (
     "column string, count long, nulls long, mean double, median double, stddev double, min double, "
     "max double, p1 double, p5 double, p25 double, p50 double, p75 double, p95 double, p99 double, "
-    "iqr double, zeros long, negatives long, infinities long, iqr_outliers long"
+    "iqr double, zeros long, negatives long, infinities long, min_exact string, median_exact string, "
+    "max_exact string, iqr_outliers long"
 )
 
 
@@ -188,26 +198,26 @@ def numeric_outliers(
     approx: bool = False,
     accuracy: int = 10000,
     factor: float = IQR_FACTOR,
+    stats: Sequence[ColumnStats] | None = None,
 ) -> DataFrame:
     """Every (column, row) outside [q1 - 1.5 iqr, q3 + 1.5 iqr]: column, key..., value, limits."""
     keys = as_key_list(key)
-    fields = numeric_fields(df, key)
-    if not fields:
+    stats = numeric_stats(df, key, approx, accuracy, factor) if stats is None else stats
+    if not stats:
         none = [F.lit(None).cast("double").alias(c) for c in ("value", "lower_limit", "upper_limit")]
         return df.select(F.lit(None).cast("string").alias("column"), *[qcol(k) for k in keys], *none).limit(0)
-    stats = _collect_stats(df, fields, approx, accuracy, factor)
     cells = [
         F.struct(
-            F.lit(f.name).alias("column"),
-            _is_outlier(f, lo, hi).alias("_hit"),
-            _x(f).alias("value"),
-            _lit(lo).alias("lower_limit"),
-            _lit(hi).alias("upper_limit"),
+            F.lit(s.field.name).alias("column"),
+            _is_outlier(s.field, s.lo, s.hi).alias("_hit"),
+            _x(s.field).alias("value"),
+            _lit(s.lo).alias("lower_limit"),
+            _lit(s.hi).alias("upper_limit"),
         )
-        for f, _, i, lo, hi, _, _ in stats
+        for s in stats
     ]
     # Rows without any outlier are dropped before the per-cell explode.
-    any_hit = balanced(or_, [_is_outlier(f, lo, hi) for f, _, i, lo, hi, _, _ in stats])
-    scan = balanced(or_, [_scan_filter(f, lo, hi) for f, _, i, lo, hi, _, _ in stats])
+    any_hit = balanced(or_, [_is_outlier(s.field, s.lo, s.hi) for s in stats])
+    scan = balanced(or_, [_scan_filter(s.field, s.lo, s.hi) for s in stats])
     exploded = df.where(scan).where(any_hit).select(*[qcol(k) for k in keys], explode_structs(cells))
     return exploded.where(F.col("_hit")).select("column", *[qcol(k) for k in keys], "value", "lower_limit", "upper_limit")

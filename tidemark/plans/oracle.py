@@ -385,6 +385,16 @@ WHERE key <> '' GROUP BY 1, 2 HAVING count(*) > 1"""
 PCTS = [(0.01, "p1"), (0.05, "p5"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99")]
 
 
+def _exact(c: str, t: str) -> str:
+    """Least, middle and greatest value of a whole-number column as text; null for floating columns."""
+    if t != "bigint":
+        return ", ".join(f"CAST(NULL AS VARCHAR) AS {n}_exact" for n in ("min", "median", "max"))
+    inner = f"list_sort(list({q(c)}) FILTER (WHERE {q(c)} IS NOT NULL))"
+    both = f"({inner})[CAST((count({q(c)}) - 1) // 2 AS INT) + 1] + ({inner})[CAST(count({q(c)}) // 2 AS INT) + 1]"
+    median = f"CASE WHEN ({both}) % 2 = 0 THEN CAST(({both}) // 2 AS VARCHAR) ELSE CAST(({both}) // 2 AS VARCHAR) || '.5' END"
+    return f"CAST(min({q(c)}) AS VARCHAR) AS min_exact, {median} AS median_exact, CAST(max({q(c)}) AS VARCHAR) AS max_exact"
+
+
 def _num_stats(src: str, cols) -> str:
     parts = []
     for i, (c, t) in enumerate(cols):
@@ -394,7 +404,7 @@ def _num_stats(src: str, cols) -> str:
         parts.append(
             f"""SELECT {i + 1} AS position, {lit(c)} AS {q('column')}, {cnt('NOT ' + miss(c, t))} AS count, {cnt(miss(c, t))} AS nulls,
        avg({fin}) AS mean, stddev_samp({fin}) AS stddev, min({fin}) AS min, max({fin}) AS max, {qs},
-       {cnt(f'{x} = 0')} AS zeros, {cnt(f'{x} < 0')} AS negatives, {cnt(f'isinf({x})')} AS infinities
+       {cnt(f'{x} = 0')} AS zeros, {cnt(f'{x} < 0')} AS negatives, {cnt(f'isinf({x})')} AS infinities, {_exact(c, t)}
 FROM {src} AS t"""
         )
     return f"(SELECT *, p25 - 1.5 * (p75 - p25) AS lo, p75 + 1.5 * (p75 - p25) AS hi FROM ({union(parts)}) AS u)"
@@ -413,7 +423,7 @@ def numeric_summary_sql(src: str, cols) -> str:
     return f"""WITH stats AS {_num_stats(src, cols)}, outs AS ({outs})
 SELECT s.{q('column')}, s.count, s.nulls, {rnd('s.mean')} AS mean, {rnd('s.p50')} AS median, {rnd('s.stddev')} AS stddev,
        {rnd('s.min')} AS min, {rnd('s.max')} AS max, {', '.join(rnd('s.' + n) + ' AS ' + n for _, n in PCTS)},
-       {rnd('s.p75 - s.p25')} AS iqr, s.zeros, s.negatives, s.infinities, o.iqr_outliers
+       {rnd('s.p75 - s.p25')} AS iqr, s.zeros, s.negatives, s.infinities, s.min_exact, s.median_exact, s.max_exact, o.iqr_outliers
 FROM stats AS s JOIN outs AS o ON s.{q('column')} = o.{q('column')}"""
 
 
