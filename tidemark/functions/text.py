@@ -1,9 +1,9 @@
 """Text folding.
 
-Spark has no NFKD normalisation, so folding runs in one Arrow-batched
-``pandas_udf``. Callers apply it to *distinct* values (after a partially
-aggregated ``groupBy``), so the Python cost grows with the number of distinct
-texts, not with rows.
+ASCII text is folded by JVM functions. Spark has no NFKD normalisation, so other text
+is folded in one Arrow-batched ``pandas_udf``; ASCII text is not sent there. Checks of
+whole columns apply it to *distinct* values (``operators.frequencies``), so the Python
+cost grows with the number of distinct texts, not with rows.
 """
 
 from __future__ import annotations
@@ -43,12 +43,18 @@ def _fold_udf(values: pd.Series) -> pd.Series:
     return fold_series(values)
 
 
+# The ASCII characters that count as white space in folding.
+ASCII_SPACE = "[\\x09-\\x0D\\x1C-\\x20]+"
+
+
 def fold_text(col: Column) -> Column:
     """Folded text of a string column (null stays null)."""
     from tidemark.session import ship_package
 
     ship_package()
-    return _fold_udf(col)
+    ascii_only = F.octet_length(col) == F.length(col)
+    native = F.btrim(F.regexp_replace(F.lower(col), ASCII_SPACE, " "))
+    return F.when(ascii_only, native).otherwise(_fold_udf(F.when(~ascii_only, col)))
 
 
 def strip_ascii_punctuation(col: Column) -> Column:

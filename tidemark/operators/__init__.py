@@ -4,7 +4,7 @@
 are not profiled themselves.
 """
 
-from tidemark.operators.categorical import category_frequencies, category_summary, equivalent_categories
+from tidemark.operators.categorical import category_frequencies, category_summary, category_variants, equivalent_categories
 from tidemark.operators.dates import (
     date_candidates,
     date_conversion,
@@ -32,6 +32,7 @@ from tidemark.operators.text import text_problems, textual_nulls
 __all__ = [
     "category_frequencies",
     "category_summary",
+    "category_variants",
     "classify_variables",
     "column_inventory",
     "date_candidates",

@@ -28,16 +28,13 @@ from tidemark.functions.columns import (
     qcol,
     type_name,
 )
+from tidemark.operators.frequencies import text_class
 from tidemark.functions.terms import CLASSIFICATION_CRITERION, OTHER_GROUP, VARIABLE_GROUPS
 from tidemark.functions.text import fold_value, normalize_name
 
 Key = str | Sequence[str] | None
 
-# --- fixed values: lexical classes of a text value, named like the Python types they stand for
-INT_TEXT = "^[+-]?[0-9]+\\z"
-FLOAT_TEXT = "^[+-]?([0-9]+[.][0-9]*|[.][0-9]+|[0-9]+)([eE][+-]?[0-9]+)?\\z"
-DATETIME_TEXT = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?\\z"
-BOOL_TEXT = ("true", "false")
+# --- fixed values: type classes, named like the Python types they stand for
 _PY_NAMES = {
     T.ByteType: "int",
     T.ShortType: "int",
@@ -102,17 +99,6 @@ def _py_name(field: T.StructField) -> str:
     return type_name(field)
 
 
-def text_class(c: Column) -> Column:
-    """Lexical class of a text value: int, float, bool, datetime or str."""
-    return (
-        F.when(c.rlike(INT_TEXT), F.lit("int"))
-        .when(c.rlike(FLOAT_TEXT), F.lit("float"))
-        .when(F.lower(c).isin(list(BOOL_TEXT)), F.lit("bool"))
-        .when(c.rlike(DATETIME_TEXT), F.lit("datetime"))
-        .otherwise(F.lit("str"))
-    )
-
-
 def variant_class(c: Column) -> Column:
     """Per-value class of a VARIANT value from ``schema_of_variant``, named like the Python type."""
     t = F.upper(F.schema_of_variant(c))

@@ -1,10 +1,9 @@
 """Column shape: inventory, identifier candidates, empty / constant columns.
 
-Scalar metrics come from one wide aggregate per call (exact ``count_distinct``
-by default, HyperLogLog++ with ``approx=True``). Empty / constant / dominated
-columns read one (column, value, n) frequency table, combined map-side; with
-``approx=True`` distinct counts come from HyperLogLog++ first and frequencies
-are counted only for columns that can be dominated.
+Exact mode reads the hashed frequency table (``operators.frequencies``), combined
+map-side, so long texts are not shuffled and regexes run once per distinct short value;
+a caller that has the table already passes it as ``freq``. ``approx=True`` uses
+HyperLogLog++ instead, and counts frequencies only for columns that can be dominated.
 """
 
 from __future__ import annotations
@@ -35,6 +34,7 @@ from tidemark.functions.terms import (
     LOW_VARIABILITY_MAX_UNIQUE,
 )
 from tidemark.functions.text import fold_value
+from tidemark.operators.frequencies import Frequencies, frequencies, groupable, value_identity
 
 Key = str | Sequence[str] | None
 
@@ -43,32 +43,21 @@ def distinct_count(c: Column, approx: bool = False, rsd: float = 0.01) -> Column
     return F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c)
 
 
-def _groupable(field: T.StructField) -> bool:
-    return not isinstance(field.dataType, T.MapType)
-
-
-def value_identity(field: T.StructField) -> Column:
-    """Informed value as canonical text: -0.0 and 0.0 are one value, as in grouping."""
-    c = present(field)
-    if isinstance(field.dataType, FLOATING_TYPES):
-        c = F.when(c == 0, F.lit(0.0)).otherwise(c)
-    return c.cast("string")
-
-
 def column_inventory(
     df: DataFrame,
     key: Key = None,
     mapping: Mapping[str, str] | None = None,
     approx: bool = False,
+    freq: Frequencies | None = None,
 ) -> DataFrame:
     """position, original_name, normalized_name, data_type, non_null, distinct."""
     fields = profiled_fields(df, key)
     mapping = dict(mapping or {})
     if not approx and fields:
-        return _inventory_from_frequencies(df, fields, mapping)
+        return _inventory_from_frequencies(df, fields, mapping, freq)
     aggs = [F.count_if(~is_missing(f)).alias(f"_nn{i}") for i, f in enumerate(fields)]
     aggs += [
-        (distinct_count(present(f), approx) if _groupable(f) else F.lit(None).cast("long")).alias(f"_d{i}")
+        (distinct_count(present(f), approx) if groupable(f) else F.lit(None).cast("long")).alias(f"_d{i}")
         for i, f in enumerate(fields)
     ]
     agg = df.agg(*aggs) if fields else df.agg(F.count(F.lit(1)).alias("_rows"))
@@ -86,35 +75,34 @@ def column_inventory(
     return agg.select(explode_structs(structs)) if structs else agg.limit(0)
 
 
-def _inventory_from_frequencies(df: DataFrame, fields: Sequence[T.StructField], mapping: Mapping[str, str]) -> DataFrame:
-    """Exact distinct counts from one (column, value, n) table: work linear in the number of columns.
+def _inventory_from_frequencies(df: DataFrame, fields: Sequence[T.StructField], mapping: Mapping[str, str], freq: Frequencies | None) -> DataFrame:
+    """Exact distinct counts from the frequency table: work linear in the number of columns.
 
     Several exact ``count_distinct`` in one aggregate become an ``Expand`` that
     copies every row once per column, which does not hold on wide tables.
     """
-    spark = df.sparkSession
-    meta = spark.createDataFrame(
-        [(i + 1, mapping.get(f.name, f.name), f.name, type_name(f)) for i, f in enumerate(fields)],
-        "position int, original_name string, normalized_name string, data_type string",
-    )
-    non_null = df.agg(*[F.count_if(~is_missing(f)).alias(f"_nn{i}") for i, f in enumerate(fields)]).select(
-        explode_structs(
-            [F.struct(F.lit(f.name).alias("normalized_name"), F.col(f"_nn{i}").alias("non_null")) for i, f in enumerate(fields)]
-        )
-    )
-    groupable = [f for f in fields if _groupable(f)]
-    distinct = (
-        _value_frequencies(df, groupable)
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("distinct"))
-        .withColumnRenamed("column", "normalized_name")
+    meta = df.sparkSession.createDataFrame(
+        [(i + 1, mapping.get(f.name, f.name), f.name, type_name(f), groupable(f)) for i, f in enumerate(fields)],
+        "position int, original_name string, normalized_name string, data_type string, groupable boolean",
     )
+    freq = freq or frequencies(df, [f for f in fields if groupable(f)])
+    counts = freq.table.groupBy("c").agg(F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("distinct"))
+    counts = counts.join(F.broadcast(freq.names()), "c").select(F.col("column").alias("normalized_name"), "non_null", "distinct")
+    maps = [f for f in fields if not groupable(f)]
+    if maps:
+        informed = df.agg(*[F.count_if(~is_missing(f)).alias(f"_nn{i}") for i, f in enumerate(maps)])
+        structs = [F.struct(F.lit(f.name).alias("normalized_name"), F.col(f"_nn{i}").alias("non_null"), F.lit(None).cast("long").alias("distinct")) for i, f in enumerate(maps)]
+        counts = counts.unionByName(informed.select(explode_structs(structs)))
+    zero = F.lit(0).cast("long")
     # Every side holds at most one row per column.
-    joined = meta.join(F.broadcast(non_null), "normalized_name").join(F.broadcast(distinct), "normalized_name", "left")
-    groupable_names = [f.name for f in groupable]
-    d = F.when(F.col("normalized_name").isin(groupable_names), F.coalesce(F.col("distinct"), F.lit(0).cast("long")))
+    joined = meta.join(F.broadcast(counts), "normalized_name", "left")
     return joined.orderBy("position").select(
-        "position", "original_name", "normalized_name", "data_type", "non_null", d.cast("long").alias("distinct")
+        "position",
+        "original_name",
+        "normalized_name",
+        "data_type",
+        F.coalesce("non_null", zero).alias("non_null"),
+        F.when(F.col("groupable"), F.coalesce("distinct", zero)).alias("distinct"),
     )
 
 
@@ -131,15 +119,15 @@ def identifier_candidates(
     min_uniqueness: float = IDENTIFIER_MIN_UNIQUENESS,
     min_pattern: float = IDENTIFIER_MIN_PATTERN,
     approx: bool = False,
+    freq: Frequencies | None = None,
 ) -> DataFrame:
     """Columns that look like identifiers by name, or by uniqueness and an id-like pattern.
 
-    Exact mode reads a (column, text, n) frequency table: one shuffle with
-    map-side combining, and the regexes and lengths run once per distinct text,
-    with the median length weighted by frequency. ``approx=True`` needs no
-    shuffle: HyperLogLog++ distincts and an approximate median in one pass.
+    Exact mode reads the frequency table, with the median length weighted by
+    frequency. ``approx=True`` needs no shuffle: HyperLogLog++ distincts and an
+    approximate median in one pass.
     """
-    fields = [f for f in profiled_fields(df, key) if _groupable(f)]
+    fields = [f for f in profiled_fields(df, key) if groupable(f)]
     if not fields:
         return df.sparkSession.createDataFrame([], _IDENTIFIER_SCHEMA)
     spark = df.sparkSession
@@ -147,31 +135,25 @@ def identifier_candidates(
         [(i + 1, f.name, identifier_name_match(f.name, terms)) for i, f in enumerate(fields)],
         "position int, column string, name_match boolean",
     )
-    nulls = df.agg(*[F.count_if(is_missing(f)).alias(f"_z{i}") for i, f in enumerate(fields)]).select(
-        explode_structs(
-            [F.struct(F.lit(f.name).alias("column"), F.col(f"_z{i}").alias("nulls")) for i, f in enumerate(fields)]
-        )
-    )
     if approx:
+        rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
         stats = _identifier_stats_approx(df, fields)
     else:
-        texts = df.select(
-            explode_structs([F.struct(F.lit(f.name).alias("column"), as_text(f).alias("v")) for f in fields])
-        ).where(F.col("v").isNotNull())
-        freq = texts.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-        ln, n = F.length("v"), F.col("n")
-        stats = freq.groupBy("column").agg(
+        freq = freq or frequencies(df, fields, {"pattern"})
+        rows, n = freq.rows, F.col("n")
+        per_column = freq.table.groupBy("c").agg(
             F.sum(n).alias("_nn"),
             F.count(F.lit(1)).alias("_u"),
-            F.sum(F.when(F.col("v").rlike(DIGITS_ONLY), n).otherwise(0)).alias("_dg"),
-            F.sum(F.when(F.col("v").rlike(ALNUM_ID), n).otherwise(0)).alias("_an"),
-            F.min(ln).alias("min_length"),
-            F.max(ln).alias("max_length"),
-            # Weighted by frequency over distinct texts; its buffer holds distinct *lengths* only.
-            F.percentile(ln, F.lit(0.5), n).alias("median_length"),
+            F.sum(F.when(F.col("digits"), n).otherwise(0)).alias("_dg"),
+            F.sum(F.when(F.col("alnum"), n).otherwise(0)).alias("_an"),
+            F.min("length").alias("min_length"),
+            F.max("length").alias("max_length"),
+            # Weighted by frequency over distinct values; its buffer holds distinct *lengths* only.
+            F.percentile("length", F.lit(0.5), n).alias("median_length"),
         )
+        stats = per_column.join(F.broadcast(freq.names()), "c").drop("c", "position")
     # Every side holds at most one row per column: broadcasts of proven size.
-    joined = names.join(F.broadcast(nulls), "column").join(F.broadcast(stats), "column", "left")
+    joined = names.join(F.broadcast(stats), "column", "left")
     nn = F.coalesce(F.col("_nn"), F.lit(0).cast("long"))
     u = F.coalesce(F.col("_u"), F.lit(0).cast("long"))
     long = joined.select(
@@ -180,7 +162,7 @@ def identifier_candidates(
         "name_match",
         pct(u, nn).alias("uniqueness_pct"),
         (nn - u).alias("repeated_values"),
-        "nulls",
+        (rows - nn).alias("nulls"),
         F.col("min_length").cast("int").alias("min_length"),
         F.col("max_length").cast("int").alias("max_length"),
         F.col("median_length").cast("double").alias("median_length"),
@@ -235,26 +217,20 @@ _IDENTIFIER_SCHEMA = (
 )
 
 
-def _value_frequencies(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """(column, value, n) over informed cells; partial aggregation absorbs hot values."""
-    structs = [F.struct(F.lit(f.name).alias("column"), value_identity(f).alias("value")) for f in fields]
-    cells = df.select(explode_structs(structs)).where(F.col("value").isNotNull())
-    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def empty_constant_columns(
     df: DataFrame,
     key: Key = None,
     low_variability_max: int = LOW_VARIABILITY_MAX_UNIQUE,
     dominant_share: float = DOMINANT_SHARE,
     approx: bool = False,
+    freq: Frequencies | None = None,
 ) -> DataFrame:
     """is_empty, single_value, low_variability, dominant_over_95, distinct_non_null, dominant_pct."""
-    fields = [f for f in profiled_fields(df, key) if _groupable(f)]
+    fields = [f for f in profiled_fields(df, key) if groupable(f)]
     if not fields:
         return df.sparkSession.createDataFrame([], _EMPTY_CONSTANT_SCHEMA)
     if not approx:
-        return _shape_from_frequencies(df, fields, low_variability_max, dominant_share)
+        return _shape_from_frequencies(freq or frequencies(df, fields), low_variability_max, dominant_share)
     aggs = []
     for i, f in enumerate(fields):
         aggs += [
@@ -273,7 +249,8 @@ def empty_constant_columns(
         "column string, non_null long, distinct long",
     )
     if needs_top:
-        top = _value_frequencies(df, needs_top).groupBy("column").agg(F.max("n").alias("top_n"))
+        counted = frequencies(df, needs_top)
+        top = counted.table.groupBy("c").agg(F.max("n").alias("top_n")).join(F.broadcast(counted.names()), "c").select("column", "top_n")
         # At most one row per column: a broadcast of proven size.
         long = long.join(F.broadcast(top), "column", "left")
     else:
@@ -295,16 +272,11 @@ def empty_constant_columns(
     )
 
 
-def _shape_from_frequencies(
-    df: DataFrame, fields: Sequence[T.StructField], low_variability_max: int, dominant_share: float
-) -> DataFrame:
-    """Exact path, one plan: the (column, value, n) table gives non-null, distinct and top counts."""
-    per_column = _value_frequencies(df, fields).groupBy("column").agg(
-        F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("distinct"), F.max("n").alias("top_n")
-    )
-    names = df.sparkSession.createDataFrame([(i + 1, f.name) for i, f in enumerate(fields)], "position int, column string")
+def _shape_from_frequencies(freq: Frequencies, low_variability_max: int, dominant_share: float) -> DataFrame:
+    """Exact path, one plan: the frequency table gives non-null, distinct and top counts."""
+    per_column = freq.table.groupBy("c").agg(F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("distinct"), F.max("n").alias("top_n"))
     # Both sides hold at most one row per column.
-    joined = names.join(F.broadcast(per_column), "column", "left")
+    joined = freq.names().join(F.broadcast(per_column), "c", "left")
     zero = F.lit(0).cast("long")
     nn, d = F.coalesce(F.col("non_null"), zero), F.coalesce(F.col("distinct"), zero)
     share = pct(F.coalesce(F.col("top_n"), zero), nn)

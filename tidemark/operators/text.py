@@ -1,24 +1,21 @@
 """Text defects and textual null markers (string columns only).
 
-Row counters are one wide aggregate of ``rlike`` predicates. Spelling groups
-and null markers need the folded text, which runs in Python: it is applied to
-the distinct (column, value) table, built with map-side partial aggregation,
-so the Python work grows with distinct texts and a hot value costs nothing.
+Both read the hashed frequency table (``operators.frequencies``): regexes and the fold
+run once per distinct short value, and long texts are judged where they are read, so
+none is shuffled. A caller that has the table already passes it as ``freq``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from operator import add
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import balanced, explode_structs, is_string, profiled_fields, qcol
-from tidemark.functions.terms import NON_PRINTABLE, TEXT_NULL_TOKENS, WS
-from tidemark.functions.text import fold_text
+from tidemark.functions.columns import is_string, profiled_fields
+from tidemark.functions.terms import TEXT_NULL_TOKENS
+from tidemark.operators.frequencies import DEFECTS, Frequencies, frequencies, has_defect
 
 Key = str | Sequence[str] | None
 
@@ -37,111 +34,51 @@ def string_fields(df: DataFrame, key: Key = None) -> list[T.StructField]:
     return [f for f in profiled_fields(df, key) if is_string(f)]
 
 
-def distinct_values(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """(column, value, n): frequency of every non-null value of the given string columns."""
-    structs = [F.struct(F.lit(f.name).alias("column"), qcol(f.name).alias("value")) for f in fields]
-    cells = df.select(explode_structs(structs)).where(F.col("value").isNotNull())
-    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
+def _spelling_groups(freq: Frequencies) -> DataFrame:
+    """(c, spelling_groups): folded texts with more than one spelling."""
+    texts = freq.table.where(F.col("c").isin(freq.of(is_string)))
+    spelled = texts.groupBy("c", "fold1", "fold2").agg(F.count(F.lit(1)).alias("spellings"))
+    return spelled.groupBy("c").agg(F.count_if(F.col("spellings") > 1).alias("spelling_groups"))
 
-def folded_values(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """(column, value, n, folded): the fold UDF runs once per distinct value."""
-    return distinct_values(df, fields).withColumn("folded", fold_text(F.col("value")))
 
-
-def text_problems(df: DataFrame, key: Key = None) -> DataFrame:
+def text_problems(df: DataFrame, key: Key = None, freq: Frequencies | None = None) -> DataFrame:
     """Per string column: the seven text-defect counters."""
     fields = string_fields(df, key)
     if not fields:
         return df.sparkSession.createDataFrame(
             [], "column string, " + ", ".join(f"{c} long" for c in TEXT_COUNTERS)
         )
-    aggs = []
-    for i, f in enumerate(fields):
-        c = qcol(f.name)
-        aggs += [
-            F.count_if(c.rlike("^" + WS)).alias(f"_lead{i}"),
-            F.count_if(c.rlike(WS + "\\z")).alias(f"_trail{i}"),
-            F.count_if(c.rlike(WS + "{2}")).alias(f"_dbl{i}"),
-            F.count_if(c == "").alias(f"_empty{i}"),
-            F.count_if(c.rlike("^" + WS + "+\\z")).alias(f"_only{i}"),
-            F.count_if(c.rlike(NON_PRINTABLE)).alias(f"_np{i}"),
-        ]
-    counters = df.agg(*aggs).select(
-        explode_structs(
-            [
-                F.struct(
-                    F.lit(f.name).alias("column"),
-                    F.col(f"_lead{i}").alias("leading_spaces"),
-                    F.col(f"_trail{i}").alias("trailing_spaces"),
-                    F.col(f"_dbl{i}").alias("double_spaces"),
-                    F.col(f"_empty{i}").alias("empty_strings"),
-                    F.col(f"_only{i}").alias("only_spaces"),
-                    F.col(f"_np{i}").alias("non_printable"),
-                )
-                for i, f in enumerate(fields)
-            ]
-        )
-    )
-    spellings = (
-        folded_values(df, fields)
-        .groupBy("column", "folded")
-        .agg(F.count(F.lit(1)).alias("spellings"))
-        .groupBy("column")
-        .agg(F.count_if(F.col("spellings") > 1).alias("spelling_groups"))
-    )
-    # One row per string column on the right: a broadcast of proven size.
-    joined = counters.join(F.broadcast(spellings), "column", "left")
-    return joined.select(
-        "column",
-        "leading_spaces",
-        "trailing_spaces",
-        "double_spaces",
-        F.coalesce(F.col("spelling_groups"), F.lit(0).cast("long")).alias("spelling_groups"),
-        "empty_strings",
-        "only_spaces",
-        "non_printable",
-    )
-
-
-def textual_nulls(df: DataFrame, key: Key = None, tokens: Sequence[str] = TEXT_NULL_TOKENS) -> DataFrame:
+    freq = freq or frequencies(df, fields, {"defects", "fold"})
+    columns = freq.of(is_string)
+    cells = F.col("n")
+    counted = freq.table.where(F.col("c").isin(columns)).groupBy("c").agg(*[F.sum(F.when(has_defect(d), cells).otherwise(0)).alias(d) for d in DEFECTS])
+    zero = F.lit(0).cast("long")
+    # One row per string column on every side: broadcasts of proven size.
+    joined = freq.names(columns).join(F.broadcast(counted), "c", "left").join(F.broadcast(_spelling_groups(freq)), "c", "left")
+    return joined.select("column", *[F.coalesce(F.col(c), zero).alias(c) for c in TEXT_COUNTERS])
+
+
+def textual_nulls(df: DataFrame, key: Key = None, tokens: Sequence[str] = TEXT_NULL_TOKENS, freq: Frequencies | None = None) -> DataFrame:
     """(column, token, count): values that spell a missing value after fold + upper."""
     fields = string_fields(df, key)
     if not fields:
         return df.sparkSession.createDataFrame([], "column string, token string, count long")
-    folded = folded_values(df, fields).withColumn("token", F.upper(F.col("folded")))
-    hits = folded.where(F.col("token").isin(list(tokens)))
-    return hits.groupBy("column", "token").agg(F.sum("n").alias("count"))
-
+    freq = freq or frequencies(df, fields, {"fold"})
+    hits = freq.table.where(F.col("marker").isin(list(tokens))).groupBy("c", F.col("marker").alias("token")).agg(F.sum("n").alias("count"))
+    return hits.join(F.broadcast(freq.names()), "c").select("column", "token", "count")
 
-def text_issue_total(df: DataFrame, key: Key = None, tokens: Sequence[str] = TEXT_NULL_TOKENS) -> DataFrame:
-    """One row, ``affected``: all text-defect counters plus textual-null cells (the summary's text check).
 
-    Spelling groups and null markers share one folded table, so the fold runs
-    once per distinct value.
-    """
+def text_issue_total(df: DataFrame, key: Key = None, tokens: Sequence[str] = TEXT_NULL_TOKENS, freq: Frequencies | None = None) -> DataFrame:
+    """One row, ``affected``: all text-defect counters plus textual-null cells (the summary's text check)."""
     fields = string_fields(df, key)
     zero = F.lit(0).cast("long")
     if not fields:
         return df.sparkSession.range(1).select(zero.alias("affected"))
-    row_counts = []
-    for f in fields:
-        c = qcol(f.name)
-        row_counts += [
-            F.count_if(c.rlike("^" + WS)),
-            F.count_if(c.rlike(WS + "\\z")),
-            F.count_if(c.rlike(WS + "{2}")),
-            F.count_if(c == ""),
-            F.count_if(c.rlike("^" + WS + "+\\z")),
-            F.count_if(c.rlike(NON_PRINTABLE)),
-        ]
-    counters = df.agg(balanced(add, row_counts, zero).alias("_rows"))
-    # One pipeline over the folded groups: spelling groups and marker cells in a single aggregate.
-    by_fold = folded_values(df, fields).groupBy("column", "folded").agg(
-        F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("cells")
-    )
-    is_marker = F.upper(F.col("folded")).isin(list(tokens))
-    fold_issues = by_fold.agg(
-        (F.count_if(F.col("spellings") > 1) + F.coalesce(F.sum(F.when(is_marker, F.col("cells"))), zero)).alias("_f")
-    )
-    return counters.select((F.col("_rows") + fold_issues.select("_f").scalar()).alias("affected"))
+    freq = freq or frequencies(df, fields, {"defects", "fold"})
+    texts = freq.table.where(F.col("c").isin(freq.of(is_string)))
+    defects = F.aggregate(F.array(*[has_defect(d).cast("long") for d in DEFECTS]), zero, lambda a, x: a + x)
+    marker = F.when(F.col("marker").isin(list(tokens)), 1).otherwise(0)
+    # Spellings of one folded text make a group; defects and markers are counted per cell.
+    by_fold = texts.groupBy("c", "fold1", "fold2").agg(F.count(F.lit(1)).alias("spellings"), F.sum(F.col("n") * (defects + marker)).alias("cells"))
+    total = F.count_if(F.col("spellings") > 1) + F.coalesce(F.sum("cells"), zero)
+    return by_fold.agg(total.alias("affected"))

@@ -387,7 +387,7 @@ PCTS = [(0.01, "p1"), (0.05, "p5"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"),
 
 def _exact(c: str, t: str) -> str:
     """Least, middle and greatest value of a whole-number column as text; null for floating columns."""
-    if t != "bigint":
+    if t not in ("bigint", "int"):
         return ", ".join(f"CAST(NULL AS VARCHAR) AS {n}_exact" for n in ("min", "median", "max"))
     inner = f"list_sort(list({q(c)}) FILTER (WHERE {q(c)} IS NOT NULL))"
     both = f"({inner})[CAST((count({q(c)}) - 1) // 2 AS INT) + 1] + ({inner})[CAST(count({q(c)}) // 2 AS INT) + 1]"
