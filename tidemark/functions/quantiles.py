@@ -66,9 +66,7 @@ class _Range:
     rows: int
     ranks: list[int]
     by_magnitude: bool = False
-
-    def holds(self, v: Column, dtype: T.DataType) -> Column:
-        return (v >= F.lit(self.lo).cast(dtype)) & (v <= F.lit(self.hi).cast(dtype))
+    whole: bool = False
 
     def splits(self, dtype: T.DataType) -> bool:
         """Whether a step function tells ``lo`` from ``hi``; if not, the values themselves are the steps."""
@@ -77,97 +75,100 @@ class _Range:
         half = float(self.hi) / 2 - float(self.lo) / 2
         return half > 0 and math.isfinite((1 << LEVEL_BITS) / half)
 
-    def step(self, v: Column, dtype: T.DataType) -> Column:
-        if isinstance(dtype, T.LongType):
-            shift = max(0, (self.hi - self.lo).bit_length() - LEVEL_BITS)
-            return F.shiftright(v, shift) - F.lit(self.lo >> shift).cast("long")
-        x = v.cast("double")
-        if self.by_magnitude:
-            # 32 steps per power of two; log2 of the least double is -1074.
-            return (F.signum(x) * (F.floor(F.log2(F.abs(F.nullif(x, F.lit(0.0)))) * 32) + 40_000)).cast("long")
-        half = float(self.hi) / 2 - float(self.lo) / 2
-        return F.floor((x / 2 - F.lit(float(self.lo) / 2)) * F.lit((1 << LEVEL_BITS) / half)).cast("long")
+
+def _step(ranges: list[_Range], dtype: T.DataType) -> Column:
+    """The step of value ``v`` inside range ``range``; a range's own numbers are looked up by its index."""
+
+    def own(numbers: list, kind: str) -> Column:
+        return F.get(F.array(*(F.lit(x).cast(kind) for x in numbers)), F.col("range"))
+
+    if isinstance(dtype, T.LongType):
+        shifts = [max(0, (r.hi - r.lo).bit_length() - LEVEL_BITS) for r in ranges]
+        first = [r.lo >> n for r, n in zip(ranges, shifts, strict=True)]
+        return F.call_function("shiftright", F.col("v"), own(shifts, "int")) - own(first, "long")
+    x = F.col("v").cast("double")
+    halves = [float(r.lo) / 2 for r in ranges]
+    scales = [(1 << LEVEL_BITS) / (float(r.hi) / 2 - h) for r, h in zip(ranges, halves, strict=True)]
+    even = F.floor((x / 2 - own(halves, "double")) * own(scales, "double"))
+    # 32 steps per power of two; log2 of the least double is -1074.
+    magnitude = F.coalesce(F.signum(x) * (F.floor(F.log2(F.abs(F.nullif(x, F.lit(0.0)))) * 32) + 40_000), F.lit(0))
+    return F.when(own([r.by_magnitude for r in ranges], "boolean"), magnitude).otherwise(even).cast("long")
 
 
 @dataclass
 class _Search:
-    """The named expressions with their types, and what is known of each column."""
+    """The named expressions with their types, and the ranks settled so far."""
 
     values: dict[str, Column]
     types: dict[str, T.DataType]
+    weight: Column | None
     found: dict[tuple[str, int], Value] = field(default_factory=dict)
 
-    def slots(self) -> list[T.DataType]:
-        """One output column per type, so that every value keeps its own."""
-        out: list[T.DataType] = []
-        for t in self.types.values():
-            if t not in out:
-                out.append(t)
-        return out
-
 
-def _cells(df: DataFrame, search: _Search, ranges: list[_Range], split: bool) -> DataFrame:
-    """(range, step, one column per type) of the values inside the ranges."""
-    slots = search.slots()
+def _cells(df: DataFrame, search: _Search, ranges: list[_Range], dtype: T.DataType) -> DataFrame:
+    """(range, v, w) of the values of one type inside the ranges."""
     by_column: dict[str, list[int]] = {}
     for k, r in enumerate(ranges):
         by_column.setdefault(r.column, []).append(k)
-    structs, inside = [], []
-    for column, ks in by_column.items():
-        v, dtype = search.values[column], search.types[column]
-        which, step = F.lit(None).cast("int"), F.lit(None).cast("long")
+    weight = (F.lit(1).cast("long") if search.weight is None else search.weight).alias("w")
+    if len(by_column) == len(ranges) and all(r.below == 0 and r.whole for r in ranges):
+        # The first level: every value of a column is in its range.
+        wide = df.select(weight, *(search.values[r.column].alias(str(k)) for k, r in enumerate(ranges)))
+        long = wide.unpivot(["w"], [str(k) for k in range(len(ranges))], "range", "v")
+        return long.where(F.col("v").isNotNull()).select(F.col("range").cast("int").alias("range"), "v", "w")
+    wide, structs, inside = [], [], []
+    for i, (column, ks) in enumerate(by_column.items()):
+        wide.append(search.values[column].alias(f"v{i}"))
+        which = F.lit(None).cast("int")
         for k in ks:
-            held = ranges[k].holds(v, dtype)
+            held = (F.col(f"v{i}") >= F.lit(ranges[k].lo).cast(dtype)) & (F.col(f"v{i}") <= F.lit(ranges[k].hi).cast(dtype))
             inside.append(F.coalesce(held, F.lit(False)))
             which = F.when(held, F.lit(k)).otherwise(which)
-            if split:
-                zero = F.coalesce(ranges[k].step(v, dtype), F.lit(0).cast("long"))
-                step = F.when(held, zero).otherwise(step)
-        own = [(v if t == dtype else F.lit(None).cast(t)).alias(f"v{j}") for j, t in enumerate(slots)]
-        structs.append(F.struct(which.alias("range"), step.alias("step"), *own))
-    rows = df.where(balanced(or_, inside))  # most rows are in no range after the first level
-    return rows.select(F.inline(F.array(*structs))).where(F.col("range").isNotNull())
+        structs.append(F.struct(which.alias("range"), F.col(f"v{i}").alias("v")))
+    rows = df.select(weight, *wide).where(balanced(or_, inside))  # most rows are in no range after the first level
+    return rows.select("w", F.inline(F.array(*structs))).where(F.col("range").isNotNull())
 
 
-def _level(df: DataFrame, search: _Search, ranges: list[_Range], split: bool) -> list[_Range]:
+def _level(df: DataFrame, search: _Search, ranges: list[_Range], dtype: T.DataType, split: bool) -> list[_Range]:
     """The narrower range around each rank; ranks that are settled go to ``search.found``."""
-    slots = search.slots()
-    names = [f"v{j}" for j in range(len(slots))]
-    counted = _cells(df, search, ranges, split).groupBy("range", *(["step"] if split else names))
-    lows = [F.min(n).alias(f"lo_{n}") for n in names]
-    highs = [F.max(n).alias(f"hi_{n}") for n in names]
-    steps = counted.agg(F.count(F.lit(1)).alias("n"), *lows, *highs)
-    upto = F.sum("n").over(Window.partitionBy("range").orderBy(*(["step"] if split else names)))
-    running = steps.withColumn("upto", upto)
+    cells = _cells(df, search, ranges, dtype)
+    cells = cells.withColumn("step", _step(ranges, dtype) if split else F.col("v"))
+    steps = cells.groupBy("range", "step").agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    running = steps.withColumn("upto", F.sum("n").over(Window.partitionBy("range").orderBy("step")))
     wanted = df.sparkSession.createDataFrame([(k, r, r - x.below) for k, x in enumerate(ranges) for r in x.ranks], "range int, rank long, place long")
     # A few ranks per column: a broadcast of known size.
     hits = running.join(F.broadcast(wanted), "range").where((F.col("place") >= F.col("upto") - F.col("n")) & (F.col("place") < F.col("upto")))
     out: dict[tuple[int, int], _Range] = {}
     for r in hits.collect():
-        old = ranges[r["range"]]
-        slot = names[slots.index(search.types[old.column])]
-        lo, hi = r[f"lo_{slot}"], r[f"hi_{slot}"]
-        if lo == hi:
-            search.found[old.column, r["rank"]] = lo
+        old, before = ranges[r["range"]], r["upto"] - r["n"]
+        if r["lo"] == r["hi"]:
+            search.found[old.column, r["rank"]] = r["lo"]
             continue
-        before = r["upto"] - r["n"]
-        new = out.setdefault((r["range"], before), _Range(old.column, lo, hi, old.below + before, r["n"], []))
+        new = out.setdefault((r["range"], before), _Range(old.column, r["lo"], r["hi"], old.below + before, r["n"], []))
         new.by_magnitude = r["n"] > UNEVEN * old.rows and not old.by_magnitude
         new.ranks.append(r["rank"])
     return list(out.values())
 
 
-def order_statistics(df: DataFrame, values: Mapping[str, Column], ranks: Callable[[int], Sequence[int]], facts: Mapping[str, tuple[int, Value, Value]] | None = None) -> tuple[dict[str, int], dict[tuple[str, int], Value]]:
+def order_statistics(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    ranks: Callable[[int], Sequence[int]],
+    facts: Mapping[str, tuple[int, Value, Value]] | None = None,
+    weight: Column | None = None,
+) -> tuple[dict[str, int], dict[tuple[str, int], Value]]:
     """Counts per named expression, and {(name, rank): value} for the ranks asked for (0 is the least value).
 
     ``ranks`` gives the ranks from a column's count. ``facts`` has (count, least,
-    greatest) per name where the caller knows them already.
+    greatest) per name where the caller knows them already. ``weight`` says how often
+    a row counts (a long).
     """
     schema = df.select(*(v.alias(f"c{i}") for i, v in enumerate(values.values()))).schema if values else []
     typed = {name: own_type(v, f.dataType) for (name, v), f in zip(values.items(), schema, strict=True)}
-    search = _Search({n: v for n, (v, _) in typed.items()}, {n: t for n, (_, t) in typed.items()})
+    search = _Search({n: v for n, (v, _) in typed.items()}, {n: t for n, (_, t) in typed.items()}, weight)
     if facts is None and values:
-        row = df.agg(*(a for i, v in enumerate(search.values.values()) for a in (F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")))).first()
+        counted = [F.count(v) if weight is None else F.coalesce(F.sum(F.when(v.isNotNull(), weight)), F.lit(0)) for v in search.values.values()]
+        row = df.agg(*(a for i, v in enumerate(search.values.values()) for a in (counted[i].alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")))).first()
         facts = {name: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(search.values)}
     facts = facts or {}
     ranges = []
@@ -177,11 +178,14 @@ def order_statistics(df: DataFrame, values: Mapping[str, Column], ranks: Callabl
         search.found.update({(name, n - 1): hi} if n - 1 in wanted else {})
         left = [r for r in wanted if (name, r) not in search.found]
         if left:
-            ranges.append(_Range(name, lo, hi, 0, n, left))
+            ranges.append(_Range(name, lo, hi, 0, n, left, whole=True))
     while ranges:
-        able = [r for r in ranges if r.splits(search.types[r.column])]
-        others = [r for r in ranges if not r.splits(search.types[r.column])]
-        ranges = [new for part, split in ((able, True), (others, False)) if part for new in _level(df, search, part, split)]
+        # One job per type: each reads its own columns only, and values keep their type.
+        alike: dict[tuple[str, bool], list[_Range]] = {}
+        for r in ranges:
+            dtype = search.types[r.column]
+            alike.setdefault((dtype.simpleString(), r.splits(dtype)), []).append(r)
+        ranges = [new for (_, split), part in alike.items() for new in _level(df, search, part, search.types[part[0].column], split)]
     return {name: n for name, (n, _, _) in facts.items()}, search.found
 
 
@@ -193,13 +197,19 @@ def _between(lo: Value, hi: Value, share: float) -> Value:
     return Fraction(lo) + (Fraction(hi) - Fraction(lo)) * Fraction(share)
 
 
-def quantile_values(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], facts: Mapping[str, tuple[int, Value, Value]] | None = None) -> dict[str, list[Value | None]]:
+def quantile_values(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    probs: Sequence[float],
+    facts: Mapping[str, tuple[int, Value, Value]] | None = None,
+    weight: Column | None = None,
+) -> dict[str, list[Value | None]]:
     """{column: [q for each prob]}: whole numbers and decimals exact (a ``Fraction`` where between two), None without values."""
 
     def ranks(n: int) -> list[int]:
         return [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
 
-    counts, found = order_statistics(df, values, ranks, facts)
+    counts, found = order_statistics(df, values, ranks, facts, weight)
     out: dict[str, list[Value | None]] = {}
     for name in values:
         n = counts.get(name, 0)
