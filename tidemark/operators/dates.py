@@ -3,7 +3,8 @@
 A column is a candidate by name (whole-token rules), by type (timestamp/date),
 or by content (share of values that look like a date or a time). Which columns
 are candidates is decided inside the plan (a filter on the per-column result),
-so the candidate, conversion and failure tables are single lazy plans. Only
+so the candidate, conversion and failure tables are single lazy plans. Text is parsed
+once per distinct value, in the frequency table. Only
 the converted frame and the column pairs depend on candidate *names*, which
 one bounded action (one row per column) provides.
 """
@@ -39,7 +40,6 @@ from tidemark.functions.quantiles import quantile_map
 from tidemark.functions.terms import (
     DATE_CONTENT_THRESHOLD,
     DATE_NAME_EXCLUSIONS,
-    DATE_OR_TIME_HINT,
     DATE_TERMS,
     EARLIEST_DATE,
     EXAMPLE_LIMIT,
@@ -48,6 +48,7 @@ from tidemark.functions.terms import (
     TEMPORAL_START_TERMS,
 )
 from tidemark.functions.text import fold_value, name_tokens
+from tidemark.operators.frequencies import Frequencies, frequencies
 
 Key = str | Sequence[str] | None
 AsOf = str | _dt.datetime | None
@@ -87,12 +88,50 @@ def converted(f: T.StructField) -> Column:
     return to_timestamp_lenient(qcol(f.name), f.dataType)
 
 
+def unconverted(f: T.StructField) -> Column:
+    """Whether an informed value cannot be read as a date."""
+    return ~is_missing(f) & converted(f).isNull()
+
+
+def _typed_counts(df: DataFrame, fields: list[T.StructField], now: Column, lower: Column) -> DataFrame:
+    """Date and timestamp columns need no parsing: one wide aggregate."""
+    aggs = []
+    for i, f in enumerate(fields):
+        v = converted(f)
+        # They render as yyyy-MM-dd[ HH:mm:ss], so every informed value matches the hint.
+        aggs.append(F.struct(F.lit(f.name).alias("column"), F.count(v).alias("non_null"), F.count(v).alias("hits"), F.count(v).alias("convertible"), F.min(v).alias("min_date"), F.max(v).alias("max_date"), F.count_if(v > now).alias("future_dates"), F.count_if(v < lower).alias("before_limit")).alias(f"c{i}"))
+    return df.agg(*aggs).select(explode_structs([F.col(f"c{i}") for i in range(len(fields))]))
+
+
+def _text_counts(freq: Frequencies, fields: list[T.StructField], now: Column, lower: Column) -> DataFrame:
+    """Other columns: each distinct value is parsed once, in the frequency table."""
+    wanted = {f.name for f in fields}
+    which = freq.of(lambda f: f.name in wanted)
+    by_hint = freq.of(lambda f: f.name in wanted and _content_eligible(f))
+    n, at = F.col("n"), F.col("at")
+
+    def cells(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("long")
+
+    counted = freq.table.where(F.col("c").isin(which)).groupBy("c").agg(
+        F.sum("n").alias("non_null"),
+        cells(F.col("c").isin(by_hint) & F.col("hint")).alias("hits"),
+        cells(at.isNotNull()).alias("convertible"),
+        F.min("at").alias("min_date"),
+        F.max("at").alias("max_date"),
+        cells(at > now).alias("future_dates"),
+        cells(at < lower).alias("before_limit"),
+    )
+    return counted.join(F.broadcast(freq.names(which)), "c").drop("c", "position")
+
+
 def date_profile(
     df: DataFrame,
     key: Key = None,
     earliest: str = EARLIEST_DATE,
     as_of: AsOf = None,
     threshold: float = DATE_CONTENT_THRESHOLD,
+    freq: Frequencies | None = None,
 ) -> DataFrame:
     """One row per considered column with candidate flags and conversion counters."""
     fields = _considered(df, key)
@@ -100,50 +139,38 @@ def date_profile(
         return df.sparkSession.createDataFrame([], _PROFILE_SCHEMA)
     now = _ts_literal(as_of, F.localtimestamp())
     lower = F.lit(earliest).cast("date").cast("timestamp_ntz")
-    aggs = []
-    for i, f in enumerate(fields):
-        conv = converted(f)
-        if is_datetime(f):
-            # A date or timestamp renders as yyyy-MM-dd[ HH:mm:ss]: every informed value matches the hint.
-            hits = F.count_if(~is_missing(f))
-        elif _content_eligible(f):
-            hits = F.count_if(as_text(f).rlike(DATE_OR_TIME_HINT))
-        else:
-            hits = F.lit(0).cast("long")
-        aggs += [
-            F.count_if(~is_missing(f)).alias(f"_nn{i}"),
-            hits.alias(f"_hit{i}"),
-            F.count(conv).alias(f"_ok{i}"),
-            F.count_if(~is_missing(f) & conv.isNull()).alias(f"_bad{i}"),
-            F.min(conv).alias(f"_min{i}"),
-            F.max(conv).alias(f"_max{i}"),
-            F.count_if(conv > now).alias(f"_fut{i}"),
-            F.count_if(conv < lower).alias(f"_old{i}"),
-        ]
-    structs = []
-    for i, f in enumerate(fields):
-        nn = F.col(f"_nn{i}")
-        objects = F.when(nn > 0, F.lit(100.0)).otherwise(F.lit(0.0)) if is_datetime(f) else F.lit(0.0)
-        structs.append(
-            F.struct(
-                F.lit(i + 1).alias("position"),
-                F.lit(f.name).alias("column"),
-                F.lit(date_name_match(f.name)).alias("by_name"),
-                F.lit(is_datetime(f)).alias("recognized"),
-                F.lit(type_name(f)).alias("data_type"),
-                pct(F.col(f"_hit{i}"), nn).alias("date_pattern_pct"),
-                objects.alias("date_object_pct"),
-                nn.alias("non_null"),
-                F.col(f"_ok{i}").alias("convertible"),
-                F.col(f"_bad{i}").alias("failed"),
-                pct(F.col(f"_ok{i}"), nn).alias("conversion_pct"),
-                F.col(f"_min{i}").alias("min_date"),
-                F.col(f"_max{i}").alias("max_date"),
-                F.col(f"_fut{i}").alias("future_dates"),
-                F.col(f"_old{i}").alias("before_limit"),
-            )
-        )
-    long = df.agg(*aggs).select(explode_structs(structs))
+    typed = [f for f in fields if is_datetime(f)] if freq is None else []
+    texts = [f for f in fields if f not in typed]
+    parts = [_typed_counts(df, typed, now, lower)] if typed else []
+    if texts:
+        parts.append(_text_counts(freq or frequencies(df, texts, {"date"}), texts, now, lower).select("column", "non_null", "hits", "convertible", "min_date", "max_date", "future_dates", "before_limit"))
+    counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    facts = df.sparkSession.createDataFrame(
+        [(i + 1, f.name, date_name_match(f.name), is_datetime(f), type_name(f)) for i, f in enumerate(fields)],
+        "position int, column string, by_name boolean, recognized boolean, data_type string",
+    )
+    zero = F.lit(0).cast("long")
+    # One row per considered column on both sides.
+    joined = facts.join(F.broadcast(counted), "column", "left")
+    counts = {c: F.coalesce(c, zero) for c in ("non_null", "hits", "convertible", "future_dates", "before_limit")}
+    nn = F.col("non_null")
+    long = joined.withColumns(counts).select(
+        "position",
+        "column",
+        "by_name",
+        "recognized",
+        "data_type",
+        pct(F.col("hits"), nn).alias("date_pattern_pct"),
+        F.when(F.col("recognized") & (nn > 0), 100.0).otherwise(0.0).alias("date_object_pct"),
+        nn,
+        "convertible",
+        (nn - F.col("convertible")).alias("failed"),
+        pct(F.col("convertible"), nn).alias("conversion_pct"),
+        "min_date",
+        "max_date",
+        "future_dates",
+        "before_limit",
+    )
     hint = F.greatest("date_pattern_pct", "date_object_pct") >= threshold
     return (
         long.withColumn("content_hint", hint)
@@ -189,7 +216,7 @@ def date_failures(df: DataFrame, key: Key = None, limit: int = EXAMPLE_LIMIT, **
     if not fields:
         columns = [F.lit(None).cast("string").alias("column"), *[qcol(k) for k in keys], F.lit(None).cast("string").alias("original_value")]
         return df.select(*columns).limit(0)
-    bad = [~is_missing(f) & converted(f).isNull() for f in fields]
+    bad = [unconverted(f) for f in fields]
     cells = [
         F.struct(F.lit(f.name).alias("column"), b.alias("_bad"), as_text(f).alias("original_value"))
         for f, b in zip(fields, bad)

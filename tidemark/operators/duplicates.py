@@ -29,7 +29,7 @@ def _group_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _canonical(field: T.StructField) -> Column:
+def canonical(field: T.StructField) -> Column:
     """Value as grouping sees it: one NaN, and -0.0 equal to 0.0 (hashes see raw bits)."""
     c = qcol(field.name)
     if isinstance(field.dataType, FLOATING_TYPES):
@@ -40,7 +40,7 @@ def _canonical(field: T.StructField) -> Column:
 def fingerprint(df: DataFrame, cols: list[str]) -> Column:
     """128-bit row fingerprint (two seeded xxhash64) over canonical values."""
     fields = {f.name: f for f in df.schema.fields}
-    values = [_canonical(fields[c]) for c in cols]
+    values = [canonical(fields[c]) for c in cols]
     return F.struct(F.xxhash64(F.lit(17), *values).alias("h1"), F.xxhash64(F.lit(31), *values).alias("h2"))
 
 

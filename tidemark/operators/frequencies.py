@@ -13,7 +13,7 @@ Texts of long values are fetched from the source for the rows of a result alone
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,7 @@ from tidemark.functions.columns import DATETIME_TYPES, FLOATING_TYPES, NUMERIC_T
 from tidemark.functions.dates import to_timestamp_lenient
 from tidemark.functions.terms import ALNUM_ID, DATE_OR_TIME_HINT, DIGITS_ONLY, NON_PRINTABLE, WS
 from tidemark.functions.text import fold_text, strip_ascii_punctuation
+from tidemark.session import checkpoint_dir
 
 #: Longest value, in bytes, that is its own key, and the characters of a value that orders are begun with.
 SHORT, HEAD = 128, 64
@@ -152,6 +153,16 @@ class Frequencies:
         """Indexes of the columns whose field satisfies ``want``."""
         return [i for i, f in enumerate(self.fields) if want(f)]
 
+    def settled(self) -> Frequencies:
+        """The same table computed once, in the shared checkpoint folder, for checks that read it together."""
+        checkpoint_dir(self.source.sparkSession)
+        return replace(self, table=self.table.checkpoint(eager=True), rows=F.lit(self.source.count()))
+
+    def written(self, path: str) -> Frequencies:
+        """The same table as Parquet under ``path``."""
+        self.table.write.parquet(path)
+        return replace(self, table=self.source.sparkSession.read.parquet(path), rows=F.lit(self.source.count()))
+
     def with_texts(self, rows: DataFrame, few: bool = False) -> DataFrame:
         """``rows`` of the table with their whole ``text``; ``few`` if there is a bound on them."""
         cells = _long_cells(self.source, self.fields)

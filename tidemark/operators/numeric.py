@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import as_key_list, balanced, explode_structs, is_missing, is_numeric, profiled_fields, qcol
 from tidemark.functions.quantiles import Value, own_type, quantile_values
 from tidemark.functions.terms import IQR_FACTOR, PERCENTILES
+from tidemark.operators.frequencies import Frequencies
 
 Key = str | Sequence[str] | None
 _PCT_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
@@ -71,6 +72,53 @@ class ColumnStats:
 _COUNTS = ("count", "nulls", "finite", "zeros", "negatives", "infinities")
 
 
+def _limits(q: Sequence[Value | None], factor: float) -> tuple[float | None, float | None, float | None]:
+    if q[0] is None:
+        return None, None, None
+    q1, q3 = float(q[2]), float(q[4])
+    return q1 - factor * (q3 - q1), q3 + factor * (q3 - q1), q3 - q1
+
+
+def numeric_stats_from(freq: Frequencies, factor: float = IQR_FACTOR) -> list[ColumnStats]:
+    """The statistics from a frequency table: each distinct value counts as often as it occurs."""
+    which = freq.of(is_numeric)
+    if not which:
+        return []
+    rows = freq.rows
+    table = freq.table.where(F.col("c").isin(which)).select("c", "value", "n", F.col("value").cast("double").alias("x"))
+    inf = F.lit(math.inf)
+    fin = F.when(F.abs("x") != inf, F.col("x"))
+
+    def cells(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
+
+    counted = table.groupBy("c").agg(
+        F.sum("n").alias("count"),
+        cells(fin.isNotNull()).alias("finite"),
+        cells(F.col("x") == 0).alias("zeros"),
+        cells(F.col("x") < 0).alias("negatives"),
+        cells(F.abs("x") == inf).alias("infinities"),
+        (F.sum(fin * F.col("n")) / cells(fin.isNotNull())).alias("mean"),
+    )
+    # One row per column on the right: a broadcast of proven size.
+    off = table.join(F.broadcast(counted.select("c", "mean", "finite")), "c")
+    spread = off.groupBy("c", "finite").agg(F.sum(F.col("n") * F.pow(fin - F.col("mean"), F.lit(2.0))).alias("squares"))
+    spread = spread.select("c", F.when(F.col("finite") > 1, F.sqrt(F.col("squares") / (F.col("finite") - 1))).alias("stddev"))
+    got = {r["c"]: r for r in counted.join(F.broadcast(spread), "c", "left").withColumn("rows", rows).collect()}
+    values = {freq.fields[i].name: F.when(F.col("c") == i, F.col("value").cast(freq.fields[i].dataType)) for i in which}
+    found = quantile_values(table, values, (0.0, *PERCENTILES, 1.0), weight=F.col("n"))
+    total = None if got else freq.source.sparkSession.range(1).select(rows.alias("rows")).first()["rows"]
+    out = []
+    for i in which:
+        r, f = got.get(i), freq.fields[i]
+        least, *q, greatest = found[f.name]
+        lo, hi, iqr = _limits(q, factor)
+        all_rows = next((x["rows"] for x in got.values()), total)
+        counts = {c: r[c] if r else 0 for c in _COUNTS if c != "nulls"} | {"nulls": all_rows - (r["count"] if r else 0)}
+        out.append(ColumnStats(f, counts, r["mean"] if r else None, r["stddev"] if r else None, least, greatest, q, lo, hi, iqr))
+    return out
+
+
 def numeric_stats(df: DataFrame, key: Key = None, approx: bool = False, accuracy: int = 10000, factor: float = IQR_FACTOR) -> list[ColumnStats]:
     """Statistics of every numeric column, collected: a fixed number of values per column."""
     fields = numeric_fields(df, key)
@@ -94,11 +142,7 @@ def numeric_stats(df: DataFrame, key: Key = None, approx: bool = False, accuracy
     out = []
     for i, f in enumerate(fields):
         q = percentiles[f.name]
-        lo = hi = iqr = None
-        if q[0] is not None:
-            q1, q3 = float(q[2]), float(q[4])
-            iqr = q3 - q1
-            lo, hi = q1 - factor * iqr, q3 + factor * iqr
+        lo, hi, iqr = _limits(q, factor)
         out.append(ColumnStats(f, {c: row[f"{c}{i}"] for c in _COUNTS}, row[f"mean{i}"], row[f"sd{i}"], row[f"min{i}"], row[f"max{i}"], q, lo, hi, iqr))
     return out
 
@@ -192,6 +236,20 @@ _SUMMARY_SCHEMA = (
 )
 
 
+def outlier_cells(stats: Sequence[ColumnStats]) -> list[Column]:
+    """A struct per column: column, _hit (whether the row's value is an outlier), value, limits."""
+    return [
+        F.struct(
+            F.lit(s.field.name).alias("column"),
+            _is_outlier(s.field, s.lo, s.hi).alias("_hit"),
+            _x(s.field).alias("value"),
+            _lit(s.lo).alias("lower_limit"),
+            _lit(s.hi).alias("upper_limit"),
+        )
+        for s in stats
+    ]
+
+
 def numeric_outliers(
     df: DataFrame,
     key: Key = None,
@@ -206,16 +264,7 @@ def numeric_outliers(
     if not stats:
         none = [F.lit(None).cast("double").alias(c) for c in ("value", "lower_limit", "upper_limit")]
         return df.select(F.lit(None).cast("string").alias("column"), *[qcol(k) for k in keys], *none).limit(0)
-    cells = [
-        F.struct(
-            F.lit(s.field.name).alias("column"),
-            _is_outlier(s.field, s.lo, s.hi).alias("_hit"),
-            _x(s.field).alias("value"),
-            _lit(s.lo).alias("lower_limit"),
-            _lit(s.hi).alias("upper_limit"),
-        )
-        for s in stats
-    ]
+    cells = outlier_cells(stats)
     # Rows without any outlier are dropped before the per-cell explode.
     any_hit = balanced(or_, [_is_outlier(s.field, s.lo, s.hi) for s in stats])
     scan = balanced(or_, [_scan_filter(s.field, s.lo, s.hi) for s in stats])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from operator import add
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +28,18 @@ from tidemark.functions.columns import (
     qcol,
     type_name,
 )
-from tidemark.operators.frequencies import text_class
 from tidemark.functions.terms import CLASSIFICATION_CRITERION, OTHER_GROUP, VARIABLE_GROUPS
 from tidemark.functions.text import fold_value, normalize_name
+from tidemark.operators.duplicates import canonical
+from tidemark.operators.frequencies import Frequencies, frequencies, text_class
 
 Key = str | Sequence[str] | None
 
+#: First values of a text column whose classes are told apart from those of all values.
+SAMPLE = 100
+#: Hash buckets that two frames are compared in.
+PRESERVED_BUCKETS = 4096
+
 # --- fixed values: type classes, named like the Python types they stand for
 _PY_NAMES = {
     T.ByteType: "int",
@@ -78,17 +84,45 @@ def name_mapping(df: DataFrame) -> dict[str, str]:
     return {r["normalized_name"]: r["original_name"] for r in mapping.collect()}
 
 
+def _row_hashes(df: DataFrame) -> DataFrame:
+    """(bucket, rows, and two order-free sums of row hashes) of a frame's rows, whatever their order."""
+    fields = df.schema.fields
+    # Null, a missing value's type and -0.0 are told apart or not as EXCEPT ALL does.
+    values = [c for f in fields for c in (canonical(f), qcol(f.name).isNull())]
+    hashed = df.select(F.xxhash64(F.lit(41), *values).alias("_h"), F.xxhash64(F.lit(43), *values).alias("_g"))
+    sums = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("_h", "_g")]
+    return hashed.groupBy(F.pmod("_h", F.lit(PRESERVED_BUCKETS)).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"), *sums)
+
+
 def values_preserved(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Row-multiset equality by position (EXCEPT ALL both ways, null-safe): one row."""
+    """Row-multiset equality by position (null-safe): only_in_first, only_in_second, preserved.
+
+    Each side is read once into order-free sums of two row hashes per hash bucket, a
+    fixed number of rows. Equal sums prove equal multisets up to a collision of 128
+    bits. Only rows of buckets that differ are compared as whole rows (EXCEPT ALL both
+    ways), so equal frames shuffle no rows at all.
+    """
     if len(a.columns) != len(b.columns):
         raise ValueError("frames differ in column count")
-    b = b.toDF(*a.columns)
-    only_a = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_in_first"))
-    only_b = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_in_second"))
-    both = only_a.select(
-        F.col("only_in_first"),
-        only_b.select(F.first("only_in_second")).scalar().alias("only_in_second"),
-    )
+    names = [f"c{i}" for i in range(len(a.columns))]
+    a, b = a.toDF(*names), b.toDF(*names)
+    other = _row_hashes(b).toDF("_bucket", "_n2", "_h2", "_g2")
+    same = F.col("_n").eqNullSafe(F.col("_n2")) & F.col("_h").eqNullSafe(F.col("_h2")) & F.col("_g").eqNullSafe(F.col("_g2"))
+    differing = _row_hashes(a).join(other, "_bucket", "full").where(~same).select("_bucket")
+    wanted = [r["_bucket"] for r in differing.collect()]  # at most PRESERVED_BUCKETS numbers
+    if not wanted:
+        zero = F.lit(0).cast("long")
+        return a.sparkSession.range(1).select(zero.alias("only_in_first"), zero.alias("only_in_second"), F.lit(True).alias("preserved"))
+
+    def rows(df: DataFrame) -> DataFrame:
+        values = [c for f in df.schema.fields for c in (canonical(f), qcol(f.name).isNull())]
+        bucket = F.pmod(F.xxhash64(F.lit(41), *values), F.lit(PRESERVED_BUCKETS))
+        return df if len(wanted) == PRESERVED_BUCKETS else df.where(bucket.isin(wanted))
+
+    first, second = rows(a), rows(b)
+    only_a = first.exceptAll(second).agg(F.count(F.lit(1)).alias("only_in_first"))
+    only_b = second.exceptAll(first).agg(F.count(F.lit(1)).alias("only_in_second"))
+    both = only_a.select("only_in_first", only_b.select(F.first("only_in_second")).scalar().alias("only_in_second"))
     return both.withColumn("preserved", (F.col("only_in_first") == 0) & (F.col("only_in_second") == 0))
 
 
@@ -119,17 +153,30 @@ def _is_variant(field: T.StructField) -> bool:
     return field.dataType.typeName() == "variant"
 
 
-def type_profile(df: DataFrame, key: Key = None, sample: int = 100) -> DataFrame:
+def _first_classes(df: DataFrame, keys: list[str], texts: Sequence[T.StructField], sample: int) -> DataFrame:
+    """(column, class) of the first ``sample`` informed values per column: a bounded heap per task, no sort."""
+    parts = []
+    for f in texts:
+        c = qcol(f.name)
+        value = c.cast("string").alias("_v")
+        first = df.where(c.isNotNull()).select(*[qcol(k) for k in keys], value, (variant_class(c) if _is_variant(f) else text_class(c)).alias("class"))
+        parts.append(first.orderBy(*[qcol(k) for k in keys], "_v").limit(sample).select(F.lit(f.name).alias("column"), "class"))
+    return balanced(DataFrame.unionByName, parts)
+
+
+def type_profile(df: DataFrame, key: Key = None, sample: int = SAMPLE, freq: Frequencies | None = None, first: DataFrame | None = None) -> DataFrame:
     """Per column: type flags, classes in the first ``sample`` values and in all values, mixed flag.
 
-    Typed columns hold one class. Text columns are classed per value; the class
-    sets are bounded (five names), and the sample uses a ``row_number`` window
-    that runs as a partial ``WindowGroupLimit`` before the shuffle.
+    Typed columns hold one class. Text values are classed once per distinct value, in
+    the frequency table; the class sets are bounded (five names). ``first`` has the
+    classes of the first values (column, class) where the caller knows them already.
     """
     keys = as_key_list(key)
     fields = profiled_fields(df, key)
+    if not fields:
+        return df.sparkSession.createDataFrame([], _TYPE_SCHEMA)
     texts = [f for f in fields if is_string(f) or _is_variant(f)]
-    typed = [f for f in fields if not (is_string(f) or _is_variant(f))]
+    typed = [f for f in fields if f not in texts]
     spark = df.sparkSession
     flags = spark.createDataFrame(
         [
@@ -142,7 +189,7 @@ def type_profile(df: DataFrame, key: Key = None, sample: int = 100) -> DataFrame
                 isinstance(f.dataType, T.BooleanType),
                 is_datetime(f),
                 not (is_numeric(f, include_bool=True) or is_datetime(f)),
-                None if is_string(f) or _is_variant(f) else _py_name(f),
+                None if f in texts else _py_name(f),
             )
             for i, f in enumerate(fields)
         ],
@@ -151,61 +198,34 @@ def type_profile(df: DataFrame, key: Key = None, sample: int = 100) -> DataFrame
     )
     parts = []
     if typed:
-        nn = df.agg(*[F.count_if(~is_missing(f)).alias(f"_nn{i}") for i, f in enumerate(typed)])
-        parts.append(
-            nn.select(
-                explode_structs(
-                    [
-                        F.struct(F.lit(f.name).alias("column"), (F.col(f"_nn{i}") > 0).alias("_has"))
-                        for i, f in enumerate(typed)
-                    ]
-                )
-            ).select(
-                "column",
-                F.lit(None).cast("array<string>").alias("_all"),
-                F.lit(None).cast("array<string>").alias("_sample"),
-                "_has",
-            )
-        )
+        if freq is not None:
+            has = freq.table.groupBy("c").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(freq.names(freq.of(lambda f: f in typed))), "c")
+            some = has.select("column", F.lit(True).alias("_has"))
+        else:
+            nn = df.agg(*[F.count_if(~is_missing(f)).alias(f"_nn{i}") for i, f in enumerate(typed)])
+            some = nn.select(explode_structs([F.struct(F.lit(f.name).alias("column"), (F.col(f"_nn{i}") > 0).alias("_has")) for i, f in enumerate(typed)]))
+        parts.append(some.select("column", F.lit(None).cast("array<string>").alias("_all"), F.lit(None).cast("array<string>").alias("_sample"), "_has"))
     if texts:
-        # Text is classed lexically, VARIANT by its own per-value type; both become (column, value, class).
-        cells = df.select(
-            *[qcol(k) for k in keys],
-            explode_structs(
-                [
-                    F.struct(
-                        F.lit(f.name).alias("column"),
-                        qcol(f.name).cast("string").alias("value"),
-                        (variant_class(qcol(f.name)) if _is_variant(f) else text_class(qcol(f.name))).alias("class"),
-                    )
-                    for f in texts
-                ]
-            ),
-        ).where(F.col("value").isNotNull())
-        classed = cells
-        all_classes = classed.groupBy("column").agg(F.array_sort(F.collect_set("class")).alias("_all"))
-        order = [qcol(k) for k in keys] + [F.col("value")]
-        first = classed.withColumn("_rn", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
-        sample_classes = (
-            first.where(F.col("_rn") <= sample)
-            .groupBy("column")
-            .agg(F.array_sort(F.collect_set("class")).alias("_sample"))
-        )
-        parts.append(
-            all_classes.join(sample_classes, "column").select(
-                "column", "_all", "_sample", F.lit(True).alias("_has")
-            )
-        )
-    if not parts:
-        return spark.createDataFrame([], _TYPE_SCHEMA)
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        strings, variants = [f for f in texts if is_string(f)], [f for f in texts if _is_variant(f)]
+        found = []
+        if strings:
+            of = freq or frequencies(df, strings, {"class"})
+            which = of.of(is_string)
+            found.append(of.table.where(F.col("c").isin(which)).select("c", "class").distinct().join(F.broadcast(of.names(which)), "c").select("column", "class"))
+        if variants:
+            cells = df.select(explode_structs([F.struct(F.lit(f.name).alias("column"), variant_class(qcol(f.name)).alias("class")) for f in variants]))
+            found.append(cells.where(F.col("class").isNotNull()).distinct())
+        every = balanced(DataFrame.unionByName, found).groupBy("column").agg(F.array_sort(F.collect_set("class")).alias("_all"))
+        first = _first_classes(df, keys, texts, sample) if first is None else first
+        sampled = first.groupBy("column").agg(F.array_sort(F.collect_set("class")).alias("_sample"))
+        parts.append(every.join(F.broadcast(sampled), "column").select("column", "_all", "_sample", F.lit(True).alias("_has")))
     # Both sides hold at most one row per column.
-    joined = flags.join(F.broadcast(found), "column", "left")
-    fixed = F.when(F.col("_has"), F.array(F.col("fixed_class"))).otherwise(F.array().cast("array<string>"))
-    all_c = F.coalesce(F.when(F.col("fixed_class").isNotNull(), fixed).otherwise(F.col("_all")), F.array().cast("array<string>"))
-    sample_c = F.coalesce(
-        F.when(F.col("fixed_class").isNotNull(), fixed).otherwise(F.col("_sample")), F.array().cast("array<string>")
-    )
+    joined = flags.join(F.broadcast(balanced(DataFrame.unionByName, parts)), "column", "left")
+    none = F.array().cast("array<string>")
+    fixed = F.when(F.col("_has"), F.array(F.col("fixed_class"))).otherwise(none)
+    is_fixed = F.col("fixed_class").isNotNull()
+    all_c = F.coalesce(F.when(is_fixed, fixed).otherwise(F.col("_all")), none)
+    sample_c = F.coalesce(F.when(is_fixed, fixed).otherwise(F.col("_sample")), none)
     return joined.select(
         "position",
         "column",
@@ -297,6 +317,7 @@ def storage_footprint(
     key: Key = None,
     source_paths: Sequence[str] | None = None,
     output_paths: Sequence[str] | None = None,
+    freq: Frequencies | None = None,
 ) -> DataFrame:
     """Value bytes per column and in total, with source and output file sizes and their ratio.
 
@@ -304,7 +325,13 @@ def storage_footprint(
     """
     fields = profiled_fields(df, key)
     spark = df.sparkSession
-    agg = df.agg(*[_column_bytes(f).alias(f"_b{i}") for i, f in enumerate(fields)])
+    if freq is None:
+        agg = df.agg(*[_column_bytes(f).alias(f"_b{i}") for i, f in enumerate(fields)])
+    else:
+        # Value bytes of text from the frequency table; fixed-width columns need the number of rows only.
+        place = {f.name: i for i, f in enumerate(freq.fields)}
+        text = [F.coalesce(F.sum(F.when(F.col("c") == place[f.name], F.col("n") * F.col("bytes"))), F.lit(0).cast("long")) if is_string(f) else None for f in fields]
+        agg = freq.table.agg(*[(freq.rows * F.lit(_fixed_width(f.dataType)).cast("long") if t is None else t).alias(f"_b{i}") for i, (f, t) in enumerate(zip(fields, text, strict=True))])
     src = file_bytes(spark, source_paths)
     out = file_bytes(spark, output_paths)
     total = balanced(add, [F.col(f"_b{i}") for i in range(len(fields))], F.lit(0).cast("long"))
