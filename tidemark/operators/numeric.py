@@ -86,27 +86,30 @@ def numeric_stats_from(freq: Frequencies, factor: float = IQR_FACTOR) -> list[Co
         return []
     rows = freq.rows
     table = freq.table.where(F.col("c").isin(which)).select("c", "value", "n", F.col("value").cast("double").alias("x"))
+    values = {freq.fields[i].name: F.when(F.col("c") == i, F.col("value").cast(freq.fields[i].dataType)) for i in which}
+    found = quantile_values(table, values, (0.0, *PERCENTILES, 1.0), weight=F.col("n"))
+    # Moments are taken from the least value, so that large values that lie close together keep their spread.
+    least = {i: found[freq.fields[i].name][0] for i in which}
+    base = F.get(F.array(*(F.lit(float(least.get(i) or 0)) for i in range(len(freq.fields)))), F.col("c"))
     inf = F.lit(math.inf)
-    fin = F.when(F.abs("x") != inf, F.col("x"))
+    off = F.when(F.abs("x") != inf, F.col("x") - base)
 
     def cells(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
 
-    counted = table.groupBy("c").agg(
+    counted = table.withColumn("off", off).groupBy("c").agg(
         F.sum("n").alias("count"),
-        cells(fin.isNotNull()).alias("finite"),
+        cells(F.col("off").isNotNull()).alias("finite"),
         cells(F.col("x") == 0).alias("zeros"),
         cells(F.col("x") < 0).alias("negatives"),
         cells(F.abs("x") == inf).alias("infinities"),
-        (F.sum(fin * F.col("n")) / cells(fin.isNotNull())).alias("mean"),
+        (F.sum(F.col("off") * F.col("n")) / F.nullif(cells(F.col("off").isNotNull()), F.lit(0))).alias("mean"),
     )
     # One row per column on the right: a broadcast of proven size.
-    off = table.join(F.broadcast(counted.select("c", "mean", "finite")), "c")
-    spread = off.groupBy("c", "finite").agg(F.sum(F.col("n") * F.pow(fin - F.col("mean"), F.lit(2.0))).alias("squares"))
+    joined = table.withColumn("off", off).join(F.broadcast(counted.select("c", "mean", "finite")), "c")
+    spread = joined.groupBy("c", "finite").agg(F.sum(F.col("n") * F.pow(F.col("off") - F.col("mean"), F.lit(2.0))).alias("squares"))
     spread = spread.select("c", F.when(F.col("finite") > 1, F.sqrt(F.col("squares") / (F.col("finite") - 1))).alias("stddev"))
-    got = {r["c"]: r for r in counted.join(F.broadcast(spread), "c", "left").withColumn("rows", rows).collect()}
-    values = {freq.fields[i].name: F.when(F.col("c") == i, F.col("value").cast(freq.fields[i].dataType)) for i in which}
-    found = quantile_values(table, values, (0.0, *PERCENTILES, 1.0), weight=F.col("n"))
+    got = {r["c"]: r for r in counted.join(F.broadcast(spread), "c", "left").withColumn("rows", rows).withColumn("mean", F.col("mean") + base).collect()}
     total = None if got else freq.source.sparkSession.range(1).select(rows.alias("rows")).first()["rows"]
     out = []
     for i in which:

@@ -780,6 +780,68 @@ def headed_round_trip_sql() -> str:
        fecha_ingreso, CAST(fecha_salida AS TIMESTAMP) AS fecha_salida FROM {CENSUS} AS t"""
 
 
+def category_variants_sql(src: str, cols) -> str:
+    return f"""SELECT {q('column')}, key, value AS variant, CAST(n AS BIGINT) AS frequency, CAST(variant_count AS BIGINT) AS variant_count FROM (
+  SELECT *, count(*) OVER (PARTITION BY {q('column')}, key) AS variant_count
+  FROM (SELECT f.{q('column')}, f.value, f.n, {ckey('f.value')} AS key FROM {_freq(src, cols)} AS f
+        WHERE f.value IS NOT NULL AND f.{q('column')} IN (SELECT {q('column')} FROM {_kept(src, cols)} AS k)) AS x
+  WHERE key <> '') AS y WHERE variant_count > 1"""
+
+
+def _evidence() -> list[tuple[str, str, str, str, str]]:
+    """Evidence of the profile job over the census: name, SQL, columns of the item, numbers, timestamps."""
+    src, cols, names = CENSUS, CENSUS_COLS, [c for c, _ in CENSUS_COLS]
+    nums = [(c, t) for c, t in cols if t in NUMERIC]
+    dates = ("fecha_ingreso", "fecha_salida", "string", "string")
+    summary = validation_summary_sql()
+    pcts = " ".join(n for _, n in PCTS)
+    return [
+        ("dimensions", dimensions_sql(src, cols), "", "rows columns total_cells informed_cells null_cells completeness_pct", ""),
+        ("nulls", nulls_by_column_sql(src, cols), "column", "position nulls nulls_pct non_nulls completeness_pct", ""),
+        ("missing_ranking", missing_ranking_sql(src, cols), "column", "rank nulls_pct", ""),
+        ("nulls_per_row", nulls_per_row_sql(src, cols), "", "nulls_in_row rows rows_pct", ""),
+        ("row_completeness", row_completeness_sql(src, cols), "", "all_null_rows rows_with_nulls complete_rows", ""),
+        ("duplicate_summary", exact_duplicates_sql(src, names), "", "duplicate_rows duplicate_rows_pct duplicate_groups largest_group", ""),
+        ("duplicate_row_keys", duplicate_row_keys_sql(src, ["o_orderkey"], names), "o_orderkey", "", ""),
+        ("duplicate_examples", duplicate_examples_sql(src, ["o_orderkey"], names), "o_orderkey estado prioridad constante vacia fecha_ingreso fecha_salida", "id_cliente valor_total", ""),
+        ("columns", column_inventory_sql(src, cols), "original_name normalized_name data_type", "position non_null distinct", ""),
+        ("data_types", type_profile_sql(src, "o_orderkey", cols), "column data_type sample_types all_types", "position is_numeric is_text is_boolean is_datetime is_object mixed", ""),
+        ("identifiers", identifier_candidates_sql(src, cols), "column", "name_match uniqueness_pct repeated_values nulls min_length max_length median_length digits_pct alnum_pct", ""),
+        ("empty_constants", empty_constant_sql(src, cols), "column", "is_empty single_value low_variability dominant_over_95 distinct_non_null dominant_pct", ""),
+        ("flagged_columns", flagged_sql(src, cols), "column", "is_empty single_value dominant_over_95", ""),
+        ("text_problems", text_problems_sql(src, cols), "column", "leading_spaces trailing_spaces double_spaces spelling_groups empty_strings only_spaces non_printable", ""),
+        ("textual_nulls", textual_nulls_sql(src, cols), "column token", "count", ""),
+        ("category_summary", category_summary_sql(src, cols), "column top_category", "categories cardinality_pct top_count top_pct total_rows", ""),
+        ("category_frequencies", category_frequencies_sql(src, cols), "column category", "rank frequency pct", ""),
+        ("category_variants", category_variants_sql(src, cols), "column key variant", "frequency variant_count", ""),
+        ("category_equivalences", equivalent_categories_sql(src, cols), "column key variants", "variant_count", ""),
+        ("numeric_summary", numeric_summary_sql(src, nums), "column min_exact median_exact max_exact", f"count nulls mean median stddev min max {pcts} iqr zeros negatives infinities iqr_outliers", ""),
+        ("date_candidates", date_candidates_sql(src, cols), "column data_type", "by_name by_content date_pattern_pct", ""),
+        ("date_results", date_conversion_sql(src, cols), "column earliest_limit", "non_null convertible failed conversion_pct future_dates before_limit", "min_date max_date"),
+        ("numeric_outliers", numeric_outliers_sql(src, ["o_orderkey"], nums), "column o_orderkey", "value lower_limit upper_limit", ""),
+        ("date_failures", date_failures_sql(src, "o_orderkey", cols), "column o_orderkey original_value", "", ""),
+        ("temporal_summary", temporal_consistency_sql(src, *dates), "start_column end_column", "both_valid end_before_start zero_difference min_hours max_hours median_hours", ""),
+        ("temporal_inconsistencies", temporal_inconsistencies_sql(src, ["o_orderkey"], *dates), "start_column end_column o_orderkey", "hours", "start_value end_value"),
+        ("memory", storage_sql(src, cols), "element column", "bytes source_bytes output_bytes source_to_output_ratio", ""),
+        ("validation_summary", summary, "check status evidence observation", "position warnings affected affected_pct", ""),
+        ("status_counts", f"SELECT status, CAST(count(*) AS BIGINT) AS checks FROM ({summary}) AS s GROUP BY status", "status", "checks", ""),
+        ("pending_validations", f"SELECT {q('check')}, status, observation FROM ({summary}) AS s WHERE status <> 'OK'", "check status observation", "", ""),
+    ]
+
+
+def profile_job_sql() -> str:
+    """Every evidence table in long form: one row per evidence row and value."""
+    parts = []
+    for name, sql, about, numbers, stamps in _evidence():
+        item = ", ".join(f"{lit(c + '=')} || CAST({q(c)} AS VARCHAR)" for c in about.split())
+        item = f"concat_ws('|', {item})" if item else "''"
+        cells = [f"{{'metric': {lit(c)}, 'number': {rnd(f'CAST({q(c)} AS DOUBLE)')}, 'text': CAST(NULL AS VARCHAR)}}" for c in numbers.split()]
+        cells += [f"{{'metric': {lit(c)}, 'number': CAST(NULL AS DOUBLE), 'text': strftime({q(c)}, '%Y-%m-%d %H:%M:%S')}}" for c in stamps.split()]
+        cells = cells or ["{'metric': 'row', 'number': 1.0::DOUBLE, 'text': CAST(NULL AS VARCHAR)}"]
+        parts.append(f"SELECT {lit(name)} AS {q('table')}, {item} AS item, unnest([{', '.join(cells)}]) AS v FROM ({sql}) AS e")
+    return f"SELECT {q('table')}, item, v.metric AS metric, v.number AS number, v.text AS text FROM ({union(parts)}) AS w"
+
+
 def oracles() -> dict[str, str]:
     census, cc = CENSUS, CENSUS_COLS
     docs = "(SELECT doc_id, text, lang FROM documents)"
@@ -820,6 +882,8 @@ def oracles() -> dict[str, str]:
         "category_frequencies": category_frequencies_sql(census, cc),
         "category_frequencies_events": category_frequencies_sql("events", EVENT_COLS),
         "equivalent_categories": equivalent_categories_sql(census, cc),
+        "category_variants": category_variants_sql(census, cc),
+        "profile_job": profile_job_sql(),
         "numeric_summary": numeric_summary_sql("events", [("user_id", "bigint"), ("value", "double")]),
         "numeric_summary_documents": numeric_summary_sql("documents", [("n_chars", "bigint")]),
         "numeric_summary_lineitem": numeric_summary_sql("lineitem", LINEITEM_NUM),

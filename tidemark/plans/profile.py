@@ -1,11 +1,11 @@
 """The profile job: every check on one table, evidence written, nothing changed.
 
-``profile`` returns a dict of lazy DataFrames. ``run_profile`` is the whole
-stage: read the source, normalise names, verify values are preserved, write
-the identified table as Parquet, then profile *that written table* (so the
-lineage of every later job starts at a file in the output folder and a lost
-executor recomputes from it, not from the source), write each evidence table
-as CSV, the summary and ingestion reports as JSON, and a manifest of outputs.
+``profile`` returns a dict of lazy DataFrames, each operator on its own. ``run_profile``
+is the whole stage: read the source, normalise names, verify values are preserved,
+write the identified table as Parquet, then profile *that written table* from two
+shared intermediates (``plans.job``), so the lineage of every later job starts at files
+in the output folder; write each evidence table as CSV, the summary and ingestion
+reports as JSON, and a manifest of outputs.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark import operators as O
 from tidemark.operators.dates import candidate_names
 from tidemark.functions.terms import EARLIEST_DATE
+from tidemark.plans.job import profile_job
 from tidemark.sinks import (
     evidence_manifest,
     ingestion_metadata,
@@ -106,7 +107,8 @@ def run_profile(
     write_identified(renamed, identified_path, mixed)
     # Lineage now starts at the written table, in the shared output folder.
     df = spark.read.parquet(identified_path)
-    tables = profile(df, key, earliest=earliest, as_of=as_of, mapping=mapping, approx=approx, source_paths=[source], output_paths=[identified_path])
+    kw = {"earliest": earliest, "as_of": as_of, "mapping": mapping, "source_paths": [source], "output_paths": [identified_path]}
+    tables = profile(df, key, approx=True, **kw) if approx else profile_job(df, f"{out_dir}/intermediate", key, **kw)
     produced = [identified_path]
     for name, table in tables.items():
         path = f"{out_dir}/tables/{name}.csv"

@@ -8,6 +8,7 @@ sums taken in a different order compare equal with the SQL oracle.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import outcome as OC
 from tidemark.plans import modeling as ML
 from tidemark.plans.inputs import BASE_TABLES, table
+from tidemark.plans.job import as_findings, profile_job
 from tidemark.sinks import (
     evidence_manifest,
     fingerprint_files,
@@ -145,6 +147,18 @@ def _pending(spark, sf):
     return O.pending_validations(O.validation_summary(_census(spark, sf), CENSUS_KEY, **DATE_KW))
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _profile_job(spark, sf):
+    """All evidence of the census from two intermediates, in long form; the tables read from names alone are left out."""
+    tables = profile_job(_census(spark, sf), _scratch(spark, "profile"), CENSUS_KEY, **DATE_KW)
+    tables.pop("classification")
+    return rounded(as_findings(tables, CENSUS_KEY))
+
+
 def _nullify(spark, sf):
     return rounded(nullify_markers(_census(spark, sf)))
 
@@ -192,6 +206,7 @@ QUERIES: dict[str, Query] = {
     "category_frequencies": _op(_census, O.category_frequencies, CENSUS_KEY),
     "category_frequencies_events": _op(_t("events"), O.category_frequencies, "event_id"),
     "equivalent_categories": _op(_census, O.equivalent_categories, CENSUS_KEY),
+    "category_variants": _op(_census, O.category_variants, CENSUS_KEY),
     # I: numeric
     "numeric_summary": _op(_t("events"), O.numeric_summary, "event_id"),
     "numeric_summary_documents": _op(_t("documents"), O.numeric_summary, "doc_id"),
@@ -215,6 +230,7 @@ QUERIES: dict[str, Query] = {
     "validation_summary": _summary,
     "status_counts": _status_counts,
     "pending_validations": _pending,
+    "profile_job": _profile_job,
     # A / B: markers and text columns
     "nullify_markers": _nullify,
     "stringify_mixed": _stringify,
@@ -360,9 +376,7 @@ QUERIES.update(
 
 def _headed_round_trip(spark, sf):
     """Census written as headed text (title row first) in the shared scratch folder, read back and typed."""
-    import uuid
-
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/headed-{uuid.uuid4().hex}"
+    folder = _scratch(spark, "headed")
     write_headed_text(_census(spark, sf), folder, title="Census export")
     typed = infer_types(nullify_markers(read_headed_table(spark, folder, header_row=1)))
     return rounded(typed)
