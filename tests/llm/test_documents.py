@@ -304,6 +304,43 @@ def test_preference_learns_and_handles_missing_marks(spark):
     assert [r.score for r in preference.score(docs, none).collect()] == [pytest.approx(preference.THRESHOLD)] * 182
 
 
+def test_preference_sample_has_one_row_per_id(spark, monkeypatch):
+    seen = []
+    made = preference.fit
+    monkeypatch.setattr(preference, "fit", lambda good, bad, *rest: seen.append((len(good), len(bad))) or made(good, bad, *rest))
+    docs = spark.createDataFrame([(1, f"copy {k % 3} of one id.") for k in range(3000)] + [(2 + k, "a b c " * k) for k in range(40)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1)] + [(2 + k, k % 2) for k in range(40)], "doc_id long, quality int")
+    one = preference.train(docs, labels, F.lit(False), sample=10)
+    assert max(seen[0]) <= 10
+    again = preference.train(docs.repartition(7), labels, F.lit(False), sample=10)
+    assert (one.weights == again.weights).all() and one.cut == again.cut
+
+
+def test_preference_weights_minimise_the_pairwise_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(0.5, 1, (60, len(preference.FEATURES))), rng.normal(0, 1, (50, len(preference.FEATURES)))
+    ranker = preference.fit(good, bad, 0.4, pairs=2000)
+    pick = np.random.default_rng(preference.SEED)
+    n = min(2000, 60 * 50)
+    diff = (good[pick.integers(60, size=n)] - bad[pick.integers(50, size=n)]) / ranker.scale
+
+    def loss(w):
+        return np.log1p(np.exp(-(diff @ w))).mean() + preference.RIDGE * (w @ w) / 2
+
+    least = loss(ranker.weights)
+    for k in range(len(ranker.weights)):
+        for step in (-1e-3, 1e-3):
+            moved = ranker.weights.copy()
+            moved[k] += step
+            assert loss(moved) > least
+    # The cut lies at the weighted quantile of the scores.
+    worth = np.concatenate([ranker.worth(good), ranker.worth(bad)])
+    weight = np.concatenate([np.full(60, 0.6 / 60), np.full(50, 0.4 / 50)])
+    assert weight[worth < ranker.cut].sum() == pytest.approx(0.4, abs=0.02)
+
+
 def test_mix_reaches_targets(docs):
     mixed, targets = mixing.mix(docs, F.array("source"))
     rows = mixed.select("row.doc_id", "row.source", "size", "taken").collect()
@@ -346,11 +383,13 @@ def test_token_counts_match_the_library(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     odd = ["<|endoftext|>", "a<|startoftext|>b  <|endoftext|><|x", "I'll've DON'T 'S", "é é  x y\x85z\x1cq", "ﬁ Ⅷ ½ 12345", "كتاب संस्कृत ไทย 한국어 👩‍👩‍👧 İ ς Σ", "A" * 5000, "́̀ ̖́"]
     whole = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
-    got = {r.row: r.n_tokens for r in token_counts.count_tokens(whole, path).collect()}
+    whole = whole.unionByName(spark.createDataFrame([(None, odd[0]), (None, odd[0]), (None, None), (3, odd[3])], "doc_id long, text string"))
+    got = collections.Counter((r.id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(whole, path).collect())
     library = Tokenizer.from_file(path)
-    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in [*enumerate(texts()), *((100 + i, t) for i, t in enumerate(odd))]}
-    want[8] *= 2  # rows that share an id are summed
-    assert got == want
+    rows = [*enumerate(texts()), (8, texts()[8]), *((100 + i, t) for i, t in enumerate(odd)), (None, odd[0]), (None, odd[0]), (None, None), (3, odd[3])]
+    assert got == collections.Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    named = token_counts.count_tokens(whole.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"), path)
+    assert collections.Counter((r.n_bytes, r.n_tokens) for r in named.collect()) == collections.Counter((b, n) for (_, b, n), k in got.items() for _ in range(k))
 
 
 def test_empty_tables(spark):

@@ -122,10 +122,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public word BPE tokenizer."""
     import public_tokenizers
 
-    docs = read(spark, sf_dir, "documents")
-    counts = token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER)).withColumnRenamed("row", "doc_id")
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return sizes.join(counts, "doc_id", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LONG_DOCUMENT).alias("over_limit"))
+    counts = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LONG_DOCUMENT).alias("over_limit"))
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
