@@ -248,6 +248,95 @@ def test_battery_sees_every_run(spark):
     assert not any(told[len(keys) + k] for k in range(len(names))), told
 
 
+def battery(run):
+    """Statistics of one candidate: encoding, length, and both combined probabilities, with exact normal tails."""
+    body = run.rstrip("=")
+    core = next(k for k, (chars, _, _) in enumerate(secrets.CORES) if not set(body) - set(chars + "+/_-"))
+    enc = core * 4 + (1 if set(body) & set("+/") else 0) + (2 if set(body) & set("_-") else 0)
+    chars, agree, _ = secrets.ENCODINGS[enc]
+    x, n, k = [chars.index(c) for c in body], len(body), len(chars) or 1
+    tail = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-300)
+    squares = sum(c * c for c in collections.Counter(x).values())
+    chi, excess = k / n * squares - n, max(0.0, len(chars) * agree - 1)
+    runs = 1 + sum((a * 2 >= k) != (b * 2 >= k) for a, b in zip(x, x[1:]))
+    mid = (k - 1) / 2
+    lagged = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:]))
+    breaks = len(re.findall(secrets.BREAK, run))
+    p = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)), 2 * tail(abs((runs - 1 - (n - 1) / 2) / (math.sqrt(n - 1) / 2))), 2 * tail(abs(lagged / ((k * k - 1) / 12 * math.sqrt(n - 1))))]
+    half = -sum(map(math.log, p))
+    q = [tail(((k - 1) + (n - 1) * excess - chi) / math.sqrt(2 * (k - 1) + 4 * (n - 1) * excess)), tail((breaks - 0.5 - (n - 1) * secrets.BREAKS) / math.sqrt((n - 1) * secrets.BREAKS * (1 - secrets.BREAKS)))]
+    both = -sum(map(math.log, q))
+    return enc, n, math.exp(-half) * (1 + half + half * half / 2), math.exp(-both) * (1 + both)
+
+
+def battery_docs():
+    rng = random.Random(8)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    sets = [low, low + digits, low.upper() + digits, low + low.upper(), low + low.upper() + digits, low + low.upper() + digits + "+/", digits, digits + "ABCDEF", low + digits + "-_"]
+    out = []
+    for _ in range(60):
+        runs = ["".join(rng.choice(c) for _ in range(rng.randint(16, 70))) + rng.choice(["", "", "="]) for c in rng.sample(sets, 4)]
+        runs += [rng.choice(["getElementByIdAndNameOfThing", "some/longPath/ToAFileOfMine/Deep", "international-business-machines", "deadbeefdeadbeefdeadbeef", "password=abcdefghijklmnopqrst/x"])]
+        rng.shuffle(runs)
+        out.append(" and ".join(runs))
+    return out
+
+
+def candidates(t):
+    """(start, end, found) of the runs and their parts, apart from the base spans."""
+    base = []
+    for m in re.finditer(r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        base += [(m.start(), m.end())] if len(m[1]) >= 12 else []
+    base += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [m.span() for m in re.finditer("[0-9a-f]{16,}", t)]
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.RUN, t)]
+    found += [(a + m.start(), a + m.end(), m[0]) for a, _, run in found if re.search("[+/_-]", run) for m in re.finditer(secrets.PART, run)]
+    return base, [(a, b, run) for a, b, run in found if not any(c < b and a < d for c, d in base)]
+
+
+def test_battery_statistics_and_cutoffs_against_brute_force(spark):
+    texts_ = battery_docs()
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3)
+    scanned = secrets.scan(docs)
+    want, counts = {}, collections.Counter()
+    for i, t in enumerate(texts_):
+        for a, b, run in candidates(t)[1]:
+            enc, n, p_random, p_text = battery(run)
+            band = secrets.ENCODINGS[enc][2] * len(secrets.BANDS) + sum(n >= x for x in secrets.BANDS[1:])
+            want[i, a, b] = (p_random, p_text, band)
+    got = {(r.row.doc_id, t.start, t.end): t for r in scanned.collect() for t in r.tested}
+    assert got.keys() == want.keys() and len(want) > 200
+    for key, (p_random, p_text, band) in want.items():
+        t = got[key]
+        assert t.band == band and t.p_random == pytest.approx(p_random, rel=1e-3, abs=1e-7) and t.p_text == pytest.approx(p_text, rel=1e-3, abs=1e-7)
+        counts[band, min(int(-math.log(max(t.p_text, 1e-300)) * 10), secrets.LEVELS), t.p_random >= secrets.RANDOM_ALPHA] += 1
+    least = {}
+    for band in {b for b, _, _ in counts}:
+        whole = sum(n for (b, _, _), n in counts.items() if b == band)
+        for level in sorted({lv for b, lv, _ in counts if b == band}):
+            reported = sum(n for (b, lv, even), n in counts.items() if b == band and lv >= level and even)
+            if whole * math.exp(-level / 10) <= secrets.FALSE_RATE * reported:
+                least[band] = level
+                break
+    assert secrets.cutoffs(scanned) == least and least
+    spans = {r.row.doc_id: {(x.start, x.end) for x in r.spans if x.kind == 3} for r in secrets.find_secrets(docs).collect()}
+    for i in range(len(texts_)):
+        told = {(a, b) for (d, a, b), t in got.items() if d == i and t.p_random >= secrets.RANDOM_ALPHA and t.level >= least.get(t.band, 1 << 30)}
+        assert spans[i] == {(a, b) for a, b in told if not any(c <= a and b <= d and (d - c) > (b - a) for c, d in told)}
+
+
+def test_secrets_in_one_long_text(spark):
+    t = " x ".join(battery_docs() * 40)
+    row = secrets.find_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string")).select("spans", secrets.mask(F.col("text"), F.col("spans")).alias("masked")).first()
+    base, free = candidates(t)
+    assert len(base) > 1000 and len(free) > 5000
+    assert sorted((x.start, x.end) for x in row.spans if x.kind < 3) == sorted(base)
+    out, at = [], 0
+    for x in row.spans:
+        out += [t[at : x.start], secrets.MASK] if x.start >= at else []
+        at = max(at, x.end)
+    assert row.masked == "".join(out) + t[at:]
+
+
 def test_language_model(docs):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     got = by_id(ngram_lm.score_texts(docs, held).collect(), "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,38 @@ def word_count(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0).cast("long")).otherwise((spaces + 1).cast("long"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], item_type: str) -> Column:
+    """``emit(state, x)`` of every item in order, the state before it carried on by ``step(state, x)``.
+
+    An array that grows item by item is copied at every step, so results are gathered
+    in pieces of about the square root of the array's size.
+    """
+    none = F.array().cast(f"array<{item_type}>")
+
+    def piece(state: Column, xs: Column) -> Column:
+        return F.aggregate(
+            xs,
+            F.struct(state.alias("state"), none.alias("out")),
+            lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x).cast(item_type))).alias("out")),
+        )
+
+    def whole(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(xs) - 1, width),
+            F.struct(zero.alias("state"), none.alias("out")),
+            lambda acc, at: let(piece(acc["state"], F.slice(xs, at + 1, width)), lambda got: F.struct(got["state"].alias("state"), F.concat(acc["out"], got["out"]).alias("out"))),
+            lambda acc: acc["out"],
+        )
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(none))
+
+
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which a computed column holds, filtered above the steps that compute it.
 

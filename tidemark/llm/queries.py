@@ -23,7 +23,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: the base kinds and what the randomness battery adds."""
-    found = secrets.find_secrets(read(spark, sf_dir, "documents"), carry=("doc_id",))
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"), carry=("doc_id",), with_text=False)
     base = F.filter("spans", lambda x: x["kind"] < secrets.KINDS.index("random"))
 
     def of(kind: str):

@@ -42,6 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import durable, let, running
+
 # The base kinds in order, with their patterns and least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -82,23 +84,20 @@ MASK = "[SECRET]"
 
 def _matches(text: Column, pattern: str) -> Column:
     """All matches from left to right: ``start``, ``end`` (code points) and ``found``."""
-    lit = F.lit(pattern)
     steps = F.zip_with(
         F.split(text, pattern, -1),
-        F.regexp_extract_all(text, lit, F.lit(0)),
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("long"), hit.alias("found")),
     )
     item = "struct<start:int,end:int,found:string>"
-    walked = F.aggregate(
-        F.filter(steps, lambda x: x["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("found")).cast(item))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    placed = running(
+        F.filter(steps, lambda x: x["found"].isNotNull()),
+        F.lit(0),
+        lambda at, x: at + x["gap"] + x["long"],
+        lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["long"]).alias("end"), x["found"].alias("found")),
+        item,
     )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(f"array<{item}>"))
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(f"array<{item}>"))
 
 
 def _spans(matches: Column, kind: int) -> Column:
@@ -123,11 +122,13 @@ def _parts(run: Column) -> Column:
 
 def _tail(z: Column) -> Column:
     """The normal upper tail (Abramowitz and Stegun 26.2.17, error under 1e-7)."""
-    a = F.abs(z)
-    t = 1.0 / (1.0 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * poly
-    return F.greatest(F.when(z >= 0, upper).otherwise(1 - upper), F.lit(1e-300))
+
+    def upper(t: Column) -> Column:
+        return t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    beyond = let(1.0 / (1.0 + 0.2316419 * F.abs(z)), upper) * density
+    return F.greatest(let(beyond, lambda u: F.when(z >= 0, u).otherwise(1 - u)), F.lit(1e-300))
 
 
 def _pick(enc: Column, values: list) -> Column:
@@ -178,24 +179,35 @@ def _tested(candidates: Column) -> Column:
         ),
     )
 
-    def scores(c: Column) -> Column:
+    def deviations(c: Column) -> Column:
+        """How far, in standard deviations: agreement beyond chance, runs, correlation, agreement short of text, breaks."""
         n, k = c["n"], c["k"]
         chi = k / n * c["squares"] - n
-        if_random = _tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
-        runs = 2 * _tail(F.abs((c["runs"] - 1 - (n - 1) / 2) / (F.sqrt(n - 1) / 2)))
-        lagged = 2 * _tail(F.abs(c["lagged"] / ((k * k - 1) / 12 * F.sqrt(n - 1))))
-        half = -(F.log(if_random) + F.log(runs) + F.log(lagged))
-        expected = (k - 1) + (n - 1) * c["excess"]
-        agreeing = _tail((expected - chi) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * c["excess"]))
-        broken = _tail((c["breaks"] - 0.5 - (n - 1) * BREAKS) / F.sqrt((n - 1) * BREAKS * (1 - BREAKS)))
-        both = -(F.log(agreeing) + F.log(broken))
-        return F.struct(
-            c["start"].alias("start"),
-            c["end"].alias("end"),
-            c["enc"].alias("enc"),
-            n.alias("n"),
-            (F.exp(-half) * (1 + half + half * half / 2)).alias("p_random"),
-            (F.exp(-both) * (1 + both)).alias("p_text"),
+        return let(
+            chi,
+            lambda chi: F.array(
+                (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n),
+                F.abs((c["runs"] - 1 - (n - 1) / 2) / (F.sqrt(n - 1) / 2)),
+                F.abs(c["lagged"] / ((k * k - 1) / 12 * F.sqrt(n - 1))),
+                ((k - 1) + (n - 1) * c["excess"] - chi) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * c["excess"]),
+                (c["breaks"] - 0.5 - (n - 1) * BREAKS) / F.sqrt((n - 1) * BREAKS * (1 - BREAKS)),
+            ),
+        )
+
+    def scores(c: Column) -> Column:
+        logs = F.transform(F.transform(deviations(c), _tail), lambda p: -F.log(p))
+        # The second and third test are two-sided.
+        sums = let(logs, lambda g: F.struct((g[0] + g[1] + g[2] - 2 * math.log(2)).alias("half"), (g[3] + g[4]).alias("both")))
+        return let(
+            sums,
+            lambda x: F.struct(
+                c["start"].alias("start"),
+                c["end"].alias("end"),
+                c["enc"].alias("enc"),
+                c["n"].alias("n"),
+                (F.exp(-x["half"]) * (1 + x["half"] + x["half"] * x["half"] / 2)).alias("p_random"),
+                (F.exp(-x["both"]) * (1 + x["both"])).alias("p_text"),
+            ),
         )
 
     def banded(c: Column) -> Column:
@@ -228,11 +240,30 @@ def scan(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] | None
         F.array_sort(F.concat(_spans(F.col("assign"), 0), _spans(F.col("access"), 1), _spans(F.col("hex"), 2))).alias("base"),
         F.concat(whole, parts).alias("runs"),
     )
-    apart = F.filter("runs", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    encoded = F.transform(apart, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), _encoding(m["found"]).alias("enc")))
+    encoded = F.transform(_apart(F.col("runs"), F.col("base")), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), _encoding(m["found"]).alias("enc")))
     return based.select("row", "text", "base", _tested(encoded).alias("tested"))
 
 
+def _apart(runs: Column, base: Column) -> Column:
+    """The runs that overlap no base span: none that begins before and reaches in, none that begins inside."""
+    kind = "struct<start:int,run:int,end:int,found:string,hit:boolean>"
+    joint = F.array_sort(
+        F.concat(
+            F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("run"), b["end"].alias("end"), F.lit("").alias("found"), F.lit(False).alias("hit"))),
+            F.transform(runs, lambda m: F.struct(m["start"].alias("start"), F.lit(1).alias("run"), m["end"].alias("end"), m["found"].alias("found"), F.lit(False).alias("hit"))),
+        )
+    )
+
+    def marked(x: Column, hit: Column) -> Column:
+        return F.struct(x["start"], x["run"], x["end"], x["found"], (x["hit"] | hit).alias("hit"))
+
+    far = F.lit(2**31 - 1)
+    forward = running(joint, F.lit(0), lambda end, x: F.when(x["run"] == 0, F.greatest(end, x["end"])).otherwise(end), lambda end, x: marked(x, end > x["start"]), kind)
+    both = running(F.reverse(forward), far, lambda start, x: F.when(x["run"] == 0, F.least(start, x["start"])).otherwise(start), lambda start, x: marked(x, start < x["end"]), kind)
+    free = F.transform(F.filter(both, lambda x: (x["run"] == 1) & ~x["hit"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found")))
+    return F.when((F.size(base) > 0) & (F.size(runs) > 0), free).otherwise(runs)
+
+
 def cutoffs(scanned: DataFrame, rate: float = FALSE_RATE) -> dict[int, int]:
     """Least level reported per band (of a group of alphabets, and of length): Benjamini-Hochberg on the histogram of text probabilities."""
     runs = scanned.select(F.explode("tested").alias("t")).select("t.band", "t.level", "t.even")
@@ -244,11 +275,15 @@ def cutoffs(scanned: DataFrame, rate: float = FALSE_RATE) -> dict[int, int]:
     return {r["band"]: r["level"] for r in passing.groupBy("band").agg(F.min("level").alias("level")).collect()}  # a row per band
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] | None = None, rate: float = FALSE_RATE) -> DataFrame:
-    """Per row: ``row``, ``text`` and ``spans``: ``start``, ``kind`` (index into KINDS), ``end``, in order of start and kind."""
+def find_secrets(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] | None = None, rate: float = FALSE_RATE, with_text: bool = True) -> DataFrame:
+    """Per row: ``row``, ``text`` (if asked for) and ``spans``: ``start``, ``kind`` (index into KINDS), ``end``, in order of start and kind.
+
+    Texts are scanned and tested once: the candidates are kept in the shared checkpoint
+    folder while the cut-offs are counted.
+    """
     scanned = scan(docs, text_col, carry)
-    least = cutoffs(scan(docs, text_col, ()), rate)
-    return _with_spans(scanned, least)
+    scanned = durable(scanned if with_text else scanned.drop("text"))
+    return _with_spans(scanned, cutoffs(scanned, rate))
 
 
 def _with_spans(scanned: DataFrame, least: dict[int, int]) -> DataFrame:
@@ -257,10 +292,16 @@ def _with_spans(scanned: DataFrame, least: dict[int, int]) -> DataFrame:
     def reported(t: Column) -> Column:
         return t["even"] & F.coalesce(t["level"] >= F.get(bands, t["band"]), F.lit(False))
 
-    random = _spans(F.filter("tested", reported), KINDS.index("random"))
-    # A part goes with the reported run that it is in.
-    once = F.filter("random", lambda x: ~F.exists("random", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
-    return scanned.select("row", "text", "base", random.alias("random")).select("row", "text", F.array_sort(F.concat("base", once)).alias("spans"))
+    def outer(xs: Column) -> Column:
+        # A part goes with the reported run that it is in, which stands before it in this order.
+        kind = "struct<start:int,end:int,inside:boolean>"
+        placed = F.array_sort(F.transform(xs, lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("back"))))
+        seen = running(placed, F.lit(-1), lambda end, x: F.greatest(end, -x["back"]), lambda end, x: F.struct(x["start"], -x["back"], end >= -x["back"]), kind)
+        return F.filter(seen, lambda x: ~x["inside"])
+
+    random = _spans(outer(F.filter("tested", reported)), KINDS.index("random"))
+    text = ["text"] if "text" in scanned.columns else []
+    return scanned.select("row", *text, F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def _levels(least: dict[int, int]) -> Column:
@@ -275,13 +316,19 @@ def span_text(spans: Column) -> Column:
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with every span replaced by ``MASK``; overlapping spans become one."""
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))).otherwise(F.lit(""))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
-    )
+    gap = "struct<at:int,start:int>"
+
+    def pieces(gaps: Column) -> Column:
+        # A position in a long text costs a walk to it, so the text is cut in two steps.
+        width = F.ceil(F.sqrt(F.size(gaps))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(gaps) - 1, width), lambda i: let(F.slice(gaps, i + 1, width), piece))
+
+    def piece(gaps: Column) -> Column:
+        first, last = F.get(gaps, F.lit(0)), F.element_at(gaps, -1)
+        return let(F.substr(text, first["at"] + 1, last["start"] - first["at"]), lambda part: F.array_join(F.transform(gaps, lambda g: F.concat(F.substr(part, g["at"] - first["at"] + 1, g["start"] - g["at"]), F.lit(MASK))), ""))
+
+    # What stands before each span; a span that begins inside an earlier one has nothing before it.
+    before = running(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.struct(at, x["start"]), gap)
+    rest = F.substr(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1)
+    cut = let(F.filter(before, lambda g: g["start"] >= g["at"]), lambda gaps: F.concat(F.array_join(pieces(gaps), ""), rest))
     return F.when(F.size(spans) > 0, cut).otherwise(text)
