@@ -130,18 +130,31 @@ def test_decontamination(spark, docs, monkeypatch):
     assert len(empty) == docs.count() and not any(r.spans for r in empty)
 
 
-def test_no_slice_is_larger_for_a_shared_window(spark, monkeypatch):
+def test_many_slices_in_one_pass(spark, monkeypatch):
     passage = " ".join(f"w{k}" for k in range(13))
-    bench = spark.createDataFrame([(i, f"{passage} own{i}") for i in range(40)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id long, text string")
+    long_item = " ".join(f"own{k}" for k in range(300))
+    bench = spark.createDataFrame([*((i, f"{passage} own{i}") for i in range(40)), (99, long_item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it"), (3, "x " + long_item), (4, None)], "doc_id long, text string")
     monkeypatch.setattr(decontaminate, "SLICE", 30)
-    seen = []
-    made = decontaminate.Windows.__init__
-    monkeypatch.setattr(decontaminate.Windows, "__init__", lambda self, rows: seen.append(len(rows)) or made(self, rows))
-    got = {r.doc_id: r for r in decontaminate.scan(docs, bench).collect()}
-    assert max(seen) <= 30 and sum(seen) == 80
+    monkeypatch.setattr(decontaminate, "BLOCK", 10)
+    blocks, slices = decontaminate.sliced(decontaminate.window_blocks(bench))
+    sizes = blocks.groupBy("slice").agg(F.sum("windows").alias("n")).collect()
+    assert slices > 8 and max(r.n for r in sizes) <= 30 and sum(r.n for r in sizes) == 80 + 288
+    found = decontaminate.scan(docs, bench)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan  # one pass over the documents
+    got = {r.doc_id: r for r in found.collect()}
     assert got[1]["items"] == sorted(str(i) for i in range(40)) and got[1].spans == [1, 14]
-    assert got[2]["items"] == [] and got[2].spans == []
+    assert (got[2]["items"], got[2].spans, got[3]["items"], got[3].spans, got[4].n_words) == ([], [], ["99"], [1, 301], 0)
+
+
+def test_windows_are_verified_by_their_words(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(decontaminate, "_hashes", lambda words, at, n: np.zeros(len(at), np.uint64))  # all hashes collide
+    table = decontaminate.Windows([("a", 3, b"x y z u"), ("b", 3, b"y z u"), ("c", 1, b"q")])
+    hits = [(t, a, b, [table.names[i] for i in of]) for t, a, b, of in table.hits([[b"x", b"y", b"z"], [], [b"z", b"y", b"z", b"u", b"q"]])]
+    assert sorted(hits) == [(0, 0, 3, ["a"]), (2, 1, 4, ["a", "b"]), (2, 4, 5, ["c"])]
 
 
 def test_quality_rules(docs):

@@ -1,16 +1,18 @@
-"""Benchmark decontamination: broadcast set of normalised test n-grams.
+"""Benchmark decontamination: broadcast hash set of normalised test n-grams.
 
 A text is lower-cased (A-Z) and cut into words (letters, digits and all
 characters beyond ASCII). A window is ``width`` consecutive words of a benchmark
-item; an item of fewer words, but not none, is one window. Each task looks up the
-leading words of every position of a document in the window set, verifies the
-whole window, and marks the words inside.
-
-The window set is collected and sent to the tasks only in slices of at most
-``SLICE`` rows of window and item; every slice is counted first. A larger benchmark
-is scanned slice by slice in further passes over the documents, whose marks add up,
-so nothing is left out at any size. Rows are dealt by window and item, so a window
-that many items share is spread over the slices.
+item; an item of fewer words, but not none, is one window. Tasks look up the hash of
+every run of known words of a document in the window set, verify the words, and mark
+them.
+
+The window set is kept small (``Windows``): the benchmark's words as numbers, once, and
+a hash and a start per window. It is collected and broadcast in slices of at most
+``SLICE`` windows, each counted first. The documents are read in one pass whatever the
+number of slices: a task gathers documents up to ``GATHERED`` bytes and holds them
+against one slice after the other, with one slice in memory at a time. Items are cut
+into blocks of ``BLOCK`` windows and blocks are dealt by item and place, so neither a
+long item nor a window that many items share makes a slice larger.
 
 Results for odd input: null and empty texts have no words and no hits; benchmark
 items without words or without an id are ignored; items that share an id count
@@ -20,10 +22,11 @@ the columns asked for in ``carry``, and its own three.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +34,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import durable, with_python
 
 WIDTH = 13
-LEAD = 3
 SLICE = 200_000
+BLOCK = 1_000
+GATHERED = 32 << 20
 #: A document is contaminated when hits * SHARE >= words.
 SHARE = 20
 
@@ -45,45 +49,82 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def _item_windows(width: int):
+def _item_blocks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, grams = [], []
+            rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = tokens(text)
-                for i in range(max(1, len(w) - width + 1) if w else 0):
-                    ids.append(item)
-                    grams.append(b" ".join(w[i : i + width]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(grams, pa.binary())], names=["item", "gram"])
+                size = min(width, len(w))
+                windows = len(w) - size + 1 if w else 0
+                for a in range(0, windows, BLOCK):
+                    n = min(BLOCK, windows - a)
+                    rows.append((item, a, n, size, b" ".join(w[a : a + n + size - 1])))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item", "place", "windows", "size", "words"])
 
     return run
 
 
 class Windows:
-    """A slice of the window set, arranged for look-up by leading words."""
-
-    def __init__(self, rows: list[tuple[str, bytes]]) -> None:
-        self.items: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, gram in rows:
-            self.items[tuple(bytes(gram).split(b" "))].add(item)
-        leads: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        for gram in self.items:
-            leads[min(LEAD, len(gram))][gram[:LEAD]].add(len(gram))
-        self.items, self.leads = dict(self.items), {n: dict(x) for n, x in leads.items()}
-
-    def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """The word ranges that are windows, merged in order, and the items they belong to."""
-        found: list[tuple[int, int]] = []
-        items: set[str] = set()
-        for n, leads in self.leads.items():
-            for i, lead in enumerate(zip(*(w[k:] for k in range(n)), strict=False)):
-                if lead in leads:
-                    for size in leads[lead]:
-                        got = self.items.get(tuple(w[i : i + size]))
-                        if got is not None:
-                            found.append((i, i + size))
-                            items |= got
-        return _merged(found), items
+    """A slice of the window set: word numbers of its blocks, and the windows of each size by hash."""
+
+    def __init__(self, blocks: list[tuple[str, int, bytes]]) -> None:
+        """``blocks``: item, words of a window, and the words that the windows run over."""
+        self.names = sorted({item for item, _, _ in blocks})
+        number: dict[bytes, int] = {}
+        place = {item: i for i, item in enumerate(self.names)}
+        stream, starts, of, size, at = [], [], [], [], 0
+        for item, n, words in blocks:
+            w = bytes(words).split(b" ")
+            stream += [number.setdefault(x, len(number)) for x in w]
+            starts += range(at, at + len(w) - n + 1)
+            of += [place[item]] * (len(w) - n + 1)
+            size += [n] * (len(w) - n + 1)
+            at += len(w)
+        self.words, self.vocabulary = np.array(stream, np.int32), b" ".join(number)
+        starts, of, size = np.array(starts, np.int64), np.array(of, np.int32), np.array(size, np.int32)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(size.tolist())):
+            mine = np.flatnonzero(size == n)
+            hashes = _hashes(self.words, starts[mine], n)
+            order = np.argsort(hashes, kind="stable")
+            self.by_size[n] = (hashes[order], starts[mine][order].astype(np.int32), of[mine][order])
+        self._number: dict[bytes, int] | None = None
+
+    def hits(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(text, first word, end, numbers of the items) for every place of a text that is a window."""
+        if self._number is None:
+            self._number = {w: i for i, w in enumerate(self.vocabulary.split(b" "))}
+        get = self._number.get
+        # Texts one after the other, each ended by an unknown word, so no window runs from one into the next.
+        flat = np.fromiter((get(w, -1) for t in texts for w in (*t, b" ")), np.int32)
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        unknown = np.concatenate([[0], np.cumsum(flat < 0)])
+        for n, (hashes, starts, of) in self.by_size.items():
+            if len(flat) < n:
+                continue
+            at = np.flatnonzero(unknown[n:] == unknown[:-n])
+            found = _hashes(flat, at, n)
+            left, right = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+            for k in np.flatnonzero(left < right).tolist():
+                a = int(at[k])
+                near = np.arange(left[k], right[k])
+                same = (self.words[starts[near][:, None] + np.arange(n)] == flat[a : a + n]).all(axis=1)
+                if same.any():
+                    text = int(np.searchsorted(ends, a, "right"))
+                    first = a - int(ends[text - 1] if text else 0)
+                    yield text, first, first + n, np.unique(of[near[same]])
+
+
+def _hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the ``n`` word numbers from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = (out ^ (words[at + k].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,73 +138,84 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(windows, last: bool):
-    """Adds the hits of one slice of the window set to each row; the last slice drops the text."""
+def _one_at_a_time(slices: list[Broadcast]) -> Iterator[Windows]:
+    """The slices in turn; of several, each is let go before the next is loaded."""
+    for s in slices:
+        yield s.value if len(slices) == 1 else s.load_from_path(s._path)
+
+
+def _gathered(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of together about ``GATHERED`` bytes."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or b"")
+        if size > GATHERED or k == len(texts) - 1:
+            yield start, k + 1
+            start, size = k + 1, 0
+
+
+def _scan(slices: list[Broadcast]):
+    """Adds words, hits and items to each row and drops its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = windows.value
         for batch in batches:
-            n, spans, items = [], batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            for k, text in enumerate(batch.column("__text").to_pylist()):
-                w = tokens(text)
-                n.append(len(w))
-                if w:
-                    found, got = table.hits(w)
-                    if found:
-                        spans[k] = [x for ab in _merged([*zip(spans[k][::2], spans[k][1::2], strict=True), *found]) for x in ab]
-                    items[k] = sorted({*items[k], *got})
-            new = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
-            names = [c for c in batch.schema.names if not (last and c == "__text")]
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
+            whole = batch.column("__text").to_pylist()
+            for a, b in _gathered(whole):
+                words = [tokens(t) for t in whole[a:b]]
+                spans: list[list[tuple[int, int]]] = [[] for _ in words]
+                items: list[set[str]] = [set() for _ in words]
+                for table in _one_at_a_time(slices):
+                    for text, first, end, of in table.hits(words):
+                        spans[text].append((first, end))
+                        items[text].update(table.names[i] for i in of.tolist())
+                new = [
+                    pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([[x for ab in _merged(s) for x in ab] for s in spans], pa.list_(pa.int32())),
+                    pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                ]
+                part = batch.slice(a, b - a)
+                names = [c for c in batch.schema.names if c != "__text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *new], names=[*names, "n_words", "spans", "items"])
 
     return run
 
 
-def window_table(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct ``item`` (id as string) and ``gram`` (words joined by spaces)."""
+def window_blocks(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``item`` (id as string), ``place``, ``windows``, ``size`` (words of a window) and ``words`` of blocks of windows."""
     with_python(benchmark.sparkSession)
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_item_windows(width), "item string, gram binary").distinct()
+    return rows.mapInArrow(_item_blocks(width), "item string, place long, windows long, size int, words binary").distinct()
 
 
-def sliced(grams: DataFrame) -> tuple[DataFrame, int]:
-    """The rows of window and item with their ``slice``, and the number of slices; none has more than ``SLICE`` rows."""
-    size = grams.count()
+def sliced(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks with their ``slice``, and the number of slices; none has more than ``SLICE`` windows (or a single block)."""
+    size = blocks.agg(F.sum("windows")).first()[0] or 0
     slices = max(1, -(-size // SLICE))
     if slices == 1:
-        return grams.withColumn("slice", F.lit(0)), 1
-    grams = durable(grams)
+        return blocks.withColumn("slice", F.lit(0)), 1
+    blocks = durable(blocks)
     while True:
-        dealt = grams.withColumn("slice", F.pmod(F.xxhash64("gram", "item"), F.lit(slices)))
-        if dealt.groupBy("slice").count().agg(F.max("count")).first()[0] <= SLICE:
+        dealt = blocks.withColumn("slice", F.pmod(F.xxhash64("item", "place", "words"), F.lit(slices)))
+        most = dealt.groupBy("slice").agg(F.sum("windows").alias("n"), F.count("*").alias("k")).where(f"n > {SLICE} AND k > 1")
+        if most.isEmpty():
             return dealt, slices
         slices += -(-slices // 8)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document row: id, ``n_words``, ``spans`` (word ranges hit, start and end in turn), ``items`` (ids, as strings), and the ``carry`` columns.
+    """Per document row: id, the ``carry`` columns, ``n_words``, ``spans`` (word ranges hit, start and end in turn), ``items`` (ids, as strings).
 
     Names ``n_words``, ``spans`` and ``items`` are taken by the result.
     """
     spark = with_python(docs.sparkSession)
-    grams, slices = sliced(window_table(benchmark, width))
-    out = docs.select(
-        id_col,
-        *carry,
-        F.col(text_col).cast("binary").alias("__text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
+    blocks, slices = sliced(window_blocks(benchmark, width))
+    tables = []
     for k in range(slices):
-        mine = grams.where(F.col("slice") == k)
-        table = spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["gram"])) for r in mine.collect()]))
-        last = k == slices - 1
-        schema = T.StructType([f for f in out.schema if not (last and f.name == "__text")])
-        out = out.mapInArrow(_scan(table, last), schema)
-        if not last:
-            out = durable(out)  # else every slice's table would be in memory at once
-    return out
+        mine = blocks.where(F.col("slice") == k).select("item", "size", "words").collect()
+        tables.append(spark.sparkContext.broadcast(Windows([(r["item"], r["size"], r["words"]) for r in mine])))
+    rows = docs.select(id_col, *carry, F.col(text_col).cast("binary").alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(_scan(tables), schema)
 
 
 def hit_words(spans: str = "spans") -> Column:
