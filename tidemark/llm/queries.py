@@ -93,7 +93,8 @@ MARKED_ID, MARKED_TEXT = -7, "\\### Assistant: </turn> ok"
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and trainable text of every conversation, read back from its examples."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    marked = spark.createDataFrame([(MARKED_ID, 0, "user", MARKED_TEXT), (MARKED_ID, 1, "assistant", MARKED_TEXT)], "conv_id long, turn long, role string, text string")
+    two = [F.struct(F.lit(MARKED_ID).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(MARKED_TEXT).alias("text")) for k, role in enumerate(("user", "assistant"))]
+    marked = spark.range(1).select(F.inline(F.array(*two)))
     examples = chat.expand(turns.unionByName(marked))
     per = examples.groupBy("conv_id").agg(
         F.max(F.when(F.col("last"), F.col("text"))).alias("whole"),
@@ -166,7 +167,73 @@ _WORDS = (
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+
+def _quality_sql() -> str:
+    """The line rules in SQL: lines with their squeezed text and words, the words of those that pass, repeated windows."""
+    many = "length(s) - length(translate(s, '{}', ''))".format
+    stutter = "len(list_filter(range(1, w), lambda i: string_split(s, ' ')[i] = string_split(s, ' ')[i + 1])) * 2 > w"
+    closed, phrases = (x.replace("'", "''") for x in (quality_rules.CLOSED, quality_rules.PHRASES))
+    breaks = f"""(w < 3 AND NOT regexp_matches(s, '{closed}')) OR (w >= 5 AND ({many('!')}) * 2 > w)
+         OR (({many(quality_rules.SEPARATORS)}) >= 3 AND ({many(quality_rules.SEPARATORS)}) * 4 >= w)
+         OR (w <= 12 AND regexp_matches(s, '{phrases}')) OR ({many(quality_rules.SYMBOLS)}) * 10 > w * 3 OR (w >= 4 AND {stutter})"""
+    window = quality_rules.WINDOW
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS words FROM documents),
+lines AS (
+  SELECT r, raw, s, CASE WHEN s = '' THEN 0 ELSE len(string_split(s, ' ')) END AS w
+  FROM (SELECT r, raw, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM (SELECT r, unnest(string_split(t, chr(10))) AS raw FROM texts) AS a) AS b),
+judged AS (SELECT r, raw, w, {breaks} AS broken FROM lines WHERE w > 0),
+per AS (SELECT r, count(*) - count(DISTINCT raw) AS n_dup_lines, coalesce(sum(w) FILTER (NOT broken), 0) AS kept_words FROM judged GROUP BY r),
+places AS (
+  SELECT r, i, array_to_string(words[i:i + {window - 1}], ' ') AS gram
+  FROM (SELECT r, words, unnest(range(1, len(words) - {window - 2})) AS i FROM texts) AS c),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM places) AS d WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {window})) AS p FROM again) AS e GROUP BY r),
+base AS (
+  SELECT r, doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(kept_words, 0) AS kept_words
+  FROM texts LEFT JOIN per USING (r) LEFT JOIN covered USING (r)),
+failed AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (n_words - kept_words) * 100 <= n_words * {quality_rules.MAX_LOST} AS kept FROM failed"""
+
+
+def _chat_sql() -> str:
+    """Turns and losses from the conversations themselves, and the lengths that the template and its escapes make."""
+
+    def escaped(column: str, table) -> str:
+        return " + ".join([f"length({column})", *(f"length({column}) - length(replace({column}, {_sql_text(c)}, ''))" for c, _ in table)])
+
+    frame = len(chat.HEAD) + len(chat.MID) + len(chat.TAIL)
+    marked = _sql_text(MARKED_TEXT)
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES ({MARKED_ID}, 0, 'user', {marked}), ({MARKED_ID}, 1, 'assistant', {marked})),
+placed AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+         sum({frame} + {escaped('role', chat.IN_ROLE)} + {escaped('text', chat.IN_TEXT)}) OVER w AS upto
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+per AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS lines,
+         coalesce(string_agg(text, '' ORDER BY k) FILTER (role = '{chat.TARGET}'), '') AS loss,
+         sum(upto) FILTER (role = '{chat.TARGET}' OR k = n) AS formatted
+  FROM placed GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted::BIGINT AS formatted_chars
+FROM per"""
+
+
+def _sql_text(x: str) -> str:
+    """A DuckDB text literal; line feeds as chr(10)."""
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in x.split("\n"))
+
+
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": _quality_sql(),
+    "op8_chat": _chat_sql(),
     "op3_decontaminate": f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 windows AS (
