@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,40 @@ def test_large_files_are_hashed_in_blocks_and_folders_found(spark, tmp_path):
     spark.range(6).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(str(tmp_path / "parts"))
     seen = {r.path: r.exists for r in sinks.evidence_manifest(spark, [str(tmp_path / "parts"), str(tmp_path / "gone")]).collect()}
     assert seen == {str(tmp_path / "parts"): True, str(tmp_path / "gone"): False}
+
+
+def _csv_with_line_feeds(path, rows, title):
+    import csv
+
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        f.write(title + "\n")
+        csv.writer(f, lineterminator="\n").writerows([["a", "b", "c"], *rows])
+
+
+def test_headed_text_is_read_in_ranges(spark, tmp_path):
+    rng = random.Random(3)
+    pieces = ["x", "ü", '"', "\n", ",", " ", "\r\n", '""', "\n\n", "long " * 5]
+    wants = []
+    for k in range(3):
+        rows = [[str(i), "".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))), "end"] for i in range(60)]
+        rows[5][1], rows[6][1] = '"quoted"', "\n"
+        _csv_with_line_feeds(tmp_path / f"f{k}.csv", rows, 'The "title" of 5" things' if k else "Title")
+        wants += [tuple(r) for r in rows]
+    for span in (64, 177, 1 << 20):
+        df = read_headed_table(spark, str(tmp_path), span=span)
+        got = [tuple(r) for r in df.collect()]
+        assert sorted(got) == sorted(wants), span
+    assert read_headed_table(spark, str(tmp_path), span=64).rdd.getNumPartitions() > 50
+
+
+def test_headed_text_with_stray_quotes_is_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title\na,b\n" + "".join(f'{i},a 5" pipe\n' for i in range(99)))
+    got = [tuple(r) for r in read_headed_table(spark, str(tmp_path), span=50).collect()]
+    assert sorted(got) == sorted((str(i), 'a 5" pipe') for i in range(99))
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1251"])  # split in ranges, and read whole
+def test_headed_text_in_another_encoding(spark, tmp_path, encoding):
+    word = "ñ" if encoding == "latin-1" else "Ж"
+    (tmp_path / "a.csv").write_bytes(f"T{word}tulo\na,b\n1,{word}\n2,x\n".encode(encoding))
+    assert sorted(tuple(r) for r in read_headed_table(spark, str(tmp_path), encoding=encoding, span=8).collect()) == [("1", word), ("2", "x")]

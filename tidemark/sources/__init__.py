@@ -8,10 +8,9 @@ from tidemark.sources.guards import (
     require_source,
     require_table,
 )
-from tidemark.sources.headed import HeadedTextSource, read_headed_table
+from tidemark.sources.headed import read_headed_table
 
 __all__ = [
-    "HeadedTextSource",
     "infer_types",
     "list_members",
     "nullify_markers",
