@@ -24,7 +24,7 @@ HEADLINE = (
     "dimensions",
     "nulls_per_row",
     "exact_duplicates_rows",
-    "duplicate_row_keys",
+    "duplicate_row_keys_documents",
     "column_inventory",
     "identifier_candidates",
     "empty_constant_columns",
@@ -38,6 +38,7 @@ HEADLINE = (
     "date_conversion",
     "temporal_inconsistencies",
     "validation_summary",
+    "profile_job",
 )
 
 

@@ -1,11 +1,14 @@
 """Tier 2 contracts: target, splits, metrics against brute force, cleaning, exploration."""
 
+import hashlib
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M
 from tidemark.operators import outcome as OC
+from tidemark.plans import evaluation as EV
 from tidemark.plans import modeling as ML
 
 
@@ -86,10 +89,17 @@ def test_clean_and_report(spark):
 
 
 def test_explore_suppresses_small_groups(spark):
-    df = spark.createDataFrame([("a", 1.0)] * 12 + [("b", 2.0)] * 3, "g string, m double")
+    df = spark.createDataFrame([("a", 1.0)] * 12 + [("b", 2.0)] * 5 + [("c", 2.0)] * 6, "g string, m double")
     out = {r.g: r for r in OC.explore(df, ["g"], ["m"], k_min=10).collect()}
     assert out["a"].rows == 12 and not out["a"].suppressed
-    assert out[None].rows == 3 and out[None].suppressed
+    assert out[None].rows == 11 and out[None].suppressed
+
+
+def test_explore_folds_a_shown_group_if_the_small_ones_are_too_few(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 12 + [("b", 2.0)] * 3 + [("c", 1.0)] * 15, "g string, m double")
+    out = {r.g: r for r in OC.explore(df, ["g"], ["m"], k_min=10).collect()}
+    assert set(out) == {"c", None} and out[None].rows == 15
+    assert OC.explore(df.where("g = 'b'"), ["g"], ["m"], k_min=10).count() == 0
 
 
 def test_baseline_and_compare(spark):
@@ -126,5 +136,56 @@ def test_evaluate_calibrate_explain_report(spark):
     assert {r.g for r in effects} == {"a", "b"}
     imp = {r.feature: r.importance for r in ML.permutation_importance(best, test, ["x", "noise"], "y", "id").collect()}
     assert imp["x"] > imp["noise"]
-    report = ML.summary_report({"test": overall, "calibration": spark.createDataFrame(cal)}).collect()
-    assert {r.section for r in report} == {"test", "calibration"} and all(r.rows.startswith("[") for r in report)
+    metrics = EV.metric_rows({"test": overall, "groups": by_group}, {"groups": "subgroup"})
+    told = {r.statement: r.verdict for r in EV.supported([("good", "test", None, "roc_auc", ">", 0.8), ("perfect", "test", None, "fn", "<", 0.0), ("group a", "groups", "a", "recall", ">=", 0.1), ("group z", "groups", "z", "recall", ">=", 0.1)], metrics).collect()}
+    assert told == {"good": "kept", "perfect": "refused", "group a": "kept", "group z": "no metric"}
+    shares = EV.contributions(test, "id", ["x", "noise"], lambda df: best.transform(df).withColumn("prediction", ML._p1("probability")), {"x": 0.5, "noise": 0.5}, orders=4)
+    rows = shares.groupBy("id", "prediction", "base").agg(F.sum("contribution").alias("whole")).collect()
+    assert len(rows) == test.count() and all(abs(r.whole - (r.prediction - r.base)) < 1e-9 for r in rows)
+    moved = {r.feature: r.mean_absolute for r in EV.contribution_summary(shares).collect()}
+    assert moved["x"] > 3 * moved["noise"]
+
+
+def test_regression_contributions_of_a_linear_model_are_its_terms(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(70)], "id long, a double, b double")
+    shares = EV.contributions(df, "id", ["a", "b"], lambda d: d.withColumn("prediction", 2 * F.col("a") - 3 * F.col("b") + 1), {"a": 1.0, "b": 2.0}, orders=3)
+    for r in shares.collect():
+        x = r.id % 7 if r.feature == "a" else r.id % 5
+        assert abs(r.contribution - (2 * (x - 1) if r.feature == "a" else -3 * (x - 2))) < 1e-9
+
+
+def test_poisson_bootstrap_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.randint(0, 1), rng.random()) for i in range(150)]
+    df = spark.createDataFrame(rows, "k long, y int, score double")
+    weights = {r.k: r.w for r in df.select("k", EV.poisson_weights(F.col("k"), 64).alias("w")).collect()}
+    limits = EV.poisson_limits()
+    for k, w in weights.items():
+        for b in range(64):
+            digest = hashlib.sha256(f"42:{k}:{b // 16}".encode()).hexdigest()
+            assert w[b] == sum(x <= int(digest[b % 16 * 4 : b % 16 * 4 + 4], 16) for x in limits)
+    assert abs(sum(map(sum, weights.values())) / (150 * 64) - 1) < 0.05
+    got = {r.replicate: r for r in EV.replicate_metrics(df, "k", "y").collect()}
+    for b in (-1, 0, 17, 63):
+        drawn = [(y, math.floor(s * EV.STEPS), s >= 0.5) for k, y, s in rows for _ in range(1 if b < 0 else weights[k][b])]
+        tp, fp, fn = (sum(y == a and above == c for y, _, above in drawn) for a, c in ((1, True), (0, True), (1, False)))
+        assert abs(got[b].recall - tp / (tp + fn)) < 1e-12 and abs(got[b].f1 - 2 * tp / (2 * tp + fp + fn)) < 1e-12
+        assert abs(got[b].roc_auc - _brute_auc([(y, s) for y, s, _ in drawn])) < 1e-12
+    told = {r.metric: r for r in EV.bootstrap_intervals(df, "k", "y").collect()}
+    assert all(r.low <= r.estimate <= r.high and r.replicates == 64 for r in told.values())
+
+
+def test_cleaning_contract(spark, tmp_path):
+    rows = [
+        (1, " a  b ", "2024-01-02", "2024-01-01", 5.0),
+        (2, "a b", "2024-01-01", "2024-01-03", 5.0),
+        (3, "sin dato", "mal", "2024-01-03", 999.0),
+        (4, "a b", "2024-01-01", "2024-01-03", 5.0),
+        (5, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "k long, t string, start string, end string, v double")
+    cleaned, report = OC.clean_to(df, str(tmp_path / "out"), "k", intervals=[("start", "end")], extremes={"v": (0.0, 100.0)})
+    got = sorted((tuple(r) for r in cleaned.collect()), key=lambda r: r[0])
+    assert got == [(1, "a b", None, None, 5.0), (2, "a b", "2024-01-01", "2024-01-03", 5.0), (3, None, "mal", "2024-01-03", None), (5, None, None, None, None)]
+    told = {r.rule: (r.rows_before, r.rows_after, r.cells_changed) for r in report.collect()}
+    assert told == {"trim_text": (5, 5, 1), "textual_nulls": (5, 5, 1), "incoherent_interval": (5, 5, 2), "extreme_value": (5, 5, 1), "exact_duplicates": (5, 4, 0)}

@@ -28,6 +28,18 @@ BASE_TABLES = (
     "conversations",
 )
 
+# --- fixed values of the registered queries: cut dates, background row, price limits, statements
+TIME_CUTS = ("1997-01-01 00:00:00", "1998-01-01 00:00:00")
+BACKGROUND = {"o_totalprice": 150_000.0, "o_custkey": 750.0}
+PRICE_LIMITS = (1_000.0, 300_000.0)
+STATEMENTS = (
+    ("Half of the good documents are found", "test", None, "recall", ">=", 0.5),
+    ("Longer documents rank above shorter ones", "test", None, "roc_auc", ">", 0.5),
+    ("No document is flagged wrongly", "test", None, "fp", "=", 0.0),
+    ("English documents are flagged precisely", "language", "en", "precision", ">=", 0.5),
+    ("Latin documents are flagged precisely", "language", "la", "precision", ">=", 0.5),
+)
+
 # A census-like table: nulls, blanks, textual nulls, case and accent variants,
 # a constant and an empty column, and text dates in several layouts with failures.
 CENSUS = """

@@ -287,16 +287,3 @@ def subgroup_effects(scored: DataFrame, subgroup: str, target: str, score: str =
     name = F.when(F.col("rows") >= k_min, qcol(subgroup))
     folded = per.groupBy(name.alias(subgroup)).agg(*[F.sum(c).alias(c) for c in ("rows", "s", "t", "ns", "nt")])
     return folded.where(F.col("rows") >= k_min).select(subgroup, "rows", F.try_divide("s", "ns").alias("mean_score"), F.try_divide("t", "nt").alias("observed_rate"))
-
-
-# ---------------------------------------------------------------- L10 report
-def summary_report(sections: dict[str, DataFrame]) -> DataFrame:
-    """One row per section: name and its rows as JSON (each section is a small metrics table)."""
-    parts = [
-        df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("rows")).select(F.lit(name).alias("section"), "rows")
-        for name, df in sections.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

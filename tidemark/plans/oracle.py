@@ -8,7 +8,9 @@ in ``registry.rounded``.
 
 from __future__ import annotations
 
-from tidemark.plans.inputs import duckdb_view
+import math
+
+from tidemark.plans.inputs import BACKGROUND, PRICE_LIMITS, STATEMENTS, TIME_CUTS, duckdb_view
 
 R = 6
 WS = "[ \\t\\n\\x0B\\f\\r]"
@@ -563,11 +565,6 @@ def normalize_columns_sql() -> str:
     return f"SELECT {cols} FROM orders AS o"
 
 
-def name_mapping_sql() -> str:
-    rows = ", ".join(f"({i + 1}, {lit(o)}, {lit(n)})" for i, (o, n, _) in enumerate(MESSY_NORMALIZED))
-    return f"SELECT * FROM (VALUES {rows}) AS v(position, original_name, normalized_name)"
-
-
 def values_preserved_sql() -> str:
     return f"""SELECT a AS only_in_first, b AS only_in_second, a = 0 AND b = 0 AS preserved FROM (
  SELECT (SELECT CAST(count(*) AS BIGINT) FROM (SELECT * FROM {MESSY} AS x EXCEPT ALL SELECT * FROM {MESSY} AS y) AS e) AS a,
@@ -706,15 +703,136 @@ FROM (SELECT l_extendedprice AS t, l_quantity * 1000e0 AS p FROM lineitem) AS x"
 
 
 def explore_sql() -> str:
-    g = """(SELECT c_mktsegment, c_nationkey, CAST(count(*) AS BIGINT) AS rows, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd,
-               min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1, 2)"""
+    g = "(SELECT c_mktsegment, c_nationkey, CAST(count(*) AS BIGINT) AS rows, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY 1, 2)"
     total = "(SELECT count(*) FROM customer)"
-    return f"""WITH g AS {g}
-SELECT c_mktsegment, c_nationkey, rows, {rnd('m')} AS c_acctbal_mean, {rnd('sd')} AS c_acctbal_stddev, {rnd('lo')} AS c_acctbal_min,
-       {rnd('hi')} AS c_acctbal_max, false AS suppressed, {rnd(pct('rows', total))} AS share_pct FROM g WHERE rows >= 10
+    return f"""WITH g AS {g},
+s AS (SELECT *, rows < 10 AS little, coalesce(sum(rows) FILTER (rows < 10) OVER (), 0) AS folded,
+             row_number() OVER (PARTITION BY rows < 10 ORDER BY rows, c_mktsegment NULLS FIRST, c_nationkey NULLS FIRST) AS place FROM g),
+t AS (SELECT *, little OR (folded BETWEEN 1 AND 9 AND place = 1) AS small FROM s)
+SELECT c_mktsegment, c_nationkey, rows, {rnd('m')} AS c_acctbal_mean, {rnd('sd')} AS c_acctbal_stddev, false AS suppressed,
+       {rnd(pct('rows', total))} AS share_pct FROM t WHERE NOT small
 UNION ALL
 SELECT CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(sum(rows) AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
-       CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), true, {rnd(pct('sum(rows)', total))} FROM g WHERE rows < 10 HAVING count(*) > 0"""
+       true, {rnd(pct('sum(rows)', total))} FROM t WHERE small HAVING sum(rows) >= 10"""
+
+
+_SCORED = """(SELECT l.doc_id, d.lang, l.quality AS y, 1e0 - 1e0 / (1e0 + CAST(d.n_chars AS DOUBLE) / 1000e0) AS score
+              FROM labels AS l JOIN documents AS d ON l.doc_id = d.doc_id)"""
+
+
+def time_split_sql() -> str:
+    a, b = TIME_CUTS
+    return f"""SELECT split, rows, {rnd('100e0 * rows / sum(rows) OVER ()')} AS share_pct, positives, {rnd('CAST(positives AS DOUBLE) / rows')} AS positive_rate
+FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP {lit(a)} THEN 'train' WHEN o_orderdate < TIMESTAMP {lit(b)} THEN 'validation' ELSE 'test' END AS split,
+             CAST(count(*) AS BIGINT) AS rows, {cnt("o_orderstatus = 'O'")} AS positives FROM orders GROUP BY 1) AS g"""
+
+
+def calibration_sql() -> str:
+    cuts = ", ".join(f"quantile_cont(score, {i / 10})" for i in range(1, 10))
+    return f"""WITH s AS {_SCORED}, c AS (SELECT [{cuts}] AS cuts FROM s)
+SELECT CAST(len(list_filter(cuts, lambda x: x <= score)) AS INT) AS bin, CAST(count(*) AS BIGINT) AS rows, {rnd('avg(score)')} AS mean_score,
+       {rnd('avg(CAST(y AS DOUBLE))')} AS observed_rate FROM s, c GROUP BY 1"""
+
+
+def subgroup_metrics_sql() -> str:
+    return f"""SELECT lang AS subgroup, rows, {rnd('CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0)')} AS precision,
+       {rnd('CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0)')} AS recall, {rnd('2e0 * tp / NULLIF(2 * tp + fp + fn, 0)')} AS f1
+FROM (SELECT lang, CAST(count(*) AS BIGINT) AS rows, {cnt('y = 1 AND score >= 0.5')} AS tp, {cnt('y = 0 AND score >= 0.5')} AS fp,
+             {cnt('y = 1 AND score < 0.5')} AS fn FROM {_SCORED} AS s GROUP BY lang) AS g"""
+
+
+def subgroup_effects_sql() -> str:
+    return f"""SELECT CASE WHEN n >= 10 THEN lang END AS lang, CAST(sum(n) AS BIGINT) AS rows, {rnd('sum(s) / sum(n)')} AS mean_score, {rnd('sum(t) / sum(n)')} AS observed_rate
+FROM (SELECT lang, count(*) AS n, sum(score) AS s, sum(CAST(y AS DOUBLE)) AS t FROM {_SCORED} AS x GROUP BY lang) AS g
+GROUP BY 1 HAVING sum(n) >= 10"""
+
+
+# Fixed values of the bootstrap: seed, replicates, variates per digest, steps of the score.
+BOOTSTRAP_SEED, REPLICATES, PER_DIGEST, STEPS = 42, 64, 16, 1000
+
+
+def bootstrap_sql() -> str:
+    poisson = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+    limits = ", ".join(str(math.floor(65_536 * p)) for p in poisson)
+    digests = -(-REPLICATES // PER_DIGEST)
+    metrics = "precision recall f1 roc_auc".split()
+    return f"""WITH s AS (SELECT y, greatest(0, least({STEPS}, CAST(floor(score * {STEPS}) AS INT))) AS step, score >= 0.5 AS above,
+  list_transform(range(0, {digests}), lambda d: sha256('{BOOTSTRAP_SEED}:' || doc_id || ':' || d)) AS h FROM {_SCORED} AS x),
+w AS (SELECT y, step, above, unnest(range(-1, {REPLICATES})) AS b, h FROM s),
+u AS (SELECT y, step, above, b, CASE WHEN b < 0 THEN 1 ELSE
+  len(list_filter([{limits}], lambda x: x <= CAST('0x' || substr(h[b // {PER_DIGEST} + 1], b % {PER_DIGEST} * 4 + 1, 4) AS INT))) END AS n FROM w),
+t AS (SELECT b, step, above, sum(n * y) AS pos, sum(n * (1 - y)) AS neg FROM u WHERE n > 0 GROUP BY ALL),
+p AS (SELECT b, step, sum(pos) AS pos, sum(neg) AS neg FROM t GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg * 0.5e0 AS beaten FROM p),
+a AS (SELECT b, sum(pos * beaten) / NULLIF(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS roc_auc FROM r GROUP BY b),
+c AS (SELECT b, coalesce(sum(pos) FILTER (above), 0) AS tp, coalesce(sum(neg) FILTER (above), 0) AS fp, coalesce(sum(pos) FILTER (NOT above), 0) AS fn FROM t GROUP BY b),
+m AS (SELECT b, CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS recall,
+             2e0 * tp / NULLIF(2 * tp + fp + fn, 0) AS f1, roc_auc FROM c JOIN a USING (b)),
+l AS ({union([f"SELECT b, {lit(x)} AS metric, {x} AS value FROM m" for x in metrics])})
+SELECT metric, {rnd('max(value) FILTER (b < 0)')} AS estimate, {rnd('quantile_cont(value, 0.025) FILTER (b >= 0)')} AS low,
+       {rnd('quantile_cont(value, 0.975) FILTER (b >= 0)')} AS high, CAST(count(value) FILTER (b >= 0) AS BIGINT) AS replicates FROM l GROUP BY metric"""
+
+
+def contribution_sql() -> str:
+    f = "ln(1e0 + {} / 1000e0) * (1e0 + {} / 1000e0)".format
+    p0, c0 = (str(BACKGROUND[c]) for c in ("o_totalprice", "o_custkey"))
+    p, c = "o_totalprice", "CAST(o_custkey AS DOUBLE)"
+    price = f"(({f(p, c0)}) - ({f(p0, c0)}) + ({f(p, c)}) - ({f(p0, c)})) / 2"
+    cust = f"(({f(p0, c)}) - ({f(p0, c0)}) + ({f(p, c)}) - ({f(p, c0)})) / 2"
+    return union(
+        [
+            f"SELECT {lit(name)} AS feature, CAST(count(*) AS BIGINT) AS rows, {rnd('avg(v)')} AS mean_contribution, {rnd('avg(abs(v))')} AS mean_absolute, true AS adds_up FROM (SELECT {x} AS v FROM orders) AS {alias}"
+            for name, x, alias in (("o_totalprice", price, "a"), ("o_custkey", cust, "b"))
+        ]
+    )
+
+
+def statements_sql() -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, float) else lit(x) for x in st) + ")" for st in STATEMENTS)
+    test = " ".join(f"WHEN compare = {lit(c)} THEN value {c} bound" for c in (">=", ">", "<=", "<", "="))
+    numbers = ("positives negatives tp fp tn fn precision recall f1 roc_auc pr_auc", "rows precision recall f1")
+    parts = [f"SELECT 'test' AS section, CAST(NULL AS VARCHAR) AS item, {lit(n)} AS metric, CAST({n} AS DOUBLE) AS value FROM ({classification_sql()}) AS x" for n in numbers[0].split()]
+    parts += [f"SELECT 'language', subgroup, {lit(n)}, CAST({n} AS DOUBLE) FROM ({subgroup_metrics_sql()}) AS x" for n in numbers[1].split()]
+    return f"""WITH st(statement, section, item, metric, compare, bound) AS (VALUES {rows}), m AS ({union(parts)}),
+j AS (SELECT st.*, m.value FROM st LEFT JOIN m ON st.section = m.section AND st.item IS NOT DISTINCT FROM m.item AND st.metric = m.metric)
+SELECT statement, section, CAST(item AS VARCHAR) AS item, metric, compare, {rnd('CAST(bound AS DOUBLE)')} AS bound, {rnd('value')} AS value,
+       CASE WHEN value IS NULL THEN 'no metric' WHEN CASE {test} END THEN 'kept' ELSE 'refused' END AS verdict FROM j"""
+
+
+def _cleaning_steps() -> tuple[str, list[tuple[str, list[str]]]]:
+    """The census under the cleaning rules one after the other, and the columns that tell what each rule changed."""
+    texts = [c for c, t in CENSUS_COLS if t == "string"]
+    tokens = ", ".join(lit(x) for x in TEXT_NULL_TOKENS)
+    lo, hi = PRICE_LIMITS
+    rest = lambda chosen: ", ".join(q(c) for c in ["o_orderkey", *(n for n, _ in CENSUS_COLS)] if c not in chosen)
+    a, b = lenient(q("fecha_ingreso"), "string"), lenient(q("fecha_salida"), "string")
+    trimmed = f"SELECT {rest(texts)}, {', '.join(f'{_trim_sql(q(c))} AS {q(c)}' for c in texts)} FROM {CENSUS} AS t0"
+    nulled = f"SELECT {rest(texts)}, {', '.join(f'CASE WHEN upper({fold(q(c))}) IN ({tokens}) THEN NULL ELSE {q(c)} END AS {q(c)}' for c in texts)} FROM ({trimmed}) AS t1"
+    dates = ("fecha_ingreso", "fecha_salida")
+    coherent = f"SELECT {rest(dates)}, {', '.join(f'CASE WHEN ({b}) < ({a}) THEN NULL ELSE {q(c)} END AS {q(c)}' for c in dates)} FROM ({nulled}) AS t2"
+    ranged = f"SELECT {rest(('valor_total',))}, CASE WHEN valor_total < {lo} OR valor_total > {hi} THEN NULL ELSE valor_total END AS valor_total FROM ({coherent}) AS t3"
+    return ranged, [(f"SELECT * FROM {CENSUS} AS t", texts), (trimmed, texts), (nulled, list(dates)), (coherent, ["valor_total"])]
+
+
+def cleaning_contract_sql() -> str:
+    final, steps = _cleaning_steps()
+    names = ("trim_text", "textual_nulls", "incoherent_interval", "extreme_value")
+    after = [sql for sql, _ in steps[1:]] + [final]
+    rows = f"(SELECT CAST(count(*) AS BIGINT) FROM {CENSUS} AS t)"
+    cols = ", ".join(q(c) for c, _ in CENSUS_COLS)
+    parts = []
+    for i, ((before, columns), then, name) in enumerate(zip(steps, after, names, strict=True), 1):
+        changed = " + ".join(f"CAST(a.{q(c)} IS DISTINCT FROM b.{q(c)} AS BIGINT)" for c in columns)
+        parts.append(f"SELECT {i} AS {q('order')}, {lit(name)} AS rule, {rows} AS rows_before, {rows} AS rows_after, CAST(sum({changed}) AS BIGINT) AS cells_changed FROM ({before}) AS a JOIN ({then}) AS b USING (o_orderkey)")
+    parts.append(f"SELECT 5, 'exact_duplicates', {rows}, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT {cols} FROM ({final}) AS f) AS d), CAST(0 AS BIGINT)")
+    return union(parts)
+
+
+def cleaned_table_sql() -> str:
+    final, _ = _cleaning_steps()
+    cols = ", ".join(q(c) for c, _ in CENSUS_COLS)
+    sel = ", ".join(rnd(q(c)) + f" AS {q(c)}" if t == "double" else q(c) for c, t in CENSUS_COLS)
+    return f"SELECT min(o_orderkey) AS o_orderkey, {sel} FROM ({final}) AS f GROUP BY {cols}"
 
 
 def correlations_sql() -> str:
@@ -770,7 +888,37 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 
 
 def list_members_sql() -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({lit(n)})" for n in TABLE_NAMES) + ") AS v(name)"
+    return union([f"SELECT {lit(n)} AS name, CAST(count(*) AS BIGINT) AS rows FROM {n}" for n in TABLE_NAMES])
+
+
+def classified_columns_sql() -> str:
+    return f"""SELECT c.*, n.non_nulls, n.completeness_pct FROM ({classify_sql(CENSUS_COLS)}) AS c
+JOIN ({nulls_by_column_sql(CENSUS, CENSUS_COLS)}) AS n ON c.{q('column')} = n.{q('column')}"""
+
+
+def data_dictionary_sql() -> str:
+    none = "CAST(NULL AS VARCHAR)"
+    return f"""SELECT CAST(n.position AS INT) AS position, c.{q('column')} AS variable, c.data_type, {none} AS description, {none} AS unit, {none} AS availability,
+       c.proposed_group, n.non_nulls AS informed, n.completeness_pct AS informed_pct FROM ({classify_sql(CENSUS_COLS)}) AS c
+JOIN ({nulls_by_column_sql(CENSUS, CENSUS_COLS)}) AS n ON c.{q('column')} = n.{q('column')}"""
+
+
+def evidence_manifest_sql() -> str:
+    tables = {"dimensions": dimensions_sql(CENSUS, CENSUS_COLS), "nulls": nulls_by_column_sql(CENSUS, CENSUS_COLS), "date_failures": date_failures_sql(CENSUS, "o_orderkey", CENSUS_COLS)}
+    parts = [f"SELECT {lit(n)} AS name, true AS exists, true AS has_bytes, CAST(count(*) AS BIGINT) AS rows FROM ({sql}) AS e" for n, sql in tables.items()]
+    return union([*parts, "SELECT 'not_written', false, false, CAST(NULL AS BIGINT)"])
+
+
+def ingestion_metadata_sql() -> str:
+    others = ",".join(n for n in TABLE_NAMES if n != "orders")
+    produced = ",".join(sorted(f"{n}.parquet" for n in TABLE_NAMES))
+    return f"""SELECT '2026-01-01T00:00:00' AS run_time, 'orders' AS member_used, {lit(others)} AS members_ignored, rows, columns, null_cells,
+       (SELECT duplicate_rows FROM ({exact_duplicates_sql(CENSUS, [c for c, _ in CENSUS_COLS])}) AS d) AS duplicate_rows,
+       {lit(produced)} AS produced, CAST(1 AS BIGINT) AS source_files, true AS source_hashed FROM ({dimensions_sql(CENSUS, CENSUS_COLS)}) AS x"""
+
+
+def validation_report_sql() -> str:
+    return f"""SELECT '2026-01-01T00:00:00' AS run_time, r.*, s.* FROM ({row_completeness_sql(CENSUS, CENSUS_COLS)}) AS r, ({validation_summary_sql()}) AS s"""
 
 
 def headed_round_trip_sql() -> str:
@@ -844,8 +992,6 @@ def profile_job_sql() -> str:
 
 def oracles() -> dict[str, str]:
     census, cc = CENSUS, CENSUS_COLS
-    docs = "(SELECT doc_id, text, lang FROM documents)"
-    flags = "(SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem)"
     stay_ts = ("fecha_ingreso", "fecha_salida", "timestamp_ntz", "timestamp_ntz")
     summary = validation_summary_sql()
     return {
@@ -854,14 +1000,11 @@ def oracles() -> dict[str, str]:
         "row_completeness": row_completeness_sql(census, cc),
         "nulls_per_row": nulls_per_row_sql(census, cc),
         "missing_ranking": missing_ranking_sql(census, cc),
-        "exact_duplicates": exact_duplicates_sql(docs, ["text", "lang"]),
-        "exact_duplicates_lineitem": exact_duplicates_sql(flags, ["l_returnflag", "l_linestatus", "l_linenumber"]),
+        "exact_duplicates_documents": exact_duplicates_sql("documents", ["text", "lang", "source", "n_chars"]),
         "exact_duplicates_rows": exact_duplicates_sql("lineitem", LINEITEM_ALL),
         "exact_duplicates_dup_orders": exact_duplicates_sql(duckdb_view("dup_orders"), DUP_ORDERS_COLS),
         "date_layouts": date_layouts_sql(),
         "numeric_summary_persisted": numeric_summary_sql("events", [("user_id", "bigint"), ("value", "double")]),
-        "duplicate_examples": duplicate_examples_sql(docs, ["doc_id"], ["text", "lang"]),
-        "duplicate_row_keys": duplicate_row_keys_sql(docs, ["doc_id"], ["text", "lang"]),
         "duplicate_examples_documents": duplicate_examples_sql("documents", ["doc_id"], ["text", "lang", "source", "n_chars"]),
         "duplicate_examples_dup_orders": duplicate_examples_sql(duckdb_view("dup_orders"), [], DUP_ORDERS_COLS),
         "duplicate_row_keys_documents": duplicate_row_keys_sql("documents", ["doc_id"], ["text", "lang", "source", "n_chars"]),
@@ -897,7 +1040,6 @@ def oracles() -> dict[str, str]:
         "temporal_inconsistencies": temporal_inconsistencies_sql(STAY, ["l_orderkey", "l_linenumber", "l_partkey"], *stay_ts),
         "temporal_consistency_census": temporal_consistency_sql(census, "fecha_ingreso", "fecha_salida", "string", "string"),
         "normalize_columns": normalize_columns_sql(),
-        "name_mapping": name_mapping_sql(),
         "values_preserved": values_preserved_sql(),
         "storage_footprint": storage_sql(census, cc),
         "validation_summary": summary,
@@ -911,9 +1053,23 @@ def oracles() -> dict[str, str]:
         "split_leakage": "SELECT CAST(0 AS BIGINT) AS leaking_groups",
         "explore": explore_sql(),
         "correlations": correlations_sql(),
+        "time_split_report": time_split_sql(),
+        "calibration": calibration_sql(),
+        "subgroup_metrics": subgroup_metrics_sql(),
+        "subgroup_effects": subgroup_effects_sql(),
+        "bootstrap_intervals": bootstrap_sql(),
+        "contribution_summary": contribution_sql(),
+        "supported_statements": statements_sql(),
+        "cleaning_contract": cleaning_contract_sql(),
+        "cleaned_table": cleaned_table_sql(),
         "clean": clean_sql(),
         "clean_report": clean_report_sql(),
         "infer_types": infer_types_sql(),
         "list_members": list_members_sql(),
+        "classified_columns": classified_columns_sql(),
+        "data_dictionary": data_dictionary_sql(),
+        "evidence_manifest": evidence_manifest_sql(),
+        "ingestion_metadata": ingestion_metadata_sql(),
+        "validation_report": validation_report_sql(),
         "read_headed_table": headed_round_trip_sql(),
     }

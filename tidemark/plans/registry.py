@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import operators as O
-from tidemark.functions.columns import qcol
+from tidemark.functions.columns import balanced, qcol
 from tidemark.functions.text import category_key, fold_text
 from tidemark.functions.dates import to_timestamp_lenient
 from tidemark.operators import metrics as M
 from tidemark.operators import outcome as OC
+from tidemark.operators import disclosure as DC
+from tidemark.plans import evaluation as EV
 from tidemark.plans import modeling as ML
-from tidemark.plans.inputs import BASE_TABLES, table
+from tidemark.plans.inputs import BACKGROUND, BASE_TABLES, PRICE_LIMITS, STATEMENTS, TIME_CUTS, table
 from tidemark.plans.job import as_findings, profile_job
 from tidemark.sinks import (
     evidence_manifest,
@@ -30,6 +32,7 @@ from tidemark.sinks import (
     ingestion_metadata,
     stringify_mixed,
     validation_report,
+    write_evidence_csv,
     write_headed_text,
 )
 from tidemark.session import checkpoint_dir
@@ -64,15 +67,6 @@ def _census(spark, sf):
     return table(spark, sf, "census")
 
 
-def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", "lang")
-
-
-def _line_flags(spark, sf):
-    # Three low-cardinality columns: a few groups hold most of the rows.
-    return table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
-
-
 def _op(source, op, key=None, **kw) -> Query:
     return lambda spark, sf: rounded(op(source(spark, sf), key, **kw))
 
@@ -110,11 +104,6 @@ def _normalized(spark, sf):
     return rounded(renamed)
 
 
-def _name_mapping(spark, sf):
-    _, mapping = O.normalize_columns(table(spark, sf, "messy_orders"))
-    return mapping
-
-
 def _values_preserved(spark, sf):
     original = table(spark, sf, "messy_orders")
     renamed, _ = O.normalize_columns(original)
@@ -175,14 +164,11 @@ QUERIES: dict[str, Query] = {
     "nulls_per_row": _op(_census, O.nulls_per_row, CENSUS_KEY),
     "missing_ranking": _op(_census, O.missing_ranking, CENSUS_KEY),
     # E: duplicates
-    "exact_duplicates": _op(_docs, O.exact_duplicates, "doc_id"),
-    "exact_duplicates_lineitem": _op(_line_flags, O.exact_duplicates),
+    "exact_duplicates_documents": _op(_t("documents"), O.exact_duplicates, "doc_id"),
     "exact_duplicates_rows": _op(_t("lineitem"), O.exact_duplicates),
     "exact_duplicates_dup_orders": _op(_t("dup_orders"), O.exact_duplicates),
     "date_layouts": _date_layouts,
     "numeric_summary_persisted": _persisted_summary,
-    "duplicate_examples": _op(_docs, O.duplicate_examples, "doc_id"),
-    "duplicate_row_keys": _op(_docs, O.duplicate_row_keys, "doc_id"),
     "duplicate_examples_documents": _op(_t("documents"), O.duplicate_examples, "doc_id"),
     "duplicate_examples_dup_orders": _op(_t("dup_orders"), O.duplicate_examples),
     "duplicate_row_keys_documents": _op(_t("documents"), O.duplicate_row_keys, "doc_id"),
@@ -223,7 +209,6 @@ QUERIES: dict[str, Query] = {
     "temporal_consistency_census": _op(_census, O.temporal_consistency, CENSUS_KEY, **DATE_KW),
     # C: names, schema, storage
     "normalize_columns": _normalized,
-    "name_mapping": _name_mapping,
     "values_preserved": _values_preserved,
     "storage_footprint": _op(_census, O.storage_footprint, CENSUS_KEY),
     # J: consolidation
@@ -291,7 +276,14 @@ def _clean_report(spark, sf):
 
 
 def _data_dictionary(spark, sf):
-    return OC.data_dictionary(_census(spark, sf), CENSUS_KEY)
+    return rounded(OC.data_dictionary(_census(spark, sf), CENSUS_KEY).drop("missing_fields"))
+
+
+def _classified(spark, sf):
+    """Proposed groups with what is known of their columns: how much of each is informed."""
+    census = _census(spark, sf)
+    groups = O.classify_variables(census, CENSUS_KEY)
+    return rounded(groups.join(F.broadcast(O.nulls_by_column(census, CENSUS_KEY).select("column", "non_nulls", "completeness_pct")), "column"))
 
 
 def _infer_types(spark, sf):
@@ -301,7 +293,10 @@ def _infer_types(spark, sf):
 
 
 def _members(spark, sf):
-    return list_members(spark, sf)
+    """The tables of the folder with their rows."""
+    names = sorted(r["name"] for r in list_members(spark, sf).collect())  # a name per table
+    parts = [spark.read.parquet(f"{sf}/{n}.parquet").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
+    return balanced(DataFrame.unionByName, parts)
 
 
 def _baseline(spark, sf):
@@ -310,8 +305,73 @@ def _baseline(spark, sf):
     return rounded(ML.baseline(train, valid, ["score"], "quality"))
 
 
+def _scored_by_lang(spark, sf):
+    lang = table(spark, sf, "documents").select("doc_id", "lang")
+    return _scored_docs(spark, sf).join(lang, "doc_id")
+
+
+def _time_split_report(spark, sf):
+    split = ML.time_split(table(spark, sf, "orders"), "o_orderdate", *TIME_CUTS)
+    return rounded(ML.split_report(split.withColumn("open", (F.col("o_orderstatus") == "O").cast("int")), "open"))
+
+
+def _calibration(spark, sf):
+    return rounded(ML.calibration(_scored_docs(spark, sf), "quality", "score", bins=10))
+
+
+def _subgroup_metrics(spark, sf):
+    return rounded(ML.subgroup_metrics(_scored_by_lang(spark, sf), "quality", "lang"))
+
+
+def _subgroup_effects(spark, sf):
+    return rounded(ML.subgroup_effects(_scored_by_lang(spark, sf), "lang", "quality"))
+
+
+def _intervals(spark, sf):
+    return rounded(EV.bootstrap_intervals(_scored_docs(spark, sf), "doc_id", "quality"))
+
+
+def _explained(spark, sf):
+    """Shares of two features in a score that is no sum of them."""
+    score = F.log1p(F.col("o_totalprice") / 1000.0) * (1.0 + F.col("o_custkey") / 1000.0)
+    explained = EV.contributions(table(spark, sf, "orders"), "o_orderkey", list(BACKGROUND), lambda df: df.withColumn("prediction", score), BACKGROUND, orders=2)
+    off = F.max(F.abs(F.col("whole") - (F.col("prediction") - F.col("base"))))
+    rows = explained.groupBy("o_orderkey", "prediction", "base").agg(F.sum("contribution").alias("whole")).agg((off < 1e-9).alias("adds_up"))
+    return rounded(EV.contribution_summary(explained).withColumn("adds_up", rows.scalar()))
+
+
+def _statements(spark, sf):
+    scored = _scored_by_lang(spark, sf)
+    metrics = EV.metric_rows({"test": M.classification_metrics(scored, "quality", "score"), "language": ML.subgroup_metrics(scored, "quality", "lang")}, {"language": "subgroup"})
+    return rounded(EV.supported(STATEMENTS, metrics))
+
+
+def _protected(spark, sf):
+    return DC.protected_table(table(spark, sf, "customer"), "c_mktsegment", "c_nationkey", k_min=10)
+
+
+def _cleaning(spark, sf):
+    _, report = OC.clean_to(_census(spark, sf), _scratch(spark, "clean"), CENSUS_KEY, intervals=[("fecha_ingreso", "fecha_salida")], extremes={"valor_total": PRICE_LIMITS})
+    return report
+
+
+def _cleaned(spark, sf):
+    cleaned, _ = OC.clean_to(_census(spark, sf), _scratch(spark, "clean"), CENSUS_KEY, intervals=[("fecha_ingreso", "fecha_salida")], extremes={"valor_total": PRICE_LIMITS})
+    return rounded(cleaned)
+
+
 QUERIES.update(
     {
+        "time_split_report": _time_split_report,
+        "calibration": _calibration,
+        "subgroup_metrics": _subgroup_metrics,
+        "subgroup_effects": _subgroup_effects,
+        "bootstrap_intervals": _intervals,
+        "contribution_summary": _explained,
+        "supported_statements": _statements,
+        "protected_table": _protected,
+        "cleaning_contract": _cleaning,
+        "cleaned_table": _cleaned,
         "length_of_stay": _stay_hours,
         "classification_metrics": _classification,
         "regression_metrics": _regression,
@@ -322,6 +382,7 @@ QUERIES.update(
         "clean": _clean,
         "clean_report": _clean_report,
         "data_dictionary": _data_dictionary,
+        "classified_columns": _classified,
         "infer_types": _infer_types,
         "list_members": _members,
         "baseline": _baseline,
@@ -329,7 +390,7 @@ QUERIES.update(
 )
 
 
-# ---------------------------------------------------------------- lineage (rows-only: paths and hashes)
+# ---------------------------------------------------------------- lineage
 
 
 def _table_paths(sf):
@@ -341,27 +402,38 @@ def _fingerprints(spark, sf):
 
 
 def _manifest(spark, sf):
-    return evidence_manifest(spark, [*_table_paths(sf), f"{sf}/not_written.parquet"])
+    """Evidence of the census written as CSV, and what the manifest and the files say of it."""
+    census, folder = _census(spark, sf), _scratch(spark, "evidence")
+    tables = {"dimensions": O.dimensions(census, CENSUS_KEY), "nulls": O.nulls_by_column(census, CENSUS_KEY), "date_failures": O.date_failures(census, CENSUS_KEY, **DATE_KW)}
+    paths = {n: write_evidence_csv(t, f"{folder}/{n}.csv") for n, t in tables.items()}
+    rows = [spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n, path in paths.items()]
+    listed = evidence_manifest(spark, [*paths.values(), f"{folder}/not_written.csv"])
+    told = listed.select(F.regexp_extract("path", "([^/]+)[.]csv$", 1).alias("name"), "exists", (F.coalesce("bytes", F.lit(0)) > 0).alias("has_bytes"))
+    return told.join(F.broadcast(balanced(DataFrame.unionByName, rows)), "name", "left")
 
 
 def _ingestion(spark, sf):
     census = _census(spark, sf)
-    return ingestion_metadata(
+    meta = ingestion_metadata(
         census,
         [f"{sf}/orders.parquet"],
         None,
-        produced=_table_paths(sf),
+        produced=[f"{t}.parquet" for t in BASE_TABLES],
         required_member="orders",
         ignored_members=[t for t in BASE_TABLES if t != "orders"],
         run_time=AS_OF,
         key=CENSUS_KEY,
     )
+    # Versions, hashes and paths differ from run to run; what the tables say does not.
+    source = F.get("sources", F.lit(0))
+    return meta.select("run_time", "member_used", F.array_join("members_ignored", ",").alias("members_ignored"), "rows", "columns", "null_cells", "duplicate_rows", F.array_join("produced", ",").alias("produced"), source["files"].alias("source_files"), (F.length(source["sha256"]) == 64).alias("source_hashed"))
 
 
 def _report(spark, sf):
     census = _census(spark, sf)
     summary = O.validation_summary(census, CENSUS_KEY, **DATE_KW)
-    return validation_report(summary, O.row_completeness(census, CENSUS_KEY), run_time=AS_OF)
+    report = validation_report(summary, O.row_completeness(census, CENSUS_KEY), run_time=AS_OF)
+    return rounded(report.select("run_time", "all_null_rows", "rows_with_nulls", "complete_rows", F.inline("summary")))
 
 
 QUERIES.update(

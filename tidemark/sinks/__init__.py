@@ -148,14 +148,18 @@ def ingestion_metadata(
     run_time = run_time or _dt.datetime.now(_dt.timezone.utc)
     dims = dimensions(df, key)
     dups = exact_duplicates(df, key)
-    prints = fingerprint_files(spark, source_paths).agg(
-        F.sort_array(F.collect_list(F.struct("path", "length", "sha256"))).alias("sources")
-    )
+    # One entry per path that the caller names: its files, their bytes, and the hash where it is a single file.
+    sources = [
+        fingerprint_files(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("length"), F.max("sha256").alias("sha256")).select(
+            F.struct(F.lit(path).alias("path"), "files", "length", F.when(F.col("files") == 1, F.col("sha256")).alias("sha256"))
+        ).scalar()
+        for path in source_paths
+    ]
     out = dims.select(
         F.lit(run_time.isoformat()).alias("run_time"),
         F.lit(platform.python_version()).alias("python_version"),
         F.lit(pyspark.__version__).alias("spark_version"),
-        prints.select("sources").scalar().alias("sources"),
+        F.array(*sources).alias("sources"),
         F.lit(required_member).cast("string").alias("member_used"),
         F.array(*[F.lit(m) for m in ignored_members]).cast("array<string>").alias("members_ignored"),
         F.col("rows"),
