@@ -5,7 +5,7 @@ stage's result as Parquet and reads it again as the next one's documents.
 
 * quality rules: rejected documents go; of the others, lines that break a rule;
 * near-duplicates: of each component of near copies, the document of least id stays
-  (of rows that share an id, one; rows without an id all stay);
+  (of rows that share an id, one; a row without an id only if none of them has one);
 * decontamination: documents that a benchmark contaminates go;
 * secrets: every span found is masked in the text;
 * mixing: documents that the mix does not take go; ``taken`` has the words taken,
@@ -39,20 +39,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _with_text(where_computed(quality_rules.assess(docs), F.col("kept")), docs.columns, F.col("clean_text"))
 
 
+def _dedup_key(docs: DataFrame) -> Column:
+    """The id, or a number beyond all ids from the text's hash: rows without an id are copies like any others, and leave rows with one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = simhash.near_duplicates(docs)
+    keyed = docs.select(F.struct("*").alias("row"), _dedup_key(docs).alias("key"), F.col("text"))
+    labels = simhash.near_duplicates(keyed, id_col="key")
     stay = durable(labels.where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count("*").alias("rows")))
-    key = F.col("doc_id").cast("long")
-    once = docs.join(stay.where("rows = 1").select("id"), key == F.col("id"), "left_semi")
-    parts = [once, docs.where(key.isNull())]
-    again = stay.where("rows > 1").select("id")
-    if not again.isEmpty():
-        repeated = docs.join(again, key == F.col("id"), "left_semi")
-        parts.append(repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    once = keyed.join(stay.where("rows = 1").select(F.col("id").alias("key")), "key", "left_semi").select("row.*")
+    again = stay.where("rows > 1").select(F.col("id").alias("key"))
+    if again.isEmpty():
+        return once
+    repeated = keyed.join(again, "key", "left_semi")
+    return once.unionByName(repeated.groupBy("key").agg(F.min_by("row", F.struct("text")).alias("row")).select("row.*"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
