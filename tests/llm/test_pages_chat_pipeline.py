@@ -182,6 +182,16 @@ def test_pipeline_stage_by_stage(spark, corpus, tmp_path):
     assert set(columns) <= set(docs.columns)
 
 
+def test_dedup_without_ids(spark, corpus):
+    import corpus_pipeline
+
+    _, texts = corpus
+    rows = [(None, texts[1], "x"), (None, texts[1], "y"), (7, texts[2], "x"), (None, texts[2], "y"), (9, texts[2], "z"), (None, None, "n"), (None, None, "n"), (11, texts[6], "a"), (11, texts[6], "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, texts[1]), (7, texts[2]), (None, None), (11, texts[6])], key=str)
+
+
 def test_pipeline_on_an_empty_table(spark, corpus, tmp_path):
     import corpus_pipeline
 
