@@ -350,27 +350,32 @@ def test_secrets_in_one_long_text(spark):
     assert row.masked == "".join(out) + t[at:]
 
 
-def test_language_model(docs):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, order):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    got = by_id(ngram_lm.score_texts(docs, held).collect(), "id")
+    got = by_id(ngram_lm.score_texts(docs, held, order=order).collect(), "id")
     rows = [(i, texts()[i]) for i, rs in got.items() for _ in rs]
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     tokens = {i: ["<s>", *re.findall(WORD, lower(t or "")), "</s>"] for i, t in rows}
-    c, pairs, before = collections.Counter(), collections.Counter(), collections.Counter()
+    c, pairs, before, triples = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
     for i, _ in rows:
         if not out[i]:
             c.update(tokens[i][1:])
             pairs.update(zip(tokens[i], tokens[i][1:]))
             before.update(tokens[i][:-1])
+            triples.update(zip(tokens[i], tokens[i][1:], tokens[i][2:]))
     n, v, mu = sum(c.values()), len(c), ngram_lm.MU
     for i, w in tokens.items():
         word = [(c[x] + 1) / (n + v + 1) for x in w[1:]]
-        exact = sum(math.log10(pairs[x, y] / (before[x] + mu) + mu / (before[x] + mu) * p) for x, y, p in zip(w, w[1:], word))
+        p = [pairs[x, y] / (before[x] + mu) + mu / (before[x] + mu) * q for x, y, q in zip(w, w[1:], word)]
+        if order == 3:
+            p[1:] = [triples[x, y, z] / (pairs[x, y] + mu) + mu / (pairs[x, y] + mu) * q for x, y, z, q in zip(w, w[1:], w[2:], p[1:])]
+        exact = sum(map(math.log10, p))
         for r in got[i]:
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(w) - 1, sum(c[x] > 0 for x in w[1:]), n)
             assert r.base_score == pytest.approx(sum(map(math.log10, word)), rel=1e-9)
             # Quantised downwards, by less than a step a token.
-            assert exact - len(w) / ngram_lm.STEP <= r.score <= exact + 1e-9
+            assert exact - (order - 1) * len(w) / ngram_lm.STEP <= r.score <= exact + 1e-9
 
 
 def test_elias_fano_finds_what_is_there():

@@ -1,29 +1,34 @@
-"""Language-model scoring with a sharded Elias-Fano bigram trie.
+"""Language-model scoring with a sharded Elias-Fano n-gram trie (order 2 or 3).
 
 Model. With c the training counts, N tokens and V distinct tokens,
 
-    P(w)     = (c(w) + 1) / (N + V + 1)
-    P(w | v) = c(v, w) / (c(v) + MU) + MU / (c(v) + MU) * P(w)
+    P(w)        = (c(w) + 1) / (N + V + 1)
+    P(w | v)    = c(v, w) / (c(v) + MU) + MU / (c(v) + MU) * P(w)
+    P(w | u, v) = c(u, v, w) / (c(u, v) + MU) + MU / (c(u, v) + MU) * P(w | v)
 
-which adds up to one over the vocabulary and one unknown word (Dirichlet
-smoothing). The first term is what the trie holds, quantised downwards.
+which add up to one over the vocabulary and one unknown word (Dirichlet
+smoothing). The trie holds the first terms and, of order 3, the weights of the
+second ones, quantised downwards.
 
 Trie. Tokens are named by 64-bit hashes. Level 1 is the sorted contexts, level 2
-each context's successors (``SUCCESSOR`` bytes of their hash), both Elias-Fano
-coded: low bytes in an array, the rest in a bit vector in unary, which is the
-monotone pointer of each context to its successors. A look-up finds the context,
-takes its range from two selects and searches the successor inside that range
-only. Quantised probabilities lie beside level 2. The levels of a shard are one
-memory map, built and queried in the task that owns the shard.
+each context's successors (``SUCCESSOR`` bytes of their hash), level 3 each pair's
+successors, all Elias-Fano coded: low bytes in an array, the rest in a bit vector in
+unary, which is the monotone pointer of each node to its successors. A look-up finds
+the context, takes its range from two selects and searches the successor inside that
+range only, and so on from the pair found. Quantised probabilities lie beside the
+levels. The levels of a shard are one memory map, built and queried in the task that
+owns the shard.
 
 Flow. The trie is never whole in one place:
 
 1. Word counts are grouped by hash; they give N, V and the few contexts that are
    more than a fair share of a shard (at most ``8 x shards`` of them).
 2. Each block of texts sends every shard one packed row: its words and its
-   distinct pairs, with their counts in the block's training texts. A frequent
-   pair is one entry per block. The pairs of a frequent context are dealt to many
-   shards by successor.
+   distinct pairs (and what follows them), with their counts in the block's training
+   texts. A frequent pair is one entry per block. The pairs of a frequent context are
+   dealt to many shards by successor. Blocks grow with the number of shards
+   (``ROW_BYTES`` of text each), so there are as many packed rows as the corpus has
+   such pieces, however many shards hold the trie.
 3. A shard adds the counts up, builds its trie, looks every block's words and
    pairs up and sends each block one packed row with the answers.
 4. A block's texts are scored from the answers.
@@ -48,6 +53,8 @@ from tidemark.llm.common import durable, with_python
 
 MU = 100.0
 BLOCK_BYTES = 12 << 20
+#: Bytes of text, at least, that a block has for every shard it writes a row to.
+ROW_BYTES = 12 << 10
 START, END = b" ", b"\n"  # no word is one of these
 SUCCESSOR = 5
 STEP = 256  # quantised probabilities: steps per decade
@@ -142,13 +149,19 @@ class Trie:
 
     CONTEXT_LOW = 6
 
-    def __init__(self, contexts: np.ndarray, pairs: np.ndarray, codes: np.ndarray) -> None:
-        """``contexts``: sorted hashes; ``pairs``: sorted (context's rank, successor) keys; ``codes``: of the pairs."""
+    def __init__(self, contexts: np.ndarray, pairs: np.ndarray, codes: np.ndarray, rest: np.ndarray | None = None, triples: np.ndarray | None = None, triple_codes: np.ndarray | None = None) -> None:
+        """``contexts``: sorted hashes; ``pairs``: sorted (context's rank, successor) keys; ``codes``: of the pairs.
+
+        For order 3 also ``rest`` (codes of the pairs' weights as contexts), ``triples``
+        (sorted (pair's rank, successor) keys) and their codes.
+        """
         levels = [
             *EliasFano.parts(contexts, self.CONTEXT_LOW, 1 << 8 * (8 - self.CONTEXT_LOW)),
             *EliasFano.parts(pairs, SUCCESSOR, max(1, len(contexts))),
             codes,
         ]
+        if triples is not None:
+            levels += [*EliasFano.parts(triples, SUCCESSOR, max(1, len(pairs))), triple_codes, rest]
         self.size = sum(-(-a.nbytes // 8) * 8 for a in levels)
         self.memory = mmap.mmap(-1, max(8, self.size))
         views, at = [], 0
@@ -159,15 +172,34 @@ class Trie:
         self.contexts = EliasFano(*views[0:3], low=self.CONTEXT_LOW)
         self.pairs = EliasFano(*views[3:6], low=SUCCESSOR)
         self.codes = views[6]
+        if triples is not None:
+            self.triples = EliasFano(*views[7:10], low=SUCCESSOR)
+            self.triple_codes, self.rest = views[10:12]
+
+    def _below(self, level: EliasFano, parents: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Place in a level of each successor of its parent's place; -1 if the parent or the successor is not there."""
+        out = np.full(len(parents), -1, np.int64)
+        known = np.flatnonzero(parents >= 0)
+        out[known] = level.find((parents[known].astype(np.uint64) << np.uint64(8 * SUCCESSOR)) | successors[known])
+        return out
+
+    def find_pairs(self, contexts: np.ndarray, of: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Places of pairs; pair k has context ``contexts[of[k]]``."""
+        return self._below(self.pairs, self.contexts.find(contexts)[of], successors)
 
     def look(self, contexts: np.ndarray, of: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Codes of pairs (0: not in the trie); pair k has context ``contexts[of[k]]``."""
-        rank = self.contexts.find(contexts)[of]
-        out = np.zeros(len(of), np.uint16)
-        known = np.flatnonzero(rank >= 0)
-        found = self.pairs.find((rank[known].astype(np.uint64) << np.uint64(8 * SUCCESSOR)) | successors[known])
-        out[known[found >= 0]] = self.codes[found[found >= 0]]
-        return out
+        """Codes of pairs (0: not in the trie)."""
+        return _coded(self.codes, self.find_pairs(contexts, of, successors))
+
+    def look_on(self, pairs: np.ndarray, of: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs' weights, and of triples; triple k goes on from the pair at place ``pairs[of[k]]``."""
+        return _coded(self.rest, pairs), _coded(self.triple_codes, self._below(self.triples, pairs[of], successors))
+
+
+def _coded(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(places), np.uint16)
+    out[places >= 0] = codes[places[places >= 0]]
+    return out
 
 
 def code(p: np.ndarray) -> np.ndarray:
@@ -224,8 +256,8 @@ class Block:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens, self.token_train(), len(self.vocab)).astype(np.int64)
 
-    def requests(self, shards: int, hot: tuple[np.ndarray, np.ndarray]) -> tuple[dict, np.ndarray]:
-        """Per shard its words and pairs (indices), and per predicted token the index of its pair."""
+    def requests(self, shards: int, hot: tuple[np.ndarray, np.ndarray], length: int = 2) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Per shard its words, pairs and triples (indices), and per predicted token the index of its pair and triple (or -1)."""
         at = self.pair_ends()
         ctx, nxt = self.tokens[at - 1].astype(np.int64), self.tokens[at].astype(np.int64)
         keys, of = np.unique(ctx * len(self.vocab) + nxt, return_inverse=True)
@@ -243,13 +275,35 @@ class Block:
         word_order = np.lexsort((np.arange(len(self.vocab)), home))
         pair_cut = np.searchsorted(shard[order], np.arange(shards + 1))
         word_cut = np.searchsorted(home[word_order], np.arange(shards + 1, dtype=np.uint64))
+        triple_order, triple_cut, of_triple = self._triples(at, of, order, pair_cut) if length > 2 else (order[:0], np.zeros(shards + 1, np.int64), np.full(len(at), -1))
         asked = {}
         for s in range(shards):
             p, w = order[pair_cut[s] : pair_cut[s + 1]], word_order[word_cut[s] : word_cut[s + 1]]
             if len(p) or len(w):
-                asked[s] = (w, p)
+                asked[s] = (w, p, triple_order[triple_cut[s] : triple_cut[s + 1]])
         self.pair_ctx, self.pair_succ, self.pair_counts = ctx, succ, counts
-        return asked, of
+        return asked, of, of_triple
+
+    def _triples(self, at: np.ndarray, of: np.ndarray, order: np.ndarray, pair_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Triples in the order of their first pair in ``order``, where each shard's begin, and per predicted token its triple or -1."""
+        on = np.flatnonzero(np.diff(at, prepend=-2) == 1)  # the token before is predicted too
+        keys, of_key = np.unique(of[on - 1].astype(np.int64) * len(self.vocab) + self.tokens[at[on]], return_inverse=True)
+        self.triple_counts = np.bincount(of_key, self.token_train()[at[on]], len(keys)).astype(np.int64)
+        self.triple_pair = keys // len(self.vocab)
+        self.triple_succ = self.vocab[keys % len(self.vocab)] & np.uint64((1 << 8 * SUCCESSOR) - 1)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first = place[self.triple_pair]
+        by = np.lexsort((self.triple_succ, first))
+        of_triple = np.full(len(at), -1)
+        of_triple[on] = of_key
+        return by, np.searchsorted(first[by], pair_cut), of_triple
+
+    def following(self, p: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        """Of a shard's pairs, how many triples go on from each, and those triples' successors and counts."""
+        place = np.full(len(self.pair_ctx), -1, np.int64)
+        place[p] = np.arange(len(p))
+        return [np.bincount(place[self.triple_pair[t]], minlength=len(p)).astype(np.uint32), self.triple_succ[t], self.triple_counts[t].astype(np.uint32)]
 
 
 SCHEMA = "shard int, block string, answer boolean, data binary"
@@ -286,14 +340,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block.vocab[seen].view(np.int64)), pa.array(n[seen])], names=["word", "n"])
 
 
-def _ask(shards: int, hot):
+def _ask(shards: int, hot, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from xxhash import xxh64_hexdigest, xxh64_intdigest
 
         spread = (hot.value[0], hot.value[1])
-        for number, (ids, block) in enumerate(_blocks(batches)):
-            asked, _ = block.requests(shards, spread)
+        for number, (ids, block) in enumerate(_blocks(batches, max(BLOCK_BYTES, shards * ROW_BYTES))):
+            asked, _, _ = block.requests(shards, spread, order)
             missing = np.array([i is None for i in ids], bool)
             own = pack(np.array([0 if i is None else i for i in ids], np.int64), missing, block.train, block.lengths, block.tokens, _gaps(block.vocab))
             # The name ties answers to the block's own row. It has the contents' hash, so answers to
@@ -301,9 +355,10 @@ def _ask(shards: int, hot):
             name = f"{TaskContext.get().partitionId()}.{number}.{xxh64_hexdigest(own)}"
             rows = [(xxh64_intdigest(name) % shards, name, None, own)]
             counts = block.word_counts()
-            for s, (w, p) in asked.items():
+            for s, (w, p, t) in asked.items():
                 ctx, per = np.unique(block.pair_ctx[p], return_counts=True)
-                rows.append((s, name, False, pack(_gaps(block.vocab[w]), counts[w].astype(np.uint32), _gaps(block.vocab[ctx]), per.astype(np.uint32), block.pair_succ[p], block.pair_counts[p].astype(np.uint32))))
+                more = block.following(p, t) if order > 2 else []
+                rows.append((s, name, False, pack(_gaps(block.vocab[w]), counts[w].astype(np.uint32), _gaps(block.vocab[ctx]), per.astype(np.uint32), block.pair_succ[p], block.pair_counts[p].astype(np.uint32), *more)))
                 if len(rows) >= 64:
                     yield _row(rows)
                     rows = []
@@ -326,16 +381,18 @@ def _answer(hot, mu: float):
             return
         parts = []
         for _, _, _, data in asked:
-            words, n, ctx, per, succ, m = unpack(data)
-            parts.append((np.cumsum(words, dtype=np.uint64), n.astype(np.int64), np.cumsum(ctx, dtype=np.uint64), per.astype(np.int64), succ, m.astype(np.int64)))
+            words, n, ctx, per, succ, m, *more = unpack(data)
+            parts.append((np.cumsum(words, dtype=np.uint64), n.astype(np.int64), np.cumsum(ctx, dtype=np.uint64), per.astype(np.int64), succ, m.astype(np.int64), *more))
         words, of_word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         totals = np.bincount(of_word, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
         trie = _trie(parts, words, totals, hot.value, mu)
         done = 0
-        for (s, name, _, _), (w, _, ctx, per, succ, _) in zip(asked, parts, strict=True):
+        for (s, name, _, _), (w, _, ctx, per, succ, _, *more) in zip(asked, parts, strict=True):
             own = totals[of_word[done : done + len(w)]]
             done += len(w)
-            yield _row([(s, name, True, pack(own.astype(np.uint64), trie.look(ctx, np.repeat(np.arange(len(ctx)), per), succ)))])
+            found = trie.find_pairs(ctx, np.repeat(np.arange(len(ctx)), per), succ)
+            on = trie.look_on(found, np.repeat(np.arange(len(succ)), more[0].astype(np.int64)), more[1]) if more else ()
+            yield _row([(s, name, True, pack(own.astype(np.uint64), _coded(trie.codes, found), *on))])
 
     return run
 
@@ -347,6 +404,7 @@ def _trie(parts: list[tuple], words: np.ndarray, totals: np.ndarray, hot: tuple,
     of_pair = np.repeat(of, np.concatenate([p[3] for p in parts]))
     keys, of_key = np.unique((of_pair.astype(np.uint64) << low) | np.concatenate([p[4] for p in parts]), return_inverse=True)
     counts = np.bincount(of_key, np.concatenate([p[5] for p in parts]), len(keys)).astype(np.int64)
+    place = np.cumsum(counts > 0) - 1
     keys, counts = keys[counts > 0], counts[counts > 0]
     # A frequent context's count is known from the word counts; any other is at home here.
     whole = np.zeros(len(contexts), np.int64)
@@ -359,25 +417,39 @@ def _trie(parts: list[tuple], words: np.ndarray, totals: np.ndarray, hot: tuple,
         is_hot = hot_hash[at] == contexts
         whole[is_hot] = hot_count[at[is_hot]]
     p = counts / (whole[(keys >> low).astype(np.int64)] + mu)
-    return Trie(contexts, keys, code(p))
-
-
-def _score(total: int, distinct: int, shards: int, hot, mu: float):
+    if len(parts[0]) == 6:
+        return Trie(contexts, keys, code(p))
+    per, succ, n = (np.concatenate([part[k] for part in parts]) for k in (6, 7, 8))
+    trained = n > 0  # then the pair has a place of its own
+    of_triple = place[np.repeat(of_key, per.astype(np.int64))][trained]
+    triples, of_key3 = np.unique((of_triple.astype(np.uint64) << low) | succ[trained], return_inverse=True)
+    counts3 = np.bincount(of_key3, n[trained].astype(np.int64), len(triples))
+    p3 = counts3 / (counts[(triples >> low).astype(np.int64)] + mu)
+    return Trie(contexts, keys, code(p), code(mu / (counts + mu)), triples, code(p3))
+
+
+def _score(total: int, distinct: int, shards: int, hot, mu: float, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block_scores(own: bytes, answers: dict[int, bytes]) -> pa.RecordBatch:
             ids, missing, train, lengths, tokens, gaps = unpack(own)
             block = Block(np.cumsum(gaps, dtype=np.uint64), tokens, lengths, train)
-            asked, of = block.requests(shards, (hot.value[0], hot.value[1]))
+            asked, of, of_triple = block.requests(shards, (hot.value[0], hot.value[1]), order)
             counts, codes = np.zeros(len(block.vocab), np.int64), np.zeros(len(block.pair_ctx), np.uint16)
-            for s, (w, p) in asked.items():
-                got_counts, got_codes = unpack(answers[s])
-                counts[w], codes[p] = got_counts.astype(np.int64), got_codes
+            rest, codes3 = np.zeros(len(codes), np.uint16), np.zeros(int(of_triple.max(initial=-1)) + 1, np.uint16)
+            for s, (w, p, t) in asked.items():
+                got_counts, codes[p], *on = unpack(answers[s])
+                counts[w] = got_counts.astype(np.int64)
+                if on:
+                    rest[p], codes3[t] = on
             at = block.pair_ends()
             text = np.repeat(np.arange(len(ids)), lengths)[at]
             c = counts[tokens[at]]
             p_word = (c + 1) / (total + distinct + 1)
             before = counts[tokens[at - 1]]
             p = decode(codes[of]) + mu / (before + mu) * p_word
+            on = np.flatnonzero(of_triple >= 0)
+            weight = rest[of[on - 1]]  # of the pair before; a pair that training lacks leaves all to the shorter context
+            p[on] = decode(codes3[of_triple[on]]) + np.where(weight > 0, decode(weight), 1.0) * p[on]
             n = len(ids)
             arrays = [
                 pa.array(np.ma.array(ids, mask=missing), pa.int64(), from_pandas=True) if not missing.any() else pa.array([None if m else int(i) for i, m in zip(ids, missing, strict=True)], pa.int64()),
@@ -406,11 +478,14 @@ def _score(total: int, distinct: int, shards: int, hot, mu: float):
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, order: int = 2) -> DataFrame:
     """Per row: ``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
-    ``held_out`` says which rows are scored only; all others are learned from.
+    ``held_out`` says which rows are scored only; all others are learned from. ``order``
+    is 2 or 3. Ids are whole numbers.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = with_python(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 4 * partitions
@@ -423,10 +498,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     share = max(1, total // (8 * shards))
     often = counts.where(F.col("n") > share).orderBy(F.col("n").desc(), "word").limit(16 * shards).collect()  # fewer than 8 x shards words can be so frequent
     hashes = np.array([r["word"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
+    by = np.argsort(hashes)
     spread = np.array([min(shards, 1 + r["n"] // share) for r in often], np.uint64)
-    hot = spark.sparkContext.broadcast((hashes[order], spread[order], np.array([r["n"] for r in often], np.int64)[order]))
-    asked = texts.mapInArrow(_ask(shards, hot), SCHEMA).repartition(partitions, "shard")
+    hot = spark.sparkContext.broadcast((hashes[by], spread[by], np.array([r["n"] for r in often], np.int64)[by]))
+    asked = texts.mapInArrow(_ask(shards, hot, order), SCHEMA).repartition(partitions, "shard")
     answered = asked.mapInArrow(_answer(hot, mu), SCHEMA).repartition(partitions, "block").sortWithinPartitions("block")
-    scored = answered.mapInArrow(_score(total, distinct, shards, hot, mu), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = answered.mapInArrow(_score(total, distinct, shards, hot, mu, order), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
