@@ -184,6 +184,10 @@ def test_quality_rules(docs):
         ("WIN!! NOW!! BIG!! PRIZE!! TODAY!!", False),
         ("one## two$$ three%% four&&", False),
         ("All rights reserved by the company.", False),
+        ("Alle Rechte vorbehalten, die Firma.", False),
+        ("TOUS DROITS RÉSERVÉS à la maison.", False),
+        ("Todos los derechos reservados por nosotros.", False),
+        ("Der Datenträger wird vom Hersteller geliefert.", True),
         ("no no no no no no", False),
         ("   ", True),
     ],

@@ -10,7 +10,7 @@ Line rules, on a line with at least one word (w words):
 * punctuation: fewer than 3 words and no closing punctuation, or 5 words and more
   with an exclamation mark for every other word;
 * navigation: at least 3 separators, one for every 4 words or more;
-* boilerplate: at most 12 words with a site phrase (log-in, cookies, rights);
+* boilerplate: at most 12 words with a site phrase (log-in, cookies, rights), in four languages;
 * clutter: more than 3 symbols for 10 words;
 * stutter: at least 4 words, more than half of them equal to the word before.
 
@@ -35,9 +35,13 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·>"
 CLOSED = r"[.!?:;,…。！？\"'”’»)\]]$"
+# Site phrases in English, German, French and Spanish; letters beyond ASCII in both cases.
 PHRASES = (
     r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|enable javascript|sign (in|up)|log in"
-    r"|click here|read more|share (this|on)|subscribe|skip to (main )?content|powered by|back to top)"
+    r"|click here|read more|share (this|on)|subscribe|skip to (main )?content|powered by|back to top"
+    r"|alle rechte vorbehalten|datenschutz|impressum|javascript aktivieren|jetzt anmelden|hier klicken|weiterlesen|nach oben"
+    r"|tous droits r[éÉ]serv[éÉ]s|confidentialit[éÉ]|mentions l[éÉ]gales|activer javascript|se connecter|cliquez ici|lire la suite|haut de page"
+    r"|todos los derechos reservados|pol[íÍ]tica de privacidad|aviso legal|activar javascript|iniciar sesi[óÓ]n|haga clic|leer m[áÁ]s|volver arriba)"
 )
 
 
