@@ -154,6 +154,13 @@ def test_regression_contributions_of_a_linear_model_are_its_terms(spark):
         assert abs(r.contribution - (2 * (x - 1) if r.feature == "a" else -3 * (x - 2))) < 1e-9
 
 
+def test_importance_of_regression_features_is_a_rise_in_error(spark):
+    df = spark.createDataFrame([(i, float(i % 17), float(i * 7919 % 101), float(3 * (i % 17))) for i in range(400)], "id long, a double, b double, y double")
+    model = ML.fit_linear(df, ["a", "b"], "y", task="regression")
+    got = {r.feature: r for r in ML.permutation_importance(model, df, ["a", "b"], "y", "id", task="regression").collect()}
+    assert got["a"].importance > 5 and abs(got["b"].importance) < 0.1 and got["a"].base < 0.1
+
+
 def test_poisson_bootstrap_against_brute_force(spark):
     rng = random.Random(11)
     rows = [(i, rng.randint(0, 1), rng.random()) for i in range(150)]

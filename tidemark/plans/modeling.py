@@ -88,6 +88,12 @@ def _cast(df: DataFrame, features: Sequence[str], target: str, task: str) -> Dat
     return df.withColumns({**{c: qcol(c).cast("double") for c in features}, target: t})
 
 
+def fit_linear(train: DataFrame, features: Sequence[str], target: str, task: str = "classification"):
+    """The linear model of ``baseline``, fitted on train with its imputer."""
+    kind = LogisticRegression if task == "classification" else LinearRegression
+    return Pipeline(stages=[*_features(features), kind(labelCol=target, featuresCol="features")]).fit(_cast(train, features, target, task))
+
+
 def baseline(
     train: DataFrame,
     validation: DataFrame,
@@ -103,7 +109,7 @@ def baseline(
     if task == "classification":
         majority = train.agg(F.avg(target).alias("p")).select((F.col("p") >= 0.5).cast("double")).scalar()
         prior = train.agg(F.avg(target)).scalar()
-        model = Pipeline(stages=[*_features(features), LogisticRegression(labelCol=target, featuresCol="features")]).fit(train)
+        model = fit_linear(train, features, target)
 
         def score(df, name):
             lin = model.transform(df).select(target, _p1("probability").alias("score"))
@@ -115,7 +121,7 @@ def baseline(
 
         return score(train, "train").unionByName(score(validation, "validation"))
     mean = train.agg(F.avg(target)).scalar()
-    model = Pipeline(stages=[*_features(features), LinearRegression(labelCol=target, featuresCol="features")]).fit(train)
+    model = fit_linear(train, features, target, task)
 
     def score_r(df, name):
         lin = model.transform(df).select(target, F.col("prediction"))
@@ -253,26 +259,31 @@ def permute_column(df: DataFrame, column: str, row_key: str | Sequence[str], see
 
 
 def permutation_importance(
-    model, data: DataFrame, features: Sequence[str], target: str, row_key: str | Sequence[str], seed: int = SEED
+    model, data: DataFrame, features: Sequence[str], target: str, row_key: str | Sequence[str], seed: int = SEED, task: str = "classification"
 ) -> DataFrame:
-    """Drop in ROC-AUC when each feature is permuted (aggregate only, not causal)."""
-    data = _cast(data, features, target, "classification")
+    """feature, base, permuted, importance: how much worse the model gets when a feature is permuted.
 
-    def auc(df: DataFrame) -> Column:
-        s = model.transform(df).select(target, _p1("probability").alias("score"))
-        return classification_metrics(s, target, "score").select("roc_auc").scalar()
+    The measure is ROC-AUC (its drop) for classification and RMSE (its rise) for
+    regression. Aggregate only, not causal.
+    """
+    data = _cast(data, features, target, task)
+
+    def measure(df: DataFrame) -> Column:
+        scored = model.transform(df)
+        if task == "classification":
+            return classification_metrics(scored.select(target, _p1("probability").alias("score")), target, "score").select("roc_auc").scalar()
+        return regression_metrics(scored.select(target, "prediction"), target, "prediction").select("rmse").scalar()
 
-    base = auc(data)
+    base = measure(data)
     parts = [
-        data.sparkSession.range(1).select(
-            F.lit(f).alias("feature"), base.alias("base_auc"), auc(permute_column(data, f, row_key, seed)).alias("permuted_auc")
-        )
+        data.sparkSession.range(1).select(F.lit(f).alias("feature"), base.alias("base"), measure(permute_column(data, f, row_key, seed)).alias("permuted"))
         for f in features
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("importance", F.col("base_auc") - F.col("permuted_auc"))
+    worse = F.col("base") - F.col("permuted")
+    return out.withColumn("importance", worse if task == "classification" else -worse)
 
 
 def subgroup_effects(scored: DataFrame, subgroup: str, target: str, score: str = "score", k_min: int = 10) -> DataFrame:

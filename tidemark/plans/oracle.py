@@ -727,6 +727,22 @@ FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP {lit(a)} THEN 'train' WHEN o_orde
              CAST(count(*) AS BIGINT) AS rows, {cnt("o_orderstatus = 'O'")} AS positives FROM orders GROUP BY 1) AS g"""
 
 
+def baseline_regression_sql() -> str:
+    a, b = TIME_CUTS
+    r3 = "round(round({}, 12), 3)".format
+    parts = []
+    for model, p in (("mean", "m.mean"), ("linear_regression", "m.slope * x + m.rest")):
+        e = f"(y - ({p}))"
+        parts.append(
+            f"""SELECT {lit(model)} AS model, split, CAST(count(*) AS BIGINT) AS rows, {r3(f'avg(abs({e}))')} AS mae, {r3(f'sqrt(avg({e} * {e}))')} AS rmse,
+       {r3(f'1e0 - sum({e} * {e}) / (var_pop(y) * count(*))')} AS r2 FROM s, m WHERE split <> 'test' GROUP BY split"""
+        )
+    return f"""WITH s AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x,
+  CASE WHEN l_shipdate < TIMESTAMP {lit(a)} THEN 'train' WHEN l_shipdate < TIMESTAMP {lit(b)} THEN 'validation' ELSE 'test' END AS split FROM lineitem),
+m AS (SELECT avg(y) AS mean, regr_slope(y, x) AS slope, regr_intercept(y, x) AS rest FROM s WHERE split = 'train')
+{union(parts)}"""
+
+
 def calibration_sql() -> str:
     cuts = ", ".join(f"quantile_cont(score, {i / 10})" for i in range(1, 10))
     return f"""WITH s AS {_SCORED}, c AS (SELECT [{cuts}] AS cuts FROM s)
@@ -1054,6 +1070,7 @@ def oracles() -> dict[str, str]:
         "explore": explore_sql(),
         "correlations": correlations_sql(),
         "time_split_report": time_split_sql(),
+        "baseline_regression": baseline_regression_sql(),
         "calibration": calibration_sql(),
         "subgroup_metrics": subgroup_metrics_sql(),
         "subgroup_effects": subgroup_effects_sql(),

@@ -34,6 +34,7 @@ from tidemark.sinks import (
     validation_report,
     write_evidence_csv,
     write_headed_text,
+    write_identified,
 )
 from tidemark.session import checkpoint_dir
 from tidemark.sources import infer_types, list_members, nullify_markers, read_headed_table
@@ -360,8 +361,54 @@ def _cleaned(spark, sf):
     return rounded(cleaned)
 
 
+def _priced_lines(spark, sf):
+    """Order lines split by ship date: the price is to be told from the quantity."""
+    return ML.time_split(table(spark, sf, "lineitem"), "l_shipdate", *TIME_CUTS)
+
+
+def _baseline_regression(spark, sf):
+    split = _priced_lines(spark, sf)
+    train, valid = split.where("split = 'train'"), split.where("split = 'validation'")
+    return rounded(ML.baseline(train, valid, ["l_quantity"], "l_extendedprice", task="regression"), 3)
+
+
+def _measured_docs(spark, sf):
+    """Labelled documents with features of their texts, split by a hash of the id."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != ""))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), words.cast("double").alias("n_words"), (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))).cast("double").alias("capitals"))
+    return ML.assign_split(table(spark, sf, "labels").join(docs, "doc_id"), "doc_id")
+
+
+_MEASURES = ["n_chars", "n_words", "capitals"]
+
+
+def _compared(spark, sf):
+    split = _measured_docs(spark, sf)
+    results, _ = ML.compare_models(split.where("split = 'train'"), split.where("split = 'validation'"), _MEASURES, "quality")
+    return rounded(results)
+
+
+def _importance(spark, sf):
+    split = _measured_docs(spark, sf)
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    model = ML.fit_linear(train, _MEASURES, "quality")
+    return rounded(ML.permutation_importance(model, test, _MEASURES, "quality", "doc_id"))
+
+
+def _footprint_files(spark, sf):
+    """The census with the size of its source and of what is written of it."""
+    census, path = _census(spark, sf), _scratch(spark, "identified") + "/identified.parquet"
+    write_identified(census, path)
+    return rounded(O.storage_footprint(census, CENSUS_KEY, [f"{sf}/orders.parquet"], [path]))
+
+
 QUERIES.update(
     {
+        "baseline_regression": _baseline_regression,
+        "compare_models": _compared,
+        "permutation_importance": _importance,
+        "storage_footprint_files": _footprint_files,
         "time_split_report": _time_split_report,
         "calibration": _calibration,
         "subgroup_metrics": _subgroup_metrics,
