@@ -487,6 +487,28 @@ def test_flow_repeats_evenly_and_uses_overlaps():
     assert mixing.min_cost_flow({"x": 10}, {"x": ["s"]}, {"s": 99}) == {"x": 30}
 
 
+def test_flow_is_the_cheapest_of_the_largest(spark):
+    import itertools
+
+    def price(given, words):
+        return sum(min(words, max(0, given - k * words)) * k * (k + 1) // 2 for k in range(3))
+
+    rng = random.Random(12)
+    for _ in range(60):
+        capacity = {p: rng.randint(1, 3) for p in "xyz"}
+        members = {p: rng.choice([["s"], ["t"], ["s", "t"]]) for p in capacity}
+        quota = {"s": rng.randint(0, 8), "t": rng.randint(0, 8)}
+        best = None
+        for given in itertools.product(*(range(3 * capacity[p] + 1) for p in "xyz")):
+            of = dict(zip("xyz", given, strict=True))
+            # A split over the sources exists if no set of sources gets more from patterns of its own than it takes.
+            if all(sum(of[p] for p in of if set(members[p]) <= set(some)) <= sum(quota[s] for s in some) for some in (["s"], ["t"], ["s", "t"])):
+                key = (-sum(given), sum(price(of[p], capacity[p]) for p in of))
+                best = key if best is None else min(best, key)
+        got = mixing.min_cost_flow(capacity, members, quota)
+        assert (-sum(got.values()), sum(price(got[p], capacity[p]) for p in got)) == best
+
+
 def test_token_counts_match_the_library(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
