@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_key_list, balanced, is_string, profiled_fields, qcol, type_name
@@ -161,8 +161,10 @@ def clean_to(
     * ``extreme_value``: values outside the given limits of a column are set to null;
     * ``exact_duplicates``: one row per group of alike rows, the one with the least key.
 
-    The report (order, rule, rows_before, rows_after, cells_changed) is observed while
-    the rows are written, so no count is a pass of its own.
+    The report (order, rule, rows_before, rows_after, cells_changed) comes from numbers
+    written beside the rows, so no rule is applied a second time to be counted. (Not
+    from ``Observation``: once a session has one, MLlib's logistic models cannot be
+    sent to tasks any more in Spark 4.1.)
     """
     keys = as_key_list(key)
     if not keys:
@@ -186,21 +188,23 @@ def clean_to(
     for i, (_, after) in enumerate(steps):
         counted = now.withColumn(f"_n{i}", changes(list(after), after))
         now = counted.withColumns(dict(after))
-    seen, kept = Observation("cleaned"), Observation("kept")
-    observed = now.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(f"_n{i}"), zero).alias(f"n{i}") for i in range(len(steps))))
-    observed.select(*df.columns).write.parquet(f"{path}/rules")
+    marks = [f"_n{i}" for i in range(len(steps))]
+    now.write.parquet(f"{path}/rules")
     rules = df.sparkSession.read.parquet(f"{path}/rules")
     first = F.min(F.struct(*[qcol(k) for k in keys])).alias("_k")
     deduped = rules.groupBy(*[qcol(c) for c in fields]).agg(first).select(*[F.col("_k")[k].alias(k) for k in keys], *[qcol(c) for c in fields])
-    deduped.select(*df.columns).observe(kept, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/cleaned")
-    rows, after_rows = seen.get["rows"], kept.get["rows"]
+    deduped.select(*df.columns).write.parquet(f"{path}/cleaned")
+    cleaned = df.sparkSession.read.parquet(f"{path}/cleaned")
+    # Numbers that were written beside the rows: a scan of those columns alone, and of a file footer.
+    counts = rules.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(m), zero).alias(m) for m in marks)).first()
+    rows, after_rows = counts["rows"], cleaned.count()
     changed: dict[str, int] = {}
     for i, (rule, _) in enumerate(steps):
-        changed[rule] = changed.get(rule, 0) + seen.get[f"n{i}"]
+        changed[rule] = changed.get(rule, 0) + counts[marks[i]]
     report = [(i, rule, rows, rows, n) for i, (rule, n) in enumerate(changed.items(), 1)]
     report.append((len(report) + 1, "exact_duplicates", rows, after_rows, 0))
     table = df.sparkSession.createDataFrame(report, "order int, rule string, rows_before long, rows_after long, cells_changed long")
-    return df.sparkSession.read.parquet(f"{path}/cleaned"), table
+    return cleaned, table
 
 
 def explore(
