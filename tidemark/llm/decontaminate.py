@@ -36,7 +36,7 @@ from tidemark.llm.common import durable, with_python
 WIDTH = 13
 SLICE = 200_000
 BLOCK = 1_000
-GATHERED = 32 << 20
+GATHERED = 8 << 20
 #: A document is contaminated when hits * SHARE >= words.
 SHARE = 20
 
