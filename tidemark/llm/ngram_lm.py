@@ -220,6 +220,21 @@ def _hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
+def _numbered(joined: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The words of all texts in turn as numbers from 2 on, and the distinct words in order of their numbers.
+
+    ``joined`` has each text's words joined by single spaces.
+    """
+    data = b" ".join(filter(None, joined)) + b" "
+    if len(data) == 1:
+        return np.zeros(0, np.int64), []
+    # Words keep the space behind them, so they are neighbours in one byte string.
+    flat = np.frombuffer(data, np.uint8)
+    ends = np.concatenate([[0], np.flatnonzero(flat == 32) + 1]).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64) + 2, [w[:-1] for w in coded.dictionary.to_pylist()]
+
+
 class Block:
     """Texts as numbers: ``vocab`` (sorted hashes), ``tokens`` (START, words, END of each text in turn)."""
 
@@ -228,20 +243,23 @@ class Block:
 
     @classmethod
     def of(cls, texts: list[bytes | None], train: list[bool]) -> Block:
-        number = {START: 0, END: 1}
-        tokens: list[int] = []
-        lengths = []
-        for text in texts:
-            had = len(tokens)
-            tokens.append(0)
-            tokens += [number.setdefault(w, len(number)) for w in (text or b"").lower().split()]
-            tokens.append(1)
-            lengths.append(len(tokens) - had)
-        hashes = _hash(list(number))
+        joined, counts = [], []
+        for text in texts:  # one text's words at a time: as objects they take many times the text's bytes
+            words = (text or b"").lower().split()
+            joined.append(b" ".join(words))
+            counts.append(len(words))
+        lengths = np.array(counts, np.int64) + 2
+        last = np.cumsum(lengths) - 1
+        tokens = np.zeros(int(lengths.sum()), np.int64)  # START is number 0, END 1
+        tokens[last] = 1
+        inside = np.ones(len(tokens), bool)
+        inside[last] = inside[last - lengths + 1] = False
+        tokens[inside], distinct = _numbered(joined)
+        hashes = _hash([START, END, *distinct])
         order = np.argsort(hashes)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        return cls(hashes[order], rank[np.array(tokens, np.int64)], np.array(lengths, np.int64), np.array(train, bool))
+        return cls(hashes[order], rank[tokens], lengths, np.array(train, bool))
 
     def token_train(self) -> np.ndarray:
         return np.repeat(self.train, self.lengths)
