@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import with_python
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 KEPT_WORDS = 400_000
 
 
@@ -139,10 +139,14 @@ def _within(lengths: np.ndarray) -> np.ndarray:
 
 def _block(look, numbers: list[int], texts: list[bytes], ids: pa.Array) -> Iterator[pa.RecordBatch]:
     """The postings of a block of texts, and one row per text with what the vocabulary table settled."""
-    split = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    data = np.frombuffer(b" ".join(b" ".join(w) for w in split if w) + b" ", np.uint8)
-    del split
+    joined, counts = [], []
+    for text in texts:  # one text's words at a time: as objects they take many times the text's bytes
+        words = text.split()
+        joined.append(b" ".join(words))
+        counts.append(len(words))
+    sizes = np.array(counts, np.int64)
+    data = np.frombuffer(b" ".join(filter(None, joined)) + b" ", np.uint8)
+    del joined
     settled = np.zeros(len(texts), np.int64)
     if sizes.any():
         # Words keep the space behind them, so they are neighbours in one byte string.
