@@ -38,7 +38,6 @@ HEADLINE = (
     "date_conversion",
     "temporal_inconsistencies",
     "validation_summary",
-    "profile_job",
 )
 
 
