@@ -98,3 +98,22 @@ def test_type_profile_variant_mixed(spark):
     v = df.select("k", __import__("pyspark.sql.functions", fromlist=["parse_json"]).parse_json("j").alias("mixto"))
     t = {r.column: r for r in O.type_profile(v, "k").collect()}
     assert t["mixto"].all_types == "int, str" and t["mixto"].mixed and t["mixto"].is_object
+
+
+def test_folding_holds_a_piece_of_a_batch():
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from tidemark.functions import text
+
+    values = [None, "", " É  é x\x1cy ", "ΟΔΟΣ ΣΑΣ", "İstanbul ﬁ", "한글 ①", "ạ́b", "😀 Z"]
+    assert text.fold_array(pa.array(values)).to_pylist() == text.fold_series(pd.Series(values, dtype=object)).tolist()
+    assert text.fold_array(pa.array([], pa.string())).to_pylist() == []
+    many = pa.array(["Ü" * 4000] * 3000)  # 12 million characters
+    tracemalloc.start()
+    folded = text._fold_udf.func(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert folded.to_pylist() == ["u" * 4000] * 3000 and peak < 4 * text.PIECE

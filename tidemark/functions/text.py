@@ -1,7 +1,8 @@
 """Text folding.
 
 ASCII text is folded by JVM functions. Spark has no NFKD normalisation, so other text
-is folded in one Arrow-batched ``pandas_udf``; ASCII text is not sent there. Checks of
+is folded in one ``arrow_udf``, value by value, so that a Python worker holds one batch's
+texts as Arrow and only ``PIECE`` bytes of them as Python strings; ASCII text is not sent there. Checks of
 whole columns apply it to *distinct* values (``operators.frequencies``), so the Python
 cost grows with the number of distinct texts, not with rows.
 """
@@ -14,6 +15,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +40,32 @@ def fold_value(value: object) -> str:
     return fold_series(pd.Series([str(value)], dtype=object)).iloc[0]
 
 
-@F.pandas_udf(T.StringType())
-def _fold_udf(values: pd.Series) -> pd.Series:
-    return fold_series(values)
+#: Bytes of folded texts that are gathered as Python strings.
+PIECE = 1 << 20
+_SPACES = re.compile(r"\s+")
+
+
+def _fold(text: str) -> str:
+    """One text, as ``fold_series``."""
+    return _SPACES.sub(" ", unicodedata.normalize("NFKD", text).translate(_combining_marks()).lower().strip())
+
+
+def fold_array(values: pa.Array) -> pa.Array:
+    """``fold_series`` of Arrow strings, a piece at a time."""
+    done, piece, size = [pa.array([], values.type)], [], 0
+    for v in values:
+        text = v.as_py()
+        piece.append(None if text is None else _fold(text))
+        size += len(piece[-1] or "")
+        if size >= PIECE:
+            done.append(pa.array(piece, values.type))
+            piece, size = [], 0
+    return pa.concat_arrays([*done, pa.array(piece, values.type)])
+
+
+@F.arrow_udf(T.StringType())
+def _fold_udf(values: pa.Array) -> pa.Array:
+    return fold_array(values)
 
 
 # The ASCII characters that count as white space in folding.
