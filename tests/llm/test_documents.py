@@ -452,6 +452,26 @@ def test_preference_weights_minimise_the_pairwise_loss():
     assert weight[worth < ranker.cut].sum() == pytest.approx(0.4, abs=0.02)
 
 
+def test_preference_learns_from_every_pair(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(["word", "w", "$$", "A1!", "ü."]) for _ in range(rng.randint(1, 60 + i % 30)))) for i in range(150)]
+    mark = {i: int(rng.random() < 0.3 + 0.4 * (len(t) > 100)) for i, t in texts}
+    docs = spark.createDataFrame([*texts, texts[3]], "doc_id long, text string")
+    ranker = preference.train(docs.repartition(3), spark.createDataFrame(list(mark.items()), "doc_id long, quality int"), F.lit(False))
+    x = {m: np.array([preference.features(t.encode()) for i, t in texts if mark[i] == m]) for m in (0, 1)}
+    diff = (x[1][:, None] - x[0][None]).reshape(-1, len(preference.FEATURES)) / ranker.scale
+    slope = (diff / (1 + np.exp(diff @ ranker.weights))[:, None]).mean(axis=0) - preference.RIDGE * ranker.weights
+    assert np.abs(slope).max() < 1e-4
+    # The cut is exactly at the share of bad marks.
+    worth = np.sort(np.concatenate([ranker.worth(x[0]), ranker.worth(x[1])]))
+    at = len(x[0]) - 1
+    assert ranker.cut == pytest.approx((worth[at] + worth[at + 1]) / 2)
+    again = preference.train(docs.repartition(7), spark.createDataFrame(list(mark.items()), "doc_id long, quality int"), F.lit(False))
+    assert (ranker.weights == again.weights).all() and ranker.cut == pytest.approx(again.cut)
+
+
 def test_mix_reaches_targets(docs):
     mixed, targets = mixing.mix(docs, F.array("source"))
     rows = mixed.select("row.doc_id", "row.source", "size", "taken").collect()

@@ -1,11 +1,14 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-A text's score is linear in its features. Preference pairs (a text marked good, one
-marked bad) are drawn with a seed from a bounded sample of the labelled texts (at
-most ``SAMPLE`` of each mark, the first by a seeded hash of the id, one row per id:
-the one whose text has the least hash), and the weights minimise the logistic loss of the pairs' feature differences. The cut is the score
-quantile at the share of bad marks among all training labels; scores are given as a
-logistic value that is ``THRESHOLD`` at the cut.
+A text's score is linear in its features. The weights minimise the mean logistic loss
+over all preference pairs (every labelled text marked good with every one marked bad;
+one row per id: the one whose text has the least hash). Pairs are not formed: a pair's
+loss depends on the difference of two worths, so each Newton step shares every text
+between the two nearest points of a grid of worths (``STEP`` apart), sums counts and
+features per mark and point, and folds the sums of one mark with those of the other. A
+pair's chance is right within ``STEP ** 2 / 40``. The driver gets one row per mark and
+point. The cut is the exact score quantile at the share of bad marks among all training
+labels; scores are given as a logistic value that is ``THRESHOLD`` at the cut.
 
 Features come from the text alone and read the whole of it.
 
@@ -25,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import with_python
+from tidemark.llm.common import durable, with_python
 
-SAMPLE = 10_000
+STEP = 1 / 64
+ROUNDS = 50
+PARTS = 1024  # steps that a range of worths is split into on the way to the cut
 PAIRS = 100_000
 SEED = 42
 THRESHOLD = 0.3
@@ -95,7 +100,7 @@ def features(text: bytes | None) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t).tolist() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "mark", "hash")), pa.array(rows, pa.list_(pa.float64()))], names=["id", "mark", "hash", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "hash", "x"])
 
 
 class Ranker:
@@ -113,7 +118,7 @@ class Ranker:
 
 
 def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIRS, seed: int = SEED) -> Ranker:
-    """Weights by Newton's method on the pairwise logistic loss; the cut at the ``bad_share`` quantile."""
+    """The ranker of two small sets in memory, from ``pairs`` drawn with a seed; ``fit_all`` is that of all pairs."""
     d = len(FEATURES)
     if not len(good) or not len(bad):
         return Ranker(np.zeros(d), np.ones(d), np.zeros(d), 0.0)
@@ -123,7 +128,7 @@ def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIRS,
     n = min(pairs, len(good) * len(bad))
     diff = (good[rng.integers(len(good), size=n)] - bad[rng.integers(len(bad), size=n)]) / scale
     w = np.zeros(d)
-    for _ in range(50):
+    for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # chance that the pair is ordered wrongly
         step = np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / n + RIDGE * np.eye(d), diff.T @ p / n - RIDGE * w)
         w += step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
@@ -140,21 +145,149 @@ def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIRS,
     return ranker
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Ranker:
-    """The ranker learned from ``labels`` (1 good, 0 bad) of ids that are not ``held_out`` (a condition on ``id``)."""
+def _sums(mean: np.ndarray, scale: np.ndarray, w: np.ndarray):
+    """Per mark and grid point: number of texts and sum of their scaled features, a text shared between the two points around its worth."""
+    names = ["n", *FEATURES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mark, z in _scaled(batches, mean, scale):
+            at = z @ w / STEP
+            low = np.floor(at)
+            share = np.concatenate([low + 1 - at, at - low])
+            keys, place = np.unique(np.stack([np.concatenate([mark, mark]), np.concatenate([low, low + 1])]), axis=1, return_inverse=True)
+            values = np.zeros((keys.shape[1], len(names)))
+            ones = np.concatenate([np.ones((len(z), 1)), z], axis=1)
+            np.add.at(values, place.ravel(), np.concatenate([ones, ones]) * share[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype("int32")), pa.array(keys[1].astype("int64")), *(pa.array(v) for v in values.T)], names=["mark", "point", *names])
+
+    return run, "mark int, point bigint, " + ", ".join(f"`{n}` double" for n in names)
+
+
+def _scaled(batches: Iterator[pa.RecordBatch], mean: np.ndarray, scale: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if batch.num_rows:
+            x = np.array(batch.column("x").to_pylist()).reshape(-1, len(FEATURES))
+            yield batch.column("mark").to_numpy(), (x - mean) / scale
+
+
+def _squares(mean: np.ndarray, scale: np.ndarray, w: np.ndarray, first: int, chances: dict[int, np.ndarray]):
+    """Sum over texts of the products of their scaled features, each text weighted by ``chances`` of its mark at its worth."""
+    d = len(FEATURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for mark, z in _scaled(batches, mean, scale):
+            at = z @ w / STEP - first
+            for m, values in chances.items():
+                mine = z[mark == m]
+                total += (mine * np.interp(at[mark == m], np.arange(len(values)), values)[:, None]).T @ mine
+        yield pa.RecordBatch.from_arrays([pa.array(range(d * d), pa.int32()), pa.array(total.ravel())], names=["place", "value"])
+
+    return run, "place int, value double"
+
+
+def _fold(sums: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """``out[j] = sum over k of sums[k] * kernel(k - j)``; ``kernel`` runs from ``1 - len(sums)`` to ``len(sums) - 1``."""
+    m = len(sums)
+    size = 1 << (3 * m).bit_length()
+    return np.fft.irfft(np.fft.rfft(sums, size) * np.fft.rfft(kernel[::-1], size), size)[m - 1 : 2 * m - 1]
+
+
+def fit_all(rows: DataFrame, bad_share: float) -> Ranker:
+    """Weights by Newton's method on the logistic loss of all pairs of ``rows`` (``mark``, ``x``); the cut at the ``bad_share`` quantile."""
+    d = len(FEATURES)
+    column = [F.get("x", F.lit(i)) for i in range(d)]
+    told = rows.agg(F.count_if(F.col("mark") == 1), F.count_if(F.col("mark") == 0), *map(F.avg, column), *map(F.stddev_pop, column)).first()
+    n_good, n_bad = told[0], told[1]
+    if not n_good or not n_bad:
+        return Ranker(np.zeros(d), np.ones(d), np.zeros(d), 0.0)
+    # Sums of doubles differ in their last digits by the order of the rows; the digits kept do not.
+    mean, scale = np.round(told[2 : 2 + d], 12), np.maximum(np.round(told[2 + d :], 12), 1e-6)
+    pairs = n_good * n_bad
+    w = np.zeros(d)
+    for _ in range(ROUNDS):
+        run, schema = _sums(mean, scale, w)
+        points = rows.mapInArrow(run, schema).groupBy("mark", "point").agg(F.sum("n"), *(F.sum(f).alias(f) for f in FEATURES)).collect()
+        first = min(r["point"] for r in points)
+        sums = {m: np.zeros((max(r["point"] for r in points) - first + 1, 1 + d)) for m in (0, 1)}
+        for r in points:
+            sums[r["mark"]][r["point"] - first] = r[2:]
+        away = np.arange(1 - len(sums[0]), len(sums[0])) * STEP
+        wrong = 1 / (1 + np.exp(-np.clip(away, -700, 700)))  # chance that a pair is ordered wrongly, by the bad text's worth less the good one's
+        unsure = wrong * (1 - wrong)
+        good, bad = _fold(sums[0][:, 0], wrong), _fold(sums[1][:, 0], wrong[::-1])
+        gradient = (sums[1][:, 1:].T @ good - sums[0][:, 1:].T @ bad) / pairs - RIDGE * w
+        cross = np.stack([sums[1][:, 1:].T @ _fold(sums[0][:, 1 + i], unsure) for i in range(d)], axis=1)
+        run, schema = _squares(mean, scale, w, first, {1: _fold(sums[0][:, 0], unsure), 0: _fold(sums[1][:, 0], unsure)})
+        squares = np.zeros(d * d)
+        for r in rows.mapInArrow(run, schema).groupBy("place").agg(F.sum("value").alias("value")).collect():
+            squares[r["place"]] = r["value"]
+        step = np.linalg.solve((squares.reshape(d, d) - cross - cross.T) / pairs + RIDGE * np.eye(d), gradient)
+        w += step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    ranker = Ranker(mean, scale, np.round(w, 6), 0.0)
+    ranker.cut = _cut(rows, ranker, {1: (1 - bad_share) / n_good, 0: bad_share / n_bad}, bad_share)
+    return ranker
+
+
+def _worths(ranker: Ranker):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist()).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(ranker.worth(x))], names=["mark", "worth"])
+
+    return run
+
+
+def _cut(rows: DataFrame, ranker: Ranker, weight: dict[int, float], share: float) -> float:
+    """Midway between the least worth up to which the texts weigh ``share``, and the next.
+
+    The range that holds it is split into ``PARTS`` until one value is left.
+    """
+    worths = durable(rows.mapInArrow(_worths(ranker), "mark int, worth double"))
+    low, high = worths.agg(F.min("worth"), F.max("worth")).first()
+    before = 0.0
+    while True:
+        part = F.floor((F.col("worth") - low) / max(high - low, 1e-300) * PARTS)
+        inside = worths.where(F.col("worth").between(low, high)).groupBy(part.alias("part"))
+        parts = inside.agg(F.count_if(F.col("mark") == 1).alias("good"), F.count_if(F.col("mark") == 0).alias("bad"), F.min("worth").alias("low"), F.max("worth").alias("high")).collect()
+        for r in sorted(parts, key=lambda r: r["part"]):
+            weighs = weight[1] * r["good"] + weight[0] * r["bad"]
+            low, high, last = r["low"], r["high"], weight[0 if r["bad"] else 1]
+            if before + weighs >= share - 1e-9:
+                break
+            before += weighs
+        if low == high:
+            break
+    if before + weighs - last >= share - 1e-9:  # the share ends among equal worths
+        return low
+    after = worths.where(F.col("worth") > low).agg(F.min("worth")).first()[0]
+    return low if after is None else (low + after) / 2
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int | None = None) -> Ranker:
+    """The ranker learned from ``labels`` (1 good, 0 bad) of ids that are not ``held_out`` (a condition on ``id``).
+
+    All labelled texts are learned from, unless a caller asks for a ``sample`` of so
+    many of each mark, the first by a seeded hash of the id.
+    """
     with_python(docs.sparkSession)
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("mark")).where(F.col("mark").isin(0, 1) & F.col("id").isNotNull())
     marks = marks.where(~F.coalesce(held_out, F.lit(False))).groupBy("id").agg(F.min("mark").alias("mark"), F.max("mark").alias("most")).where("mark = most").select("id", "mark")
     counts = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect()}
-    first = marks.where("mark = 1").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample).unionByName(marks.where("mark = 0").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample))
+    bad_share = counts.get(0, 0) / max(1, sum(counts.values()))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    # At most two samples of ids: a size known beforehand. Features are made before rows of an id meet, so texts stay where they are.
-    sampled = texts.join(F.broadcast(first), "id").select("id", "mark", F.xxhash64("text").alias("hash"), "text")
-    featured = sampled.mapInArrow(_features, "id bigint, mark int, hash bigint, x array<double>")
-    rows = featured.groupBy("id", "mark").agg(F.min(F.struct("hash", "x")).alias("row")).select("mark", "row.x").collect()
-    rows.sort(key=lambda r: (r["mark"], r["x"]))
+    if sample is not None:
+        marks = marks.where("mark = 1").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample).unionByName(marks.where("mark = 0").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample))
+    # Features are made before rows meet labels or other rows of their id, so texts stay where they are.
+    featured = texts.where(F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("hash"), "text").mapInArrow(_features, "id bigint, hash bigint, x array<double>")
+    rows = featured.groupBy("id").agg(F.min(F.struct("hash", "x")).alias("row")).join(marks, "id").select("mark", "row.x")
+    if sample is None:
+        return fit_all(durable(rows), bad_share)
+    rows = sorted(rows.collect(), key=lambda r: (r["mark"], r["x"]))
     x = {m: np.array([r["x"] for r in rows if r["mark"] == m]).reshape(-1, len(FEATURES)) for m in (0, 1)}
-    return fit(x[1], x[0], counts.get(0, 0) / max(1, sum(counts.values())))
+    return fit(x[1], x[0], bad_share)
 
 
 def _scores(ranker: Ranker):
